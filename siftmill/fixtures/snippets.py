@@ -326,8 +326,8 @@ _e = ["twice!", "twice!"]
 _f = ["breadth first"]
 _g = "breadth first"⟦MAINT004|breadth first|3⟧
 _h = "breadth first"
-_i = ["abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH"] * 2⟦MAINT004|abcdefghijklmnopqrstuvwxyz0123456789ABCD|3⟧
-_j = ["abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH"]
+_i = ["abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH"] * 2
+_j = ["abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH", "abcdefghijklmnopqrstuvwxyz0123456789ABCDEFGH"]⟦MAINT004|abcdefghijklmnopqrstuvwxyz0123456789ABCD|3⟧
 assert _a, "user must login"⟦MAINT005⟧
 assert _b
 assert (
@@ -633,7 +633,7 @@ listen(PORT || 8080);
     # functions: 50 and 51 lines, unclosed, one line, long bodies, keywords
     (".ts", "function fifty() {⟦FN|fifty|50|1⟧\n" + "  x();\n" * 48 + "}\n"
      + "const over = (a) => {⟦JSCS001|over|51⟧⟦FN|over|51|1⟧\n" + "  y();\n" * 49 + "}\n"
-     + '''function one(a) { if (a) { return a ? 1 : 2; } else if (b && c) { for (;;) {} } }⟦FN|one|1|7⟧
+     + '''function one(a) { if (a) { return a ? 1 : 2; } else if (b && c) { for (;;) {} } }⟦FN|one|8|10⟧
 if (x) { y(); }
 class K {
   method(a) {⟦FN|method|4|3⟧
@@ -644,8 +644,8 @@ class K {
 const fn = async function () {⟦FN|fn|3|2⟧
   return a || b;
 }
-const obj = { key: function (z) { return z; } };⟦FN|function|1|1⟧
-function open_(a) {⟦FN|open_|3|1⟧
+const obj = { key: function (z) { return z; } };⟦FN|function|3|1⟧
+function open_(a) {⟦FN|open_|2|1⟧
   z();
 '''),
     # a body longer than the 200 lines that are followed
