@@ -39,11 +39,17 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """A table that sits in fewer input splits than there are cores is spread by key; larger ones stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def corpus(spark: SparkSession, sf: str, language: str | None = None) -> DataFrame:
     """One file per order: a snippet under 0 to 2 comment lines that name the order."""
     rows = [t for t in TEMPLATES if language is None or t[1] == language]
     known = spark.createDataFrame(rows, "template_id int, language string, suffix string, mark string, body string")
-    orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
     note = F.concat("mark", F.lit(" order "), F.col("o_orderkey").cast("string"), F.lit("\n"))
     # A fixed table of a few dozen snippets.
     return orders.join(F.broadcast(known), F.col("o_orderkey") % K == F.col("template_id")).select(
@@ -54,10 +60,10 @@ def corpus(spark: SparkSession, sf: str, language: str | None = None) -> DataFra
 
 def prose(spark: SparkSession, sf: str, language: str) -> DataFrame:
     """Documents and pages, read as files of a language."""
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("source").alias("project_id"), F.concat(F.lit("docs/"), "source", F.lit("/"), "doc_id", F.lit(EXTENSION[language])).alias("path"),
         F.lit(language).alias("language"), "text")
-    pages = table(spark, sf, "pages").select(
+    pages = spread(table(spark, sf, "pages"), "page_id").select(
         F.lit("web").alias("project_id"), F.concat(F.lit("pages/"), "page_id", F.lit(EXTENSION[language])).alias("path"),
         F.lit(language).alias("language"), F.col("html").alias("text"))
     return docs.unionByName(pages)
@@ -69,12 +75,12 @@ def text_files(spark: SparkSession, sf: str, language: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf: str, language: str = "unknown") -> DataFrame:
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("source").alias("project_id"), F.concat(F.lit("doc"), "doc_id").alias("path"), F.lit(language).alias("language"), "text")
 
 
 def turns(spark: SparkSession, sf: str, language: str = "unknown") -> DataFrame:
-    return table(spark, sf, "conversations").select(
+    return spread(table(spark, sf, "conversations"), "conv_id").select(
         F.lit("conversations").alias("project_id"), F.concat(F.lit("c"), "conv_id", F.lit("/"), "turn").alias("path"),
         F.lit(language).alias("language"), "text")
 

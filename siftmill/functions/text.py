@@ -74,12 +74,14 @@ def snippet(lines: Column, line_no: Column, context: int = 2) -> Column:
 
 
 def match_lines(text: Column, pattern: str) -> Column:
-    """Line number (newlines before the match, plus one) of every match of ``pattern`` in a whole text."""
-    gaps = F.transform(F.split(text, pattern, -1), lambda g: occurrences(g, "\n"))
-    heads = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda h: occurrences(h, "\n"))
-    total = lambda values: F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
-    return F.transform(
-        heads, lambda _, k: F.lit(1) + total(F.slice(gaps, F.lit(1), k + 1)) + total(F.slice(heads, F.lit(1), k))
+    """Line number (newlines before the match, plus one) of every match of ``pattern`` in a whole text.
+
+    A mark is set before each match and counted per line, so the work is linear in the text.
+    """
+    mark, other = "\x01", "\x02"
+    marked = F.regexp_replace(F.replace(text, F.lit(mark), F.lit(other)), F.lit(pattern), F.lit(mark + "$0"))
+    return F.flatten(
+        F.transform(F.split(marked, "\n", -1), lambda line, i: F.array_repeat(i + 1, occurrences(line, mark)))
     )
 
 

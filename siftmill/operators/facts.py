@@ -9,15 +9,20 @@ that a plan needs are passed in, so a query that looks at calls only never ships
 from __future__ import annotations
 
 import ast
+import sys
 import warnings
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Workers get these functions by value, so the package need not be installed on them.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _TEXT = pa.string()
 _INT = pa.int32()
 _CHILD_FIELDS = [
@@ -48,7 +53,7 @@ SCHEMA = (
     "vconst_kind:string,vconst_value:string,vnone:boolean>>"
 )
 
-_LEAVES = (ast.expr_context, ast.operator, ast.boolop, ast.unaryop, ast.cmpop)
+_BRANCHES: dict[type, tuple[str, ...]] = {}
 _PARENTS = (ast.stmt, ast.ExceptHandler, ast.Call, ast.BinOp, ast.Await, ast.arguments, ast.Module)
 _KINDS = {str: "str", bool: "bool", int: "int", float: "float", bytes: "bytes", complex: "complex", type(None): "none"}
 
@@ -120,6 +125,12 @@ class _Segments:
     def __init__(self, text: str) -> None:
         self.text = text
         self._lines: list[bytes] | None = None
+        self._plain: list[str] | None = None
+
+    def line(self, node: ast.AST) -> str:
+        if self._plain is None:
+            self._plain = self.text.splitlines()
+        return self._plain[node.lineno - 1] if node.lineno <= len(self._plain) else ""
 
     def of(self, node: ast.AST) -> str | None:
         if getattr(node, "end_lineno", None) is None:
@@ -154,14 +165,27 @@ def _child(node: ast.AST, field: str, pos: int, parent: ast.AST, segments: _Segm
     )
 
 
+def _branches(kind: type) -> tuple[str, ...]:
+    """Fields of a node class that can hold nodes other than contexts and operators."""
+    found = _BRANCHES.get(kind)
+    if found is None:
+        plain = ("ctx", "op", "ops", "id", "attr", "kind", "type_comment", "level", "module", "asname", "is_async", "conversion", "simple")
+        found = () if issubclass(kind, (ast.Constant, ast.Name, ast.alias)) else tuple(f for f in kind._fields if f not in plain)
+        _BRANCHES[kind] = found
+    return found
+
+
 def _nodes(tree: ast.Module) -> list[tuple[ast.AST, int, str, int]]:
     """(node, parent index, field, position) in breadth-first order."""
     order: list[tuple[ast.AST, int, str, int]] = [(tree, -1, "", 0)]
-    for index, (node, *_rest) in enumerate(order):
-        for field, value in ast.iter_fields(node):
+    for index, (node, _, _, _) in enumerate(order):
+        for field in _branches(type(node)):
+            value = getattr(node, field, None)
             if isinstance(value, list):
-                order.extend((v, index, field, i) for i, v in enumerate(value) if isinstance(v, ast.AST) and not isinstance(v, _LEAVES))
-            elif isinstance(value, ast.AST) and not isinstance(value, _LEAVES):
+                for i, item in enumerate(value):
+                    if isinstance(item, ast.AST):
+                        order.append((item, index, field, i))
+            elif isinstance(value, ast.AST):
                 order.append((value, index, field, 0))
     return order
 
@@ -179,79 +203,107 @@ def _preorder(order: list[tuple[ast.AST, int, str, int]]) -> list[int]:
     return rank
 
 
-def _emit(batch: pa.RecordBatch, types: frozenset[str] | None, with_ancestors: bool, with_children: bool) -> Iterator[pa.RecordBatch]:
-    rows: dict[str, list] = {n: [] for n, _ in _SCALARS}
-    chains: list[tuple] = []
-    chain_ends = [0]
-    kids: list[tuple] = []
-    kid_ends = [0]
-
-    def flush() -> pa.RecordBatch:
-        def nested(values: list[tuple], ends: list[int], fields: list) -> pa.Array:
-            columns = list(zip(*values)) if values else [[] for _ in fields]
-            flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], fields=[pa.field(n, t) for n, t in fields])
-            return pa.ListArray.from_arrays(pa.array(ends, _INT), flat)
-
-        arrays = [pa.array(rows[n], t) for n, t in _SCALARS]
-        arrays += [nested(chains, chain_ends, _ANCESTOR_FIELDS), nested(kids, kid_ends, _CHILD_FIELDS)]
-        out = pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
-        for values in rows.values():
-            values.clear()
-        chains.clear(), kids.clear()
-        del chain_ends[1:], kid_ends[1:]
-        return out
+def _details(node: ast.AST, segments: _Segments) -> tuple:
+    """(name, level, dotted, strict, base, op, arity, const_kind, const_value, seg) of a node."""
+    kind = type(node)
+    if kind is ast.Name:
+        return node.id, None, node.id, node.id, None, None, None, None, None, None
+    if kind is ast.Constant:
+        return (None,) * 7 + (*_const(node), None)
+    if kind is ast.Call:
+        return None, None, *_callee(node), None, None, None, None, None, None
+    if kind in (ast.Attribute, ast.Subscript, ast.Starred):
+        value = node.value
+        while isinstance(value, ast.Starred):
+            value = value.value
+        base = _callee(value)[1] if isinstance(value, (ast.Name, ast.Attribute)) else None
+        dotted = _callee(node) if kind is ast.Attribute else (None, None)
+        return _name(node), None, *dotted, base, None, None, None, None, None
+    operator = getattr(node, "op", None)
+    seg = segments.of(node) if kind is ast.JoinedStr else segments.line(node) if kind is ast.Assert else None
+    return (
+        _name(node), getattr(node, "level", None), None, None, None, type(operator).__name__ if operator is not None else None,
+        len(node.values) if kind is ast.BoolOp else None, None, None, seg,
+    )
 
-    for project, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-        tree = parse(text)
-        if tree is None:
-            continue
-        segments, order = _Segments(text), _nodes(tree)
-        ranks = _preorder(order)
-        lines: list[str] | None = None
-        links: list[tuple] = []
-        below: dict[int, list[int]] = {}
-        for index, (node, parent, _, _) in enumerate(order):
-            links.append((index, type(node).__name__, _name(node), getattr(node, "lineno", None)))
-            if with_children and parent >= 0 and isinstance(order[parent][0], _PARENTS):
+
+def _nested(values: list[tuple], ends: list[int], fields: list) -> pa.Array:
+    columns = list(zip(*values)) if values else [[] for _ in fields]
+    flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields)], fields=[pa.field(n, t) for n, t in fields])
+    return pa.ListArray.from_arrays(pa.array(ends, _INT), flat)
+
+
+class _Batch:
+    """Rows collected for one Arrow batch: scalars by row, the nested columns flat with their ends."""
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.chains: list[tuple] = []
+        self.chain_ends = [0]
+        self.kids: list[tuple] = []
+        self.kid_ends = [0]
+
+    def arrow(self) -> pa.RecordBatch:
+        arrays = [pa.array(c, t) for c, (_, t) in zip(zip(*self.rows), _SCALARS)]
+        arrays += [_nested(self.chains, self.chain_ends, _ANCESTOR_FIELDS), _nested(self.kids, self.kid_ends, _CHILD_FIELDS)]
+        return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+
+
+def _add_file(out: _Batch, project: str, path: str, text: str, types: frozenset[str] | None, with_ancestors: bool, with_children: bool) -> None:
+    tree = parse(text)
+    if tree is None:
+        return
+    order = _nodes(tree)
+    kinds = [type(n).__name__ for n, _, _, _ in order]
+    emitted = range(len(order)) if types is None else [i for i, k in enumerate(kinds) if k in types]
+    if not emitted:
+        return
+    segments = _Segments(text)
+    ranks = _preorder(order) if with_ancestors else None
+    below: dict[int, list[int]] = {}
+    if with_children:
+        parents = {i for i in emitted if isinstance(order[i][0], _PARENTS)}
+        for index, (_, parent, _, _) in enumerate(order):
+            if parent in parents:
                 below.setdefault(parent, []).append(index)
-        for index, (node, parent, field, _) in enumerate(order):
-            kind = links[index][1]
-            if types is not None and kind not in types:
-                continue
-            loose, strict = _callee(node) if isinstance(node, (ast.Call, ast.Attribute, ast.Name)) else (None, None)
-            const_kind, const_value = _const(node)
-            value = getattr(node, "value", None)
-            while isinstance(value, ast.Starred):
-                value = value.value
-            owner = isinstance(node, (ast.Attribute, ast.Subscript, ast.Starred)) and isinstance(value, (ast.Name, ast.Attribute))
-            seg = segments.of(node) if isinstance(node, ast.JoinedStr) else None
-            if isinstance(node, ast.Assert):
-                lines = text.splitlines() if lines is None else lines
-                seg = lines[node.lineno - 1] if node.lineno <= len(lines) else ""
-            operator = getattr(node, "op", None)
-            values = (
-                project, path, index, ranks[index], kind, getattr(node, "lineno", None), getattr(node, "col_offset", None),
-                getattr(node, "end_lineno", None), links[index][2], getattr(node, "level", None), loose, strict,
-                _callee(value)[1] if owner else None, type(operator).__name__ if operator is not None else None,
-                len(node.values) if isinstance(node, ast.BoolOp) else None, const_kind, const_value, seg,
-                links[parent][1] if parent >= 0 else None, field or None,
-            )
-            for (name, _), v in zip(_SCALARS, values):
-                rows[name].append(v)
-            if with_ancestors:
-                up, step, at = [], field, parent
-                while at >= 0:
-                    up.append((*links[at], f"{links[at][1]}.{step}"))
-                    step, at = order[at][2], order[at][1]
-                chains.extend(reversed(up))
-            chain_ends.append(len(chains))
-            for child in below.get(index, ()):
-                kids.append(_child(order[child][0], order[child][2], order[child][3], node, segments))
-            kid_ends.append(len(kids))
-        if len(rows["path"]) >= 20000:
-            yield flush()
-    if rows["path"]:
-        yield flush()
+    # Chains of ancestors are shared: the chain of a node is its parent's plus one link, built once per parent.
+    above: dict[int, list[tuple]] = {-1: []}
+
+    def chain(index: int, field: str) -> list[tuple]:
+        if index < 0:
+            return []
+        node, parent, step, _ = order[index]
+        if index not in above:
+            above[index] = chain(parent, step)
+        link = (index, kinds[index], _name(node), getattr(node, "lineno", None), f"{kinds[index]}.{field}")
+        return [*above[index], link]
+
+    for index in emitted:
+        node, parent, field, _ = order[index]
+        name, *rest, seg = _details(node, segments)
+        level, dotted, strict, base, op, arity, const_kind, const_value = rest
+        out.rows.append((
+            project, path, index, ranks[index] if ranks else None, kinds[index], getattr(node, "lineno", None),
+            getattr(node, "col_offset", None), getattr(node, "end_lineno", None), name, level, dotted, strict, base, op, arity,
+            const_kind, const_value, seg, kinds[parent] if parent >= 0 else None, field or None,
+        ))
+        if with_ancestors:
+            out.chains.extend(chain(parent, field))
+        out.chain_ends.append(len(out.chains))
+        for child in below.get(index, ()):
+            out.kids.append(_child(order[child][0], order[child][2], order[child][3], node, segments))
+        out.kid_ends.append(len(out.kids))
+
+
+def _emit(batch: pa.RecordBatch, types: frozenset[str] | None, with_ancestors: bool, with_children: bool) -> Iterator[pa.RecordBatch]:
+    out = _Batch()
+    for project, path, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        _add_file(out, project, path, text, types, with_ancestors, with_children)
+        if len(out.rows) >= 20000:
+            yield out.arrow()
+            out = _Batch()
+    if out.rows:
+        yield out.arrow()
 
 
 def syntax_facts(

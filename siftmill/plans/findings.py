@@ -14,7 +14,7 @@ from siftmill.session import materialize
 DEFAULT_PAGE, MAX_PAGE = 50, 200
 # A page within this many leading rows is a top-k; later pages go through a ranked table.
 TOP_ROWS = 20_000
-BUCKETS = 256
+BUCKETS = 32
 
 EXPORT_CSV = ["file", "line", "rule_id", "rule_name", "severity", "category", "message", "suggestion", "owasp_category"]
 
