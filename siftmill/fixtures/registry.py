@@ -182,7 +182,12 @@ def _flow_facts(spark: SparkSession, sf: str) -> DataFrame:
     return A.syntax_facts(D.corpus(spark, sf, "python"), taint.NODE_TYPES)
 
 
-add("taint001", lambda s, d: taint.taint_hits(_flow_facts(s, d)).select("project_id", "file", "line", "message"), _label_sql("TAINT001"))
+def _flow_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    files = D.corpus(spark, sf, "python")
+    return A.syntax_facts(files.filter(taint.may_flow(F.col("text"))), taint.NODE_TYPES)
+
+
+add("taint001", lambda s, d: taint.taint_hits(_flow_candidates(s, d)).select("project_id", "file", "line", "message"), _label_sql("TAINT001"))
 add("taint_src", lambda s, d: taint.source_nodes(_flow_facts(s, d)))
 add("taint_sink", lambda s, d: taint.sink_calls(_flow_facts(s, d)).drop("node_id"))
 add("taint_carry", lambda s, d: taint.carried(_flow_facts(s, d)))
@@ -361,7 +366,8 @@ add("s_advisory", lambda s, d: _stored_advisories(s, d).select("ecosystem", "pac
 
 
 def _imports(spark: SparkSession, sf: str) -> DataFrame:
-    return A.imports(A.syntax_facts(D.corpus(spark, sf, "python"), ["Import", "ImportFrom"], False))
+    files = D.corpus(spark, sf, "python").filter(T.may_name(F.col("text"), ["import"]))
+    return A.imports(A.syntax_facts(files, ["Import", "ImportFrom"], False))
 
 
 _SQL_ROOTS = (
@@ -575,7 +581,7 @@ def _all_findings(spark: SparkSession, sf: str) -> DataFrame:
     files = D.corpus(spark, sf)
     rule = FACT_RULES["CS003"]
     rules = text_rule_hits(files, ["JSCS001"]).unionByName(rule.run(rule_facts(files, [rule])))
-    flows = taint.taint_hits(_flow_facts(spark, sf))
+    flows = taint.taint_hits(_flow_candidates(spark, sf))
     found = deps.unused(MF.declared(D.manifests(spark, sf)), _third(spark, sf))
     out = rules.unionByName(flows).unionByName(W.dependency_hits(found).select(*rules.columns))
     return out.select("project_id", "file", "line", "rule_id", "message")

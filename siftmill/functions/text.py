@@ -26,6 +26,16 @@ def any_of(words: list[str]) -> str:
     return "(?iu)" + "|".join(re.escape(w) for w in words)
 
 
+def may_name(text: Column, words: list[str], in_strings: bool = False) -> Column:
+    """False only where no identifier (or, ``in_strings``, no literal) of a Python text can spell one of ``words``.
+
+    Identifiers outside ASCII are folded by the parser; literals may hold escapes or be joined from adjacent ones.
+    Texts where that can happen pass.
+    """
+    joined = r"""|\\|["'](?:\s++|#[^\n]*+\n)*+[a-zA-Z]{0,2}["']""" if in_strings else ""
+    return text.rlike(any_of(words) + r"|[^\x00-\x7F]" + joined)
+
+
 def split_lines(text: Column) -> Column:
     """``array<string>`` of lines; the break after the last line opens no new one, empty text has no lines."""
     parts = F.split(text, LINE_BREAK, -1)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import strip, uregex
+from siftmill.functions.text import may_name, strip, uregex
 from siftmill.operators.facts import FUNCTION_TYPES, children_of
 from siftmill.schemas import HIT_COLUMNS
 
@@ -69,8 +69,10 @@ class FactRule:
     rule_id: str
     node_types: tuple[str, ...]
     run: Callable[[DataFrame], DataFrame]
+    gate: tuple[str, ...]
     ancestors: bool = False
     children: bool = False
+    in_strings: bool = False
 
 
 def _hits(rows: DataFrame, rule_id: str, message: Column | str, suggestion: Column | str,
@@ -87,6 +89,32 @@ def _say(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+_FOUND = "array<struct<message:string,suggestion:string>>"
+
+
+def _found(message: Column | str, suggestion: Column | str) -> Column:
+    text = lambda v: F.lit(v) if isinstance(v, str) else v
+    return F.struct(text(message).alias("message"), text(suggestion).alias("suggestion"))
+
+
+def _if(test: Column, message: Column | str, suggestion: Column | str) -> Column:
+    """One finding where ``test`` holds."""
+    return F.when(test, F.array(_found(message, suggestion))).otherwise(F.array().cast(_FOUND))
+
+
+def _for_each(test: Column, items: Column, message: Callable[[Column], Column | str], suggestion: Column | str) -> Column:
+    """One finding per item where ``test`` holds."""
+    return F.coalesce(F.when(test, F.transform(items, lambda c: _found(message(c), suggestion))), F.array().cast(_FOUND))
+
+
+def _any_of(rows: DataFrame, rule_id: str, found: list[Column], line: Column | None = None, column: Column | None = None) -> DataFrame:
+    """Several tests of one rule in one pass over the facts."""
+    return rows.select(
+        "project_id", F.col("path").alias("file"), (F.col("lineno") if line is None else line).cast("int").alias("line"),
+        (F.lit(0) if column is None else column).cast("int").alias("column"), F.lit(rule_id).alias("rule_id"), F.explode(F.concat(*found)).alias("f"),
+    ).select("project_id", "file", "line", "column", "rule_id", "f.message", "f.suggestion")
+
+
 def _of(facts: DataFrame, *types: str) -> DataFrame:
     return facts.filter(F.col("node_type").isin(*types))
 
@@ -107,64 +135,54 @@ def _string_child(c: Column) -> Column:
 
 
 def sql_text(facts: DataFrame) -> DataFrame:
-    words, advice = uregex(SQL_WORDS, True), "Use parameterized queries instead of "
-    fstrings = _of(facts, "JoinedStr").filter(F.col("seg").rlike(words))
-    modulo = _of(facts, "BinOp").filter(F.col("op") == "Mod").filter(
-        F.exists("children", lambda c: (c["field"] == "left") & (c["const_kind"] == "str") & c["const_value"].rlike(words))
-    )
-    formats = _of(facts, "Call").filter(
-        F.exists("children", lambda c: (c["field"] == "func") & (c["type"] == "Attribute") & (c["name"] == "format")
-                 & (c["vconst_kind"] == "str") & c["vconst_value"].rlike(words))
-    )
-    say = "Potential SQL injection via "
-    return _union(
-        _hits(fstrings, "SEC001", say + "f-string formatting.", advice + "string formatting."),
-        _hits(modulo, "SEC001", say + "% string formatting.", advice + "% formatting."),
-        _hits(formats, "SEC001", say + ".format() string formatting.", advice + ".format()."),
-    )
+    words, advice, say = uregex(SQL_WORDS, True), "Use parameterized queries instead of ", "Potential SQL injection via "
+    kind = F.col("node_type")
+    left = F.exists("children", lambda c: (c["field"] == "left") & (c["const_kind"] == "str") & c["const_value"].rlike(words))
+    receiver = F.exists("children", lambda c: (c["field"] == "func") & (c["type"] == "Attribute") & (c["name"] == "format")
+                        & (c["vconst_kind"] == "str") & c["vconst_value"].rlike(words))
+    return _any_of(_of(facts, "JoinedStr", "BinOp", "Call"), "SEC001", [
+        _if((kind == "JoinedStr") & F.col("seg").rlike(words), say + "f-string formatting.", advice + "string formatting."),
+        _if((kind == "BinOp") & (F.col("op") == "Mod") & left, say + "% string formatting.", advice + "% formatting."),
+        _if((kind == "Call") & receiver, say + ".format() string formatting.", advice + ".format()."),
+    ], column=F.col("col"))
 
 
 def command_calls(facts: DataFrame) -> DataFrame:
-    calls, name = _of(facts, "Call"), F.col("dotted")
+    name = F.col("dotted")
     shell = F.filter(
         "children",
         lambda c: (c["field"] == "keywords") & (c["name"] == "shell") & (c["vconst_kind"] == "bool") & (c["vconst_value"] == "True"),
     )
-    return _union(
-        _hits(calls.filter(F.substring_index(name, ".", -1).isin(SHELL_NAMES)), "SEC002",
-              _say("Dangerous function call: ", name, "() can lead to OS command injection."),
-              "Use subprocess.run() with a list of arguments and shell=False."),
-        _hits(calls.filter(name.isin(CODE_CALLS)), "SEC002",
-              _say("Use of ", name, "() detected — potential code injection risk."),
-              _say("Avoid ", name, "(). Use safer alternatives like ast.literal_eval() for eval.")),
-        _hits(calls.filter(name.isin(SUBPROCESS_CALLS)).withColumn("kw", F.explode(shell)), "SEC002",
-              _say(name, "() called with shell=True — command injection risk."),
-              "Use shell=False and pass arguments as a list."),
-    )
+    return _any_of(_of(facts, "Call"), "SEC002", [
+        _if(F.substring_index(name, ".", -1).isin(SHELL_NAMES), _say("Dangerous function call: ", name, "() can lead to OS command injection."),
+            "Use subprocess.run() with a list of arguments and shell=False."),
+        _if(name.isin(CODE_CALLS), _say("Use of ", name, "() detected — potential code injection risk."),
+            _say("Avoid ", name, "(). Use safer alternatives like ast.literal_eval() for eval.")),
+        _for_each(name.isin(SUBPROCESS_CALLS), shell, lambda c: _say(name, "() called with shell=True — command injection risk."),
+                  "Use shell=False and pass arguments as a list."),
+    ], column=F.col("col"))
 
 
 def unsafe_loads(facts: DataFrame) -> DataFrame:
     calls, name = _of(facts, "Call"), F.col("dotted")
     safe = F.exists("children", lambda c: (c["field"] == "keywords") & (c["name"] == "Loader")
                     & (c["vtype"] == "Attribute") & (c["vname"] == "SafeLoader"))
-    return _union(
-        _hits(calls.filter(name.isin(UNSAFE_LOADS)), "SEC004", _say("Insecure deserialization via ", name, "()."),
-              "Use JSON or other safe serialization formats. If pickle is required, validate the source."),
-        _hits(calls.filter((name == "yaml.load") & ~safe), "SEC004",
-              "yaml.load() without SafeLoader — potential arbitrary code execution.",
-              "Use yaml.safe_load() or pass Loader=yaml.SafeLoader."),
-    )
+    return _any_of(calls, "SEC004", [
+        _if(name.isin(UNSAFE_LOADS), _say("Insecure deserialization via ", name, "()."),
+            "Use JSON or other safe serialization formats. If pickle is required, validate the source."),
+        _if((name == "yaml.load") & ~safe, "yaml.load() without SafeLoader — potential arbitrary code execution.",
+            "Use yaml.safe_load() or pass Loader=yaml.SafeLoader."),
+    ], column=F.col("col"))
 
 
 def weak_crypto(facts: DataFrame) -> DataFrame:
-    calls, name = _of(facts, "Call"), F.col("dotted")
-    return _union(
-        _hits(calls.filter(name.isin(WEAK_HASHES)), "SEC005",
-              _say("Weak hash algorithm: ", name, "() is not collision-resistant."),
-              "Use hashlib.sha256() or hashlib.sha3_256() for security-critical hashing."),
-        _hits(calls.filter(name.isin(WEAK_RANDOM)), "SEC005", _say(name, "() is not cryptographically secure."),
-              "Use secrets module (secrets.token_hex(), secrets.randbelow()) for security-sensitive randomness."),
-    )
+    name = F.col("dotted")
+    return _any_of(_of(facts, "Call"), "SEC005", [
+        _if(name.isin(WEAK_HASHES), _say("Weak hash algorithm: ", name, "() is not collision-resistant."),
+            "Use hashlib.sha256() or hashlib.sha3_256() for security-critical hashing."),
+        _if(name.isin(WEAK_RANDOM), _say(name, "() is not cryptographically secure."),
+            "Use secrets module (secrets.token_hex(), secrets.randbelow()) for security-sensitive randomness."),
+    ], column=F.col("col"))
 
 
 def variable_urls(facts: DataFrame) -> DataFrame:
@@ -189,14 +207,12 @@ def debug_mode(facts: DataFrame) -> DataFrame:
     keyword = F.filter("children", lambda c: (c["field"] == "keywords") & (c["name"] == "debug") & on(c, "vconst_kind", "vconst_value"))
     flag = F.filter("children", lambda c: (c["field"] == "targets") & (c["type"] == "Name") & (c["name"] == "DEBUG"))
     value = F.exists("children", lambda c: (c["field"] == "value") & on(c, "const_kind", "const_value"))
-    return _union(
-        _hits(_of(facts, "Call").withColumn("kw", F.explode(keyword)), "SEC008",
-              "Debug mode is enabled — exposes sensitive information in production.",
-              "Set debug=False for production deployments."),
-        _hits(_of(facts, "Assign").filter(value).withColumn("t", F.explode(flag)), "SEC008",
-              "DEBUG = True detected — should be False in production.",
-              "Use environment variables: DEBUG = os.getenv('DEBUG', 'False') == 'True'"),
-    )
+    return _any_of(_of(facts, "Call", "Assign"), "SEC008", [
+        _for_each(F.col("node_type") == "Call", keyword, lambda c: "Debug mode is enabled — exposes sensitive information in production.",
+                  "Set debug=False for production deployments."),
+        _for_each((F.col("node_type") == "Assign") & value, flag, lambda c: "DEBUG = True detected — should be False in production.",
+                  "Use environment variables: DEBUG = os.getenv('DEBUG', 'False') == 'True'"),
+    ], column=F.col("col"))
 
 
 def user_paths(facts: DataFrame) -> DataFrame:
@@ -246,8 +262,10 @@ def many_parameters(facts: DataFrame) -> DataFrame:
                  "Use a data class or dictionary to group related parameters.", line="at", column=None)
 
 
-def function_complexity(facts: DataFrame) -> DataFrame:
-    """(project_id, path, func_id, name, lineno, end_lineno, complexity) per function, nested functions included.
+def function_complexity(facts: DataFrame, with_files: bool = False) -> DataFrame:
+    """(project_id, path, func_id, name, lineno, complexity) per function, nested functions included.
+
+    ``with_files`` adds one row without a name per file, so that files without functions show up.
 
     Every decision node is credited to each enclosing function. All nodes of a file leave the parser in one
     task, so the partial aggregate already folds them to one row per function before the shuffle.
@@ -256,15 +274,16 @@ def function_complexity(facts: DataFrame) -> DataFrame:
         F.when(F.col("node_type").isin(DECISION_TYPES), 1)
         .when(F.col("node_type") == "BoolOp", F.col("arity") - 1).otherwise(0)
     )
+    groups = [*FUNCTION_TYPES, *(["Module"] if with_files else [])]
     own = F.when(
-        F.col("node_type").isin(FUNCTION_TYPES),
+        F.col("node_type").isin(groups),
         F.array(F.struct(F.col("node_id").alias("id"), F.col("name").alias("name"), F.col("lineno").alias("lineno"), F.lit(0).alias("w"))),
     ).otherwise(F.array())
     outer = F.transform(
         F.filter(_enclosing(FUNCTION_TYPES), lambda a: F.lit(True) & (weight > 0)),
         lambda a: F.struct(a["id"].alias("id"), a["name"].alias("name"), a["lineno"].alias("lineno"), weight.alias("w")),
     )
-    rows = _of(facts, *FUNCTION_TYPES, *DECISION_TYPES, "BoolOp").select(
+    rows = _of(facts, *groups, *DECISION_TYPES, "BoolOp").select(
         "project_id", "path", F.explode(F.concat(own, outer)).alias("f")
     )
     return rows.groupBy("project_id", "path", F.col("f.id").alias("func_id"), F.col("f.name").alias("name"),
@@ -289,21 +308,18 @@ def deep_nesting(facts: DataFrame) -> DataFrame:
 
 
 def unused_imports(facts: DataFrame) -> DataFrame:
-    bound = F.transform(
-        F.when(F.col("node_type") != "Name", F.col("children")),
-        lambda a: F.struct(F.coalesce(F.when(a["asname"] != "", a["asname"]), a["name"]).alias("name"),
-                           F.col("node_id").alias("at"), F.col("lineno").alias("lineno")),
-    )
-    # One shuffle: the imports and the used names of a file meet in one group.
+    place = F.struct(F.col("node_id").alias("at"), F.col("lineno").alias("lineno"))
+
+    def bound(a: Column) -> Column:
+        name = F.coalesce(F.when(a["asname"] != "", a["asname"]), a["name"])
+        return F.struct(F.substring_index(name, ".", 1).alias("root"), name.alias("bound_as"), F.lit(False).alias("used"))
+
+    read = F.struct(F.col("name").alias("root"), F.lit(None).cast("string").alias("bound_as"), F.lit(True).alias("used"))
+    touched = F.when(F.col("node_type") == "Name", F.array(read)).otherwise(F.transform("children", bound))
+    # One exchange: the imports and the used names of a file meet by root name.
     per_name = (
-        _of(facts, "Import", "ImportFrom").select("project_id", "path", F.explode(bound).alias("i"))
-        .select("project_id", "path", F.substring_index("i.name", ".", 1).alias("root"), F.col("i.name").alias("bound_as"),
-                F.struct("i.at", "i.lineno").alias("place"), F.lit(False).alias("used"))
-        .unionByName(
-            _of(facts, "Name").select("project_id", "path", F.col("name").alias("root")).distinct()
-            .select("project_id", "path", "root", F.lit(None).cast("string").alias("bound_as"),
-                    F.lit(None).cast("struct<at:int,lineno:int>").alias("place"), F.lit(True).alias("used"))
-        )
+        _of(facts, "Import", "ImportFrom", "Name").select("project_id", "path", place.alias("place"), F.explode(touched).alias("t"))
+        .select("project_id", "path", "place", "t.*")
         .groupBy("project_id", "path", "root")
         .agg(F.max("used").alias("used"), F.collect_list(F.when(F.col("bound_as").isNotNull(), F.struct("bound_as", "place"))).alias("names"))
         .filter(~F.col("used")).select("project_id", "path", F.explode("names").alias("n"))
@@ -421,35 +437,35 @@ def missing_annotations(facts: DataFrame) -> DataFrame:
     names = F.transform(
         F.concat(*[bare([f]) for f in ("args", "kwonlyargs", "vararg", "kwarg")]), lambda c: c["name"]
     )
-    params = (
-        _of(facts, "arguments").withColumn("owner", F.try_element_at("ancestors", F.lit(-1)))
-        .filter(F.col("owner.type").isin(FUNCTION_TYPES) & ~F.col("owner.name").startswith("_"))
-        .withColumn("names", names).filter(F.size("names") > 0).withColumn("at", F.col("owner.lineno"))
-    )
-    returns = _of(facts, *FUNCTION_TYPES).filter(~F.col("name").startswith("_") & (F.size(children_of("returns")) == 0))
-    return _union(
-        _hits(params, "TYPE001", _say("Function '", F.col("owner.name"), "' has unannotated parameters: ", F.array_join("names", ", "), "."),
-              "Add type annotations: def func(x: int, y: str) -> bool:", line="at", column=None),
-        _hits(returns, "TYPE001", _say("Function '", F.col("name"), "' is missing a return type annotation."),
-              "Add return type: def func(...) -> ReturnType: or -> None:", column=None),
-    )
+    public = ~F.col("owner.name").startswith("_")
+    return _any_of(_signatures(facts).withColumn("names", names), "TYPE001", [
+        _if((F.col("node_type") == "arguments") & public & (F.size("names") > 0),
+            _say("Function '", F.col("owner.name"), "' has unannotated parameters: ", F.array_join("names", ", "), "."),
+            "Add type annotations: def func(x: int, y: str) -> bool:"),
+        _if((F.col("node_type") != "arguments") & public & (F.size(children_of("returns")) == 0),
+            _say("Function '", F.col("owner.name"), "' is missing a return type annotation."), "Add return type: def func(...) -> ReturnType: or -> None:"),
+    ], line=F.col("owner.lineno"))
+
+
+def _signatures(facts: DataFrame) -> DataFrame:
+    """Function rows and their argument rows, each with the function as ``owner``."""
+    own = F.struct(F.col("node_type").alias("type"), F.col("name"), F.col("lineno"))
+    outer = F.try_element_at("ancestors", F.lit(-1))
+    outer = F.struct(outer["type"].alias("type"), outer["name"].alias("name"), outer["lineno"].alias("lineno"))
+    owner = F.when(F.col("node_type") == "arguments", outer).otherwise(own)
+    return _of(facts, "arguments", *FUNCTION_TYPES).withColumn("owner", owner).filter(F.col("owner.type").isin(FUNCTION_TYPES))
 
 
 def any_annotations(facts: DataFrame) -> DataFrame:
     loose = F.filter("children", lambda c: c["field"].isin("args", "kwonlyargs") & c["vtype"].isin("Name", "Attribute") & (c["vname"] == "Any"))
-    params = (
-        _of(facts, "arguments").withColumn("owner", F.try_element_at("ancestors", F.lit(-1)))
-        .filter(F.col("owner.type").isin(FUNCTION_TYPES)).withColumn("at", F.col("owner.lineno")).withColumn("p", F.explode(loose))
-    )
-    returns = _of(facts, *FUNCTION_TYPES).filter(
-        F.exists("children", lambda c: (c["field"] == "returns") & c["type"].isin("Name", "Attribute") & (c["name"] == "Any"))
-    )
-    return _union(
-        _hits(params, "TYPE002", _say("Parameter '", F.col("p.name"), "' in '", F.col("owner.name"), "' annotated as Any — use a specific type."),
-              "Replace Any with a concrete type or Union of specific types.", line="at", column=None),
-        _hits(returns, "TYPE002", _say("Return type of '", F.col("name"), "' is Any — use a specific type."),
-              "Replace Any with a concrete return type.", column=None),
-    )
+    result = F.exists("children", lambda c: (c["field"] == "returns") & c["type"].isin("Name", "Attribute") & (c["name"] == "Any"))
+    return _any_of(_signatures(facts), "TYPE002", [
+        _for_each(F.col("node_type") == "arguments", loose,
+                  lambda c: _say("Parameter '", c["name"], "' in '", F.col("owner.name"), "' annotated as Any — use a specific type."),
+                  "Replace Any with a concrete type or Union of specific types."),
+        _if((F.col("node_type") != "arguments") & result, _say("Return type of '", F.col("owner.name"), "' is Any — use a specific type."),
+            "Replace Any with a concrete return type."),
+    ], line=F.col("owner.lineno"))
 
 
 def implicit_optionals(facts: DataFrame) -> DataFrame:
@@ -512,49 +528,55 @@ _F = tuple(FUNCTION_TYPES)
 FACT_RULES = {
     r.rule_id: r
     for r in [
-        FactRule("SEC001", ("JoinedStr", "BinOp", "Call"), sql_text, children=True),
-        FactRule("SEC002", ("Call",), command_calls, children=True),
-        FactRule("SEC004", ("Call",), unsafe_loads, children=True),
-        FactRule("SEC005", ("Call",), weak_crypto),
-        FactRule("SEC006", ("Call",), variable_urls, children=True),
-        FactRule("SEC007", ("ExceptHandler",), silent_handlers, children=True),
-        FactRule("SEC008", ("Call", "Assign"), debug_mode, children=True),
-        FactRule("SEC009", ("Call",), user_paths, children=True),
-        FactRule("SEC010", ("Call",), xml_parsers),
-        FactRule("SEC014", ("If",), check_then_open, children=True),
-        FactRule("CS001", _F, long_functions),
-        FactRule("CS002", ("arguments",), many_parameters, ancestors=True, children=True),
-        FactRule("CS003", (*_F, *DECISION_TYPES, "BoolOp"), complex_functions, ancestors=True),
-        FactRule("CS004", tuple(NESTING_TYPES), deep_nesting, ancestors=True),
-        FactRule("CS005", ("Import", "ImportFrom", "Name"), unused_imports, children=True),
-        FactRule("CS006", ("Global",), global_statements),
-        FactRule("CS007", ("ExceptHandler",), bare_handlers, children=True),
-        FactRule("PERF001", ("AugAssign",), list_growth, ancestors=True, children=True),
-        FactRule("PERF002", ("arguments",), mutable_defaults, ancestors=True, children=True),
-        FactRule("PERF003", ("ImportFrom",), star_imports, children=True),
-        FactRule("MAINT001", tuple(BODY_TYPES), dead_code, children=True),
-        FactRule("MAINT002", (*_F, "ClassDef"), missing_docstrings, children=True),
-        FactRule("MAINT003", ("Return",), many_returns, ancestors=True),
-        FactRule("MAINT004", ("Constant",), repeated_literals),
-        FactRule("MAINT005", ("Assert",), security_asserts),
-        FactRule("MAINT006", ("Call",), temp_names),
-        FactRule("TYPE001", ("arguments", *_F), missing_annotations, ancestors=True, children=True),
-        FactRule("TYPE002", ("arguments", *_F), any_annotations, ancestors=True, children=True),
-        FactRule("TYPE003", ("arguments",), implicit_optionals, ancestors=True, children=True),
-        FactRule("ASYNC001", ("Call",), blocking_calls, ancestors=True),
-        FactRule("ASYNC002", ("Expr",), forgotten_awaits, ancestors=True, children=True),
-        FactRule("ASYNC003", ("Call",), blocking_opens, ancestors=True),
-        FactRule("ASYNC004", ("Call",), zero_sleeps, ancestors=True, children=True),
+        FactRule("SEC001", ("JoinedStr", "BinOp", "Call"), sql_text, ("select", "insert", "update", "delete", "drop", "create", "alter", "exec", "union"), children=True, in_strings=True),
+        FactRule("SEC002", ("Call",), command_calls, ("system", "popen", "eval", "exec", "compile", "__import__", "subprocess"), children=True),
+        FactRule("SEC004", ("Call",), unsafe_loads, ("pickle", "marshal", "shelve", "yaml"), children=True),
+        FactRule("SEC005", ("Call",), weak_crypto, ("hashlib", "random")),
+        FactRule("SEC006", ("Call",), variable_urls, ("requests", "urllib", "httpx"), children=True),
+        FactRule("SEC007", ("ExceptHandler",), silent_handlers, ("except",), children=True),
+        FactRule("SEC008", ("Call", "Assign"), debug_mode, ("debug",), children=True),
+        FactRule("SEC009", ("Call",), user_paths, ("open", "join", "abspath", "shutil"), children=True),
+        FactRule("SEC010", ("Call",), xml_parsers, ("xml",)),
+        FactRule("SEC014", ("If",), check_then_open, ("os.path",), children=True),
+        FactRule("CS001", _F, long_functions, ("def",)),
+        FactRule("CS002", ("arguments",), many_parameters, ("def",), ancestors=True, children=True),
+        FactRule("CS003", (*_F, *DECISION_TYPES, "BoolOp"), complex_functions, ("def",), ancestors=True),
+        FactRule("CS004", tuple(NESTING_TYPES), deep_nesting, ("if", "for", "while", "with", "try"), ancestors=True),
+        FactRule("CS005", ("Import", "ImportFrom", "Name"), unused_imports, ("import",), children=True),
+        FactRule("CS006", ("Global",), global_statements, ("global",)),
+        FactRule("CS007", ("ExceptHandler",), bare_handlers, ("except",), children=True),
+        FactRule("PERF001", ("AugAssign",), list_growth, ("+=",), ancestors=True, children=True),
+        FactRule("PERF002", ("arguments",), mutable_defaults, ("def",), ancestors=True, children=True),
+        FactRule("PERF003", ("ImportFrom",), star_imports, ("import",), children=True),
+        FactRule("MAINT001", tuple(BODY_TYPES), dead_code, ("return", "raise", "break", "continue"), children=True),
+        FactRule("MAINT002", (*_F, "ClassDef"), missing_docstrings, ("def", "class"), children=True),
+        FactRule("MAINT003", ("Return",), many_returns, ("return",), ancestors=True),
+        FactRule("MAINT004", ("Constant",), repeated_literals, ('"', "'")),
+        FactRule("MAINT005", ("Assert",), security_asserts, ("assert",)),
+        FactRule("MAINT006", ("Call",), temp_names, ("mktemp",)),
+        FactRule("TYPE001", ("arguments", *_F), missing_annotations, ("def",), ancestors=True, children=True),
+        FactRule("TYPE002", ("arguments", *_F), any_annotations, ("any",), ancestors=True, children=True),
+        FactRule("TYPE003", ("arguments",), implicit_optionals, ("none",), ancestors=True, children=True),
+        FactRule("ASYNC001", ("Call",), blocking_calls, ("async",), ancestors=True),
+        FactRule("ASYNC002", ("Expr",), forgotten_awaits, ("async",), ancestors=True, children=True),
+        FactRule("ASYNC003", ("Call",), blocking_opens, ("async",), ancestors=True),
+        FactRule("ASYNC004", ("Call",), zero_sleeps, ("await",), ancestors=True, children=True),
     ]
 }
 
 
 def rule_facts(files: DataFrame, rules: list[FactRule]) -> DataFrame:
-    """Facts limited to what the given rules read."""
+    """Facts limited to what the given rules read, from files that can concern one of them at all.
+
+    The gates are literal words tested on the text ahead of parsing: a rule on its own parses few files.
+    """
     from siftmill.operators.facts import syntax_facts
 
     types = sorted({t for r in rules for t in r.node_types})
-    return syntax_facts(files, types, any(r.ancestors for r in rules), any(r.children for r in rules))
+    opened = F.lit(False)
+    for r in rules:
+        opened = opened | may_name(F.col("text"), list(r.gate), r.in_strings)
+    return syntax_facts(files.filter(opened), types, any(r.ancestors for r in rules), any(r.children for r in rules))
 
 
 def fact_rule_hits(facts: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:

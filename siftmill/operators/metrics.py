@@ -83,8 +83,8 @@ def maintainability_metrics(files: DataFrame, facts: DataFrame) -> DataFrame:
     The facts side is folded to one row per file first (its Module row makes files without functions appear);
     the text side sends two numbers per file, never the text, through the join.
     """
-    per_function = function_complexity(facts).groupBy("project_id", "path").agg(F.avg("complexity").alias("mean_cc"))
-    parsed = facts.filter(F.col("node_type") == "Module").select("project_id", "path").join(per_function, ["project_id", "path"], "left")
+    parsed = function_complexity(facts, with_files=True).groupBy("project_id", "path").agg(
+        F.avg(F.when(F.col("name").isNotNull(), F.col("complexity"))).alias("mean_cc"))
     text = (
         files.filter(F.col("language") == "python")
         .select("project_id", "path", split_lines(F.col("text")).alias("lines"), token_volume(F.col("text")).alias("volume"))

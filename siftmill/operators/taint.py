@@ -7,11 +7,10 @@ names as state. One shuffle by file, no driver loop; a group is one file, which
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.functions.text import may_name
 from siftmill.schemas import HIT_COLUMNS
 
 # Sources, and sinks with their labels in match order.
@@ -47,6 +46,13 @@ SINKS = {
 }
 EXTENDED_SOURCES = [f"{s}.get" for s in SOURCES if s.startswith("request.")]
 
+# Words one of which is in every file with a source, and in every file with a sink.
+SOURCE_WORDS = ["request", "input", "environ", "getenv", "open", "read", "argv", "stdin"]
+SINK_WORDS = [
+    "execute", "raw", "system", "popen", "subprocess", "eval", "exec", "compile", "pickle", "yaml", "marshal",
+    "render_template_string", "template", "request", "urllib", "httpx", "write",
+]
+
 LEAF_TYPES = ["Name", "Attribute", "Call", "Subscript"]
 NODE_TYPES = [*LEAF_TYPES, "Assign", "AugAssign"]
 _CARRY = ["BinOp.left", "BinOp.right", "JoinedStr.values", "FormattedValue.value"]
@@ -55,7 +61,15 @@ _VALUE = ["Assign.value", "AugAssign.value"]
 
 def is_source(name: Column, sources: list[str] | None = None) -> Column:
     """The dotted name ends with a source; the match is not anchored at a dot."""
-    return F.coalesce(name.rlike("(?:" + "|".join(re.escape(s) for s in sources or SOURCES) + ")$"), F.lit(False))
+    test = F.lit(False)
+    for source in sources or SOURCES:
+        test = test | name.endswith(source)
+    return F.coalesce(test, F.lit(False))
+
+
+def may_flow(text: Column) -> Column:
+    """False only for texts that cannot hold both a source and a sink; a test ahead of parsing."""
+    return may_name(text, SOURCE_WORDS) & may_name(text, SINK_WORDS)
 
 
 def sink_label(name: Column) -> Column:
@@ -103,13 +117,27 @@ def _fed_events(chain: Column) -> Column:
             .otherwise("done")
         )
         event = F.struct(a["id"].alias("id"), channel.alias("channel"))
-        return F.struct(mode.alias("mode"), F.when(channel.isNotNull(), F.array_append(acc["fed"], event)).otherwise(acc["fed"]).alias("fed"))
+        fed = F.when(channel.isNotNull(), F.array_append(acc["fed"], event)).otherwise(acc["fed"])
+        return F.when(acc["mode"] == "done", acc).otherwise(F.struct(mode.alias("mode"), fed.alias("fed")))
 
     return F.aggregate(F.reverse(chain), start, step, lambda acc: acc["fed"])
 
 
-def carried(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """(project_id, path, event_id, channel, direct, var): what each leaf brings to the event it feeds."""
+_ROW = (
+    "struct<event_id:int,channel:string,direct:boolean,var:string,kind:string,targets:array<string>,line:int,"
+    "column:int,name:string,label:string>"
+)
+
+
+def _row(event: Column, channel: Column | None = None, direct: Column | None = None, var: Column | None = None, **own: Column) -> Column:
+    none = F.lit(None)
+    fields = {"event_id": event, "channel": channel, "direct": direct if direct is not None else F.lit(False), "var": var}
+    fields |= {name: own.get(name) for name in ("kind", "targets", "line", "column", "name", "label")}
+    return F.struct(*[(none if c is None else c).alias(n) for n, c in fields.items()]).cast(_ROW)
+
+
+def flow_rows(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """One pass over the facts: what leaves bring to events (channel set), and the events themselves (kind set)."""
     parent = F.concat_ws(".", "parent_type", "parent_field")
     kind, strict = F.col("node_type"), F.col("strict")
     var = (
@@ -117,49 +145,37 @@ def carried(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
         .when((kind == "Call") & ~strict.contains("."), strict)
     )
     direct = kind.isin("Attribute", "Call") & is_source(strict, sources)
-    return (
-        facts.filter(kind.isin(LEAF_TYPES) & parent.isin([*_CARRY, *_VALUE, "Call.args", "keyword.value"]))
-        .select("project_id", "path", direct.alias("direct"), var.alias("var"), F.explode(_fed_events(F.col("ancestors"))).alias("e"))
-        .filter(F.col("direct") | F.col("var").isNotNull())
-        .select("project_id", "path", F.col("e.id").alias("event_id"), F.col("e.channel").alias("channel"), "direct", "var")
+    feeds = kind.isin(LEAF_TYPES) & parent.isin([*_CARRY, *_VALUE, "Call.args", "keyword.value"]) & (direct | var.isNotNull())
+    fed = F.transform(_fed_events(F.col("ancestors")), lambda e: _row(e["id"], e["channel"], direct, var))
+    named = F.transform(
+        F.filter("children", lambda c: c["field"].isin("targets", "target") & c["strict"].isNotNull()), lambda c: c["strict"]
+    )
+    change = _row(F.col("node_id"), kind=F.lower(kind), targets=named, line=F.col("lineno"))
+    sink = _row(F.col("node_id"), kind=F.lit("sink"), line=F.col("lineno"), column=F.col("col"), name=strict, label=sink_label(strict))
+    none = F.array().cast(f"array<{_ROW}>")
+    rows = F.concat(
+        F.when(feeds, fed).otherwise(none),
+        F.when(kind.isin("Assign", "AugAssign"), F.array(change)).when((kind == "Call") & sink_label(strict).isNotNull(), F.array(sink)).otherwise(none),
     )
+    return facts.filter(kind.isin(NODE_TYPES)).select("project_id", "path", F.explode(rows).alias("r")).select("project_id", "path", "r.*")
 
 
-def assignments(facts: DataFrame) -> DataFrame:
-    """(project_id, path, event_id, kind, targets): names set by ``=`` or grown by an augmented assignment."""
-    named = F.filter("children", lambda c: c["field"].isin("targets", "target") & c["strict"].isNotNull())
-    return facts.filter(F.col("node_type").isin("Assign", "AugAssign")).select(
-        "project_id", "path", F.col("node_id").alias("event_id"), F.lower("node_type").alias("kind"),
-        F.transform(named, lambda c: c["strict"]).alias("targets"), F.col("lineno").alias("line"),
-    )
+def carried(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
+    """(project_id, path, event_id, channel, direct, var): what each leaf brings to the event it feeds."""
+    return flow_rows(facts, sources).filter(F.col("channel").isNotNull()).select("project_id", "path", "event_id", "channel", "direct", "var")
 
 
 def _events(facts: DataFrame, sources: list[str] | None) -> DataFrame:
     """One row per event with everything it reads, then one row per file with its events in order."""
-    none = lambda t: F.lit(None).cast(t)
-    inputs = carried(facts, sources).select(
-        "project_id", "path", "event_id", "channel", "direct", "var", none("string").alias("kind"),
-        none("array<string>").alias("targets"), none("int").alias("line"), none("int").alias("column"),
-        none("string").alias("name"), none("string").alias("label"),
-    )
-    blank = [none("string").alias("channel"), F.lit(False).alias("direct"), none("string").alias("var")]
-    defs = assignments(facts).select(
-        "project_id", "path", "event_id", *blank, "kind", "targets", "line", none("int").alias("column"),
-        none("string").alias("name"), none("string").alias("label"),
-    )
-    sinks = sink_calls(facts).select(
-        "project_id", F.col("file").alias("path"), F.col("node_id").alias("event_id"), *blank, F.lit("sink").alias("kind"),
-        none("array<string>").alias("targets"), "line", "column", "name", "label",
-    )
 
     def reads(*channels: str) -> list[Column]:
         on = F.col("channel").isin(*channels)
         return [F.coalesce(F.max(F.when(on, F.col("direct"))), F.lit(False)).alias(f"direct_{channels[0]}"),
                 F.collect_set(F.when(on, F.col("var"))).alias(f"vars_{channels[0]}")]
 
+    # Both groupings are served by the one exchange by file.
     by_event = (
-        inputs.unionByName(defs).unionByName(sinks).repartition("project_id", "path")
-        .groupBy("project_id", "path", "event_id")
+        flow_rows(facts, sources).repartition("project_id", "path").groupBy("project_id", "path", "event_id")
         .agg(*[F.max(c).alias(c) for c in ("kind", "targets", "line", "column", "name", "label")],
              *reads("value", "args"), *reads("keywords"))
         .filter(F.col("kind").isNotNull())
@@ -213,15 +229,15 @@ def taint_hits(facts: DataFrame, extended_sources: bool = False) -> DataFrame:
 
 def definition_of_use(facts: DataFrame) -> DataFrame:
     """As-of join of each read of a name with the latest earlier assignment to it in the same file."""
-    uses = carried(facts).filter(F.col("var").isNotNull()).select(
-        "project_id", "path", "var", "event_id", F.lit(0).alias("is_def"), F.lit(None).cast("int").alias("def_id")
-    ).distinct()
-    defs = assignments(facts).select(
-        "project_id", "path", F.explode("targets").alias("var"), "event_id", F.lit(1).alias("is_def"), F.col("event_id").alias("def_id")
-    )
+    place = lambda var, is_def: F.struct(var.alias("var"), F.lit(is_def).alias("is_def"))
+    touched = F.when(F.col("var").isNotNull(), F.array(place(F.col("var"), 0))).otherwise(
+        F.transform(F.coalesce("targets", F.array().cast("array<string>")), lambda t: place(t, 1)))
+    rows = flow_rows(facts).select("project_id", "path", "event_id", F.explode(touched).alias("t")).select(
+        "project_id", "path", "event_id", "t.var", "t.is_def").distinct()
     # At one step a read comes before the write: an assignment reads the state it replaces.
     order = Window.partitionBy("project_id", "path", "var").orderBy("event_id", "is_def").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        uses.unionByName(defs).withColumn("latest", F.last("def_id", ignorenulls=True).over(order)).filter("is_def = 0")
-        .select("project_id", F.col("path").alias("file"), F.col("var").alias("name"), F.col("event_id").alias("use_id"), F.col("latest").alias("def_id"))
+        rows.withColumn("latest", F.last(F.when(F.col("is_def") == 1, F.col("event_id")), ignorenulls=True).over(order)).filter("is_def = 0")
+        .select("project_id", F.col("path").alias("file"), F.col("var").alias("name"), F.col("event_id").alias("use_id"),
+                F.col("latest").alias("def_id"))
     )
