@@ -98,18 +98,12 @@ def read_tree(spark: SparkSession, root: str, max_kb: int = MAX_FILE_KB) -> Data
 
 def read_manifests(spark: SparkSession, root: str) -> DataFrame:
     """``requirements.txt`` and ``package.json`` at the top of each project: (project_id, manifest, text)."""
-    out = None
-    for name in ("requirements.txt", "package.json"):
-        one = (
-            spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/{name}")
-            .select(
-                F.element_at(F.split("path", "/"), -2).alias("project_id"),
-                F.lit(name).alias("manifest"),
-                decode(F.col("content")).alias("text"),
-            )
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    names = ["requirements.txt", "package.json"]
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "{" + ",".join(names) + "}").load(f"{root.rstrip('/')}/*")
+    parts = F.split("path", "/")
+    return raw.select(
+        F.element_at(parts, -2).alias("project_id"), F.element_at(parts, -1).alias("manifest"), decode(F.col("content")).alias("text")
+    )
 
 
 def project_languages(paths: DataFrame) -> DataFrame:
