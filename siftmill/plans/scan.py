@@ -34,7 +34,7 @@ class Scan:
 
 def facts_of(files: DataFrame, stored: bool = True) -> DataFrame:
     facts = syntax_facts(files, FACT_TYPES)
-    return materialize(facts, "facts") if stored else facts
+    return materialize(facts, "facts", "node_type") if stored else facts
 
 
 def python_hits(files: DataFrame, facts: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ def get_session(app: str = "siftmill", cores: str | int = "*", shuffle_partition
         .config("spark.driver.memory", os.environ.get("SIFTMILL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -43,12 +44,13 @@ def work_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: one computation for many readers, with column pruning.
 
     A written table survives lost executors and cuts lineage; it is used for the syntax facts, which feed
-    several branches of a scan.
+    several branches of a scan. With ``partition_by`` each reader opens only the values it filters on.
     """
     path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -15,11 +15,11 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     source, target, full = (str(tmp_path / n) for n in ("in", "hits", "full"))
     land(spark, source, [("p", "a.js", "debugger\nx == 1"), ("p", "b.py", "token = 'x'\nx = input()\neval(x)")])
     stream = lambda: spark.readStream.schema(SCHEMA).parquet(source).withColumn("language", language_of(F.col("path")))
-    run = lambda: (scan_stream.start_text_scan(stream(), target, target + "-c").awaitTermination(),
-                   scan_stream.start_full_scan(stream(), full, full + "-c").awaitTermination())
+    run = lambda: scan_stream.start_text_scan(stream(), target, target + "-c").awaitTermination()
     run()
     land(spark, source, [("p", "c.sql", "SELECT * FROM t;")])
     run()
+    scan_stream.start_full_scan(stream(), full, full + "-c").awaitTermination()
     batch = text_rule_hits(spark.read.parquet(source).withColumn("language", language_of(F.col("path"))))
     key = lambda r: (r.file, r.line, r.rule_id)
     assert sorted(map(key, spark.read.parquet(target).collect())) == sorted(map(key, batch.collect()))
