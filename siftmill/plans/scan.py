@@ -64,7 +64,8 @@ def scan(files: DataFrame, manifests: DataFrame | None = None, advisories: DataF
         if advisories is not None:
             found = found.unionByName(deps.vulnerable(wanted, advisories).select(*found.columns))
         hits = hits.unionByName(findings.dependency_hits(found).select(*hits.columns))
-    issues = findings.to_issues(hits, rule_catalog(spark), scan_id, ts)
+    # Hits are sparse: written once, they keep the long rule plans apart from the grouping that follows.
+    issues = findings.to_issues(materialize(hits, "hits"), rule_catalog(spark), scan_id, ts)
     measured = metrics.python_metrics(files, facts).unionByName(metrics.javascript_metrics(files))
     groups = clones.clone_groups(files)
     return Scan(files, issues, measured, groups, facts)

@@ -9,7 +9,8 @@ from pyspark.sql.streaming import StreamingQuery
 from siftmill.operators.catalog import rule_catalog
 from siftmill.operators.line_rules import text_rule_hits
 from siftmill.plans import findings
-from siftmill.plans.scan import python_hits, facts_of
+from siftmill.plans.scan import facts_of, python_hits
+from siftmill.session import materialize
 
 
 def stream_text_hits(files: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
@@ -36,7 +37,7 @@ def start_full_scan(files: DataFrame, target: str, checkpoint: str) -> Streaming
         facts = facts_of(batch)
         hits = text_rule_hits(batch, snippets=True)
         hits = hits.unionByName(python_hits(batch, facts).select(*hits.columns))
-        issues = findings.to_issues(hits, rule_catalog(batch.sparkSession), f"stream-{number}", F.current_timestamp())
+        issues = findings.to_issues(materialize(hits, "hits"), rule_catalog(batch.sparkSession), f"stream-{number}", F.current_timestamp())
         issues.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return (
