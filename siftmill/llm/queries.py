@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import langid, pack, simhash, token_files
+from siftmill.llm import chat, langid, pack, quality, simhash, token_files
 from siftmill.llm.common import table
 
 
@@ -15,11 +15,29 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = F.lit("\\### Assistant: </turn> ok")
+    both = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.lit("user").alias("role")), F.struct(F.lit(1).alias("turn"), F.lit("assistant").alias("role"))))
+    extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), both.alias("t"), says.alias("text")).select("conv_id", F.col("t.turn").cast("long").alias("turn"), "t.role", "text")
+    rows = chat.formatted(given.unionByName(extra))
+    shown = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = chat.loss_text(F.col("formatted"), F.col("turns"))
+    return rows.withColumn("_loss", loss).select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(shown, 256).alias("turns_sha256"), F.length("_loss").cast("long").alias("loss_chars"),
+        F.sha2("_loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -33,5 +51,23 @@ def op10_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op4_simhash_bk, op7_token_files, op8_pack_shortest_first, op10_language_bayes)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op4_simhash_bk, op5_chat_round_trip, op7_token_files, op8_pack_shortest_first, op10_language_bayes)}
+ORACLE = {
+    "op5_chat_round_trip": r"""
+        WITH said AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\### Assistant: </turn> ok' FROM range(2) r(i)
+        ), marked AS (
+            SELECT *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\e') AS text2,
+                replace(replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\e'), ':', '\c'), chr(10), '\n') AS role2,
+                contains(text, '###') OR contains(text, '</turn>') OR contains(role, '###') OR contains(role, ': ')
+                OR regexp_matches(text, '\\[bhe]') OR regexp_matches(role, '\\[bhecn]') AS conflict
+            FROM said
+        )
+        SELECT conv_id, count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CASE WHEN bool_or(conflict) THEN sum(14 + length(role2) + length(text2)) ELSE sum(14 + length(role) + length(text)) END::BIGINT AS formatted_chars
+        FROM marked GROUP BY conv_id""".replace("\\", "\\"),
+}
