@@ -59,19 +59,15 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("_at", at).withColumns({"_chunk": F.expr(f"_at div {CHUNK_ROWS}"), "_pos": F.expr(f"_at % {CHUNK_ROWS}")}).drop("_at")
 
 
-def gapless(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Number the rows of each key 0, 1, 2, … in the order (_chunk, _pos), with no key gathered in one task.
+def gapless(df: DataFrame, keys: list[str], name: str, chunk: str = "_chunk", order: list[str] | None = None) -> DataFrame:
+    """Number the rows of each key 0, 1, 2, … by chunk, then by ``order`` (``_pos``), with no key gathered in one task.
 
-    Rows are ranked inside (key, chunk) and moved up by the number of the key's rows in earlier chunks. ``df`` is
-    ``numbered`` and written; a chunk holds at most CHUNK_ROWS rows, and the counts hold one row per (key, chunk).
+    Rows are ranked inside (key, chunk) and moved up by the number of the key's rows in earlier chunks. Keys and chunks
+    aren't null; the counts hold one row per (key, chunk), so chunks are to be of about equal, bounded size.
     """
-    counts = df.groupBy(*keys, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_chunk").alias("_c"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*keys, "_chunk").orderBy("_pos")
+    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*keys, chunk, F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*keys, chunk).orderBy(*(order or ["_pos"]))
     ranked = df.withColumn("_rank", F.row_number().over(inside) - 1)
-    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys] + [F.col("_chunk") == F.col("_c")]
-    on = same[0]
-    for more in same[1:]:
-        on = on & more
-    return ranked.join(bases, on).withColumn(name, (F.col("_rank") + F.col("_base")).cast("long")).drop("_rank", "_base", "_c", *[f"_k_{k}" for k in keys])
+    return ranked.join(bases, [*keys, chunk]).withColumn(name, (F.col("_rank") + F.col("_base")).cast("long")).drop("_rank", "_base")

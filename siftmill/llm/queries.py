@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chat, langid, pack, quality, simhash, token_files
+from siftmill.llm import chat, html_blocks, kd_shards, langid, mix, pack, quality, simhash, token_files, vp_search
 from siftmill.llm.common import table
 
 
@@ -19,6 +19,20 @@ def op1_quality_mcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents"))
 
 
+#: Measured on the test tables; one would be exact.
+VP_FACTOR = 2.0
+
+
+def op2_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vp_search.search(vp_search.index(vectors), vectors.filter("vec_id % 100 = 0"), k=10, factor=VP_FACTOR)
+
+
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = kd_shards.shards(table(spark, sf_dir, "documents"), leaves=24)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,6 +52,11 @@ def op5_chat_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mix_to_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mix.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
     return token_files.read_token_files(manifest).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
@@ -47,11 +66,16 @@ def op8_pack_shortest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=0, max_len=1024, payload=F.crc32("ids").alias("ids_crc32"))
 
 
+def op9_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = html_blocks.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op4_simhash_bk, op5_chat_round_trip, op7_token_files, op8_pack_shortest_first, op10_language_bayes)}
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_vantage_points, op3_kd_shards, op4_simhash_bk, op5_chat_round_trip, op6_mix_to_budget, op7_token_files, op8_pack_shortest_first, op9_html_blocks, op10_language_bayes)}
 ORACLE = {
     "op5_chat_round_trip": r"""
         WITH said AS (
@@ -69,5 +93,5 @@ ORACLE = {
             coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CASE WHEN bool_or(conflict) THEN sum(14 + length(role2) + length(text2)) ELSE sum(14 + length(role) + length(text)) END::BIGINT AS formatted_chars
-        FROM marked GROUP BY conv_id""".replace("\\", "\\"),
+        FROM marked GROUP BY conv_id""",
 }
