@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import gapless, n_words, numbered, written
+from siftmill.llm.common import gapless, n_words, numbered, shielded, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -90,8 +90,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, who
     With ``whole``, instead, the mix itself: the rows of ``docs``, each as often as it is taken. ``docs`` is then written once with
     row numbers, by which texts meet their decisions.
     """
-    given = docs.columns
-    rows = numbered((docs if whole else docs.select("doc_id", "source", "text")).withColumn("_size", n_words(F.col("text"))))
+    own, restored = shielded(docs, ("doc_id", "source", "text"))
+    rows = numbered((own if whole else own.select("doc_id", "source", "text")).withColumn("_size", n_words(F.col("text"))))
     base = written(rows if whole else rows.drop("text"), "sized")
     key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
     slim = base.select("doc_id", "source", "_size", key.alias("_k"), F.xxhash64("doc_id", "_size", F.lit(seed)).alias("_seeded"), "_chunk", "_pos")
@@ -114,7 +114,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, who
     if not whole:
         return ranked.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), times)
     taken = written(ranked.select("_chunk", "_pos", times).filter("times > 0"), "taken")
-    return base.join(taken, ["_chunk", "_pos"]).withColumn("times", F.explode(F.expr("sequence(1, times)"))).select(*given)
+    return base.join(taken, ["_chunk", "_pos"]).withColumn("times", F.explode(F.expr("sequence(1, times)"))).select(*restored)
 
 
 def _ranked(slim: DataFrame, counts: DataFrame) -> DataFrame:

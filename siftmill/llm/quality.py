@@ -3,8 +3,8 @@
 All of it is DataFrame functions. The statistics of a text stay inside its row. Estimates are made per pool, a (language,
 source) pair; pairs with under ``min_rows`` rows join the rest of their language, small rests join the rest of all.
 Null texts have no words and fail; null languages and sources are values of their own; repeated rows count each; pools too
-small for an estimate reject nothing; an empty table gives no rows. Working columns begin with an underscore; a column of the
-input that is named like a statistic is replaced.
+small for an estimate reject nothing; an empty table gives no rows. Other columns are left as they are, whatever
+their names, but for the added ``kept``.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import written
+from siftmill.llm.common import shielded, written
 
 WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -163,19 +163,19 @@ def estimates(vectors: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame, min_rows: int = 200, cut: float = CUT, whole: bool = False) -> DataFrame:
-    """doc_id, STATS, base_failed, distance2 and kept of every document; with ``whole`` all columns of ``docs`` too.
+    """doc_id, STATS, base_failed, distance2 and kept of every document; with ``whole`` all columns of ``docs`` and kept.
 
     Without ``whole`` the slim table of statistics is read again; with it statistics are made again beside the
     texts, which are neither written nor exchanged.
     """
-    slim = judged(docs.select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "_lang", "_source", *[f"_x{i}" for i in range(P)])
+    own, restored = shielded(docs, ("doc_id", "text", "lang", "source"))
+    slim = judged(own.select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "_lang", "_source", *[f"_x{i}" for i in range(P)])
     slim = written(slim, "statistics")
     pool_of = written(pools(slim, min_rows), "pools")
     vectors = written(slim.filter("not base_failed").join(pool_of, ["_lang", "_source"]).select("_pool", *[f"_x{i}" for i in range(P)]), "vectors")
     final = estimates(vectors)
-    rows = judged(docs) if whole else slim
-    placed = rows.join(pool_of, ["_lang", "_source"], "left").join(final, "_pool", "left")
-    out = _distance(placed).withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d")))
+    rows = judged(own) if whole else slim
+    placed = _distance(rows.join(pool_of, ["_lang", "_source"], "left").join(final, "_pool", "left"))
+    out = placed.withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d")))
     out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("_d"), F.lit(0.0)) <= cut))
-    given = docs.columns if whole else ["doc_id"]
-    return out.select(*given, *[c for c in (*STATS, "base_failed", "distance2", "kept") if c not in given])
+    return out.select(*restored, "kept") if whole else out.select("doc_id", *STATS, "base_failed", "distance2", "kept")

@@ -154,11 +154,12 @@ def _digest(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("v", "u")), F.bit_xor(F.xxhash64("u", "v", F.lit(1)))).first())
 
 
-def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) of every document."""
-    marked = written(docs.select("doc_id", fingerprint("text").alias("fp")), "fingerprints")
+def near_duplicates(docs: DataFrame, radius: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``carry``, fp, root (a fingerprint that names the class) and component_id (smallest doc_id reachable)."""
+    marked = written(docs.select("doc_id", *carry, fingerprint("text").alias("fp")), "fingerprints")
     classes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     reached = components(links(classes.select("fp"), radius))
-    roots = classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = written(classes.join(reached.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     lowest = written(roots.groupBy("root").agg(F.min("least").alias("component_id")), "components")
-    return marked.join(roots.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = written(roots.join(lowest, "root").select("fp", "root", "component_id"), "named")
+    return marked.join(named, "fp").select("doc_id", *carry, "fp", "root", "component_id")
