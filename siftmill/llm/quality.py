@@ -177,5 +177,6 @@ def assess(docs: DataFrame, min_rows: int = 200, cut: float = CUT, whole: bool =
     rows = judged(own) if whole else slim
     placed = _distance(rows.join(pool_of, ["_lang", "_source"], "left").join(final, "_pool", "left"))
     out = placed.withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d")))
-    out = out.withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("_d"), F.lit(0.0)) <= cut))
+    # one comparison: a conjunction would be split, and its cheap half pushed below the statistics, which it would repeat many times
+    out = out.withColumn("kept", F.greatest(F.col("base_failed").cast("double") * 1e12, F.coalesce(F.col("_d"), F.lit(0.0))) <= cut)
     return out.select(*restored, "kept") if whole else out.select("doc_id", *STATS, "base_failed", "distance2", "kept")
