@@ -19,7 +19,7 @@ LEAST_LANGUAGE_SCORE = 0.5
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outliers of their language and source."""
-    return quality.assess(docs, whole=True).filter("kept").select(*docs.columns)
+    return quality.assess(docs, whole=True).filter("_kept").select(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

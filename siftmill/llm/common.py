@@ -46,14 +46,11 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    """``size(words(text))`` without building the words: the starts of runs are counted."""
-    parts = F.size(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+"))
-    t = F.coalesce(text, F.lit(""))
-    first, last = F.substring(t, 1, 1), F.substring(t, -1, 1)
+    """``size(words(text))``: the parts between blanks but for an empty one at either end."""
+    parts = F.size(F.split(text, "[ \\t-\\r]+"))
     blank = [F.lit(b) for b in BLANKS]
-    return F.when(F.length(t) == 0, F.lit(0)).otherwise(
-        parts - first.isin(*blank).cast("int") - (last.isin(*blank) & (F.length(F.translate(t, BLANKS, "")) > 0)).cast("int")
-    ).cast("long")
+    ends = F.substring(text, 1, 1).isin(*blank).cast("int") + F.substring(text, -1, 1).isin(*blank).cast("int")
+    return F.when(text.rlike("[^ \\t-\\r]"), parts - ends).otherwise(0).cast("long")
 
 
 def numbered(df: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ All of it is DataFrame functions. The statistics of a text stay inside its row.
 source) pair; pairs with under ``min_rows`` rows join the rest of their language, small rests join the rest of all.
 Null texts have no words and fail; null languages and sources are values of their own; repeated rows count each; pools too
 small for an estimate reject nothing; an empty table gives no rows. Other columns are left as they are, whatever
-their names, but for the added ``kept``.
+their names.
 """
 
 from __future__ import annotations
@@ -163,7 +163,7 @@ def estimates(vectors: DataFrame) -> DataFrame:
 
 
 def assess(docs: DataFrame, min_rows: int = 200, cut: float = CUT, whole: bool = False) -> DataFrame:
-    """doc_id, STATS, base_failed, distance2 and kept of every document; with ``whole`` all columns of ``docs`` and kept.
+    """doc_id, STATS, base_failed, distance2 and kept of every document; with ``whole`` all columns of ``docs`` and _kept.
 
     Without ``whole`` the slim table of statistics is read again; with it statistics are made again beside the
     texts, which are neither written nor exchanged.
@@ -179,4 +179,4 @@ def assess(docs: DataFrame, min_rows: int = 200, cut: float = CUT, whole: bool =
     out = placed.withColumn("distance2", F.when(~F.col("base_failed"), F.col("_d")))
     # one comparison: a conjunction would be split, and its cheap half pushed below the statistics, which it would repeat many times
     out = out.withColumn("kept", F.greatest(F.col("base_failed").cast("double") * 1e12, F.coalesce(F.col("_d"), F.lit(0.0))) <= cut)
-    return out.select(*restored, "kept") if whole else out.select("doc_id", *STATS, "base_failed", "distance2", "kept")
+    return out.select(*restored, F.col("kept").alias("_kept")) if whole else out.select("doc_id", *STATS, "base_failed", "distance2", "kept")
