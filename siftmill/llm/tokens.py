@@ -37,15 +37,22 @@ def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
             widths[i] = len(token)  # one character stands for one byte
         kept[path] = tokenizer, widths, {}
     tokenizer, widths, cache = kept[path]
-    uneven = re.compile(r"\s(?: |\Z)")
+    odd_blank = re.compile(r"[^\S\t-\r ](?: |\Z)")
+
+    def uneven(text: str) -> bool:
+        """Whether a space, or the end, follows white space; plain substrings are looked for before the rarer blanks."""
+        if text[-1].isspace() or any(b in text for b in ("  ", "\n ", "\r ", "\t ", "\x0b ", "\x0c ")):
+            return True
+        return not text.isascii() and odd_blank.search(text) is not None
 
     def whole(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(pieces: list[str]) -> None:
         groups = [pieces[i : i + JOINED] for i in range(0, len(pieces), JOINED)]
-        for group, ids in zip(groups, whole([" " + " ".join(g) for g in groups]), strict=True):
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in group])
+        joined = [" " + " ".join(g) for g in groups]
+        for group, text, ids in zip(groups, joined, whole(joined), strict=True):
+            ends = np.cumsum([*map(len, group if text.isascii() else [p.encode("utf-8", "surrogatepass") for p in group])]) + np.arange(1, len(group) + 1)
             reached = np.cumsum(widths[np.frombuffer(ids, dtype="<u2")])
             cuts = np.searchsorted(reached, ends, side="right")
             if np.array_equal(reached[cuts - 1], ends):
@@ -61,13 +68,13 @@ def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
             cache.clear()
         out: list[bytes] = [b""] * len(texts)
         direct: list[tuple[int, str]] = []
-        open_texts: list[tuple[int, list[str]]] = []
+        open_texts: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
         missing: set[str] = set()
         get = cache.get
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if uneven.search(text):
+            if uneven(text):
                 direct.append((i, text))
                 continue
             first, *rest = text.split(" ")
@@ -75,13 +82,16 @@ def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
                 direct.append((i, first))
             parts = [*map(get, rest)]
             if None in parts:
-                missing.update([w for w, p in zip(rest, parts) if p is None])
-                open_texts.append((i, rest))
+                places = [k for k, p in enumerate(parts) if p is None]
+                missing.update([rest[k] for k in places])
+                open_texts.append((i, rest, parts, places))
             else:
                 out[i] = b"".join(parts)
         learn([*missing])
-        for i, rest in open_texts:
-            out[i] = b"".join(map(cache.__getitem__, rest))
+        for i, rest, parts, places in open_texts:
+            for k in places:
+                parts[k] = cache[rest[k]]
+            out[i] = b"".join(parts)
         for (i, _), ids in zip(direct, whole([t for _, t in direct]), strict=True):
             out[i] = ids + out[i]
         return out
