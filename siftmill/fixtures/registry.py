@@ -439,7 +439,7 @@ add("j_stdlib", _third, f"WITH {_SQL_THIRD} SELECT * FROM third")
 add("j_unused", lambda s, d: deps.unused(MF.declared(D.manifests(s, d)), _third(s, d)).select(*_DEP_COLS), f"WITH {_SQL_DECLARED}, {_SQL_THIRD} {_UNUSED}")
 add("j_undeclared", lambda s, d: deps.undeclared(MF.declared(D.manifests(s, d)), _third(s, d)).select(*_DEP_COLS), f"WITH {_SQL_DECLARED}, {_SQL_THIRD} {_UNDECLARED}")
 add("j_vuln", lambda s, d: deps.vulnerable(MF.declared(D.manifests(s, d)), D.advisories(s, d)).select(*_DEP_COLS, "vuln_id", F.size("refs").alias("n_refs")),
-    f"WITH {_SQL_ALL_DECLARED}, {D.SQL_ADVISORIES} " + _VULNERABLE.format(more=", vuln_id, least(n_refs, 3) AS n_refs"))
+    f"WITH {_SQL_ALL_DECLARED}, {D.SQL_ADVISORIES} " + _VULNERABLE.format(more=", vuln_id, n_refs"))
 add("u_deps", lambda s, d: deps.dependency_findings(MF.declared(D.manifests(s, d)), _third(s, d), D.advisories(s, d)).select(*_DEP_COLS),
     f"WITH {_SQL_ALL_DECLARED}, {_SQL_THIRD}, {D.SQL_ADVISORIES} {_VULNERABLE.format(more='')} UNION ALL {_UNUSED} UNION ALL {_UNDECLARED}")
 add("u_sevest", lambda s, d: D.advisories(s, d).select("vuln_id", deps.advisory_severity(F.col("details")).alias("severity")),
@@ -483,7 +483,7 @@ add("q_scans", lambda s, d: R.scan_history(D.scans(s, d)).select("project_id", "
     f"WITH {D.SQL_SCANS} SELECT project_id, scan_id, status, total_issues FROM scans")
 add("q_projects", lambda s, d: R.projects_newest_first(D.projects(s, d)).select("project_id", "name", "path", "language"),
     f"WITH {D.SQL_PROJECTS} SELECT project_id, name, path, language FROM projects")
-add("t_sevtext", lambda s, d: W.by_severity_text(D.issues(s, d)).limit(500).select(*_ROW), f"{_I}SELECT {_COLS} FROM issues {_ORDER} LIMIT 500")
+add("t_sevtext", lambda s, d: W.by_severity_text(D.issues(s, d)).select(*_ROW), f"{_I}SELECT {_COLS} FROM issues")
 
 # -- reports ----------------------------------------------------------------------------------------------------
 

@@ -103,7 +103,7 @@ def advisory_severity(details: Column) -> Column:
 
 
 def vulnerable(declared: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Advisories for the exact declared version, first three references kept.
+    """Advisories for the exact declared version, all references kept.
 
     A package that a third of all projects declare is a hot key with few advisory rows: the join is left to AQE,
     which splits the hot partition, and turns to broadcast only when the measured size allows it.
@@ -113,7 +113,7 @@ def vulnerable(declared: DataFrame, advisories: DataFrame) -> DataFrame:
         "project_id", "file", "package", "version", F.lit("DEP001").alias("rule_id"), advisory_severity(F.col("details")).alias("severity"),
         F.coalesce("summary", F.lit("No summary available")).alias("summary"),
         F.concat(F.lit("Review "), "package", F.lit(" usage.")).alias("suggestion"),
-        F.coalesce("vuln_id", F.lit("UNKNOWN")).alias("vuln_id"), F.slice("refs", 1, 3).alias("refs"),
+        F.coalesce("vuln_id", F.lit("UNKNOWN")).alias("vuln_id"), "refs",
     )
 
 

@@ -58,20 +58,31 @@ _PARENTS = (ast.stmt, ast.ExceptHandler, ast.Call, ast.BinOp, ast.Await, ast.arg
 _KINDS = {str: "str", bool: "bool", int: "int", float: "float", bytes: "bytes", complex: "complex", type(None): "none"}
 
 
+#: Node type of the one row that stands for a file whose nesting is beyond the parser of this Python.
+TOO_DEEP = "TooDeep"
+
+
 def parse(text: str) -> ast.Module | None:
-    """The tree, or None for text that is not valid Python."""
+    """The tree, or None for text that is not valid Python; RecursionError and MemoryError are the caller's to report."""
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
         try:
             return ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
+        except (SyntaxError, ValueError):
             return None
 
 
+def _parses(text: str) -> bool:
+    try:
+        return parse(text) is not None
+    except (RecursionError, MemoryError):
+        return False
+
+
 @F.pandas_udf(T.BooleanType())
 def parses(text: pd.Series) -> pd.Series:
     """True for text that is valid Python."""
-    return text.map(lambda t: parse(t) is not None)
+    return text.map(_parses)
 
 
 def _chain(node: ast.AST) -> tuple[str, bool]:
@@ -96,6 +107,8 @@ def _callee(node: ast.AST) -> tuple[str | None, str | None]:
 
 
 def _name(node: ast.AST) -> str | None:
+    while isinstance(node, ast.Subscript):
+        node = node.value
     for attribute in ("name", "id", "attr", "arg", "module"):
         value = getattr(node, attribute, None)
         if isinstance(value, str):
@@ -103,8 +116,6 @@ def _name(node: ast.AST) -> str | None:
     names = getattr(node, "names", None)
     if names and isinstance(names[0], str):
         return ", ".join(names)
-    if isinstance(node, ast.Subscript):
-        return _name(node.value)
     return None
 
 
@@ -112,7 +123,13 @@ def _const(node: ast.AST | None) -> tuple[str | None, str | None]:
     if not isinstance(node, ast.Constant):
         return None, None
     kind = _KINDS.get(type(node.value), "other")
-    return kind, None if kind in ("bytes", "other") else str(node.value)
+    if kind in ("bytes", "other"):
+        return kind, None
+    try:
+        # a lone surrogate is valid in a literal but not in a table
+        return kind, str(node.value).encode("utf-8", "backslashreplace").decode()
+    except ValueError:  # an integer of more digits than Python writes in decimal
+        return kind, hex(node.value)
 
 
 def _is_none(node: ast.AST) -> bool:
@@ -250,7 +267,13 @@ class _Batch:
 
 
 def _add_file(out: _Batch, project: str, path: str, text: str, types: frozenset[str] | None, with_ancestors: bool, with_children: bool) -> None:
-    tree = parse(text)
+    try:
+        tree = parse(text)
+    except (RecursionError, MemoryError):
+        out.rows.append((project, path, 0, None, TOO_DEEP, *[None] * (len(_SCALARS) - 5)))
+        out.chain_ends.append(len(out.chains))
+        out.kid_ends.append(len(out.kids))
+        return
     if tree is None:
         return
     order = _nodes(tree)
@@ -272,11 +295,19 @@ def _add_file(out: _Batch, project: str, path: str, text: str, types: frozenset[
     def chain(index: int, field: str) -> list[tuple]:
         if index < 0:
             return []
-        node, parent, step, _ = order[index]
-        if index not in above:
-            above[index] = chain(parent, step)
+        todo, at = [], index
+        while at not in above:
+            todo.append(at)
+            at = order[at][1]
+        for at in reversed(todo):  # from the root down
+            _, parent, step, _ = order[at]
+            above[at] = [] if parent < 0 else [*above[parent], _link(parent, step)]
+        return [*above[index], _link(index, field)]
+
+    def _link(index: int, field: str) -> tuple:
+        node = order[index][0]
         link = (index, kinds[index], _name(node), getattr(node, "lineno", None), f"{kinds[index]}.{field}")
-        return [*above[index], link]
+        return link
 
     for index in emitted:
         node, parent, field, _ = order[index]

@@ -56,7 +56,7 @@ def to_issues(hits: DataFrame, catalog: DataFrame, scan_id: str | Column, ts: Co
     counted = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.max("code_snippet").alias("code_snippet"))
     rows = counted.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     named = with_metadata(rows, catalog)
-    identity = F.concat_ws("\x1f", scan, "project_id", "file", "line", "column", "rule_id", "message", "ordinal")
+    identity = F.concat_ws("\x1f", scan, "project_id", "file", "line", "column", "rule_id", "message", F.coalesce("suggestion", F.lit("")), F.coalesce("found_severity", F.lit("")), "ordinal")
     return named.select(
         F.sha2(identity, 256).alias("issue_id"), "project_id", scan.alias("scan_id"), "file", F.col("line").cast("int"),
         F.col("column").cast("int"), F.lit(None).cast("int").alias("end_line"), "rule_id", "rule_name",

@@ -31,17 +31,9 @@ def get_session(app: str = "siftmill", cores: str | int = "*", shuffle_partition
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder for intermediate tables: the cluster's checkpoint folder, or a fresh local one in tests."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    import tempfile
-
-    configured = tempfile.mkdtemp(prefix="siftmill-")
-    spark.conf.set("spark.checkpoint.dir", configured)
-    return configured
+    """Shared folder for intermediate tables: the cluster's checkpoint folder, or one in the warehouse where that is unset."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
 
 
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:

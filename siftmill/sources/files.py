@@ -49,8 +49,15 @@ def is_source_path(path: Column) -> Column:
     return suffix(path).isin([s for endings in SUFFIXES.values() for s in endings]) & ~skipped
 
 
-def within_size(size_bytes: Column, max_kb: int = MAX_FILE_KB) -> Column:
-    return size_bytes <= max_kb * 1024
+def within_size(size_bytes: Column, max_kb: int | None = MAX_FILE_KB) -> Column:
+    return F.lit(True) if max_kb is None else size_bytes <= max_kb * 1024
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """``root`` as the scan writes it in its paths: with scheme, absolute, without ``.`` parts, ending in a slash."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return store.makeQualified(path).toString().rstrip("/") + "/"
 
 
 def decode(content: Column) -> Column:
@@ -72,15 +79,20 @@ def explode_lines(files: DataFrame) -> DataFrame:
     ).select("project_id", "path", "language", (F.col("pos") + 1).alias("line_no"), "line")
 
 
-def read_tree(spark: SparkSession, root: str, max_kb: int = MAX_FILE_KB) -> DataFrame:
-    """Source files under ``root/<project>/…``. The size filter reaches the scan, so large files are not read."""
-    base = root.rstrip("/") + "/"
+def skipped_files(spark: SparkSession, root: str, max_kb: int) -> DataFrame:
+    """(path, size_bytes) of the files that ``read_tree`` leaves out under an explicit ``max_kb``."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return raw.filter(~within_size(F.col("length"), max_kb)).select("path", F.col("length").alias("size_bytes"))
+
+
+def read_tree(spark: SparkSession, root: str, max_kb: int | None = None) -> DataFrame:
+    """Source files under ``root/<project>/…``; all of them, or those within ``max_kb`` (see ``skipped_files`` for the others)."""
+    base = qualified(spark, root)
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
         .filter(within_size(F.col("length"), max_kb))
     )
-    start = F.locate(base, F.col("path")) + len(base)
-    relative = F.substr(F.col("path"), start, F.length("path"))
+    relative = F.substr(F.col("path"), F.lit(len(base) + 1), F.length("path"))
     return (
         raw.withColumn("rel", relative)
         .withColumn("project_id", F.substring_index("rel", "/", 1))

@@ -31,13 +31,18 @@ def requirements(manifests: DataFrame) -> DataFrame:
     ).filter("name <> ''")
 
 
+def _last_of_keys(entries: Column) -> Column:
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+
+
 def package_json(manifests: DataFrame) -> DataFrame:
     """Declared packages of ``package.json`` rows: dependencies, then devDependencies; invalid JSON gives none."""
     shape = "dependencies map<string,string>, devDependencies map<string,string>"
     rows = manifests.filter(F.col("manifest") == "package.json").withColumn("j", F.from_json("text", shape))
     out = None
     for at, section in enumerate(("dependencies", "devDependencies")):
-        one = rows.select("project_id", "manifest", F.explode(f"j.{section}").alias("name", "spec")).select(
+        # of a repeated key the last value counts; values that are no plain text are no versions
+        one = rows.select("project_id", "manifest", F.inline(_last_of_keys(F.map_entries(f"j.{section}"))).alias("name", "spec")).filter(~F.trim("spec").rlike(r"^[\[{]")).select(
             "project_id", F.lit("npm").alias("ecosystem"), "manifest", F.lit(at).alias("ord"), "name", clean_version(F.col("spec")).alias("version")
         )
         out = one if out is None else out.unionByName(one)

@@ -60,7 +60,7 @@ def test_dependency_findings(spark, make_files):
     advisory = [("PyPI", "requests", "2.0", "A1", None, "open source note", ["1", "2", "3", "4"]), ("PyPI", "requests", "2.1", "A2", "s", "", []), ("PyPI", "Pillow", "", "A3", "s", "", [])]
     known = spark.createDataFrame(advisory, MF.ADVISORIES)
     row = deps.vulnerable(declared, known).collect()
-    assert [(r.package, r.severity, r.summary, list(r.refs)) for r in row] == [("requests", "CRITICAL", "No summary available", ["1", "2", "3"])]
+    assert [(r.package, r.severity, r.summary, list(r.refs)) for r in row] == [("requests", "CRITICAL", "No summary available", ["1", "2", "3", "4"])]
 
 
 def test_scan_of_a_file_tree(spark, tmp_path):
@@ -71,7 +71,7 @@ def test_scan_of_a_file_tree(spark, tmp_path):
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_text(text)
-    files = S.read_tree(spark, str(root)).coalesce(1).cache()
+    files = S.read_tree(spark, str(root), max_kb=500).coalesce(1).cache()
     assert {(r.project_id, r.path) for r in files.collect()} == {("app", "src/a.py"), ("app", "bad.py"), ("app", "web/c.js"), ("lib", "q.sql")}
     manifests = S.read_manifests(spark, str(root))
     result = SC.scan(files, manifests, scan_id="s1", ts=F.lit("2024-01-01").cast("timestamp"))
@@ -113,3 +113,38 @@ def test_user_rules(make_files):
     files = make_files(("a.py", "f(g(1))\n"))
     assert sorted(r.message for r in rules.hits(files, syntax_facts(files)).collect()) == ["f", "g"]
     assert rules.catalog(files.sparkSession).count() == 75
+
+
+def test_unusual_python_does_not_end_the_job(spark, make_files):
+    from pyspark.sql import functions as F
+
+    from siftmill.operators.facts import TOO_DEEP, syntax_facts
+
+    files = make_files(
+        ("surrogate.py", 'x = "\\ud800"\n'), ("integer.py", "x = 0x" + "f" * 6000 + "\n"), ("terms.py", "x = f()" + " + 1" * 1500 + "\n"),
+        ("calls.py", "x = a" + ".b()" * 600 + "\n"), ("subscripts.py", "x = a" + "[0]" * 600 + "\n"), ("deep.py", "x = " + "(" * 150 + "1" + ")" * 150 + "\n"),
+        ("nested.py", "x = " + "-" * 20000 + "1\n"),
+    )
+    facts = syntax_facts(files).groupBy("path").agg(F.count("*").alias("n"), F.max((F.col("node_type") == TOO_DEEP).cast("int")).alias("deep"), F.max("const_value").alias("value")).collect()
+    found = {r["path"]: r for r in facts}
+    assert found["surrogate.py"]["value"] == "\\ud800" and found["integer.py"]["value"] == "0x" + "f" * 6000
+    assert found["terms.py"]["n"] > 1500 and found["calls.py"]["n"] > 600 and found["subscripts.py"]["n"] > 600
+    assert found["nested.py"]["deep"] == 1 and found["nested.py"]["n"] == 1
+
+
+def test_tree_is_read_from_any_form_of_its_root(spark, tmp_path, monkeypatch):
+    from siftmill.sources.files import read_tree, skipped_files
+
+    (tmp_path / "c" / "proj" / "sub").mkdir(parents=True)
+    (tmp_path / "c" / "proj" / "sub" / "a.py").write_text("x = 1\n" * 200_000)
+    for root in (str(tmp_path / "c"), f"file://{tmp_path}/c", f"file:{tmp_path}/./c/"):
+        assert [(r["project_id"], r["path"]) for r in read_tree(spark, root).select("project_id", "path").collect()] == [("proj", "sub/a.py")]
+    assert read_tree(spark, str(tmp_path / "c"), max_kb=500).count() == 0 and skipped_files(spark, str(tmp_path / "c"), 500).count() == 1
+
+
+def test_package_json_keeps_the_last_of_a_key_and_no_nested_values(spark):
+    from siftmill.sources.manifests import package_json
+
+    text = '{"dependencies": {"a": "^1", "a": "2", "b": {"c": "3"}}}'
+    rows = package_json(spark.createDataFrame([("p", "package.json", text)], "project_id string, manifest string, text string")).collect()
+    assert [(r["name"], r["version"]) for r in rows] == [("a", "2")]
