@@ -17,6 +17,7 @@ from siftmill.operators.extensions import RuleSet
 from siftmill.operators.fact_rules import FACT_RULES, function_complexity, rule_facts
 from siftmill.operators.line_rules import FILE_RULES, LINE_RULES, LineRule, MagicNumberRule, text_rule_hits
 from siftmill.plans import findings as W, prompts, reports as R
+from siftmill.plans.scan import scan
 from siftmill.sources import files as S, manifests as MF
 from siftmill.streaming import history, scan_stream
 from siftmill.session import work_dir
@@ -577,19 +578,31 @@ add("t_dist", lambda s, d: R.chart_distribution(D.issues(s, d), "category"), f"{
 # -- unions, sinks ----------------------------------------------------------------------------------------------
 
 
-def _all_findings(spark: SparkSession, sf: str) -> DataFrame:
+def _every_file(spark: SparkSession, sf: str) -> DataFrame:
+    """The code corpus, and documents and pages read as JavaScript, SQL and C#."""
     files = D.corpus(spark, sf)
-    rule = FACT_RULES["CS003"]
-    rules = text_rule_hits(files, ["JSCS001"]).unionByName(rule.run(rule_facts(files, [rule])))
-    flows = taint.taint_hits(_flow_candidates(spark, sf))
-    found = deps.unused(MF.declared(D.manifests(spark, sf)), _third(spark, sf))
-    out = rules.unionByName(flows).unionByName(W.dependency_hits(found).select(*rules.columns))
-    return out.select("project_id", "file", "line", "rule_id", "message")
+    for language in ("javascript", "sql", "csharp"):
+        files = files.unionByName(D.prose(spark, sf, language))
+    return files
 
 
-add("u_all", _all_findings,
-    f"WITH {D.sql_labels(['CS003', 'JSCS001', 'TAINT001'])}, {_SQL_DECLARED}, {_SQL_THIRD.replace(D.sql_corpus(None) + ', ', '')} "
-    f"SELECT project_id, file, line, rule_id, message FROM expected UNION ALL SELECT project_id, file, 0, rule_id, package || ': ' || summary FROM ({_UNUSED})")
+def _whole_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All kinds of findings from one scan of all files, manifests and advisories."""
+    result = scan(_every_file(spark, sf), D.manifests(spark, sf), D.advisories(spark, sf))
+    return result.issues.select("project_id", "file", "line", "rule_id", "severity", "message")
+
+
+def _whole_scan_sql() -> str:
+    kinds = [*LINE_RULES, *FILE_RULES, *FACT_RULES, "TAINT001"]
+    single = [f"SELECT project_id, file, line, {q(r)} AS rule_id, message FROM ({ORACLE[r.lower()]})" for r in kinds]
+    severities = f"WITH {_catalog_values()} "
+    return (
+        f"{severities}SELECT project_id, file, CAST(line AS INTEGER) AS line, f.rule_id, c.severity, message FROM ({' UNION ALL '.join(single)}) f JOIN catalog c ON c.rule_id = f.rule_id "
+        f"UNION ALL SELECT project_id, file, 0, rule_id, severity, package || ': ' || summary FROM ({ORACLE['u_deps']})"
+    )
+
+
+add("u_all", _whole_scan, _whole_scan_sql())
 
 
 def _stored(name: str, rows: Callable[[SparkSession, str], DataFrame], columns: list[str]) -> Query:
@@ -624,25 +637,25 @@ add("k_scan", _stored("scans", _scan_record, _SCAN),
 
 def _csv(spark: SparkSession, sf: str) -> DataFrame:
     path = _fresh(spark, "csv")
-    W.export_csv(W.select_issues(D.issues(spark, sf), severity="critical"), path)
+    W.export_csv(D.issues(spark, sf), path)
     rows = spark.read.option("header", True).option("escape", '"').csv(path)
-    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in W.EXPORT_CSV])
+    return rows.select("project_id", *[F.coalesce(c, F.lit("")).alias(c) for c in W.EXPORT_CSV])
 
 
-_EXPORT = "file, CAST(line AS VARCHAR) AS line, rule_id, coalesce(rule_name, '') AS rule_name, severity, category, message, coalesce(suggestion, '') AS suggestion, coalesce(owasp_category, '') AS owasp_category"
-add("k_csv", _csv, f"{_I}SELECT {_EXPORT} FROM issues WHERE severity = 'CRITICAL'")
+_EXPORT = "project_id, file, CAST(line AS VARCHAR) AS line, rule_id, coalesce(rule_name, '') AS rule_name, severity, category, message, coalesce(suggestion, '') AS suggestion, coalesce(owasp_category, '') AS owasp_category"
+add("k_csv", _csv, f"{_I}SELECT {_EXPORT} FROM issues")
 
 
 def _json(spark: SparkSession, sf: str) -> DataFrame:
     path = _fresh(spark, "json")
-    W.export_json(W.select_issues(D.issues(spark, sf), category="security"), D.projects(spark, sf), path)
+    W.export_json(D.issues(spark, sf), D.projects(spark, sf), path)
     rows = spark.read.schema("project_id string, file string, line int, rule_id string, message string, code_snippet string").json(f"{path}/issues")
     totals = spark.read.schema("project struct<id:string,name:string>, total_issues bigint").json(f"{path}/header")
     return rows.join(totals.select(F.col("project.id").alias("project_id"), F.col("project.name").alias("name"), "total_issues"), "project_id")
 
 
 add("k_json", _json,
-    f"WITH {D.SQL_PROJECTS}, {D.SQL_ISSUES}, s AS (SELECT * FROM issues WHERE category = 'SECURITY') SELECT s.project_id, file, line, rule_id, message, code_snippet, name, count(*) OVER (PARTITION BY s.project_id) AS total_issues FROM s JOIN projects USING (project_id)")
+    f"WITH {D.SQL_PROJECTS}, {D.SQL_ISSUES}, s AS (SELECT * FROM issues) SELECT s.project_id, file, line, rule_id, message, code_snippet, name, count(*) OVER (PARTITION BY s.project_id) AS total_issues FROM s JOIN projects USING (project_id)")
 
 
 def _purge(spark: SparkSession, sf: str) -> DataFrame:

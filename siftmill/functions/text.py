@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -100,3 +101,30 @@ def token_volume(text: Column) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(r"(?U)[a-zA-Z_]\w*|[^\s\w]"), F.lit(0))
     total, kinds = F.size(tokens), F.size(F.array_distinct(tokens))
     return F.greatest(F.lit(1.0), total * F.log2(F.greatest(kinds, F.lit(1)).cast("double")))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running_sum(values: Column) -> Column:
+    """Sums of an integer array up to each element.
+
+    Appending copies an array, so sums run inside blocks of about the root of its length, then over the blocks.
+    """
+    none = F.array().cast("array<int>")
+
+    def within(block: Column) -> Column:
+        state = F.struct(F.lit(0).alias("sum"), none.alias("all"))
+        step = lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.array_append(acc["all"], acc["sum"] + x).alias("all"))
+        return F.aggregate(block, state, step, lambda acc: acc["all"])
+
+    def cut(given: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(given))).cast("int"), F.lit(1))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(given), F.lit(1)), width)
+        blocks = F.transform(starts, lambda s: within(F.slice(given, s, width)))
+        return let(blocks, lambda b: let(within(F.transform(b, lambda x: F.coalesce(F.try_element_at(x, F.lit(-1)), F.lit(0)))), lambda ends: F.flatten(
+            F.transform(b, lambda x, k: F.transform(x, lambda v: v + F.when(k > 0, F.get(ends, k - 1)).otherwise(0))))))
+
+    return let(values, cut)

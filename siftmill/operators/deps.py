@@ -7,6 +7,8 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.session import materialize
+
 # Install names whose import names differ. All others import under their own name.
 IMPORT_NAMES = {
     "pillow": ["PIL"],
@@ -117,7 +119,8 @@ def vulnerable(declared: DataFrame, advisories: DataFrame) -> DataFrame:
     )
 
 
-def dependency_findings(declared: DataFrame, imported: DataFrame, advisories: DataFrame) -> DataFrame:
-    return (
-        vulnerable(declared, advisories).select(*_DEP).unionByName(unused(declared, imported)).unionByName(undeclared(declared, imported))
-    )
+def dependency_findings(declared: DataFrame, imported: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
+    """All dependency findings; both inputs feed several branches, so each is worked out and written once."""
+    declared, imported = materialize(declared, "declared"), materialize(imported, "imported")
+    found = unused(declared, imported).unionByName(undeclared(declared, imported))
+    return found if advisories is None else found.unionByName(vulnerable(declared, advisories).select(*_DEP))

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import any_of, is_blank, match_lines, occurrences, snippet, split_lines, starts_trimmed, strip, uregex
+from siftmill.functions.text import any_of, is_blank, match_lines, occurrences, running_sum, snippet, split_lines, starts_trimmed, strip, uregex
 from siftmill.operators import line_patterns as P
 from siftmill.schemas import HIT_COLUMNS
 
@@ -139,26 +139,21 @@ def _routes_without_auth(text: Column, lines: Column) -> Column:
 
 
 def _empty_csharp_catch(text: Column, lines: Column) -> Column:
-    def empty(line: Column, n: Column) -> Column:
-        rest = F.slice(lines, n + 1, F.size(lines))
-        following = F.get(F.filter(rest, lambda x: ~is_blank(x)), F.lit(0))
-        return line.rlike(uregex(P.CS_CATCH)) & (strip(following) == "}")
-
-    return _numbered(lines, empty, lambda line, n: F.lit(P.MESSAGES["CS_SEC004"]))
+    """A catch whose next line that isn't blank closes it; of all lines only those that aren't blank are paired up."""
+    filled = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("x"))), lambda f: ~is_blank(f["x"]))
+    following = F.slice(filled, F.lit(2), F.greatest(F.size(filled), F.lit(1)))
+    pairs = F.zip_with(filled, following, lambda a, b: F.when(a["x"].rlike(uregex(P.CS_CATCH)) & (strip(b["x"]) == "}"), _hit(a["n"], P.MESSAGES["CS_SEC004"])))
+    return F.filter(pairs, lambda h: h.isNotNull())
 
 
 def _deep_braces(text: Column, lines: Column) -> Column:
     """Running brace depth over the file's own lines; comment lines neither count nor report."""
-    start = F.struct(F.lit(0).alias("depth"), F.array().cast(_HIT).alias("hits"), F.lit(0).alias("n"))
-
-    def step(acc: Column, line: Column) -> Column:
-        note = starts_trimmed(line, list(JS_NOTE))
-        depth = acc["depth"] + F.when(note, 0).otherwise(occurrences(line, "{") - occurrences(line, "}"))
-        text = F.concat(F.lit("Code nested "), depth.cast("string"), F.lit(" levels deep (max 4)."))
-        hits = F.when(~note & (depth > 4), F.array_append(acc["hits"], _hit(acc["n"] + 1, text))).otherwise(acc["hits"])
-        return F.struct(depth.alias("depth"), hits.alias("hits"), (acc["n"] + 1).alias("n"))
-
-    return F.aggregate(lines, start, step, lambda acc: acc["hits"])
+    note = lambda line: starts_trimmed(line, list(JS_NOTE))
+    depths = running_sum(F.transform(lines, lambda x: F.when(note(x), 0).otherwise(occurrences(x, "{") - occurrences(x, "}"))))
+    text = lambda depth: F.concat(F.lit("Code nested "), depth.cast("string"), F.lit(" levels deep (max 4)."))
+    at = F.zip_with(lines, depths, lambda line, d: F.when((d > 4) & ~note(line), d))
+    hits = F.transform(at, lambda d, i: F.when(d.isNotNull(), _hit(i + 1, text(d))))
+    return F.filter(hits, lambda h: h.isNotNull())
 
 
 def _long_functions(text: Column, lines: Column) -> Column:
@@ -231,9 +226,6 @@ LINE_RULES = {r.rule_id: r for r in _line_rules()}
 FILE_RULES = {r.rule_id: r for r in _file_rules()}
 TEXT_RULE_IDS = sorted(LINE_RULES) + sorted(FILE_RULES)
 
-# Text rules that run for Python run only on files that parse.
-_PYTHON_TEXT_RULES = {"SEC003", "SEC011", "SEC012", "SEC013"}
-
 
 def _gate(text: Column, rule: LineRule | FileRule) -> Column:
     return text.rlike(any_of(rule.gate)) if rule.gate else F.lit(True)
@@ -284,12 +276,12 @@ def rule_hits(files: DataFrame, language: str, rules: list[LineRule | FileRule],
 
 
 def text_rule_hits(
-    files: DataFrame, rule_ids: list[str] | None = None, python_parsed: bool = False, snippets: bool = False
+    files: DataFrame, rule_ids: list[str] | None = None, parsed: DataFrame | None = None, snippets: bool = False
 ) -> DataFrame:
     """All hits of the text rules (or some of them), one branch per language.
 
-    ``python_parsed`` says that the Python files given are known to parse; otherwise files that raise a
-    gate are parsed before their hits count.
+    Hits in Python count in files that parse. ``parsed`` (project_id, file) names these where they are known, so that
+    only hits meet them; otherwise files that raise a gate are parsed here.
     """
     wanted = TEXT_RULE_IDS if rule_ids is None else rule_ids
     every = [LINE_RULES.get(i) or FILE_RULES[i] for i in wanted]
@@ -299,12 +291,13 @@ def text_rule_hits(
         if not rules:
             continue
         source = files
-        if language == "python" and not python_parsed:
+        if language == "python" and parsed is None:
             from siftmill.operators.facts import parses
 
             opened = _disjunction([_gate(F.col("text"), r) for r in rules])
             source = files.filter(F.col("language") == "python").filter(opened).filter(parses(F.col("text")))
-        branches.append(rule_hits(source, language, rules, snippets))
+        hits = rule_hits(source, language, rules, snippets)
+        branches.append(hits.join(parsed, ["project_id", "file"], "left_semi") if language == "python" and parsed is not None else hits)
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b)

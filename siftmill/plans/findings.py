@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import snippet, split_lines
@@ -12,8 +12,6 @@ from siftmill.session import materialize
 
 # Page sizes and the severity ranks.
 DEFAULT_PAGE, MAX_PAGE = 50, 200
-# A page within this many leading rows is a top-k; later pages go through a ranked table.
-TOP_ROWS = 20_000
 BUCKETS = 32
 
 EXPORT_CSV = ["file", "line", "rule_id", "rule_name", "severity", "category", "message", "suggestion", "owasp_category"]
@@ -151,22 +149,31 @@ def ranked(issues: DataFrame, by_rank: bool = False) -> DataFrame:
         "*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("at")
     )
     stored = materialize(ordered, "ranked-issues")
-    sizes = stored.groupBy("part").count()
-    before = sizes.alias("a").join(F.broadcast(sizes.alias("b")), F.col("b.part") < F.col("a.part"), "left").groupBy(F.col("a.part").alias("part")).agg(
-        F.coalesce(F.sum("b.count"), F.lit(0)).alias("before")
+    # One row per partition, so a running sum over them is small however long the list is.
+    before = stored.groupBy("part").count().select(
+        "part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
     )
-    return stored.join(F.broadcast(before), "part").withColumn("position", F.col("before") + F.col("at")).drop("part", "at", "before")
+    return stored.join(before, "part").withColumn("position", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
+def _checked(per_page: int) -> int:
+    if not 1 <= per_page <= MAX_PAGE:
+        raise ValueError(f"per_page must be within 1..{MAX_PAGE}")
+    return per_page
 
 
 def issue_page(issues: DataFrame, page: int = 1, per_page: int = DEFAULT_PAGE, by_rank: bool = False) -> DataFrame:
-    """One page in list order. Leading pages are a top-k; deep pages are cut out of the ranked table."""
-    if page < 1 or not 1 <= per_page <= MAX_PAGE:
-        raise ValueError(f"page must be >= 1 and per_page within 1..{MAX_PAGE}")
-    skip = (page - 1) * per_page
-    if skip + per_page <= TOP_ROWS:
-        return by_severity_text(issues, by_rank).offset(skip).limit(per_page)
-    rows = ranked(issues, by_rank).filter((F.col("position") >= skip) & (F.col("position") < skip + per_page))
-    return by_severity_text(rows.drop("position"), by_rank)
+    """One page in list order, by number. To walk on from a page that is at hand, ``issues_after`` skips nothing."""
+    if page < 1:
+        raise ValueError("page must be >= 1")
+    return by_severity_text(issues, by_rank).offset((page - 1) * _checked(per_page)).limit(per_page)
+
+
+def issues_after(issues: DataFrame, severity: str, ts: object, issue_id: str, per_page: int = DEFAULT_PAGE, by_rank: bool = False) -> DataFrame:
+    """The page that follows an issue in list order: a filter and a top-k at any depth."""
+    first = (severity_rank(F.col("severity")), severity_rank(F.lit(severity))) if by_rank else (F.col("severity"), F.lit(severity))
+    later = (first[0] < first[1]) | ((first[0] == first[1]) & ((F.col("ts") < F.lit(ts)) | ((F.col("ts") == F.lit(ts)) & (F.col("issue_id") > issue_id))))
+    return by_severity_text(issues.filter(later), by_rank).limit(_checked(per_page))
 
 
 def issue_total(issues: DataFrame) -> DataFrame:
@@ -215,7 +222,7 @@ def purge(spark: SparkSession, tables: dict[str, str], removed: DataFrame, targe
 
 
 def csv_rows(issues: DataFrame) -> DataFrame:
-    """The nine exported columns; absent names, suggestions and labels become ''."""
+    """The project and the nine exported columns; absent names, suggestions and labels become ''."""
     optional = {"rule_name", "suggestion", "owasp_category"}
     return issues.select("project_id", *[F.coalesce(c, F.lit("")).alias(c) if c in optional else F.col(c) for c in EXPORT_CSV])
 
@@ -223,7 +230,7 @@ def csv_rows(issues: DataFrame) -> DataFrame:
 def export_csv(issues: DataFrame, path: str) -> None:
     """Severity-ordered CSV parts with a header; part files in name order hold the whole order."""
     rows = issues.orderBy(F.col("severity").desc(), "file", "line", "rule_id", "issue_id")
-    csv_rows(rows).drop("project_id").write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
+    csv_rows(rows).write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 
 def json_rows(issues: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftmill.functions.text import split_lines
 from siftmill.operators import clones, deps, metrics
 from siftmill.operators.catalog import rule_catalog
+from siftmill.operators.extensions import RuleSet
 from siftmill.operators.fact_rules import FACT_RULES, fact_rule_hits
 from siftmill.operators.facts import imports, syntax_facts
 from siftmill.operators.line_rules import text_rule_hits
@@ -49,23 +50,30 @@ def python_hits(files: DataFrame, facts: DataFrame) -> DataFrame:
     )
 
 
+def file_hits(files: DataFrame, facts: DataFrame) -> DataFrame:
+    """Hits of all single-file kinds; which Python files parse is read off the facts."""
+    parsed = facts.filter(F.col("node_type") == "Module").select("project_id", F.col("path").alias("file"))
+    text = text_rule_hits(files, parsed=parsed, snippets=True)
+    return text.unionByName(python_hits(files, facts).select(*text.columns))
+
+
 def scan(files: DataFrame, manifests: DataFrame | None = None, advisories: DataFrame | None = None, scan_id: str = "scan",
-         ts: Column | None = None) -> Scan:
-    """Run everything over ``files`` (project_id, path, language, text) and, if given, the projects' manifests."""
+         ts: Column | None = None, rules: RuleSet | None = None) -> Scan:
+    """Run everything over ``files`` (project_id, path, language, text) and, if given, the projects' manifests and own rules."""
     spark = files.sparkSession
     ts = ts if ts is not None else F.current_timestamp()
     facts = facts_of(files)
-    text = text_rule_hits(files, snippets=True)
-    hits = text.unionByName(python_hits(files, facts).select(*text.columns)).withColumn("found_severity", F.lit(None).cast("string"))
+    hits = file_hits(files, facts).withColumn("found_severity", F.lit(None).cast("string"))
+    if rules is not None:
+        own = findings.attach_snippets(rules.hits(files, facts), files)
+        hits = hits.unionByName(own.withColumn("found_severity", F.lit(None).cast("string")).select(*hits.columns))
     if manifests is not None:
         wanted = declared(manifests)
         roots = deps.third_party(deps.import_roots(imports(facts)), deps.standard_modules(spark))
-        found = deps.unused(wanted, roots).unionByName(deps.undeclared(wanted, roots))
-        if advisories is not None:
-            found = found.unionByName(deps.vulnerable(wanted, advisories).select(*found.columns))
+        found = deps.dependency_findings(wanted, roots, advisories)
         hits = hits.unionByName(findings.dependency_hits(found).select(*hits.columns))
     # Hits are sparse: written once, they keep the long rule plans apart from the grouping that follows.
-    issues = findings.to_issues(materialize(hits, "hits"), rule_catalog(spark), scan_id, ts)
+    issues = findings.to_issues(materialize(hits, "hits"), rule_catalog(spark) if rules is None else rules.catalog(spark), scan_id, ts)
     measured = metrics.python_metrics(files, facts).unionByName(metrics.javascript_metrics(files))
     groups = clones.clone_groups(files)
     return Scan(files, issues, measured, groups, facts)

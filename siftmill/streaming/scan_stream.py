@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from siftmill.operators.catalog import rule_catalog
 from siftmill.operators.line_rules import text_rule_hits
 from siftmill.plans import findings
-from siftmill.plans.scan import facts_of, python_hits
+from siftmill.plans.scan import facts_of, file_hits
 from siftmill.session import materialize
 
 
@@ -34,9 +34,7 @@ def start_full_scan(files: DataFrame, target: str, checkpoint: str) -> Streaming
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        facts = facts_of(batch)
-        hits = text_rule_hits(batch, snippets=True)
-        hits = hits.unionByName(python_hits(batch, facts).select(*hits.columns))
+        hits = file_hits(batch, facts_of(batch))
         issues = findings.to_issues(materialize(hits, "hits"), rule_catalog(batch.sparkSession), f"stream-{number}", F.current_timestamp())
         issues.write.mode("overwrite").parquet(f"{target}/batch={number}")
 

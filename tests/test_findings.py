@@ -19,15 +19,16 @@ def issues(spark, n=230):
         F.timestamp_seconds(F.lit(1_700_000_000) + (i % 7)).alias("ts"))
 
 
-def test_pages_together_are_the_whole_list(spark, monkeypatch):
+def test_pages_together_are_the_whole_list(spark):
     rows = issues(spark)
     whole = [r.issue_id for r in W.by_severity_text(rows).collect()]
     assert W.by_severity_text(rows).first().severity == "MINOR" and W.by_severity_text(rows, by_rank=True).first().severity == "BLOCKER"
     pages = [[r.issue_id for r in W.issue_page(rows, p, 50).collect()] for p in range(1, 7)]
     assert sum(pages, []) == whole and [len(p) for p in pages] == [50, 50, 50, 50, 30, 0]
-    monkeypatch.setattr(W, "TOP_ROWS", 60)
-    assert [r.issue_id for r in W.issue_page(rows, 4, 50).collect()] == pages[3]
-    monkeypatch.undo()
+    for by_rank in (False, True):
+        listed = W.by_severity_text(rows, by_rank).collect()
+        last = listed[129]
+        assert W.issues_after(rows, last.severity, last.ts, last.issue_id, 60, by_rank).collect() == listed[130:190]
     ranked = {r.issue_id: r.position for r in W.ranked(rows.repartition(5)).collect()}
     assert [k for k, _ in sorted(ranked.items(), key=lambda x: x[1])] == whole and set(ranked.values()) == set(range(230))
 
