@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import occurrences, split_lines, strip, uregex
+from siftmill.functions.text import let, occurrences, running_sum, split_lines, strip, uregex
 from siftmill.operators import line_patterns as P
 
+# Fixed value: lines of a function body that its metrics see, unless more are asked for.
+METRIC_LINES = 200
+
 
 def _first_group(line: Column, patterns: list[str], excluded: list[str] | None = None) -> Column:
     """Group 1 of the first pattern (in order) that matches with a name not excluded; '' when none does."""
@@ -25,23 +30,47 @@ def function_name(line: Column) -> Column:
     return _first_group(line, P.JS_FUNCTIONS)
 
 
-def braced_length(delta: Column, start: Column, limit: Column, unclosed: Column) -> Column:
+def brace_index(delta: Column) -> Column:
+    """Depth after each line (``delta``: net braces per line), and the highest and lowest depth of blocks of ``width`` lines.
+
+    Searches skip whole blocks by these, so looking for the end of every function of a file isn't quadratic in its lines.
+    """
+
+    def indexed(depths: Column, width: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(depths), F.lit(1)), width)
+        return F.struct(
+            depths.alias("depths"), width.alias("width"),
+            F.transform(starts, lambda s: F.array_max(F.slice(depths, s, width))).alias("highs"),
+            F.transform(starts, lambda s: F.array_min(F.slice(depths, s, width))).alias("lows"),
+        )
+
+    width = lambda d: F.greatest(F.ceil(F.sqrt(F.size(d))).cast("int"), F.lit(1))
+    return let(running_sum(delta), lambda d: let(width(d), lambda w: indexed(d, w)))
+
+
+def _first_from(index: Column, extremes: str, start: Column, test: Callable[[Column], Column]) -> Column:
+    """First line from ``start`` (1-based) on whose depth passes ``test``, 0 if none; a block whose extreme fails holds none."""
+    depths, width = index["depths"], index["width"]
+    place = lambda values: F.array_position(F.transform(values, test), F.lit(True)).cast("int")
+    block = F.floor((start - 1) / width).cast("int")
+    here = place(F.slice(depths, start, (block + 1) * width - start + 1))
+    later = place(F.slice(index[extremes], block + 2, F.size(index[extremes])))
+    there = let(later, lambda n: F.when(n > 0, let((block + n) * width, lambda before: before + place(F.slice(depths, before + 1, width)))).otherwise(0))
+    return let(here, lambda n: F.when(n > 0, start + n - 1).otherwise(there))
+
+
+def braced_length(index: Column, start: Column, limit: Column, unclosed: Column) -> Column:
     """Lines from ``start`` (1-based) to where the braces opened since then are closed again.
 
-    ``delta`` is the net brace count per line. When they never close within ``limit`` lines the length is
-    ``unclosed``.
+    ``index`` is the file's ``brace_index``. When they never close within ``limit`` lines the length is ``unclosed``.
     """
-    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("open"), F.lit(0).alias("n"), F.lit(0).alias("end"))
 
-    def step(acc: Column, d: Column) -> Column:
-        depth = acc["depth"] + d
-        opened = acc["open"] | (depth > 0)
-        n = acc["n"] + 1
-        end = F.when((acc["end"] == 0) & opened & (depth <= 0), n).otherwise(acc["end"])
-        return F.struct(depth.alias("depth"), opened.alias("open"), n.alias("n"), end.alias("end"))
+    def ended(base: Column) -> Column:
+        opened = _first_from(index, "highs", start, lambda d: d > base)
+        closed = let(opened, lambda n: F.when(n > 0, _first_from(index, "lows", n, lambda d: d <= base)).otherwise(0))
+        return let(closed, lambda n: F.when((n > 0) & (n - start < limit), n - start + 1).otherwise(unclosed))
 
-    window = F.slice(delta, start, F.least(limit, F.size(delta) - start + 1))
-    return F.aggregate(window, state, step, lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(unclosed))
+    return let(F.when(start > 1, F.get(index["depths"], start - 2)).otherwise(0), ended)
 
 
 def _js_lines(files: DataFrame) -> DataFrame:
@@ -98,12 +127,12 @@ def decision_count(body: Column) -> Column:
     return total
 
 
-def js_function_metrics(files: DataFrame) -> DataFrame:
-    """(project_id, file, line, name, length, complexity) per function start; bodies end after 200 lines at most."""
+def js_function_metrics(files: DataFrame, most_lines: int | None = METRIC_LINES) -> DataFrame:
+    """(project_id, file, line, name, length, complexity) per function start; bodies end after ``most_lines`` (None: never)."""
     js = files.filter(F.col("language") == "javascript").select(
         "project_id", "path", split_lines(F.col("text")).alias("lines")
     )
-    rows = js.withColumn("delta", F.transform("lines", lambda x: occurrences(x, "{") - occurrences(x, "}")))
+    rows = js.withColumn("braces", brace_index(F.transform("lines", lambda x: occurrences(x, "{") - occurrences(x, "}"))))
     named = F.filter(
         F.transform(
             "lines",
@@ -113,12 +142,12 @@ def js_function_metrics(files: DataFrame) -> DataFrame:
         ),
         lambda f: f["name"] != "",
     )
-    cap = F.lit(200)
+    cap = F.size("lines") if most_lines is None else F.lit(most_lines)
     sized = F.transform(
         F.col("starts"),
         lambda f: F.struct(
             f["line"].alias("line"), f["name"].alias("name"),
-            braced_length(F.col("delta"), f["line"], cap, F.least(cap, F.size("delta") - f["line"] + 1)).alias("length"),
+            braced_length(F.col("braces"), f["line"], cap, F.least(cap, F.size("lines") - f["line"] + 1)).alias("length"),
         ),
     )
     measured = F.transform(

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import any_of, is_blank, match_lines, occurrences, running_sum, snippet, split_lines, starts_trimmed, strip, uregex
+from siftmill.functions.text import any_of, is_blank, let, match_lines, occurrences, running_sum, snippet, split_lines, starts_trimmed, strip, uregex
 from siftmill.operators import line_patterns as P
 from siftmill.schemas import HIT_COLUMNS
 
@@ -157,19 +157,16 @@ def _deep_braces(text: Column, lines: Column) -> Column:
 
 
 def _long_functions(text: Column, lines: Column) -> Column:
-    from siftmill.operators.js_facts import braced_length, function_name
+    from siftmill.operators.js_facts import brace_index, braced_length, function_name
 
-    delta = F.transform(lines, lambda x: occurrences(x, "{") - occurrences(x, "}"))
+    def found(braces: Column, line: Column, i: Column) -> Column:
+        length = braced_length(braces, i + 1, F.size(lines), unclosed=F.lit(1))
+        text = lambda n: F.concat(
+            F.lit("Function '"), function_name(line), F.lit("' is approximately "), n.cast("string"), F.lit(" lines long (max 50)."))
+        return F.when(function_name(line) != "", let(length, lambda n: F.when(n > 50, _hit(i + 1, text(n)))))
 
-    def found(line: Column, i: Column) -> Column:
-        length = braced_length(delta, i + 1, F.size(delta), unclosed=F.lit(1))
-        text = F.concat(
-            F.lit("Function '"), function_name(line), F.lit("' is approximately "), length.cast("string"),
-            F.lit(" lines long (max 50)."),
-        )
-        return F.when((function_name(line) != "") & (length > 50), _hit(i + 1, text))
-
-    return F.filter(F.transform(lines, found), lambda h: h.isNotNull())
+    braces = brace_index(F.transform(lines, lambda x: occurrences(x, "{") - occurrences(x, "}")))
+    return let(braces, lambda b: F.filter(F.transform(lines, lambda x, i: found(b, x, i)), lambda h: h.isNotNull()))
 
 
 def _empty_js_catch(text: Column, lines: Column) -> Column:

@@ -81,7 +81,7 @@ def test_store_export_and_purge(spark, tmp_path):
     assert W.read_table(spark, out["issues"]).count() == rows.filter("project_id <> 'p2'").count()
     W.export_csv(rows, str(tmp_path / "csv"))
     csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
-    assert csv.columns == W.EXPORT_CSV and csv.count() == 230
+    assert csv.columns == ["project_id", *W.EXPORT_CSV] and csv.count() == 230
     assert csv.filter("rule_name = 'name, \"quoted\"'").count() == rows.filter("rule_name is not null").count()
     projects = spark.createDataFrame([("p0", "zero", "python"), ("p9", "none", None)], "project_id string, name string, language string")
     W.export_json(rows, projects, str(tmp_path / "json"))
@@ -103,3 +103,16 @@ def test_prompt_text(spark):
     row = issues(spark, 1).withColumn("code_snippet", F.lit(None).cast("string"))
     text = prompts.prompts(row).first().prompt
     assert "Rule     : SEC003 — \n" in text and "Message  : SQL Unsanitized Input\n" in text and "Standard : A03:2021\n" in text and "(not available)" in text
+
+
+def test_user_rules_take_part_in_a_scan(spark, make_files):
+    from siftmill.operators.extensions import RuleSet
+    from siftmill.operators.line_rules import LineRule
+    from siftmill.plans.scan import scan
+
+    rules = RuleSet()
+    rules.register_pattern(("USR001", "Marks", "INFO", "CODE_SMELL", None, ["javascript"], "Marks."), LineRule("USR001", ("javascript",), [("@@@", "Marks.")], "Remove them.", ["@@@"]))
+    files = make_files(("a.js", "var x = 1;\n@@@"), ("b.py", "password = 'hunter2hunter2'\n"), ("c.py", "password = 'hunter2hunter2'\n)("))
+    found = {(r.file, r.rule_id, r.severity): r.code_snippet for r in scan(files, rules=rules).issues.collect()}
+    assert found["a.js", "USR001", "INFO"].endswith(">>> 2: @@@") and ("a.js", "JSCS002", "MINOR") in {k[:2] + ("MINOR",) for k in found}
+    assert "b.py" in {k[0] for k in found if k[1] == "SEC003"} and "c.py" not in {k[0] for k in found}

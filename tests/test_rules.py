@@ -115,3 +115,50 @@ def test_catalogue_is_complete(spark):
     assert set(ids) == set(LINE_RULES) | set(FILE_RULES) | set(FACT_RULES) | {"TAINT001", "DEP001", "DEP002", "DEP003"}
     row = rules_summary(rule_catalog(spark)).filter("rule_id = 'SEC003'").first()
     assert row.languages == "python, javascript" and row.owasp_category.startswith("A07:2021-")
+
+
+def _brace_lines(seed, n):
+    import random
+
+    rng = random.Random(seed)
+    kinds = ["function f%d() {", "{", "}", "x();", "if (a) { b(); }", "// {", "} else {", "}}", "const g%d = () => {"]
+    return [k % i if "%d" in k else k for i, k in enumerate(rng.choices(kinds, k=n))]
+
+
+def test_braces_equal_a_plain_walk(spark, make_files):
+    for seed, n in [(1, 1), (2, 7), (3, 400), (4, 901)]:
+        lines = _brace_lines(seed, n)
+        depth, deep = 0, []
+        for i, line in enumerate(lines, 1):
+            if not line.strip().startswith(("//", "*")):
+                depth += line.count("{") - line.count("}")
+                if depth > 4:
+                    deep.append(i)
+        long_ = []
+        for i, line in enumerate(lines):
+            if line.startswith(("function", "const")):
+                depth, opened = 0, False
+                for k, other in enumerate(lines[i:], 1):
+                    depth += other.count("{") - other.count("}")
+                    opened |= depth > 0
+                    if opened and depth <= 0:
+                        if k > 50:
+                            long_.append((i + 1, k))
+                        break
+        hits = text_rule_hits(make_files(("a.js", "\n".join(lines))), ["JSCS001", "JSCS008"]).collect()
+        assert sorted(h.line for h in hits if h.rule_id == "JSCS008") == deep
+        assert sorted((h.line, int(h.message.split(" approximately ")[1].split()[0])) for h in hits if h.rule_id == "JSCS001") == long_
+
+
+def test_one_large_file_is_no_quadratic_work(make_files):
+    import time
+
+    def seconds(n):
+        text = "\n".join(["function f() {", "{", "try { a(); } catch (e)", "{"] * (n // 4))
+        files = make_files(("a.js", text), ("b.cs", "catch (Exception e) {\n\n}\n" * (n // 3)))
+        start = time.perf_counter()
+        assert text_rule_hits(files, ["JSCS001", "JSCS008", "CS_SEC004"]).count() > n // 3
+        return time.perf_counter() - start
+
+    seconds(2_000)
+    assert seconds(40_000) < 3 * seconds(20_000) + 2
