@@ -1,13 +1,15 @@
-"""Detectors over syntax facts. A rule maps the facts DataFrame to hits; most are filters on single rows.
+"""Detectors over syntax facts. Most rules look at one row: they are a column, the array of findings of that row.
 
-Each rule names the node types it reads, so that a single rule ships only those rows from the parser. Rules that
-relate many nodes group by (project, file) or finer: a group never exceeds one file.
+Any number of them run in one pass over the facts. Each rule names the node types it reads, so that a single rule ships
+only those rows from the parser. Rules that relate many nodes map the facts to hits and group by (project, file) or
+finer: a group never exceeds one file.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,202 +66,212 @@ TERMINATORS = ["Return", "Raise", "Break", "Continue"]
 LOOP_TYPES = ["For", "While"]
 
 
+_FOUND = "array<struct<line:int,column:int,message:string,suggestion:string>>"
+
+
 @dataclass(frozen=True)
 class FactRule:
+    """``detect`` gives the findings of a facts row or, where ``grouped``, maps the facts to hits."""
+
     rule_id: str
     node_types: tuple[str, ...]
-    run: Callable[[DataFrame], DataFrame]
+    detect: Callable[..., Column | DataFrame]
     gate: tuple[str, ...]
     ancestors: bool = False
     children: bool = False
     in_strings: bool = False
+    grouped: bool = False
+
+    def run(self, facts: DataFrame) -> DataFrame:
+        return self.detect(facts) if self.grouped else row_hits(facts, [self])
+
+
+def _text(value: Column | str) -> Column:
+    return F.lit(value) if isinstance(value, str) else value
 
 
-def _hits(rows: DataFrame, rule_id: str, message: Column | str, suggestion: Column | str,
-          line: str = "lineno", column: str | None = "col", path: str = "path") -> DataFrame:
-    text = lambda v: F.lit(v) if isinstance(v, str) else v
+def _hits(rows: DataFrame, rule_id: str, message: Column | str, suggestion: Column | str) -> DataFrame:
+    """Hits of a grouped rule, at the start of a line."""
     return rows.select(
-        "project_id", F.col(path).alias("file"), F.col(line).cast("int").alias("line"),
-        (F.col(column) if column else F.lit(0)).cast("int").alias("column"),
-        F.lit(rule_id).alias("rule_id"), text(message).alias("message"), text(suggestion).alias("suggestion"),
+        "project_id", F.col("path").alias("file"), F.col("lineno").cast("int").alias("line"), F.lit(0).alias("column"),
+        F.lit(rule_id).alias("rule_id"), _text(message).alias("message"), _text(suggestion).alias("suggestion"),
     )
 
 
 def _say(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    return F.concat(*[_text(p) for p in parts])
 
 
-_FOUND = "array<struct<message:string,suggestion:string>>"
+def _on_line(message: Column | str, suggestion: Column | str, line: Column | None = None, column: Column | None = None) -> Column:
+    """A finding at the start of the node's line, or of ``line``."""
+    return F.struct(
+        (F.col("lineno") if line is None else line).cast("int").alias("line"), (F.lit(0) if column is None else column).cast("int").alias("column"),
+        _text(message).alias("message"), _text(suggestion).alias("suggestion"),
+    )
 
 
-def _found(message: Column | str, suggestion: Column | str) -> Column:
-    text = lambda v: F.lit(v) if isinstance(v, str) else v
-    return F.struct(text(message).alias("message"), text(suggestion).alias("suggestion"))
+def _at(message: Column | str, suggestion: Column | str) -> Column:
+    """A finding at the place of the node."""
+    return _on_line(message, suggestion, column=F.col("col"))
 
 
-def _if(test: Column, message: Column | str, suggestion: Column | str) -> Column:
+def _if(test: Column, finding: Column) -> Column:
     """One finding where ``test`` holds."""
-    return F.when(test, F.array(_found(message, suggestion))).otherwise(F.array().cast(_FOUND))
+    return F.when(test, F.array(finding)).otherwise(F.array().cast(_FOUND))
 
 
-def _for_each(test: Column, items: Column, message: Callable[[Column], Column | str], suggestion: Column | str) -> Column:
+def _for_each(test: Column, items: Column, finding: Callable[[Column], Column]) -> Column:
     """One finding per item where ``test`` holds."""
-    return F.coalesce(F.when(test, F.transform(items, lambda c: _found(message(c), suggestion))), F.array().cast(_FOUND))
+    return F.coalesce(F.when(test, F.transform(items, finding)), F.array().cast(_FOUND))
 
 
-def _any_of(rows: DataFrame, rule_id: str, found: list[Column], line: Column | None = None, column: Column | None = None) -> DataFrame:
-    """Several tests of one rule in one pass over the facts."""
-    return rows.select(
-        "project_id", F.col("path").alias("file"), (F.col("lineno") if line is None else line).cast("int").alias("line"),
-        (F.lit(0) if column is None else column).cast("int").alias("column"), F.lit(rule_id).alias("rule_id"), F.explode(F.concat(*found)).alias("f"),
-    ).select("project_id", "file", "line", "column", "rule_id", "f.message", "f.suggestion")
+def _with(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where the body reads it per item."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _of(facts: DataFrame, *types: str) -> DataFrame:
     return facts.filter(F.col("node_type").isin(*types))
 
 
-def _union(first: DataFrame, *rest: DataFrame) -> DataFrame:
-    for other in rest:
-        first = first.unionByName(other)
-    return first
-
-
 def _enclosing(types: list[str]) -> Column:
-    """Ancestors of the given types; exploding them gives one row per enclosing node."""
+    """Ancestors of the given types, one item per enclosing node."""
     return F.filter("ancestors", lambda a: a["type"].isin(types))
 
 
+def _parent() -> Column:
+    return F.try_element_at("ancestors", F.lit(-1))
+
+
 def _string_child(c: Column) -> Column:
     return (c["type"] == "Expr") & (c["vconst_kind"] == "str")
 
 
-def sql_text(facts: DataFrame) -> DataFrame:
+def sql_text() -> Column:
     words, advice, say = uregex(SQL_WORDS, True), "Use parameterized queries instead of ", "Potential SQL injection via "
     kind = F.col("node_type")
     left = F.exists("children", lambda c: (c["field"] == "left") & (c["const_kind"] == "str") & c["const_value"].rlike(words))
     receiver = F.exists("children", lambda c: (c["field"] == "func") & (c["type"] == "Attribute") & (c["name"] == "format")
                         & (c["vconst_kind"] == "str") & c["vconst_value"].rlike(words))
-    return _any_of(_of(facts, "JoinedStr", "BinOp", "Call"), "SEC001", [
-        _if((kind == "JoinedStr") & F.col("seg").rlike(words), say + "f-string formatting.", advice + "string formatting."),
-        _if((kind == "BinOp") & (F.col("op") == "Mod") & left, say + "% string formatting.", advice + "% formatting."),
-        _if((kind == "Call") & receiver, say + ".format() string formatting.", advice + ".format()."),
-    ], column=F.col("col"))
+    return F.concat(
+        _if((kind == "JoinedStr") & F.col("seg").rlike(words), _at(say + "f-string formatting.", advice + "string formatting.")),
+        _if((kind == "BinOp") & (F.col("op") == "Mod") & left, _at(say + "% string formatting.", advice + "% formatting.")),
+        _if((kind == "Call") & receiver, _at(say + ".format() string formatting.", advice + ".format().")),
+    )
 
 
-def command_calls(facts: DataFrame) -> DataFrame:
+def command_calls() -> Column:
     name = F.col("dotted")
     shell = F.filter(
         "children",
         lambda c: (c["field"] == "keywords") & (c["name"] == "shell") & (c["vconst_kind"] == "bool") & (c["vconst_value"] == "True"),
     )
-    return _any_of(_of(facts, "Call"), "SEC002", [
-        _if(F.substring_index(name, ".", -1).isin(SHELL_NAMES), _say("Dangerous function call: ", name, "() can lead to OS command injection."),
-            "Use subprocess.run() with a list of arguments and shell=False."),
-        _if(name.isin(CODE_CALLS), _say("Use of ", name, "() detected — potential code injection risk."),
-            _say("Avoid ", name, "(). Use safer alternatives like ast.literal_eval() for eval.")),
-        _for_each(name.isin(SUBPROCESS_CALLS), shell, lambda c: _say(name, "() called with shell=True — command injection risk."),
-                  "Use shell=False and pass arguments as a list."),
-    ], column=F.col("col"))
-
-
-def unsafe_loads(facts: DataFrame) -> DataFrame:
-    calls, name = _of(facts, "Call"), F.col("dotted")
+    return F.concat(
+        _if(F.substring_index(name, ".", -1).isin(SHELL_NAMES),
+            _at(_say("Dangerous function call: ", name, "() can lead to OS command injection."),
+                "Use subprocess.run() with a list of arguments and shell=False.")),
+        _if(name.isin(CODE_CALLS),
+            _at(_say("Use of ", name, "() detected — potential code injection risk."),
+                _say("Avoid ", name, "(). Use safer alternatives like ast.literal_eval() for eval."))),
+        _for_each(name.isin(SUBPROCESS_CALLS), shell,
+                  lambda c: _at(_say(name, "() called with shell=True — command injection risk."), "Use shell=False and pass arguments as a list.")),
+    )
+
+
+def unsafe_loads() -> Column:
+    name = F.col("dotted")
     safe = F.exists("children", lambda c: (c["field"] == "keywords") & (c["name"] == "Loader")
                     & (c["vtype"] == "Attribute") & (c["vname"] == "SafeLoader"))
-    return _any_of(calls, "SEC004", [
-        _if(name.isin(UNSAFE_LOADS), _say("Insecure deserialization via ", name, "()."),
-            "Use JSON or other safe serialization formats. If pickle is required, validate the source."),
-        _if((name == "yaml.load") & ~safe, "yaml.load() without SafeLoader — potential arbitrary code execution.",
-            "Use yaml.safe_load() or pass Loader=yaml.SafeLoader."),
-    ], column=F.col("col"))
+    return F.concat(
+        _if(name.isin(UNSAFE_LOADS),
+            _at(_say("Insecure deserialization via ", name, "()."),
+                "Use JSON or other safe serialization formats. If pickle is required, validate the source.")),
+        _if((name == "yaml.load") & ~safe,
+            _at("yaml.load() without SafeLoader — potential arbitrary code execution.", "Use yaml.safe_load() or pass Loader=yaml.SafeLoader.")),
+    )
 
 
-def weak_crypto(facts: DataFrame) -> DataFrame:
+def weak_crypto() -> Column:
     name = F.col("dotted")
-    return _any_of(_of(facts, "Call"), "SEC005", [
-        _if(name.isin(WEAK_HASHES), _say("Weak hash algorithm: ", name, "() is not collision-resistant."),
-            "Use hashlib.sha256() or hashlib.sha3_256() for security-critical hashing."),
-        _if(name.isin(WEAK_RANDOM), _say(name, "() is not cryptographically secure."),
-            "Use secrets module (secrets.token_hex(), secrets.randbelow()) for security-sensitive randomness."),
-    ], column=F.col("col"))
+    return F.concat(
+        _if(name.isin(WEAK_HASHES),
+            _at(_say("Weak hash algorithm: ", name, "() is not collision-resistant."),
+                "Use hashlib.sha256() or hashlib.sha3_256() for security-critical hashing.")),
+        _if(name.isin(WEAK_RANDOM),
+            _at(_say(name, "() is not cryptographically secure."),
+                "Use secrets module (secrets.token_hex(), secrets.randbelow()) for security-sensitive randomness.")),
+    )
 
 
-def variable_urls(facts: DataFrame) -> DataFrame:
+def variable_urls() -> Column:
     first = F.get(F.filter("children", lambda c: (c["field"] == "args") & (c["pos"] == 0)), F.lit(0))["type"]
     kind = F.when(first == "Name", "a variable URL").when(first == "JoinedStr", "f-string URL")
-    rows = _of(facts, "Call").filter(F.col("dotted").isin(HTTP_CALLS)).withColumn("kind", kind).filter("kind is not null")
-    return _hits(rows, "SEC006", _say("Potential SSRF: ", F.col("dotted"), "() called with ", F.col("kind"), "."),
-                 "Validate and whitelist URLs before making HTTP requests.")
+    return _if(F.col("dotted").isin(HTTP_CALLS) & kind.isNotNull(),
+               _at(_say("Potential SSRF: ", F.col("dotted"), "() called with ", kind, "."), "Validate and whitelist URLs before making HTTP requests."))
 
 
-def silent_handlers(facts: DataFrame) -> DataFrame:
+def silent_handlers() -> Column:
     body = children_of("body")
     only = F.get(body, F.lit(0))
     silent = (F.size(body) == 1) & ((only["type"] == "Pass") | ((only["type"] == "Expr") & (only["vtype"] == "Constant")))
-    return _hits(_of(facts, "ExceptHandler").filter(silent), "SEC007",
-                 "Silent exception handler — exceptions are caught but not logged.",
-                 "Log the exception with logging.exception() or logging.error() to maintain an audit trail.")
+    return _if(silent, _at("Silent exception handler — exceptions are caught but not logged.",
+                           "Log the exception with logging.exception() or logging.error() to maintain an audit trail."))
 
 
-def debug_mode(facts: DataFrame) -> DataFrame:
+def debug_mode() -> Column:
     on = lambda c, kind, value: (c[kind] == "bool") & (c[value] == "True")
     keyword = F.filter("children", lambda c: (c["field"] == "keywords") & (c["name"] == "debug") & on(c, "vconst_kind", "vconst_value"))
     flag = F.filter("children", lambda c: (c["field"] == "targets") & (c["type"] == "Name") & (c["name"] == "DEBUG"))
     value = F.exists("children", lambda c: (c["field"] == "value") & on(c, "const_kind", "const_value"))
-    return _any_of(_of(facts, "Call", "Assign"), "SEC008", [
-        _for_each(F.col("node_type") == "Call", keyword, lambda c: "Debug mode is enabled — exposes sensitive information in production.",
-                  "Set debug=False for production deployments."),
-        _for_each((F.col("node_type") == "Assign") & value, flag, lambda c: "DEBUG = True detected — should be False in production.",
-                  "Use environment variables: DEBUG = os.getenv('DEBUG', 'False') == 'True'"),
-    ], column=F.col("col"))
+    return F.concat(
+        _for_each(F.col("node_type") == "Call", keyword,
+                  lambda c: _at("Debug mode is enabled — exposes sensitive information in production.", "Set debug=False for production deployments.")),
+        _for_each((F.col("node_type") == "Assign") & value, flag,
+                  lambda c: _at("DEBUG = True detected — should be False in production.",
+                                "Use environment variables: DEBUG = os.getenv('DEBUG', 'False') == 'True'")),
+    )
 
 
-def user_paths(facts: DataFrame) -> DataFrame:
+def user_paths() -> Column:
     def mentions(c: Column) -> Column:
         out = F.lit(False)
         for word in USER_INPUT:
             out = out | c["seg"].contains(word)
         return (c["field"] == "args") & out
 
-    rows = _of(facts, "Call").filter(F.col("dotted").isin(FILE_CALLS)).filter(F.exists("children", mentions))
-    return _hits(rows, "SEC009", _say("Potential path traversal in ", F.col("dotted"), "() with user-controlled input."),
-                 "Validate paths with os.path.realpath() and ensure they stay within allowed directories.")
+    return _if(F.col("dotted").isin(FILE_CALLS) & F.exists("children", mentions),
+               _at(_say("Potential path traversal in ", F.col("dotted"), "() with user-controlled input."),
+                   "Validate paths with os.path.realpath() and ensure they stay within allowed directories."))
 
 
-def xml_parsers(facts: DataFrame) -> DataFrame:
-    rows = _of(facts, "Call").filter(F.col("dotted").isin(XML_CALLS))
-    return _hits(rows, "SEC010", _say("Unsafe XML parser ", F.col("dotted"), "() — may be vulnerable to XXE attacks."),
-                 "Use defusedxml library: `import defusedxml.ElementTree as ET`.")
+def xml_parsers() -> Column:
+    return _if(F.col("dotted").isin(XML_CALLS),
+               _at(_say("Unsafe XML parser ", F.col("dotted"), "() — may be vulnerable to XXE attacks."),
+                   "Use defusedxml library: `import defusedxml.ElementTree as ET`."))
 
 
-def check_then_open(facts: DataFrame) -> DataFrame:
+def check_then_open() -> Column:
     checked = F.exists("children", lambda c: (c["field"] == "test")
                        & (c["seg"].contains("os.path.exists") | c["seg"].contains("os.path.isfile")))
     body = F.array_join(F.transform(children_of("body"), lambda c: c["seg"]), "\n")
-    return _hits(_of(facts, "If").filter(checked & body.contains("open(")), "SEC014",
-                 "TOCTOU race condition — file existence check followed by file operation.",
-                 "Use try/except around the file operation instead of checking existence first.", column=None)
+    return _if(checked & body.contains("open("),
+               _on_line("TOCTOU race condition — file existence check followed by file operation.",
+                        "Use try/except around the file operation instead of checking existence first."))
 
 
-def long_functions(facts: DataFrame) -> DataFrame:
+def long_functions() -> Column:
     length = F.col("end_lineno") - F.col("lineno") + 1
-    rows = _of(facts, *FUNCTION_TYPES).withColumn("len", length).filter("len > 50")
-    return _hits(rows, "CS001", _say("Function '", F.col("name"), "' is ", F.col("len").cast("string"), " lines long (max 50)."),
-                 "Break complex functions into smaller, focused functions.", column=None)
+    return _if(length > 50, _on_line(_say("Function '", F.col("name"), "' is ", length.cast("string"), " lines long (max 50)."),
+                                     "Break complex functions into smaller, focused functions."))
 
 
-def many_parameters(facts: DataFrame) -> DataFrame:
+def many_parameters() -> Column:
     counted = F.filter("children", lambda c: c["field"].isin("args", "kwonlyargs"))
-    first = F.get(children_of("args"), F.lit(0))["name"]
-    rows = (
-        _of(facts, "arguments").withColumn("owner", F.try_element_at("ancestors", F.lit(-1)))
-        .filter(F.col("owner.type").isin(FUNCTION_TYPES))
-        .withColumn("n", F.size(counted) - F.when(first.isin("self", "cls"), 1).otherwise(0)).filter("n > 5")
-        .withColumn("at", F.col("owner.lineno"))
-    )
-    return _hits(rows, "CS002", _say("Function '", F.col("owner.name"), "' has ", F.col("n").cast("string"), " parameters (max 5)."),
-                 "Use a data class or dictionary to group related parameters.", line="at", column=None)
+    first, owner = F.get(children_of("args"), F.lit(0))["name"], _parent()
+    n = F.size(counted) - F.when(first.isin("self", "cls"), 1).otherwise(0)
+    return _if(owner["type"].isin(FUNCTION_TYPES) & (n > 5),
+               _on_line(_say("Function '", owner["name"], "' has ", n.cast("string"), " parameters (max 5)."),
+                        "Use a data class or dictionary to group related parameters.", owner["lineno"]))
 
 
 def function_complexity(facts: DataFrame, with_files: bool = False) -> DataFrame:
@@ -294,7 +306,7 @@ def complex_functions(facts: DataFrame) -> DataFrame:
     rows = function_complexity(facts).filter("complexity > 10")
     return _hits(rows, "CS003",
                  _say("Function '", F.col("name"), "' has cyclomatic complexity ", F.col("complexity").cast("string"), " (max 10)."),
-                 "Simplify the function by extracting conditions into helper functions or using early returns.", column=None)
+                 "Simplify the function by extracting conditions into helper functions or using early returns.")
 
 
 def deep_nesting(facts: DataFrame) -> DataFrame:
@@ -304,7 +316,7 @@ def deep_nesting(facts: DataFrame) -> DataFrame:
         .groupBy("project_id", "path", "lineno").agg(F.min_by("depth", "dfs_id").alias("depth"))
     )
     return _hits(rows, "CS004", _say("Code is nested ", F.col("depth").cast("string"), " levels deep (max 4)."),
-                 "Reduce nesting with early returns, guard clauses, or by extracting inner blocks to functions.", column=None)
+                 "Reduce nesting with early returns, guard clauses, or by extracting inner blocks to functions.")
 
 
 def unused_imports(facts: DataFrame) -> DataFrame:
@@ -327,72 +339,63 @@ def unused_imports(facts: DataFrame) -> DataFrame:
         .withColumn("lineno", F.col("last.lineno"))
     )
     return _hits(per_name, "CS005", _say("Import '", F.col("name"), "' appears to be unused."),
-                 "Remove unused imports to keep the code clean.", column=None)
+                 "Remove unused imports to keep the code clean.")
 
 
-def global_statements(facts: DataFrame) -> DataFrame:
-    return _hits(_of(facts, "Global"), "CS006", _say("Global variable(s) used: ", F.col("name")),
-                 "Avoid global state. Pass variables as function parameters or use class attributes.", column=None)
+def global_statements() -> Column:
+    return _if(F.lit(True), _on_line(_say("Global variable(s) used: ", F.col("name")),
+                                     "Avoid global state. Pass variables as function parameters or use class attributes."))
 
 
-def bare_handlers(facts: DataFrame) -> DataFrame:
-    return _hits(_of(facts, "ExceptHandler").filter(F.size(children_of("type")) == 0), "CS007",
-                 "Bare except block catches all exceptions, including SystemExit and KeyboardInterrupt.",
-                 "Catch specific exceptions: except ValueError, except Exception.", column=None)
+def bare_handlers() -> Column:
+    return _if(F.size(children_of("type")) == 0,
+               _on_line("Bare except block catches all exceptions, including SystemExit and KeyboardInterrupt.",
+                        "Catch specific exceptions: except ValueError, except Exception."))
 
 
-def list_growth(facts: DataFrame) -> DataFrame:
+def list_growth() -> Column:
     grows = F.exists("children", lambda c: (c["field"] == "value") & (c["type"] == "List"))
-    rows = _of(facts, "AugAssign").filter((F.col("op") == "Add") & grows).withColumn("loop", F.explode(_enclosing(LOOP_TYPES)))
-    return _hits(rows, "PERF001", "List concatenation inside loop — use .append() or .extend() instead.",
-                 "Replace `lst += [item]` with `lst.append(item)` for better performance.", column=None)
+    return _for_each((F.col("op") == "Add") & grows, _enclosing(LOOP_TYPES),
+                     lambda loop: _on_line("List concatenation inside loop — use .append() or .extend() instead.",
+                                           "Replace `lst += [item]` with `lst.append(item)` for better performance."))
 
 
-def mutable_defaults(facts: DataFrame) -> DataFrame:
+def mutable_defaults() -> Column:
     mutable = F.filter("children", lambda c: c["field"].isin("defaults", "kw_defaults") & c["type"].isin("List", "Dict", "Set"))
-    rows = (
-        _of(facts, "arguments").withColumn("owner", F.try_element_at("ancestors", F.lit(-1)))
-        .filter(F.col("owner.type").isin(FUNCTION_TYPES)).withColumn("at", F.col("owner.lineno"))
-        .withColumn("default", F.explode(mutable))
-    )
-    return _hits(rows, "PERF002", _say("Function '", F.col("owner.name"), "' has a mutable default argument."),
-                 "Use None as default and initialize inside the function: if arg is None: arg = []", line="at", column=None)
+    owner = _parent()
+    return _for_each(owner["type"].isin(FUNCTION_TYPES), mutable,
+                     lambda c: _on_line(_say("Function '", owner["name"], "' has a mutable default argument."),
+                                        "Use None as default and initialize inside the function: if arg is None: arg = []", owner["lineno"]))
 
 
-def star_imports(facts: DataFrame) -> DataFrame:
-    star = F.filter("children", lambda c: c["name"] == "*")
-    rows = _of(facts, "ImportFrom").withColumn("alias", F.explode(star))
-    return _hits(rows, "PERF003", _say("Wildcard import: from ", F.coalesce("name", F.lit("None")), " import *"),
-                 "Import specific names to avoid namespace pollution and improve readability.", column=None)
+def star_imports() -> Column:
+    return _for_each(F.lit(True), F.filter("children", lambda c: c["name"] == "*"),
+                     lambda c: _on_line(_say("Wildcard import: from ", F.coalesce("name", F.lit("None")), " import *"),
+                                        "Import specific names to avoid namespace pollution and improve readability."))
 
 
-def dead_code(facts: DataFrame) -> DataFrame:
-    body = F.col("body")
-    pairs = F.transform(body, lambda c, i: F.struct(c.alias("stmt"), F.get(body, i + 1).alias("after")))
-    dead = F.filter(
-        pairs,
-        lambda p: p["stmt"]["type"].isin(TERMINATORS) & p["after"].isNotNull() & (p["after"]["type"] != "Pass")
-        & ~F.coalesce(_string_child(p["after"]), F.lit(False)),
-    )
-    rows = (
-        _of(facts, *BODY_TYPES).withColumn("body", children_of("body"))
-        .filter(F.exists("body", lambda c: c["type"].isin(TERMINATORS)))
-        .select("project_id", "path", F.explode(dead).alias("p"))
-        .select("project_id", "path", F.col("p.stmt.type").alias("kind"), F.col("p.after.lineno").alias("at"))
-    )
-    return _hits(rows, "MAINT001", _say("Dead code — statement after ", F.lower("kind"), " is unreachable."),
-                 "Remove unreachable code or restructure the logic.", line="at", column=None)
+def dead_code() -> Column:
+    def dead(body: Column) -> Column:
+        pairs = F.transform(body, lambda c, i: F.struct(c["type"].alias("kind"), F.get(body, i + 1).alias("after")))
+        return F.filter(
+            pairs,
+            lambda p: p["kind"].isin(TERMINATORS) & p["after"].isNotNull() & (p["after"]["type"] != "Pass")
+            & ~F.coalesce(_string_child(p["after"]), F.lit(False)),
+        )
 
+    ends = F.exists("children", lambda c: (c["field"] == "body") & c["type"].isin(TERMINATORS))
+    return _for_each(ends, _with(children_of("body"), dead),
+                     lambda p: _on_line(_say("Dead code — statement after ", F.lower(p["kind"]), " is unreachable."),
+                                        "Remove unreachable code or restructure the logic.", p["after"]["lineno"]))
 
-def missing_docstrings(facts: DataFrame) -> DataFrame:
+
+def missing_docstrings() -> Column:
     documented = F.coalesce(_string_child(F.get(children_of("body"), F.lit(0))), F.lit(False))
-    rows = _of(facts, *FUNCTION_TYPES, "ClassDef").filter(~F.col("name").startswith("_") & ~documented)
     is_class = F.col("node_type") == "ClassDef"
-    return _hits(
-        rows, "MAINT002",
+    return _if(~F.col("name").startswith("_") & ~documented, _on_line(
         _say(F.when(is_class, "Class '").otherwise("Public function '"), F.col("name"), "' is missing a docstring."),
         F.when(is_class, "Add a docstring describing the class's purpose and usage.")
-        .otherwise("Add a docstring describing the function's purpose, parameters, and return value."), column=None)
+        .otherwise("Add a docstring describing the function's purpose, parameters, and return value.")))
 
 
 def many_returns(facts: DataFrame) -> DataFrame:
@@ -402,7 +405,7 @@ def many_returns(facts: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n")).filter("n > 4")
     )
     return _hits(rows, "MAINT003", _say("Function '", F.col("name"), "' has ", F.col("n").cast("string"), " return statements (max 4)."),
-                 "Simplify control flow — consider a single return at the end or extract sub-functions.", column=None)
+                 "Simplify control flow — consider a single return at the end or extract sub-functions.")
 
 
 def repeated_literals(facts: DataFrame) -> DataFrame:
@@ -414,22 +417,31 @@ def repeated_literals(facts: DataFrame) -> DataFrame:
     )
     return _hits(rows, "MAINT004",
                  _say("String literal '", F.col("short"), "' repeated ", F.col("n").cast("string"), " times — extract to a named constant."),
-                 _say("Define a module-level constant: MY_CONSTANT = '", F.col("short"), "' and reference it."), column=None)
+                 _say("Define a module-level constant: MY_CONSTANT = '", F.col("short"), "' and reference it."))
+
+
+def security_asserts() -> Column:
+    return _if(F.col("seg").rlike(uregex(AUTH_WORDS, True)),
+               _on_line("assert used for security/auth check — disabled in optimized mode.",
+                        "Replace with an explicit if/raise: if not condition: raise PermissionError(...)"))
 
 
-def security_asserts(facts: DataFrame) -> DataFrame:
-    rows = _of(facts, "Assert").filter(F.col("seg").rlike(uregex(AUTH_WORDS, True)))
-    return _hits(rows, "MAINT005", "assert used for security/auth check — disabled in optimized mode.",
-                 "Replace with an explicit if/raise: if not condition: raise PermissionError(...)", column=None)
+def temp_names() -> Column:
+    return _if(F.substring_index("dotted", ".", -1) == "mktemp",
+               _on_line("tempfile.mktemp() is insecure — race condition between name generation and file creation.",
+                        "Use tempfile.mkstemp() or tempfile.NamedTemporaryFile() instead."))
 
 
-def temp_names(facts: DataFrame) -> DataFrame:
-    rows = _of(facts, "Call").filter(F.substring_index("dotted", ".", -1) == "mktemp")
-    return _hits(rows, "MAINT006", "tempfile.mktemp() is insecure — race condition between name generation and file creation.",
-                 "Use tempfile.mkstemp() or tempfile.NamedTemporaryFile() instead.", column=None)
+def _signature() -> Column:
+    """The function of a function row or of an argument row: type, name and line; other owners are left out."""
+    own = F.struct(F.col("node_type").alias("type"), F.col("name").alias("name"), F.col("lineno").alias("lineno"))
+    outer = _parent()
+    outer = F.struct(outer["type"].alias("type"), outer["name"].alias("name"), outer["lineno"].alias("lineno"))
+    owner = F.when(F.col("node_type") == "arguments", outer).otherwise(own)
+    return F.when(owner["type"].isin(FUNCTION_TYPES), owner)
 
 
-def missing_annotations(facts: DataFrame) -> DataFrame:
+def missing_annotations() -> Column:
     def bare(fields: list[str]) -> Column:
         return F.filter("children", lambda c: c["field"].isin(fields) & c["vtype"].isNull() & ~c["name"].isin("self", "cls"))
 
@@ -437,91 +449,76 @@ def missing_annotations(facts: DataFrame) -> DataFrame:
     names = F.transform(
         F.concat(*[bare([f]) for f in ("args", "kwonlyargs", "vararg", "kwarg")]), lambda c: c["name"]
     )
-    public = ~F.col("owner.name").startswith("_")
-    return _any_of(_signatures(facts).withColumn("names", names), "TYPE001", [
-        _if((F.col("node_type") == "arguments") & public & (F.size("names") > 0),
-            _say("Function '", F.col("owner.name"), "' has unannotated parameters: ", F.array_join("names", ", "), "."),
-            "Add type annotations: def func(x: int, y: str) -> bool:"),
-        _if((F.col("node_type") != "arguments") & public & (F.size(children_of("returns")) == 0),
-            _say("Function '", F.col("owner.name"), "' is missing a return type annotation."), "Add return type: def func(...) -> ReturnType: or -> None:"),
-    ], line=F.col("owner.lineno"))
-
-
-def _signatures(facts: DataFrame) -> DataFrame:
-    """Function rows and their argument rows, each with the function as ``owner``."""
-    own = F.struct(F.col("node_type").alias("type"), F.col("name"), F.col("lineno"))
-    outer = F.try_element_at("ancestors", F.lit(-1))
-    outer = F.struct(outer["type"].alias("type"), outer["name"].alias("name"), outer["lineno"].alias("lineno"))
-    owner = F.when(F.col("node_type") == "arguments", outer).otherwise(own)
-    return _of(facts, "arguments", *FUNCTION_TYPES).withColumn("owner", owner).filter(F.col("owner.type").isin(FUNCTION_TYPES))
+    owner, is_arguments = _signature(), F.col("node_type") == "arguments"
+    public = ~owner["name"].startswith("_")
+    return F.concat(
+        _if(is_arguments & public & (F.size(names) > 0),
+            _on_line(_say("Function '", owner["name"], "' has unannotated parameters: ", F.array_join(names, ", "), "."),
+                     "Add type annotations: def func(x: int, y: str) -> bool:", owner["lineno"])),
+        _if(~is_arguments & public & (F.size(children_of("returns")) == 0),
+            _on_line(_say("Function '", owner["name"], "' is missing a return type annotation."),
+                     "Add return type: def func(...) -> ReturnType: or -> None:", owner["lineno"])),
+    )
 
 
-def any_annotations(facts: DataFrame) -> DataFrame:
+def any_annotations() -> Column:
     loose = F.filter("children", lambda c: c["field"].isin("args", "kwonlyargs") & c["vtype"].isin("Name", "Attribute") & (c["vname"] == "Any"))
     result = F.exists("children", lambda c: (c["field"] == "returns") & c["type"].isin("Name", "Attribute") & (c["name"] == "Any"))
-    return _any_of(_signatures(facts), "TYPE002", [
-        _for_each(F.col("node_type") == "arguments", loose,
-                  lambda c: _say("Parameter '", c["name"], "' in '", F.col("owner.name"), "' annotated as Any — use a specific type."),
-                  "Replace Any with a concrete type or Union of specific types."),
-        _if((F.col("node_type") != "arguments") & result, _say("Return type of '", F.col("owner.name"), "' is Any — use a specific type."),
-            "Replace Any with a concrete return type."),
-    ], line=F.col("owner.lineno"))
+    owner, is_arguments = _signature(), F.col("node_type") == "arguments"
+    return F.concat(
+        _for_each(is_arguments & owner.isNotNull(), loose,
+                  lambda c: _on_line(_say("Parameter '", c["name"], "' in '", owner["name"], "' annotated as Any — use a specific type."),
+                                     "Replace Any with a concrete type or Union of specific types.", owner["lineno"])),
+        _if(~is_arguments & owner.isNotNull() & result,
+            _on_line(_say("Return type of '", owner["name"], "' is Any — use a specific type."),
+                     "Replace Any with a concrete return type.", owner["lineno"])),
+    )
 
 
-def implicit_optionals(facts: DataFrame) -> DataFrame:
-    plain = F.concat(children_of("posonlyargs"), children_of("args"))
-    defaults = F.col("defaults")
+def implicit_optionals() -> Column:
+    def names(v: Column) -> Column:
+        def flagged(c: Column, i: Column) -> Column:
+            default = F.get(v["defaults"], i - (F.size(v["plain"]) - F.size(v["defaults"])))
+            optional = ((c["vtype"] == "Subscript") & (c["vname"] == "Optional")) | c["vnone"] | (c["vconst_kind"] == "none")
+            return F.when((default["const_kind"] == "none") & c["vtype"].isNotNull() & ~F.coalesce(optional, F.lit(False)), c["name"])
 
-    def flagged(c: Column, i: Column) -> Column:
-        default = F.get(defaults, i - (F.size("plain") - F.size("defaults")))
-        optional = ((c["vtype"] == "Subscript") & (c["vname"] == "Optional")) | c["vnone"] | (c["vconst_kind"] == "none")
-        return F.when((default["const_kind"] == "none") & c["vtype"].isNotNull() & ~F.coalesce(optional, F.lit(False)), c["name"])
+        return F.filter(F.transform(v["plain"], flagged), lambda n: n.isNotNull())
 
-    names = F.filter(F.transform(F.col("plain"), flagged), lambda n: n.isNotNull())
-    rows = (
-        _of(facts, "arguments").withColumn("owner", F.try_element_at("ancestors", F.lit(-1)))
-        .filter(F.col("owner.type").isin(FUNCTION_TYPES))
-        .withColumn("plain", plain).withColumn("defaults", children_of("defaults"))
-        .withColumn("p", F.explode(names)).withColumn("at", F.col("owner.lineno"))
-    )
-    return _hits(rows, "TYPE003", _say("Parameter '", F.col("p"), "' defaults to None but is not annotated as Optional."),
-                 _say("Change annotation to Optional[T] or T | None: ", F.col("p"), ": Optional[YourType] = None"), line="at", column=None)
+    given = F.struct(F.concat(children_of("posonlyargs"), children_of("args")).alias("plain"), children_of("defaults").alias("defaults"))
+    owner = _parent()
+    return _for_each(owner["type"].isin(FUNCTION_TYPES), _with(given, names),
+                     lambda p: _on_line(_say("Parameter '", p, "' defaults to None but is not annotated as Optional."),
+                                        _say("Change annotation to Optional[T] or T | None: ", p, ": Optional[YourType] = None"), owner["lineno"]))
 
 
-def blocking_calls(facts: DataFrame) -> DataFrame:
+def blocking_calls() -> Column:
     advice = F.create_map(*[F.lit(x) for pair in BLOCKING.items() for x in pair])
-    rows = _of(facts, "Call").filter(F.col("dotted").isin(list(BLOCKING))).withColumn("f", F.explode(_enclosing(["AsyncFunctionDef"])))
-    return _hits(rows, "ASYNC001", _say("Blocking call '", F.col("dotted"), "()' inside async function '", F.col("f.name"), "' — stalls the event loop."),
-                 F.element_at(advice, F.col("dotted")), column=None)
+    return _for_each(F.col("dotted").isin(list(BLOCKING)), _enclosing(["AsyncFunctionDef"]),
+                     lambda f: _on_line(_say("Blocking call '", F.col("dotted"), "()' inside async function '", f["name"], "' — stalls the event loop."),
+                                        F.element_at(advice, F.col("dotted"))))
 
 
-def forgotten_awaits(facts: DataFrame) -> DataFrame:
+def forgotten_awaits() -> Column:
     called = F.get(F.filter("children", lambda c: (c["field"] == "value") & (c["type"] == "Call")), F.lit(0))["dotted"]
-    rows = (
-        _of(facts, "Expr").withColumn("called", called).filter(F.col("called").isin(AWAITABLES))
-        .withColumn("f", F.explode(_enclosing(["AsyncFunctionDef"])))
-    )
-    return _hits(rows, "ASYNC002", _say("'", F.col("called"), "()' called without await — coroutine is never executed."),
-                 _say("Add await: await ", F.col("called"), "(...)"), column=None)
+    return _for_each(called.isin(AWAITABLES), _enclosing(["AsyncFunctionDef"]),
+                     lambda f: _on_line(_say("'", called, "()' called without await — coroutine is never executed."),
+                                        _say("Add await: await ", called, "(...)")))
 
 
-def blocking_opens(facts: DataFrame) -> DataFrame:
-    rows = _of(facts, "Call").filter(F.col("strict") == "open").withColumn("f", F.explode(_enclosing(["AsyncFunctionDef"])))
-    return _hits(rows, "ASYNC003", _say("Synchronous open() inside async function '", F.col("f.name"), "' blocks the event loop."),
-                 "Use aiofiles: async with aiofiles.open(...) as f:", column=None)
+def blocking_opens() -> Column:
+    return _for_each(F.col("strict") == "open", _enclosing(["AsyncFunctionDef"]),
+                     lambda f: _on_line(_say("Synchronous open() inside async function '", f["name"], "' blocks the event loop."),
+                                        "Use aiofiles: async with aiofiles.open(...) as f:"))
 
 
-def zero_sleeps(facts: DataFrame) -> DataFrame:
+def zero_sleeps() -> Column:
     first = F.get(F.filter("children", lambda c: (c["field"] == "args") & (c["pos"] == 0)), F.lit(0))
     zero = (first["const_kind"].isin("int", "float") & (first["const_value"].try_cast("double") == 0)) | (
         (first["const_kind"] == "bool") & (first["const_value"] == "False")
     )
-    rows = (
-        _of(facts, "Call").filter((F.col("strict") == "asyncio.sleep") & (F.col("parent_type") == "Await") & zero)
-        .withColumn("at", F.try_element_at("ancestors", F.lit(-1))["lineno"]).withColumn("loop", F.explode(_enclosing(LOOP_TYPES)))
-    )
-    return _hits(rows, "ASYNC004", "asyncio.sleep(0) in a loop — consider a proper async queue or event instead.",
-                 "Use asyncio.Queue or asyncio.Event for producer/consumer patterns.", line="at", column=None)
+    return _for_each((F.col("strict") == "asyncio.sleep") & (F.col("parent_type") == "Await") & zero, _enclosing(LOOP_TYPES),
+                     lambda loop: _on_line("asyncio.sleep(0) in a loop — consider a proper async queue or event instead.",
+                                           "Use asyncio.Queue or asyncio.Event for producer/consumer patterns.", _parent()["lineno"]))
 
 
 _F = tuple(FUNCTION_TYPES)
@@ -540,9 +537,9 @@ FACT_RULES = {
         FactRule("SEC014", ("If",), check_then_open, ("os.path",), children=True),
         FactRule("CS001", _F, long_functions, ("def",)),
         FactRule("CS002", ("arguments",), many_parameters, ("def",), ancestors=True, children=True),
-        FactRule("CS003", (*_F, *DECISION_TYPES, "BoolOp"), complex_functions, ("def",), ancestors=True),
-        FactRule("CS004", tuple(NESTING_TYPES), deep_nesting, ("if", "for", "while", "with", "try"), ancestors=True),
-        FactRule("CS005", ("Import", "ImportFrom", "Name"), unused_imports, ("import",), children=True),
+        FactRule("CS003", (*_F, *DECISION_TYPES, "BoolOp"), complex_functions, ("def",), ancestors=True, grouped=True),
+        FactRule("CS004", tuple(NESTING_TYPES), deep_nesting, ("if", "for", "while", "with", "try"), ancestors=True, grouped=True),
+        FactRule("CS005", ("Import", "ImportFrom", "Name"), unused_imports, ("import",), children=True, grouped=True),
         FactRule("CS006", ("Global",), global_statements, ("global",)),
         FactRule("CS007", ("ExceptHandler",), bare_handlers, ("except",), children=True),
         FactRule("PERF001", ("AugAssign",), list_growth, ("+=",), ancestors=True, children=True),
@@ -550,8 +547,8 @@ FACT_RULES = {
         FactRule("PERF003", ("ImportFrom",), star_imports, ("import",), children=True),
         FactRule("MAINT001", tuple(BODY_TYPES), dead_code, ("return", "raise", "break", "continue"), children=True),
         FactRule("MAINT002", (*_F, "ClassDef"), missing_docstrings, ("def", "class"), children=True),
-        FactRule("MAINT003", ("Return",), many_returns, ("return",), ancestors=True),
-        FactRule("MAINT004", ("Constant",), repeated_literals, ('"', "'")),
+        FactRule("MAINT003", ("Return",), many_returns, ("return",), ancestors=True, grouped=True),
+        FactRule("MAINT004", ("Constant",), repeated_literals, ('"', "'"), grouped=True),
         FactRule("MAINT005", ("Assert",), security_asserts, ("assert",)),
         FactRule("MAINT006", ("Call",), temp_names, ("mktemp",)),
         FactRule("TYPE001", ("arguments", *_F), missing_annotations, ("def",), ancestors=True, children=True),
@@ -579,7 +576,23 @@ def rule_facts(files: DataFrame, rules: list[FactRule]) -> DataFrame:
     return syntax_facts(files.filter(opened), types, any(r.ancestors for r in rules), any(r.children for r in rules))
 
 
+def row_hits(facts: DataFrame, rules: list[FactRule]) -> DataFrame:
+    """Hits of rules over single rows, all in one pass over the facts."""
+    kind = F.col("node_type")
+
+    def found(r: FactRule) -> Column:
+        named = F.transform(r.detect(), lambda f: F.struct(F.lit(r.rule_id).alias("rule_id"), f.alias("f")))
+        return F.coalesce(F.when(kind.isin(*r.node_types), named), F.array().cast(f"array<struct<rule_id:string,f:{_FOUND[6:-1]}>>"))
+
+    rows = _of(facts, *sorted({t for r in rules for t in r.node_types})).select(
+        "project_id", F.col("path").alias("file"), F.explode(F.concat(*[found(r) for r in rules])).alias("r"))
+    return rows.select("project_id", "file", "r.f.line", "r.f.column", "r.rule_id", "r.f.message", "r.f.suggestion").select(*HIT_COLUMNS)
+
+
 def fact_rule_hits(facts: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
-    """All hits of the fact rules over one facts table."""
-    wanted = sorted(FACT_RULES) if rule_ids is None else rule_ids
-    return _union(*[FACT_RULES[i].run(facts) for i in wanted]).select(*HIT_COLUMNS)
+    """All hits of the fact rules over one facts table: one pass for the rules over single rows, one per grouped rule."""
+    wanted = [FACT_RULES[i] for i in (sorted(FACT_RULES) if rule_ids is None else rule_ids)]
+    single = [r for r in wanted if not r.grouped]
+    parts = [row_hits(facts, single)] if single else []
+    parts += [r.run(facts).select(*HIT_COLUMNS) for r in wanted if r.grouped]
+    return reduce(DataFrame.unionByName, parts)
