@@ -2,17 +2,23 @@
 
 Leaf expressions are tied to the assignments and calls they feed by walking up their own ancestor chain (narrow).
 The events of one file are then ordered by their breadth-first node number and folded with the set of tainted
-names as state. One shuffle by file, no driver loop; a group is one file, which the size cap bounds.
+names as state. One shuffle by file, no driver loop; a group is one file. The fold is the one Python step (Arrow
+batches of slim event arrays): SQL has no set that grows in place, and copying it per event is quadratic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import may_name
 from siftmill.schemas import HIT_COLUMNS
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Sources, and sinks with their labels in match order.
 SOURCES = [
     "request.args", "request.form", "request.data", "request.json", "request.values", "request.files",
@@ -185,26 +191,36 @@ def _events(facts: DataFrame, sources: list[str] | None) -> DataFrame:
     return by_event.groupBy("project_id", "path").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
 
+_OUTCOME = "array<struct<by_value:boolean,by_keyword:boolean>>"
+
+
+def outcomes(events: list[Row]) -> list[tuple[bool, bool]]:
+    """Taint of every event of a file, in order: by value or positional argument, and by keyword.
+
+    The state is the set of tainted names. Each event looks at its own names only, so work is linear in what a file
+    reads and assigns, however many names are tainted.
+    """
+    tainted, seen = set(), []
+    for e in events:
+        by_value = bool(e["direct_value"]) or any(v in tainted for v in e["vars_value"])
+        by_keyword = bool(e["direct_keywords"]) or any(v in tainted for v in e["vars_keywords"])
+        if e["kind"] != "sink" and by_value:
+            tainted.update(e["targets"])
+        elif e["kind"] == "assign":
+            tainted.difference_update(e["targets"])
+        seen.append((by_value, by_keyword))
+    return seen
+
+
 def flow(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
     """Outcome per event: (…, kind, tainted by value or positional argument, tainted by keyword)."""
-    outcome = "array<struct<event_id:int,by_value:boolean,by_keyword:boolean>>"
-    start = F.struct(F.array().cast("array<string>").alias("tainted"), F.array().cast(outcome).alias("seen"))
-
-    def step(acc: Column, e: Column) -> Column:
-        state = acc["tainted"]
-        by_value = e["direct_value"] | F.arrays_overlap(e["vars_value"], state)
-        by_keyword = e["direct_keywords"] | F.arrays_overlap(e["vars_keywords"], state)
-        after = (
-            F.when((e["kind"] == "sink"), state)
-            .when(by_value, F.array_union(state, e["targets"]))
-            .when(e["kind"] == "assign", F.array_except(state, e["targets"])).otherwise(state)
-        )
-        seen = F.struct(e["event_id"].alias("event_id"), by_value.alias("by_value"), by_keyword.alias("by_keyword"))
-        return F.struct(after.alias("tainted"), F.array_append(acc["seen"], seen).alias("seen"))
-
-    folded = F.aggregate("events", start, step, lambda acc: acc["seen"])
-    rows = _events(facts, sources).select(
-        "project_id", "path", F.explode(F.arrays_zip(F.col("events").alias("e"), folded.alias("s"))).alias("z")
+    names = lambda c: F.coalesce(c, F.array().cast("array<string>"))
+    read = F.transform("events", lambda e: F.struct(
+        e["kind"].alias("kind"), names(e["targets"]).alias("targets"), e["direct_value"].alias("direct_value"), e["vars_value"].alias("vars_value"),
+        e["direct_keywords"].alias("direct_keywords"), e["vars_keywords"].alias("vars_keywords")))
+    folded = F.udf(outcomes, _OUTCOME, useArrow=True)(read)
+    rows = _events(facts, sources).select("project_id", "path", "events", folded.alias("s")).select(
+        "project_id", "path", F.explode(F.arrays_zip(F.col("events").alias("e"), F.col("s").alias("s"))).alias("z")
     )
     return rows.select("project_id", F.col("path").alias("file"), "z.e.*", "z.s.by_value", "z.s.by_keyword")
 
