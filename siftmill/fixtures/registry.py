@@ -505,8 +505,7 @@ def _scan_summary(spark: SparkSession, sf: str) -> DataFrame:
     files = _texts(spark, sf)
     hits = text_rule_hits(files.withColumn("language", F.lit("javascript")), ["SEC003", "JSCS007"])
     found = with_metadata(hits, rule_catalog(spark))
-    sizes = files.select("project_id", F.size(T.split_lines(F.col("text"))).alias("lines"))
-    return R.scan_summary(sizes, found, clones.clone_groups(files)).select(
+    return R.scan_summary(R.file_sizes(files), found, clones.clone_groups(files)).select(
         "project_id", "files_scanned", "lines_scanned", "total_issues", "duplicated_blocks", "critical", "info")
 
 

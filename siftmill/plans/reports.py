@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftmill.functions.text import split_lines
 from siftmill.schemas import SEVERITIES, SEVERITY_WEIGHTS
 from siftmill.sources.files import language_of
 
@@ -47,12 +48,18 @@ def severity_score(issues: DataFrame, by: list[str]) -> DataFrame:
     return issues.groupBy(*by).agg(F.sum(weight).alias("score"))
 
 
+def file_sizes(files: DataFrame) -> DataFrame:
+    """(project_id, lines) of every source file; a NULL text has no lines and is still a file."""
+    return files.select("project_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text")))).alias("lines"))
+
+
 def scan_summary(files: DataFrame, issues: DataFrame, clones: DataFrame) -> DataFrame:
     """Files, lines, findings, dependency findings and duplicate blocks of each project.
 
-    ``files`` needs (project_id, lines); ``clones`` one row per duplicate group.
+    ``files`` needs (project_id, lines), lines NULL for what names a project but isn't a source file; ``clones`` one
+    row per duplicate group.
     """
-    sizes = files.groupBy("project_id").agg(F.count("*").alias("files_scanned"), F.sum("lines").alias("lines_scanned"))
+    sizes = files.groupBy("project_id").agg(F.count("lines").alias("files_scanned"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines_scanned"))
     dependency = F.col("category") == "DEPENDENCY"
     counts = issues.groupBy("project_id").agg(
         F.count_if(~dependency).alias("total_issues"), F.count_if(dependency).alias("dependency_vulnerabilities"),

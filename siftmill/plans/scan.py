@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import split_lines
 from siftmill.operators import clones, deps, metrics
 from siftmill.operators.catalog import rule_catalog
 from siftmill.operators.extensions import RuleSet
@@ -31,6 +31,7 @@ class Scan:
     metrics: DataFrame
     clones: DataFrame
     facts: DataFrame
+    manifests: DataFrame | None = None
 
 
 def facts_of(files: DataFrame, stored: bool = True) -> DataFrame:
@@ -76,12 +77,17 @@ def scan(files: DataFrame, manifests: DataFrame | None = None, advisories: DataF
     issues = findings.to_issues(materialize(hits, "hits"), rule_catalog(spark) if rules is None else rules.catalog(spark), scan_id, ts)
     measured = metrics.python_metrics(files, facts).unionByName(metrics.javascript_metrics(files))
     groups = clones.clone_groups(files)
-    return Scan(files, issues, measured, groups, facts)
+    return Scan(files, issues, measured, groups, facts, manifests)
 
 
 def summary(result: Scan, issues: DataFrame | None = None) -> DataFrame:
-    """Counters per project; pass the stored issues to count them without finding them again."""
-    sizes = result.files.select("project_id", F.size(split_lines(F.col("text"))).alias("lines"))
+    """Counters per project; pass the stored issues to count them without finding them again.
+
+    A project that has manifests but no source file is scanned too: it gets a row with no files and no lines.
+    """
+    sizes = reports.file_sizes(result.files)
+    if result.manifests is not None:
+        sizes = sizes.unionByName(result.manifests.select("project_id", F.lit(None).cast("int").alias("lines")))
     return reports.scan_summary(sizes, issues if issues is not None else result.issues, result.clones)
 
 
@@ -97,12 +103,26 @@ def scan_records(counters: DataFrame, scan_id: str, started: Column, completed:
     )
 
 
+def scan_folder(target: str, scan_id: str) -> str:
+    """The folder of one scan; a digest, as ids may hold anything."""
+    return f"{target.rstrip('/')}/scan=s{hashlib.sha256(scan_id.encode()).hexdigest()[:32]}"
+
+
 def store(result: Scan, target: str, scan_id: str, started: Column) -> None:
-    """Append issues, metrics and scan records under ``target``; the record comes last, when the rest is in place."""
-    findings.write_table(result.issues, f"{target}/issues")
+    """Write issues, metrics and scan records under ``target``; the record comes last, when the rest is in place.
+
+    Each scan has its own folder and replaces it: a scan that runs again, after a failure or over changed files, is stored once.
+    """
+    folder = scan_folder(target, scan_id)
+    findings.write_table(result.issues, f"{folder}/issues", "overwrite")
     findings.write_table(
-        result.metrics.withColumn("scan_id", F.lit(scan_id)).withColumn("ts", F.current_timestamp()), f"{target}/metrics"
+        result.metrics.withColumn("scan_id", F.lit(scan_id)).withColumn("ts", F.current_timestamp()), f"{folder}/metrics", "overwrite"
     )
-    stored = findings.read_table(result.files.sparkSession, f"{target}/issues").filter(F.col("scan_id") == scan_id)
-    counters = summary(result, stored)
-    findings.write_table(scan_records(counters, scan_id, started, F.current_timestamp()), f"{target}/scans")
+    counters = summary(result, findings.read_table(result.files.sparkSession, f"{folder}/issues"))
+    findings.write_table(scan_records(counters, scan_id, started, F.current_timestamp()), f"{folder}/scans", "overwrite")
+
+
+def stored(spark: SparkSession, target: str, name: str, project_id: str | None = None, scan_id: str | None = None) -> DataFrame:
+    """``issues``, ``metrics`` or ``scans`` of all stored scans, or of one; buckets without the project are not opened."""
+    folder = f"{target.rstrip('/')}/scan=*" if scan_id is None else scan_folder(target, scan_id)
+    return findings.read_table(spark, f"{folder}/{name}", project_id)

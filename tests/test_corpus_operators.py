@@ -66,7 +66,7 @@ def test_dependency_findings(spark, make_files):
 def test_scan_of_a_file_tree(spark, tmp_path):
     root = tmp_path / "trees"
     tree = {"app/src/a.py": "password = 'x'\nx = input()\neval(x)\neval('1', globals=x)\n", "app/node_modules/b.js": "debugger", "app/web/c.js": "function f() {\n  debugger;\n}\n",
-            "app/requirements.txt": "flask==1.0\n", "app/bad.py": "token = 'abc'\ndef (", "lib/q.sql": "SELECT * FROM t;\n", "lib/note.txt": "x", "lib/big.py": "x = 1\n" * 100_000}
+            "app/requirements.txt": "flask==1.0\n", "app/bad.py": "token = 'abc'\ndef (", "lib/q.sql": "SELECT * FROM t;\n", "lib/note.txt": "x", "bare/requirements.txt": "\n", "lib/big.py": "x = 1\n" * 100_000}
     for name, text in tree.items():
         path = root / name
         path.parent.mkdir(parents=True, exist_ok=True)
@@ -75,8 +75,10 @@ def test_scan_of_a_file_tree(spark, tmp_path):
     assert {(r.project_id, r.path) for r in files.collect()} == {("app", "src/a.py"), ("app", "bad.py"), ("app", "web/c.js"), ("lib", "q.sql")}
     manifests = S.read_manifests(spark, str(root))
     result = SC.scan(files, manifests, scan_id="s1", ts=F.lit("2024-01-01").cast("timestamp"))
-    SC.store(result, str(tmp_path / "out"), "s1", F.current_timestamp())
-    rows = W.read_table(spark, str(tmp_path / "out/issues")).collect()
+    out = str(tmp_path / "out")
+    for _ in range(2):  # stored again, a scan replaces itself
+        SC.store(result, out, "s1", F.current_timestamp())
+    rows = SC.stored(spark, out, "issues").collect()
     got = {(r.file, r.line, r.rule_id) for r in rows}
     assert got == {("src/a.py", 1, "SEC003"), ("src/a.py", 3, "SEC002"), ("src/a.py", 4, "SEC002"), ("src/a.py", 3, "TAINT001"), ("src/a.py", 4, "TAINT001"),
                    ("web/c.js", 2, "JSEC009"), ("q.sql", 1, "SQL002"), ("requirements.txt", 0, "DEP002")}
@@ -85,9 +87,10 @@ def test_scan_of_a_file_tree(spark, tmp_path):
     assert by_rule["SEC003", 1].code_snippet.startswith(">>> 1: password = 'x'\n    2: x = input()")
     assert by_rule["DEP002", 0].message.startswith("flask: 'flask' is declared") and by_rule["DEP002", 0].severity == "MINOR"
     assert len({r.issue_id for r in rows}) == len(rows)
-    scans = {r.project_id: r for r in W.read_table(spark, str(tmp_path / "out/scans")).collect()}
+    scans = {r.project_id: r for r in SC.stored(spark, out, "scans").collect()}
+    assert (scans["bare"].total_issues, scans["bare"].files_scanned, scans["bare"].lines_scanned) == (0, 0, 0)
     assert (scans["app"].total_issues, scans["app"].critical_count, scans["app"].minor_count, scans["app"].files_scanned) == (7, 5, 1, 3)
-    assert {r.metric_type for r in W.read_table(spark, str(tmp_path / "out/metrics"), "app").collect()} == {
+    assert {r.metric_type for r in SC.stored(spark, out, "metrics", "app", "s1").collect()} == {
         "loc", "maintainability_index", "cyclomatic_complexity", "function_length", "avg_complexity"}
 
 
