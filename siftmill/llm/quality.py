@@ -18,16 +18,22 @@ WINDOW = 8
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Vectors are whole multiples of 1 / SCALE, so that sums are exact and the same however rows are dealt.
 SCALE = 256
-#: Standard deviation added to each component (log words, log word length, and roots of shares of symbols, capitals,
-#: repeated lines and repeated words): what is constant over a pool must not make any other value an outlier.
-SOFTEN = (0.25, 0.06, 0.08, 0.08, 0.15, 0.15)
+#: Least standard deviation added to each component (log words, log word length, and roots of shares of symbols, capitals,
+#: repeated lines and repeated words): the size of rounding.
+SOFTEN = (1 / SCALE,) * 6
 P = len(SOFTEN)
+#: Share of a pool's robust scale (quartile range of normal data) that is added to each component.
+SOFT_SHARE = 0.5
 #: Share of a pool whose determinant is made least.
 COVERAGE = 0.75
 #: Fixed values for six components: makes a covariance over COVERAGE consistent for normal data; 97.5 % point of chi-square.
 CONSISTENCY, CHI_975 = 1.361, 14.449
 #: Squared distance beyond which a document goes: the 99.999 % point of chi-square with six degrees.
 CUT = 33.1
+#: By component, of what a share is: (statistic, so many of it in a text of the pool's median length are no outlier yet where the
+#: pool has none, largest share for which that holds). One symbol or capital is one standard deviation; five lines or windows reach CUT.
+LEEWAY = {2: ("word_chars", CUT, 0.2), 3: ("word_chars", CUT, 0.2), 4: ("_lines", 5, 0.7), 5: ("n_words", 5 * 2 * WINDOW, 0.7)}
+LENGTHS = ("word_chars", "_lines", "n_words")
 STEPS = 8
 BINS = 64
 
@@ -89,13 +95,17 @@ def pools(rows: DataFrame, min_rows: int) -> DataFrame:
 
 
 def _fit(moments: DataFrame, consistency: float) -> DataFrame:
-    """Mean, Cholesky factor and log determinant per pool and start, from exact sums; nothing under P + 2 rows."""
+    """Mean, Cholesky factor and log determinant per pool and start, from exact sums; nothing under P + 2 rows.
+
+    Variances grow by the pool's ``_v0`` …, or by the size of rounding where ``moments`` has none.
+    """
     n = F.col("_n").cast("double")
     rows = moments.filter(F.col("_n") >= P + 2).withColumns({f"_m{i}": F.col(f"_s{i}") / (n * SCALE) for i in range(P)})
+    soft = [F.col(f"_v{i}") if f"_v{i}" in moments.columns else F.lit(SOFTEN[i] ** 2) for i in range(P)]
     cov = {}
     for i in range(P):
         for j in range(i + 1):
-            cov[i, j] = (F.col(f"_s{j}_{i}") / (n * SCALE * SCALE) - F.col(f"_m{i}") * F.col(f"_m{j}")) * consistency + (SOFTEN[i] ** 2 if i == j else 0)
+            cov[i, j] = (F.col(f"_s{j}_{i}") / (n * SCALE * SCALE) - F.col(f"_m{i}") * F.col(f"_m{j}")) * consistency + (soft[i] if i == j else 0)
     for i in range(P):
         for j in range(i + 1):
             value = cov[i, j]
@@ -140,26 +150,42 @@ def _step(vectors: DataFrame, fit: DataFrame) -> DataFrame:
     return near.groupBy("_pool", "_start").agg(*[F.sum(c).alias(c) for c in _names()])
 
 
+def _fences(vectors: DataFrame) -> DataFrame:
+    """Per pool: the middle of each component, ``_q0`` …, and the variance added to it, ``_v0`` …: from its quartiles, and at
+    least that of rounding, or of LEEWAY in a text of median length if ``vectors`` has LENGTHS."""
+    cuts = F.array(*map(F.lit, (0.2, 0.8, 0.25, 0.75)))
+    lengths = [c for c in LENGTHS if c in vectors.columns]
+    rows = vectors.groupBy("_pool").agg(*[F.percentile_approx(f"_x{i}", cuts, 1000).alias(f"_q{i}") for i in range(P)], *[F.percentile_approx(c, 0.5, 1000).alias(c) for c in lengths])
+    for i in range(P):
+        least = [F.lit(SOFTEN[i] ** 2)]
+        if i in LEEWAY and LEEWAY[i][0] in lengths:
+            name, units, most = LEEWAY[i]
+            least.append(F.least(units / F.greatest(F.col(name), F.lit(1)), F.lit(most)) / CUT)
+        spread = (F.col(f"_q{i}")[3] - F.col(f"_q{i}")[2]) * (SOFT_SHARE / 1.349 / SCALE)
+        rows = rows.withColumn(f"_v{i}", F.greatest(spread * spread, *least))
+    return written(rows.drop(*lengths), "fences")
+
+
 def estimates(vectors: DataFrame) -> DataFrame:
     """One reweighted minimum-covariance-determinant estimate per pool, written.
 
-    ``vectors``: written rows (_pool, _x0 …) that passed the base rules. Concentration steps run from two starts side by side,
-    all rows and the rows near the middle of each component; the start with the smaller determinant wins.
+    ``vectors``: written rows (_pool, _x0 …, and LENGTHS where known) that passed the base rules. Concentration steps run from two
+    starts side by side, all rows and the rows near the middle of each component; the start with the smaller determinant wins.
     """
-    fences = [F.percentile_approx(f"_x{i}", F.array(F.lit(0.2), F.lit(0.8)), 1000).alias(f"_q{i}") for i in range(P)]
-    fences = written(vectors.groupBy("_pool").agg(*fences), "fences")
+    fences = _fences(vectors)
+    soft = fences.select("_pool", *[f"_v{i}" for i in range(P)])
     inside = vectors.join(fences, "_pool")
     middle = F.lit(True)
     for i in range(2):
         middle = middle & F.col(f"_x{i}").between(F.col(f"_q{i}")[0], F.col(f"_q{i}")[1])
     starts = F.array_compact(F.array(F.lit("all"), F.when(middle, "middle")))
     first = inside.withColumn("_start", F.explode(starts)).groupBy("_pool", "_start").agg(*_sums())
-    fit = written(_fit(first, 1.0), "fit")
+    fit = written(_fit(first.join(soft, "_pool"), 1.0), "fit")
     for _ in range(STEPS):
-        fit = written(_fit(_step(vectors, fit), CONSISTENCY), "fit")
+        fit = written(_fit(_step(vectors, fit).join(soft, "_pool"), CONSISTENCY), "fit")
     best = fit.withColumn("_rank", F.row_number().over(Window.partitionBy("_pool").orderBy("_det", "_start"))).filter("_rank = 1").drop("_rank")
     near = _distance(vectors.join(written(best, "fit"), "_pool")).filter(F.col("_d") <= CHI_975)
-    return written(_fit(near.groupBy("_pool", "_start").agg(*_sums()), 1.0), "fit")
+    return written(_fit(near.groupBy("_pool", "_start").agg(*_sums()).join(soft, "_pool"), 1.0), "fit")
 
 
 def assess(docs: DataFrame, min_rows: int = 200, cut: float = CUT, whole: bool = False) -> DataFrame:
@@ -169,10 +195,10 @@ def assess(docs: DataFrame, min_rows: int = 200, cut: float = CUT, whole: bool =
     texts, which are neither written nor exchanged.
     """
     own, restored = shielded(docs, ("doc_id", "text", "lang", "source"))
-    slim = judged(own.select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "base_failed", "_lang", "_source", *[f"_x{i}" for i in range(P)])
+    slim = judged(own.select("doc_id", "text", "lang", "source")).select("doc_id", *STATS, "_lines", "base_failed", "_lang", "_source", *[f"_x{i}" for i in range(P)])
     slim = written(slim, "statistics")
     pool_of = written(pools(slim, min_rows), "pools")
-    vectors = written(slim.filter("not base_failed").join(pool_of, ["_lang", "_source"]).select("_pool", *[f"_x{i}" for i in range(P)]), "vectors")
+    vectors = written(slim.filter("not base_failed").join(pool_of, ["_lang", "_source"]).select("_pool", *LENGTHS, *[f"_x{i}" for i in range(P)]), "vectors")
     final = estimates(vectors)
     rows = judged(own) if whole else slim
     placed = _distance(rows.join(pool_of, ["_lang", "_source"], "left").join(final, "_pool", "left"))

@@ -93,6 +93,15 @@ def test_minimum_covariance_determinant(spark):
     assert step["_n"] == len(near) and [step[f"_s{i}"] for i in range(quality.P)] == near.sum(0).tolist()
 
 
+def test_junk_goes_and_clean_documents_stay_by_label(spark):
+    """Symbols are rare in every pool, so its own spread is nothing: 158 of 301 went with a fixed threshold."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = quality.assess(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).filter("not base_failed").join(labels, "doc_id")
+    found = {(r["quality"], r["kept"]): r["count"] for r in rows.groupBy("quality", "kept").count().collect()}
+    assert found[0, False] > 0.95 * (found[0, False] + found[0, True])
+    assert found[1, False] < 0.005 * (found[1, False] + found[1, True])
+
+
 @pytest.mark.parametrize("factor", [1.0, queries.VP_FACTOR])
 def test_nearest_neighbours(spark, monkeypatch, factor):
     monkeypatch.setattr(vp_search, "shard_rows", lambda n: 120)
