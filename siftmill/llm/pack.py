@@ -2,7 +2,7 @@
 
 Documents are encoded, ended, and cut into pieces of at most ``max_len`` ids (all but the last piece are full). Lengths
 are placed longest first: a length goes into the shortest open patterns, those with the most room, whose counts are split
-as the length is used up. Patterns are joined back to pieces by their rank among the
+as the length is used up; where none has room, each new pack takes as many pieces of the length as it holds. Patterns are joined back to pieces by their rank among the
 pieces of the same length, so nothing is gathered: the histogram has ``max_len`` rows, a pattern list few thousand.
 
 Null texts are empty documents (the end id alone); null ids and repeated rows are documents of their own; an empty
@@ -69,7 +69,11 @@ def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, .
             while room >= length and not open_[room]:
                 room -= 1
             if room < length:
-                open_[max_len - length].append([(length,), left])
+                each = max_len // length  # one by one, the next copies go into the pack just opened, as it alone has room
+                if left >= each:
+                    open_[max_len - each * length].append([(length,) * each, left // each])
+                if left % each:
+                    open_[max_len - left % each * length].append([(length,) * (left % each), 1])
                 break
             pack, n = open_[room].pop()
             used = min(n, left)

@@ -92,6 +92,20 @@ def test_shortest_pack_first_uses_all_counts():
     assert sum(n for _, n in packs) < 1.1 * least
 
 
+@pytest.mark.parametrize("histogram", [{100: 100_003, 30: 40}, {100: 7, 512: 3, 1: 5}, {1024: 4, 300: 50_000, 299: 1}, {1: 2_000_000}])
+def test_one_hot_short_length_leaves_little_padding(histogram):
+    packs, used = pack.patterns(histogram, 1024), {}
+    for lengths, n in packs:
+        assert sum(lengths) <= 1024 and n > 0
+        for x in lengths:
+            used[x] = used.get(x, 0) + n
+    assert used == histogram
+    hot = max(histogram, key=histogram.get)
+    assert sum(n for _, n in packs) <= -(-histogram[hot] // (1024 // hot)) + sum(n for x, n in histogram.items() if x > 1024 - hot) + 3
+    runs = pack.places(packs)
+    assert all(len(set(x)) == len(x) for x in [list(zip(runs["length"], runs["first"], strict=True))])
+
+
 def plain_fingerprint(text):
     from xxhash import xxh64_intdigest
 
