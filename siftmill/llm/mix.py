@@ -2,8 +2,8 @@
 
 Documents are counted by exact length per source. Sources share all words by weight; no target exceeds ``MOST`` times its source,
 and what is over goes to the others by weight. A source is taken whole as often as its target holds it; of the rest, each
-length gives its share of documents, lengths that still fit give one more, and bounded-knapsack dynamic programming over
-the counts left fills the last words. Which documents of a length are taken follows a seeded hash, so reruns agree.
+length gives its share of documents, lengths that still fit give more, and bounded-knapsack dynamic programming over
+the counts left fills the last words; where that misses the target, shares are given back as far as the programme can hold. Which documents of a length are taken follows a seeded hash, so reruns agree.
 
 Null texts and texts without words have size 0 and are taken as often as the source is taken whole; null sources are a source, sorted last;
 repeated rows are documents of their own; an empty table gives no rows. Working columns begin with an underscore.
@@ -24,8 +24,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: A source is taken at most so many times.
 MOST = 3
-#: Words that the dynamic programme fills at most; greedy steps leave no more where lengths that fit exist.
+#: Words that the dynamic programme fills after the greedy steps. If these leave more, any length that still fits is over half of it.
 FILLED = 1 << 16
+#: Bits that the programme's sets of sums may take when it fills what given back shares leave.
+MOST_BITS = 1 << 29
 WEIGHTS = (1, 2, 3)
 
 
@@ -73,15 +75,28 @@ def chosen(counts: dict[int, int], budget: int) -> dict[int, int]:
     """Documents to take of each length, ``budget`` words together or as near below as can be."""
     counts = {k: n for k, n in counts.items() if k > 0}
     whole = sum(k * n for k, n in counts.items())
-    taken = {k: n * budget // whole for k, n in counts.items()} if whole else {}
-    left = budget - sum(k * n for k, n in taken.items())
-    for k in sorted(counts, reverse=True):
-        more = min(counts[k] - taken[k], max(0, left - FILLED // 2) // k)
-        taken[k], left = taken[k] + more, left - more * k
-    if left <= FILLED:
-        for k, n in fill(left, {k: n - taken[k] for k, n in counts.items() if n > taken[k] and k <= left}).items():
-            taken[k] += n
-    return taken
+    best, most = {}, -1
+    for quarters in (4, 3, 2, 1, 0) if whole else ():  # of the shares
+        taken = {k: n * budget * quarters // (4 * whole) for k, n in counts.items()}
+        left = budget - sum(k * n for k, n in taken.items())
+        if quarters == 4:
+            for k in sorted(counts, reverse=True):
+                more = min(counts[k] - taken[k], max(0, left - FILLED // 2) // k)
+                taken[k], left = taken[k] + more, left - more * k
+        rest = {k: n - taken[k] for k, n in counts.items() if n > taken[k] and k <= left}
+        if quarters == 4 and left > FILLED:
+            added = {max(rest): 1} if rest else {}
+        elif quarters == 4 or (left + 1) * sum(min(n, left // k).bit_length() for k, n in rest.items()) <= MOST_BITS:
+            added = fill(left, rest)
+        else:
+            break
+        for k, n in added.items():
+            taken[k], left = taken[k] + n, left - n * k
+        if budget - left > most:
+            best, most = taken, budget - left
+        if most >= min(budget, whole):
+            break
+    return best
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, whole: bool = False) -> DataFrame:

@@ -169,6 +169,24 @@ def test_fill_is_optimal():
         assert sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= budget)
 
 
+def test_sources_of_very_long_documents_are_filled(monkeypatch):
+    for counts, budget, want in (({90_000: 1, 80_000: 1}, 85_000, 80_000), ({200_000: 1, 130_000: 2, 90_000: 10}, 260_000, 260_000), ({70_000: 30}, 1_000_000, 980_000), ({0: 3}, 5, 0), ({}, 0, 0)):
+        taken = mix.chosen(counts, budget)
+        assert sum(k * n for k, n in taken.items()) == want and all(n <= counts[k] for k, n in taken.items())
+    monkeypatch.setattr(mix, "FILLED", 16)  # short lengths in the place of long ones
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        counts = {int(k): int(n) for k, n in zip(rng.integers(5, 60, 5), rng.integers(1, 5, 5), strict=True)}
+        budget, sums = int(rng.integers(0, sum(k * n for k, n in counts.items()) + 1)), {0}
+        for k, n in counts.items():
+            sums = {s + k * i for s in sums for i in range(n + 1)}
+        taken = mix.chosen(counts, budget)
+        assert all(0 <= n <= counts[k] for k, n in taken.items())
+        assert sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= budget)
+    monkeypatch.setattr(mix, "MOST_BITS", 0)  # without room for more, one of the lengths that fit is taken
+    assert mix.chosen({90: 1, 80: 1}, 85) == {90: 0, 80: 1}
+
+
 def test_mix(odd, documents):
     for docs in (odd, documents):
         rows = mix.mix(docs).collect()
