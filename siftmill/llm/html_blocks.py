@@ -1,10 +1,11 @@
 """Main text of web pages by block rules in two passes.
 
 A page is cut into blocks at block-level tags. The first pass decides by link density, length and the density of stop words,
-and by the container: menus, headers, footers, sidebars, notices, adverts, forms and comments are out. Short and unclear
+and by the container: menus, headers, footers, sidebars, notices, adverts, forms and comments are out. Stop words keep blocks
+but rule none out, and where the page's text shows none of their languages, length decides without them. Short and unclear
 blocks stay open; the second pass gives them the label of the nearest decided block of their region (the article, or what
 lies outside of one), of two as near ones the kept one. With nothing decided, an article's blocks stay and others go,
-unless the whole page would be empty.
+unless the whole page would be empty: then all blocks stay that no container or link density ruled out.
 
 Null and empty pages have no blocks and an empty text; unclosed tags, comments and quotes reach no further than the page;
 repeated rows are pages of their own; other columns are kept by ``extract``.
@@ -65,6 +66,8 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Characters that say about as much as three letters.
+_DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def _is_out(tag: str, attrs: str, in_article: bool) -> bool:
@@ -152,20 +155,21 @@ def blocks(page: str) -> list[dict]:
 def labelled(page: str | None) -> list[dict]:
     """Blocks with ``kept`` after both passes."""
     found = blocks(page or "")
+    of_page = of_stops = 0  # words of what isn't ruled out
     for b in found:
         words = _WORD.findall(b["text"].lower())
-        stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        size, inside = len(b["text"]), b["region"] > 0
-        if b["out"] or b["links"] > LINKS_MOST or b["text"][0] == "©":
-            b["kept"] = False
-        elif stops >= STOP_HIGH and size >= (SHORT if inside else LONG):
-            b["kept"] = True
-        elif size >= LONG and stops < STOP_LOW and not inside:
-            b["kept"] = False
-        elif size >= LONG and stops >= STOP_LOW and inside:
+        b["words"], b["stops"] = len(words), sum(w in STOP_WORDS for w in words)
+        b["kept"] = False if b["out"] or b["links"] > LINKS_MOST or b["text"][0] == "©" else None
+        if b["kept"] is None:
+            of_page, of_stops = of_page + b["words"], of_stops + b["stops"]
+    listed = of_stops >= STOP_HIGH * of_page
+    for b in found:
+        stops = b["stops"] / b["words"] if b["words"] else 0.0
+        size, inside = len(b["text"]) + 2 * len(_DENSE.findall(b["text"])), b["region"] > 0
+        if b["kept"] is None and (
+            (stops >= STOP_HIGH and size >= (SHORT if inside else LONG)) or (size >= LONG and (not listed or (stops >= STOP_LOW and inside)))
+        ):
             b["kept"] = True
-        else:
-            b["kept"] = None
     first = [b["kept"] for b in found]
     for region in {b["region"] for b in found}:
         own = [i for i, b in enumerate(found) if b["region"] == region]

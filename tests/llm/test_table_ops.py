@@ -222,6 +222,28 @@ def test_pages(spark):
     assert html_blocks.extract(frame).count() == len(rows) and html_blocks.extract(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("prose", [
+    "Durante la primavera gli abitanti della valle tornavano ogni mattina nei campi, raccoglievano fiori selvatici e raccontavano ai bambini vecchie storie di pastori, lupi e montagne lontane.",
+    "Wczesną wiosną mieszkańcy doliny wracali każdego ranka na pola, zbierali dzikie kwiaty i opowiadali dzieciom stare historie o pasterzach, wilkach oraz dalekich górach.",
+    "Ранней весной жители долины каждое утро возвращались в поля, собирали дикие цветы и рассказывали детям старые истории о пастухах, волках и далёких горах.",
+    "早春时节，山谷里的居民每天早晨都回到田野，采集野花，并给孩子们讲述关于牧羊人、狼和远山的古老故事，夜里大家围着炉火唱歌，直到月亮升起来。",
+])
+def test_pages_of_divs_in_languages_without_stop_words(prose):
+    page = f"<body><div class=nav><a href=/>X</a></div><div><h1>Abc</h1><p>{prose}</p><p>{prose}</p><p>Xyz</p><p>{prose}</p></div><p><a href=/y>{prose}</a></p><div id=footer><p>{prose}</p></div></body>"
+    assert [b["text"] for b in html_blocks.labelled(page) if b["kept"]][:5] == ["Abc", prose, prose, "Xyz", prose]
+    assert [b["text"] for b in html_blocks.labelled(page) if b["kept"]][5:] == []
+    short = [prose[i : i + 40] for i in range(0, 40, 10)]  # nothing but short blocks: all that isn't ruled out comes back
+    page = f"<body><div><p><a href=/y>{prose}</a></p>" + "".join(f"<p>{x}</p>" for x in short) + "</div></body>"
+    assert [b["text"] for b in html_blocks.labelled(page) if b["kept"]] == [x.strip() for x in short]
+
+
+def test_long_code_and_tables_stay_beside_prose():
+    prose = "The cat and the dog were in the house, and it was not so bad for them as one would have thought at first sight of the place, or so they said."
+    code = " ".join(f"x{i} = f{i}(y{i}, z{i});" for i in range(20))
+    page = f"<body><div><p>{prose}</p><pre>{code}</pre><p>{prose}</p><table><tr><td>{'12.5 kg ' * 30}</td></tr></table><p>{prose}</p></div><div class=footer>{code}</div></body>"
+    assert [b["text"] for b in html_blocks.labelled(page) if b["kept"]] == [prose, code, prose, ("12.5 kg " * 30).strip(), prose]
+
+
 def test_pipeline(spark, odd, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES:
