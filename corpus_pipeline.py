@@ -23,9 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; ``lang`` stays as given."""
+    """Documents of a language that the labelled ones teach: no less likely than LEAST_LANGUAGE_SCORE beside the others, and
+    with n-grams as usual in it; ``lang`` stays as given."""
     own, restored = shielded(docs, ("doc_id", "text", "lang"))
-    found = langid.identify(own).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
+    found = langid.judged(own).filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE_SCORE) & (F.col("fit") >= F.col("least_fit")))
     return found.select(*restored)
 
 

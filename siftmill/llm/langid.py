@@ -4,6 +4,10 @@ The log-probability matrix has one row per language and 2**bits columns; its siz
 ``MAX_MATRIX`` checks, so it is broadcast. Documents are scored many at a time in numpy. Null texts and texts without a
 letter are ``und`` with score 0, as is everything where nothing could be learned. Repeated rows count as often as they
 occur; ties go to the language that sorts first. Empty tables give no rows; only doc_id, text and lang are read.
+
+The posterior says which language is likelier than the others, and nears 1 for any long text. Whether a text is of a learned
+language at all is told by its fit, the mean log probability of its n-grams under the best language, beside the fits that
+the labelled rows of that language have when each is left out of the counts (``judged``).
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ ORDERS = (1, 2, 3)
 #: Cells of the matrix at most; more languages than that allow are an error, not a reason to drop some.
 MAX_MATRIX = 1 << 25
 UNDETERMINED = "und"
+#: A fit may lie so many standard deviations under the mean of its language; languages with fewer rows are held against all rows.
+FIT_DEVIATIONS, FIT_ROWS = 6.0, 8
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -55,8 +61,8 @@ def _slices(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]
             start, total = i + 1, 0
 
 
-def learn(labelled: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and log probabilities (languages + prior column) from all rows with text and lang."""
+def _counted(labelled: DataFrame, bits: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages in order, counts of n-grams (languages x buckets) and of rows, from all rows with text and lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -85,8 +91,78 @@ def learn(labelled: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]
         row, bucket, n = sums["lang"].map(place).to_numpy(), sums["bucket"].to_numpy(), sums["n"].to_numpy()
         prior[row[bucket < 0]] = n[bucket < 0]
         counts[row[bucket >= 0], bucket[bucket >= 0]] = n[bucket >= 0]
-    logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * (1 << bits)))
-    return langs, np.hstack([logs, np.log((prior + 1) / (prior.sum() + len(langs)))[:, None]]) if langs else logs
+    return langs, counts, prior
+
+
+def _logs(counts: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    logs = np.log((counts + 0.5) / (counts.sum(axis=1, keepdims=True) + 0.5 * counts.shape[1]))
+    return np.hstack([logs, np.log((prior + 1) / (prior.sum() + len(prior)))[:, None]]) if len(prior) else logs
+
+
+def learn(labelled: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]:
+    """Languages in order, and log probabilities (languages + prior column) from all rows with text and lang."""
+    langs, counts, prior = _counted(labelled, bits)
+    return langs, _logs(counts, prior)
+
+
+def _own_grams(text: str, bits: int) -> np.ndarray:
+    """The n-grams that lie in the text and its line end."""
+    found, size = grams([text], bits)[0], len(text) + 1
+    return np.concatenate([found[k, : max(0, size - order + 1)] for k, order in enumerate(ORDERS)])
+
+
+def _has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
+def least_fits(labelled: DataFrame, langs: list[str], counts: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Per language the least fit of its texts: FIT_DEVIATIONS below the mean over all its labelled rows, each left out of the counts."""
+    shared = labelled.sparkSession.sparkContext.broadcast(counts.astype(np.float32))
+
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_counts, place = shared.value, {lang: i for i, lang in enumerate(langs)}
+        sums = all_counts.sum(axis=1, dtype=np.float64)
+        moments = np.zeros((len(langs), 3))
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if _has_letter(text):
+                    i, bucket = place[lang], _own_grams(text, bits)
+                    at, n = np.unique(bucket, return_counts=True)
+                    rest = np.maximum(all_counts[i, at].astype(np.float64) - n, 0)
+                    fit = n @ np.log((rest + 0.5) / (sums[i] - len(bucket) + 0.5 * (1 << bits))) / len(bucket)
+                    moments[i] += 1, fit, fit * fit
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *map(pa.array, moments.T.copy())], names=["lang", "n", "s", "q"])
+
+    rows = labelled.select("lang", "text").filter("lang is not null and text is not null").mapInArrow(fits, "lang string, n double, s double, q double")
+    moments = {r["lang"]: (r["n"], r["s"], r["q"]) for r in rows.groupBy("lang").agg(*[F.sum(c).alias(c) for c in "nsq"]).collect()}  # one row per language
+    own = np.array([moments.get(lang, (0, 0, 0)) for lang in langs]).reshape(-1, 3)
+    own[own[:, 0] < FIT_ROWS] = own.sum(axis=0)
+    n = np.maximum(own[:, 0], 1)
+    deviation = np.sqrt(np.maximum(own[:, 2] / n - (own[:, 1] / n) ** 2, 0))
+    return np.where(own[:, 0] < FIT_ROWS, -np.inf, own[:, 1] / n - FIT_DEVIATIONS * deviation)
+
+
+def judged(docs: DataFrame, bits: int = BITS) -> DataFrame:
+    """As ``identify``, with fit and least_fit, null without a language; languages with too few rows everywhere have no least one."""
+    marked = docs.withColumn("held_out", held_out(F.col("doc_id")))
+    labelled = marked.filter(~F.col("held_out"))
+    langs, counts, prior = _counted(labelled, bits)
+    least = least_fits(labelled, langs, counts, bits) if langs else np.zeros(0)
+    matrix = _logs(counts, prior)
+    shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32))
+
+    @F.pandas_udf("fit double, least_fit double")
+    def fitted(texts, preds):
+        import pandas as pd
+
+        place, fit, floor = {lang: i for i, lang in enumerate(langs)}, np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+        for j, (text, pred) in enumerate(zip(texts.tolist(), preds.tolist(), strict=True)):
+            if _has_letter(text) and pred in place:
+                fit[j], floor[j] = shared.value[place[pred], _own_grams(text, bits)].mean(dtype=np.float64), least[place[pred]]
+        return pd.DataFrame({"fit": fit, "least_fit": floor})
+
+    rows = predict(marked, langs, matrix, bits).withColumn("_fitted", fitted("text", "lang_pred"))
+    return rows.withColumns({c: F.nanvl(F.col(f"_fitted.{c}"), F.lit(None).cast("double")) for c in ("fit", "least_fit")}).drop("_fitted")
 
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, bits: int = BITS) -> DataFrame:

@@ -261,6 +261,25 @@ def test_pipeline(spark, odd, documents):
     assert corpus_pipeline.near_duplicates(spark, odd, DATA).filter("doc_id = 6 and text = 'same'").count() == 1
 
 
+def test_texts_of_no_learned_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng, clean = np.random.default_rng(8), docs.filter("doc_id % 50 = 0 and length(text) between 500 and 2000").collect()
+    foreign = [
+        "Wczesną wiosną mieszkańcy doliny wracali każdego ranka na pola, zbierali dzikie kwiaty i opowiadali dzieciom stare historie o pasterzach, wilkach oraz dalekich górach.",
+        "Ранней весной жители долины каждое утро возвращались в поля, собирали дикие цветы и рассказывали детям старые истории о пастухах, волках и далёких горах.",
+        "ある春の朝、谷の人々は畑に戻り、野の花を摘み、子供たちに羊飼いや狼の古い物語を語りました。",
+        " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(60)),
+        " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)),
+        "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 500)),
+    ]
+    extra = [(-i - 1, t * n, None) for i, (t, n) in enumerate((t, n) for t in foreign for n in (1, 20))] + [(-100 - i, r["text"], None) for i, r in enumerate(clean)]
+    stay = {r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(spark.createDataFrame(extra, docs.schema)), DATA).collect()}
+    assert not any(-100 < i < 0 for i in stay)
+    assert len(clean) > 5 and all(-100 - i in stay for i in range(len(clean)))
+    print("language_id keeps", sum(i >= 0 for i in stay), "of", docs.count())
+    assert sum(i >= 0 for i in stay) > 0.98 * docs.count()
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_oracle(spark, name):
     import duckdb
