@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.llm import chat, html_blocks, kd_shards, langid, mix, pack, quality, simhash, token_files, vp_search
+from siftmill.llm import centroids, chat, filter_audit, html_blocks, kd_shards, langid, mix, pack, quality, simhash, token_counts, token_files, vp_search
 from siftmill.llm.common import table
 
 
@@ -75,7 +75,20 @@ def op10_language_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_vantage_points, op3_kd_shards, op4_simhash_bk, op5_chat_round_trip, op6_mix_to_budget, op7_token_files, op8_pack_shortest_first, op9_html_blocks, op10_language_bayes)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hilbert_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.labelled(table(spark, sf_dir, "embeddings"), k=16, rounds=3, dims=64, scale=64, seed=1)
+
+
+def op13_two_tier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_mcd, op2_vantage_points, op3_kd_shards, op4_simhash_bk, op5_chat_round_trip, op6_mix_to_budget, op7_token_files, op8_pack_shortest_first, op9_html_blocks, op10_language_bayes, op11_filter_audit, op12_hilbert_zones, op13_two_tier_counts)}
 ORACLE = {
     "op5_chat_round_trip": r"""
         WITH said AS (
@@ -94,4 +107,59 @@ ORACLE = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CASE WHEN bool_or(conflict) THEN sum(14 + length(role2) + length(text2)) ELSE sum(14 + length(role) + length(text)) END::BIGINT AS formatted_chars
         FROM marked GROUP BY conv_id""",
+    "op11_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+                list_filter(string_split_regex(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), failing AS (
+            SELECT doc_id, part, concat(
+                CASE WHEN len(w) < 100 THEN 'A' END, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+                CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 'C' END,
+                CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END, CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END) AS fs
+            FROM texts
+        ), said AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+        ), cells AS (
+            SELECT part, fs, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(bad, 0)) AS bad FROM failing LEFT JOIN said USING (doc_id) GROUP BY part, fs
+        ), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+        ), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS o FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (SELECT o, s, substr(o, s, 1) AS f, substr(o, 1, s - 1) AS earlier FROM orders, range(1, 6) r(s)
+        ), met AS (
+            SELECT *, contains(fs, f) AS fails, translate(fs, earlier, '') <> fs AS gone FROM steps, cells
+        ), measured AS (
+            SELECT part, o AS filter_order, s::INT AS step, f, sum(CASE WHEN NOT fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS kept,
+                sum(CASE WHEN fails AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN fails AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+                sum(CASE WHEN fs = f THEN n ELSE 0 END)::BIGINT AS unique_fails, sum(CASE WHEN fails AND NOT gone THEN good ELSE 0 END)::BIGINT AS good_lost,
+                sum(CASE WHEN fails AND NOT gone THEN bad ELSE 0 END)::BIGINT AS toxic_lost
+            FROM met GROUP BY part, o, s, f
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) OVER (PARTITION BY part, f)::BIGINT AS shapley
+        FROM measured""",
 }
+
+
+def _lloyd_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """Rounds of assignment and floor(sum / count), unrolled; the last assignment is the result."""
+    steps = [f"""
+        x AS (SELECT vec_id, list_transform(embedding, lambda e: floor({scale} * e::DOUBLE)::BIGINT) AS v FROM embeddings
+            WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = {dims}),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id), v) - 1 AS k, v FROM x QUALIFY k < {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""
+        d{r} AS (SELECT vec_id, x.v, c.k, list_sum(list_transform(list_zip(x.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS distance FROM x, c{r} c),
+        a{r} AS (SELECT vec_id, v, k, distance FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY distance, k) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+        s{r} AS (SELECT k, i, sum(v[i])::BIGINT AS s, count(*)::BIGINT AS n FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY k, i),
+        m{r} AS (SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{r} GROUP BY k),
+        c{r + 1} AS (SELECT c.k, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m ON m.k = c.k)""")
+    return "WITH" + ",".join(steps) + f"""
+        SELECT a.vec_id, a.k::INT AS cluster, a.distance, sum(a.distance) OVER (PARTITION BY a.k)::BIGINT AS cluster_inertia,
+            sum(a.distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.k = a.k"""
+
+
+ORACLE["op12_hilbert_zones"] = _lloyd_sql(k=16, rounds=3, dims=64, scale=64, seed=1)
