@@ -19,6 +19,7 @@ from siftmill.operators.line_rules import FILE_RULES, LINE_RULES, LineRule, Magi
 from siftmill.plans import findings as W, prompts, reports as R
 from siftmill.plans.scan import scan
 from siftmill.sources import files as S, manifests as MF
+from siftmill.sources.layout import lay_out
 from siftmill.streaming import history, scan_stream
 from siftmill.session import work_dir
 
@@ -308,7 +309,7 @@ add("m_dup", lambda s, d: clones.clone_report(_texts(s, d)),
     f"WITH {_SQL_TEXTS}, {D.SQL_LINES}, {_WINDOWS} SELECT project_id, substr(block, 1, 200) AS block_preview, occurrences, first.p AS first_file, first.s AS first_line FROM dup")
 add("m_dup_locations", lambda s, d: clones.clone_locations(_texts(s, d)).drop("digest"),
     f"WITH {_SQL_TEXTS}, {D.SQL_LINES}, {_WINDOWS} SELECT w.project_id, occurrences, w.path AS file, s AS start_line, s + 5 AS end_line FROM w JOIN dup USING (project_id, block)")
-add("u_preview", lambda s, d: clones.clone_report(_texts(s, d)).select("project_id", "first_file", "first_line", F.length("block_preview").alias("chars")),
+add("u_preview", lambda s, d: clones.clone_report(_texts(s, d), laid_out=lay_out(_texts(s, d))).select("project_id", "first_file", "first_line", F.length("block_preview").alias("chars")),
     f"WITH {_SQL_TEXTS}, {D.SQL_LINES}, {_WINDOWS} SELECT project_id, first.p AS first_file, first.s AS first_line, CAST(least(200, length(block)) AS INTEGER) AS chars FROM dup")
 
 # -- sources ----------------------------------------------------------------------------------------------------

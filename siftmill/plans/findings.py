@@ -24,7 +24,8 @@ def attach_snippets(hits: DataFrame, files: DataFrame) -> DataFrame:
     """Cut the surrounding lines for hits that do not carry them.
 
     Hits are folded to one row per file first, so each text is joined once and cut for all of its hits; hits of
-    files that are not given keep a NULL snippet.
+    files that are not given keep a NULL snippet. Where ``files`` are laid out by key (``sources.layout``), the hits
+    come to the texts and no text is exchanged.
     """
     columns = [c for c in hits.columns if c not in ("project_id", "file")]
     per_file = hits.groupBy("project_id", "file").agg(F.collect_list(F.struct(*columns)).alias("hits"))
@@ -50,11 +51,12 @@ def to_issues(hits: DataFrame, catalog: DataFrame, scan_id: str | Column, ts: Co
         hits = hits.withColumn("code_snippet", F.lit(None).cast("string"))
     if "found_severity" not in hits.columns:
         hits = hits.withColumn("found_severity", F.lit(None).cast("string"))
-    keys = ["project_id", "file", "line", "column", "rule_id", "message", "suggestion", "found_severity"]
-    counted = hits.groupBy(*keys).agg(F.count("*").alias("n"), F.max("code_snippet").alias("code_snippet"))
-    rows = counted.withColumn("ordinal", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-    named = with_metadata(rows, catalog)
-    identity = F.concat_ws("\x1f", scan, "project_id", "file", "line", "column", "rule_id", "message", F.coalesce("suggestion", F.lit("")), F.coalesce("found_severity", F.lit("")), "ordinal")
+    # equal findings meet under two longs instead of their texts; the snippet tells which of them comes first
+    told = F.concat_ws("\x1f", scan, "project_id", "file", "line", "column", "rule_id", "message", F.coalesce("suggestion", F.lit("")), F.coalesce("found_severity", F.lit("")))
+    same = Window.partitionBy("_k1", "_k2").orderBy("code_snippet")
+    marked = hits.withColumn("_told", F.sha2(told, 256)).withColumns({"_k1": F.xxhash64("_told"), "_k2": F.xxhash64(F.lit(1), "_told")})
+    named = with_metadata(marked.withColumn("ordinal", F.row_number().over(same)), catalog)
+    identity = F.concat_ws("\x1f", told, "ordinal")
     return named.select(
         F.sha2(identity, 256).alias("issue_id"), "project_id", scan.alias("scan_id"), "file", F.col("line").cast("int"),
         F.col("column").cast("int"), F.lit(None).cast("int").alias("end_line"), "rule_id", "rule_name",

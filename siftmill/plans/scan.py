@@ -17,6 +17,7 @@ from siftmill.operators.line_rules import text_rule_hits
 from siftmill.operators.taint import NODE_TYPES, taint_hits
 from siftmill.plans import findings, reports
 from siftmill.session import materialize
+from siftmill.sources.layout import lay_out
 from siftmill.sources.manifests import declared
 
 FACT_TYPES = sorted({t for r in FACT_RULES.values() for t in r.node_types} | set(NODE_TYPES) | {"Module"})
@@ -40,7 +41,7 @@ def facts_of(files: DataFrame, stored: bool = True) -> DataFrame:
 
 
 def python_hits(files: DataFrame, facts: DataFrame) -> DataFrame:
-    """Fact rules and taint, with snippets cut by one join per file. Keyword flows carry no snippet, value flows the bare line."""
+    """Fact rules and taint, with snippets cut where the file's text lies. Keyword flows carry no snippet, value flows the bare line."""
     hits = fact_rule_hits(facts).unionByName(taint_hits(facts))
     cut = findings.attach_snippets(hits, files)
     own = F.trim(F.regexp_extract("code_snippet", r"(?m)^>>> \d+: (.*)$", 1))
@@ -59,10 +60,14 @@ def file_hits(files: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, manifests: DataFrame | None = None, advisories: DataFrame | None = None, scan_id: str = "scan",
-         ts: Column | None = None, rules: RuleSet | None = None) -> Scan:
-    """Run everything over ``files`` (project_id, path, language, text) and, if given, the projects' manifests and own rules."""
+         ts: Column | None = None, rules: RuleSet | None = None, laid_out: bool = False) -> Scan:
+    """Run everything over ``files`` (project_id, path, language, text) and, if given, the projects' manifests and own rules.
+
+    Files are laid out by key first, unless ``laid_out`` says that they are: no later step exchanges a text.
+    """
     spark = files.sparkSession
     ts = ts if ts is not None else F.current_timestamp()
+    files = files if laid_out else lay_out(files)
     facts = facts_of(files)
     hits = file_hits(files, facts).withColumn("found_severity", F.lit(None).cast("string"))
     if rules is not None:
