@@ -193,7 +193,19 @@ add("taint001", lambda s, d: taint.taint_hits(_flow_candidates(s, d)).select("pr
 add("taint_src", lambda s, d: taint.source_nodes(_flow_facts(s, d)))
 add("taint_sink", lambda s, d: taint.sink_calls(_flow_facts(s, d)).drop("node_id"))
 add("taint_carry", lambda s, d: taint.carried(_flow_facts(s, d)))
-add("taint_prop", lambda s, d: taint.tainted_definitions(_flow_facts(s, d)))
+
+
+def _definitions_sql() -> str:
+    """Every assignment of the corpus; those with a hand-written mark are tainted."""
+    rows = ", ".join(f"({t}, {n}, {q(k)}, {q(x)})" for t, n, k, x in D.snippets.definitions())
+    return (
+        f"WITH {D.sql_labels(['DEF'])}, defs(template_id, n, kind, name) AS (VALUES {rows}) "
+        "SELECT c.project_id, c.path AS file, CAST(d.n + shift AS INTEGER) AS line, d.kind, d.name, l.n IS NOT NULL AS tainted "
+        "FROM defs d JOIN corpus c USING (template_id) LEFT JOIN labels l ON l.template_id = d.template_id AND l.n = d.n AND l.message = d.name"
+    )
+
+
+add("taint_prop", lambda s, d: taint.tainted_definitions(_flow_facts(s, d)), _definitions_sql())
 add("j_defuse", lambda s, d: taint.definition_of_use(_flow_facts(s, d)))
 
 

@@ -59,6 +59,8 @@ EXPECTED = {
     # Facts rather than findings: name, length, complexity of a function.
     "FN": "{0}|{1}|{2}",
     "PYFN": "{0}|{1}|{2}",
+    # A name that holds untrusted data after the line; names without the mark don't.
+    "DEF": "{0}",
 }
 
 PYTHON = [
@@ -165,14 +167,14 @@ shutil.copy(_path, sys.argv[1])⟦SEC009|shutil.copy⟧
 os.path.join("a", "input.txt")⟦SEC009|os.path.join⟧
 os.path.join("a", _path)
 if os.path.exists(_path):⟦SEC014⟧
-    _f = open(_path)
+    _f = open(_path)⟦DEF|_f⟧
 if os.path.isfile(_path) and True:⟦SEC014⟧
     if _path:
-        _f = open(_path)
+        _f = open(_path)⟦DEF|_f⟧
 if os.path.exists(_path):
     _f = 1
 else:
-    _f = open(_path)
+    _f = open(_path)⟦DEF|_f⟧
 ''',
     # 5: long functions and long signatures
     "def _long():⟦CS001|_long|51⟧⟦PYFN|_long|51|1⟧\n" + "    x = 1\n" * 50
@@ -385,21 +387,21 @@ def _sync():⟦PYFN|_sync|3|1⟧
     # 14: flows at module level
     '''import os
 from flask import request
-v1 = input("x")
+v1 = input("x")⟦DEF|v1⟧
 os.system(v1)⟦SEC002s|os.system⟧⟦TAINT001v|os.system|OS Command Injection⟧
-v2 = v1 + "!"
-v3 = f"{v2}"
+v2 = v1 + "!"⟦DEF|v2⟧
+v3 = f"{v2}"⟦DEF|v3⟧
 eval(v3)⟦SEC002e|eval⟧⟦TAINT001v|eval|Code Injection via eval()⟧
-v4 = input()
+v4 = input()⟦DEF|v4⟧
 v4 = "safe"
 os.system(v4)⟦SEC002s|os.system⟧
-v5 = input()
+v5 = input()⟦DEF|v5⟧
 os.system(v5)⟦SEC002s|os.system⟧
 v5 = "late"
 v6 = "a"
-v6 += input()
+v6 += input()⟦DEF|v6⟧
 os.popen(v6)⟦SEC002s|os.popen⟧⟦TAINT001v|os.popen|OS Command Injection⟧
-v7 = request.args
+v7 = request.args⟦DEF|v7⟧
 cursor.execute("q", v7)⟦TAINT001v|cursor.execute|SQL Injection⟧
 cursor.execute("q", params=v7)⟦TAINT001k|cursor.execute|SQL Injection⟧
 v8 = request.args.get("x")
@@ -410,15 +412,15 @@ v10, v11 = input(), 1
 cursor.execute(v10)
 v12 = [input()]
 cursor.execute(v12)
-v13 = worker.thread()
+v13 = worker.thread()⟦DEF|v13⟧
 cursor.execute(v13)⟦TAINT001v|cursor.execute|SQL Injection⟧
-v14 = v7["k"]
+v14 = v7["k"]⟦DEF|v14⟧
 cursor.executemany(v14)⟦TAINT001v|cursor.executemany|SQL Injection⟧
-v15 = str(v14)
+v15 = str(v14)⟦DEF|v15⟧
 log.write(v15, v15)⟦TAINT001v|log.write|Arbitrary File Write⟧
-v16.body = input()
+v16.body = input()⟦DEF|v16.body⟧
 raw(v16.body.x)⟦TAINT001v|raw|SQL Injection (Django ORM raw query)⟧
-v17 = v18 = input()
+v17 = v18 = input()⟦DEF|v17⟧⟦DEF|v18⟧
 cursor.execute(v17, more=v18)⟦TAINT001v|cursor.execute|SQL Injection⟧⟦TAINT001k|cursor.execute|SQL Injection⟧
 ''',
     # 15: flows inside a function
@@ -427,7 +429,7 @@ import subprocess
 import sys
 def _run(cmd):⟦PYFN|_run|12|2⟧
     os.system(late)⟦SEC002s|os.system⟧
-    data = open(cmd)
+    data = open(cmd)⟦DEF|data⟧
     subprocess.run(data, shell=True)⟦SEC002h|subprocess.run⟧⟦TAINT001v|subprocess.run|OS Command Injection⟧
     lines = open(cmd).read()
     subprocess.call(lines)
@@ -435,7 +437,7 @@ def _run(cmd):⟦PYFN|_run|12|2⟧
     compile(source=os.getenv("X"), filename="f", mode="exec")⟦SEC002e|compile⟧⟦TAINT001k|compile|Code Injection via compile()⟧
     Template(str(input()))⟦TAINT001v|Template|Server-Side Template Injection⟧
     if cmd:
-        late = input()
+        late = input()⟦DEF|late⟧
     os.system(late)⟦SEC002s|os.system⟧⟦TAINT001v|os.system|OS Command Injection⟧
 ''',
     # 16: does not parse
@@ -746,4 +748,23 @@ def labels() -> list[tuple[int, str, int, str]]:
     return out
 
 
+_ASSIGNED = re.compile(r"\s*((?:[A-Za-z_][\w.]* = )+)")
+_GROWN = re.compile(r"\s*([A-Za-z_][\w.]*) [-+]= ")
+
+
+def definitions() -> list[tuple[int, int, str, str]]:
+    """(template_id, line, kind, name) of every assignment to names, read off the lines of the Python texts that parse."""
+    out = []
+    for i, lang, _, _, text in templates():
+        if lang != "python" or i in UNPARSABLE:
+            continue
+        for n, line in enumerate(text.split("\n"), 1):
+            for part in line.split("; "):
+                if assigned := _ASSIGNED.match(part):
+                    out += [(i, n, "assign", name) for name in assigned[1].split(" = ")[:-1]]
+                elif grown := _GROWN.match(part):
+                    out.append((i, n, "augassign", grown[1]))
+    return out
+
+
 UNPARSABLE = [i for i, text in enumerate(PYTHON) if "def broken(:" in text]

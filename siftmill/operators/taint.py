@@ -1,17 +1,19 @@
 """Untrusted-data flow: which sink calls receive data from a source through assignments.
 
 Leaf expressions are tied to the assignments and calls they feed by walking up their own ancestor chain (narrow).
-The events of one file are then ordered by their breadth-first node number and folded with the set of tainted
-names as state. One shuffle by file, no driver loop; a group is one file. The fold is the one Python step (Arrow
-batches of slim event arrays): SQL has no set that grows in place, and copying it per event is quadratic.
+The rows of one file are then brought together, sorted by their breadth-first node number, and folded as they stream by, with
+the set of tainted names as state: one shuffle by file, no group held in memory, no driver loop. The fold is the one
+Python step (Arrow batches of slim rows): SQL has no set that grows in place, and copying it per event is quadratic.
 """
 
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import may_name
@@ -171,58 +173,59 @@ def carried(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
     return flow_rows(facts, sources).filter(F.col("channel").isNotNull()).select("project_id", "path", "event_id", "channel", "direct", "var")
 
 
-def _events(facts: DataFrame, sources: list[str] | None) -> DataFrame:
-    """One row per event with everything it reads, then one row per file with its events in order."""
+_FLOW = "project_id string, path string, event_id int, kind string, targets array<string>, line int, column int, name string, label string, by_value boolean, by_keyword boolean"
 
-    def reads(*channels: str) -> list[Column]:
-        on = F.col("channel").isin(*channels)
-        return [F.coalesce(F.max(F.when(on, F.col("direct"))), F.lit(False)).alias(f"direct_{channels[0]}"),
-                F.collect_set(F.when(on, F.col("var"))).alias(f"vars_{channels[0]}")]
-
-    # Both groupings are served by the one exchange by file.
-    by_event = (
-        flow_rows(facts, sources).repartition("project_id", "path").groupBy("project_id", "path", "event_id")
-        .agg(*[F.max(c).alias(c) for c in ("kind", "targets", "line", "column", "name", "label")],
-             *reads("value", "args"), *reads("keywords"))
-        .filter(F.col("kind").isNotNull())
-    )
-    event = F.struct("event_id", "kind", "targets", "line", "column", "name", "label", "direct_value", "vars_value",
-                     "direct_keywords", "vars_keywords")
-    return by_event.groupBy("project_id", "path").agg(F.array_sort(F.collect_list(event)).alias("events"))
 
+class _File:
+    """The tainted names of one file, and what the event at hand has read so far."""
 
-_OUTCOME = "array<struct<by_value:boolean,by_keyword:boolean>>"
+    def __init__(self) -> None:
+        self.tainted: set[str] = set()
+        self.event: int | None = None
+        self.by_value = self.by_keyword = False
 
 
-def outcomes(events: list[Row]) -> list[tuple[bool, bool]]:
-    """Taint of every event of a file, in order: by value or positional argument, and by keyword.
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Outcome of each event, from rows that come file by file and, in a file, by event: what it reads first, then itself.
 
-    The state is the set of tainted names. Each event looks at its own names only, so work is linear in what a file
-    reads and assigns, however many names are tainted.
+    Each row looks at its own names only, so work is linear in what a file reads and assigns, however many names are tainted.
     """
-    tainted, seen = set(), []
-    for e in events:
-        by_value = bool(e["direct_value"]) or any(v in tainted for v in e["vars_value"])
-        by_keyword = bool(e["direct_keywords"]) or any(v in tainted for v in e["vars_keywords"])
-        if e["kind"] != "sink" and by_value:
-            tainted.update(e["targets"])
-        elif e["kind"] == "assign":
-            tainted.difference_update(e["targets"])
-        seen.append((by_value, by_keyword))
-    return seen
+    at, state = None, _File()
+    for batch in batches:
+        keep, values, keywords = [], [], []
+        columns = [batch.column(c).to_pylist() for c in ("project_id", "path", "event_id", "kind", "direct", "var", "channel", "targets")]
+        for i, (project, path, event, kind, direct, var, channel, targets) in enumerate(zip(*columns, strict=True)):
+            if (project, path) != at:
+                at, state = (project, path), _File()
+            if event != state.event:
+                state.event, state.by_value, state.by_keyword = event, False, False
+            if kind is None:
+                if direct or var in state.tainted:
+                    if channel == "keywords":
+                        state.by_keyword = True
+                    else:
+                        state.by_value = True
+                continue
+            if kind != "sink" and state.by_value:
+                state.tainted.update(targets or ())
+            elif kind == "assign":
+                state.tainted.difference_update(targets or ())
+            keep.append(i)
+            values.append(state.by_value)
+            keywords.append(state.by_keyword)
+        if keep:
+            rows = batch.select(["project_id", "path", "event_id", "kind", "targets", "line", "column", "name", "label"]).take(pa.array(keep, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(values), pa.array(keywords)], names=[*rows.schema.names, "by_value", "by_keyword"])
 
 
 def flow(facts: DataFrame, sources: list[str] | None = None) -> DataFrame:
-    """Outcome per event: (…, kind, tainted by value or positional argument, tainted by keyword)."""
-    names = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    read = F.transform("events", lambda e: F.struct(
-        e["kind"].alias("kind"), names(e["targets"]).alias("targets"), e["direct_value"].alias("direct_value"), e["vars_value"].alias("vars_value"),
-        e["direct_keywords"].alias("direct_keywords"), e["vars_keywords"].alias("vars_keywords")))
-    folded = F.udf(outcomes, _OUTCOME, useArrow=True)(read)
-    rows = _events(facts, sources).select("project_id", "path", "events", folded.alias("s")).select(
-        "project_id", "path", F.explode(F.arrays_zip(F.col("events").alias("e"), F.col("s").alias("s"))).alias("z")
-    )
-    return rows.select("project_id", F.col("path").alias("file"), "z.e.*", "z.s.by_value", "z.s.by_keyword")
+    """Outcome per event: (…, kind, tainted by value or positional argument, tainted by keyword).
+
+    One exchange by file and one sort; the fold streams over the rows, so no file is ever held as a list.
+    """
+    order = ["project_id", "path", "event_id", F.col("kind").asc_nulls_first()]
+    rows = flow_rows(facts, sources).repartition("project_id", "path").sortWithinPartitions(*order)
+    return rows.mapInArrow(_fold, _FLOW).withColumnRenamed("path", "file")
 
 
 def tainted_definitions(facts: DataFrame) -> DataFrame:

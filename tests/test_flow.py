@@ -47,3 +47,20 @@ def test_latest_definition(spark, make_files):
     assert sorted((r.name, r.use_id, r.def_id) for r in rows) == [("x", 2, 1), ("x", 3, 2)]
     defs = taint.tainted_definitions(syntax_facts(files, taint.NODE_TYPES)).collect()
     assert {(r.line, r.name, r.tainted) for r in defs} == {(1, "x", False), (2, "x", False), (3, "y", False), (4, "x", False)}
+
+
+def test_long_files_fold_in_linear_time(spark, make_files):
+    """16,000 events in one file, read in many batches; every name is tainted by the one before it."""
+    import time
+
+    def took(n):
+        text = "\n".join(["v0 = input()", *[f"v{i} = v{i - 1} + 'x'" for i in range(1, n)], f"eval(v{n - 1})"])
+        facts = syntax_facts(make_files(("a.py", text), ("b.py", "v5 = 1\neval(v5)")), taint.NODE_TYPES).persist()
+        facts.count()
+        start = time.perf_counter()
+        assert [(r.file, r.line) for r in taint.taint_hits(facts).collect()] == [("a.py", n + 1)]
+        facts.unpersist()
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(16_000) < 8 * took(4_000) + 1
