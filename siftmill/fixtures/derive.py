@@ -169,6 +169,18 @@ def advisories(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.col("p_size").cast("string"), F.lit(".0")).alias("version"), F.concat(F.lit("ADV-"), p.cast("string")).alias("vuln_id"),
         F.when(p % 9 != 0, F.col("p_name")).alias("summary"), _choose(p % 10, ADVISORY_DETAILS).alias("details"),
         F.transform(F.sequence(F.lit(1), (p % 5 + 1).cast("int")), lambda i: F.concat(F.lit("https://a/"), i.cast("string"))).alias("refs"),
+        _ranges(F.floor(p / 8) % 4, F.col("p_size")).alias("ranges"),
+    )
+
+
+def _ranges(kind, n):
+    """None, two versions up to a fix, everything before 2.0 and two single versions, or from a version on to 3.1 less and no end."""
+    text = lambda c: c.cast("string")
+    one = lambda a=None, b=None, c=None: F.struct(*[F.lit(x).cast("string").alias(k) if x is None or isinstance(x, str) else x.alias(k) for k, x in (("introduced", a), ("fixed", b), ("last_affected", c))])
+    return (
+        F.when(kind == 1, F.array(one(text(n), F.concat(text(n + 2), F.lit(".0.0")))))
+        .when(kind == 2, F.array(one("0", "2.0"), one(F.concat(text(n), F.lit(".0rc1")), None, F.concat(text(n), F.lit(".0"))), one(text(n), F.concat(text(n), F.lit(".0.1")))))
+        .when(kind == 3, F.array(one("49.5"), one(F.concat(text(n), F.lit(".0.post1")), F.concat(text(n + 1), F.lit(".1")))))
     )
 
 
@@ -290,5 +302,5 @@ SQL_ADVISORIES = (
     f"advisories AS (SELECT {_case('p_partkey % 8', [e for e, _ in ADVISORY_PACKAGES])} AS ecosystem, "
     f"{_case('p_partkey % 8', [n for _, n in ADVISORY_PACKAGES])} AS package, p_size || '.0' AS version, 'ADV-' || p_partkey AS vuln_id, "
     f"CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS summary, {_case('p_partkey % 10', ADVISORY_DETAILS)} AS details, "
-    "CAST(p_partkey % 5 + 1 AS INTEGER) AS n_refs FROM part)"
+    "CAST(p_partkey % 5 + 1 AS INTEGER) AS n_refs, (p_partkey // 8) % 4 AS kind, p_size FROM part)"
 )

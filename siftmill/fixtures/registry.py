@@ -375,8 +375,10 @@ def _fresh(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-add("s_advisory", lambda s, d: _stored_advisories(s, d).select("ecosystem", "package", "version", "vuln_id", "summary", "details", F.size("refs").alias("n_refs")),
-    f"WITH {D.SQL_ADVISORIES} SELECT * FROM advisories")
+add("s_advisory", lambda s, d: _stored_advisories(s, d).select("ecosystem", "package", "version", "vuln_id", "summary", "details", F.size("refs").alias("n_refs"),
+                                                            F.array_join("refs", " ").alias("refs"), F.when(F.col("ranges").isNull(), 0).otherwise(F.size("ranges")).alias("n_ranges")),
+    f"WITH {D.SQL_ADVISORIES} SELECT ecosystem, package, version, vuln_id, summary, details, n_refs, "
+    "array_to_string(list_transform(range(1, n_refs + 1), lambda i: 'https://a/' || i), ' ') AS refs, CAST([0, 1, 3, 2][kind + 1] AS INTEGER) AS n_ranges FROM advisories")
 
 
 def _imports(spark: SparkSession, sf: str) -> DataFrame:
@@ -446,8 +448,14 @@ _SQL_ALL_DECLARED = (
     _SQL_DECLARED + ", " + _NPM[len(f"WITH {D.SQL_MANIFESTS}, "):].rstrip()
     + ", every AS (SELECT project_id, 'requirements.txt' AS file, 'PyPI' AS ecosystem, name, version FROM declared UNION ALL SELECT project_id, 'package.json', 'npm', name, version FROM npm)"
 )
+_RELEASE = "list_transform(string_split(regexp_replace(regexp_extract(e.version, '^[0-9]+(\\.[0-9]+)*'), '(\\.0+)+$', ''), '.'), lambda x: TRY_CAST(x AS INTEGER))"
+#: The ranges of the derived advisories, spelled out over release numbers without trailing zeros.
+_IN_RANGE = (
+    f"CASE a.kind WHEN 1 THEN {_RELEASE} >= [p_size] AND {_RELEASE} < [p_size + 2] WHEN 2 THEN {_RELEASE} < [2] OR {_RELEASE} = [p_size] "
+    f"WHEN 3 THEN {_RELEASE} >= [49, 5] OR ({_RELEASE} > [p_size] AND {_RELEASE} < [p_size + 1, 1]) ELSE false END"
+)
 _VULNERABLE = (f"SELECT e.project_id, e.file, e.name AS package, e.version, 'DEP001' AS rule_id, {_SEVEST} AS severity, coalesce(summary, 'No summary available') AS summary{{more}} "
-               "FROM every e JOIN advisories a ON a.ecosystem = e.ecosystem AND a.package = e.name AND a.version = e.version WHERE e.version <> ''")
+               f"FROM every e JOIN advisories a ON a.ecosystem = e.ecosystem AND a.package = e.name AND (a.version = e.version OR {_IN_RANGE}) WHERE e.version <> ''")
 add("j_declnames", lambda s, d: deps.declared_names(MF.declared(D.manifests(s, d))), f"WITH {_SQL_DECLARED} SELECT project_id, ord, name, version, module FROM names")
 add("j_stdlib", _third, f"WITH {_SQL_THIRD} SELECT * FROM third")
 add("j_unused", lambda s, d: deps.unused(MF.declared(D.manifests(s, d)), _third(s, d)).select(*_DEP_COLS), f"WITH {_SQL_DECLARED}, {_SQL_THIRD} {_UNUSED}")
@@ -482,7 +490,7 @@ for _name, _step, _where in [
     add(_name, _issues(_step), f"{_I}SELECT {_COLS} FROM issues WHERE {_where}")
 
 _ORDER = "ORDER BY severity DESC, ts DESC, issue_id"
-add("q_page", _issues(lambda x: W.issue_page(W.select_issues(x, exclude_severity="minor", language="python"), 3, 200)),
+add("q_page", lambda s, d: W.indexed_page(s, W.rank_index(W.select_issues(D.issues(s, d), exclude_severity="minor", language="python")), 3, 200).select(*_ROW),
     f"{_I}SELECT {_COLS} FROM issues WHERE severity <> 'MINOR' AND file LIKE '%.py' {_ORDER} LIMIT 200 OFFSET 400")
 add("q_page_total", lambda s, d: W.issue_total(W.select_issues(D.issues(s, d), exclude_severity="minor", language="python")),
     f"{_I}SELECT count(*) AS total FROM issues WHERE severity <> 'MINOR' AND file LIKE '%.py'")
@@ -674,9 +682,8 @@ def _purge(spark: SparkSession, sf: str) -> DataFrame:
     paths = {"issues": _fresh(spark, "issues"), "scans": _fresh(spark, "scans")}
     W.write_table(D.issues(spark, sf), paths["issues"])
     W.write_table(D.scans(spark, sf), paths["scans"])
-    gone = D.projects(spark, sf).filter("language = 'machinery'")
-    kept = W.purge(spark, paths, gone, _fresh(spark, "kept"))
-    counts = [W.read_table(spark, p).groupBy("project_id").agg(F.count("*").alias("rows")).withColumn("table", F.lit(n)) for n, p in kept.items()]
+    W.purge(spark, paths, D.projects(spark, sf).filter("language = 'machinery'"))
+    counts = [W.read_table(spark, p).groupBy("project_id").agg(F.count("*").alias("rows")).withColumn("table", F.lit(n)) for n, p in paths.items()]
     return counts[0].unionByName(counts[1])
 
 

@@ -7,6 +7,7 @@ import sys
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftmill.functions.versions import LAST, major, point_nodes, range_nodes, version_key
 from siftmill.session import materialize
 
 # Install names whose import names differ. All others import under their own name.
@@ -104,14 +105,44 @@ def advisory_severity(details: Column) -> Column:
     )
 
 
+_TELLS = ["ecosystem", "package", "version", "vuln_id", "summary", "details"]
+
+
+def affected(versions: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Which distinct (ecosystem, package, version) each advisory hits: by equal version, or inside one of its ranges.
+
+    A range begins at ``introduced`` (NULL, '' or 0: from the start) and ends before ``fixed`` or with ``last_affected``
+    (neither: no end). Ranges become nodes of a tree over major versions, of which a version has one per level: an equality join, after
+    which keys that sort like versions decide. An advisory hits a version once, however many of its ranges hold it.
+    """
+    hits = versions.join(advisories, ["ecosystem", "package", "version"]).select(*_TELLS, "refs")
+    if "ranges" in advisories.columns:
+        points = versions.withColumn("key", version_key(F.col("version"))).filter("key is not null")
+        points = points.select("ecosystem", "package", "version", "key", F.explode(point_nodes(major(F.col("version")))).alias("n")).select("*", "n.*").drop("n")
+        end = lambda c: F.when(F.trim(c).isin("", "0"), None).otherwise(c)
+        ranges = advisories.select("ecosystem", "package", "vuln_id", "summary", "details", "refs", F.explode("ranges").alias("r"))
+        ranges = ranges.withColumns({"low": end(F.col("r.introduced")), "fixed": end(F.col("r.fixed")), "last": end(F.col("r.last_affected"))})
+        first, last = F.coalesce(major(F.col("low")), F.lit(0)), F.least(*[F.coalesce(F.when(F.col(c).isNotNull(), major(F.col(c))), F.lit(LAST)) for c in ("fixed", "last")])
+        ranges = ranges.select(
+            "ecosystem", "package", "vuln_id", "summary", "details", "refs", version_key(F.col("low")).alias("k1"), version_key(F.col("fixed")).alias("k2"),
+            version_key(F.col("last")).alias("k3"), F.explode(range_nodes(F.when(F.col("low").isNull(), 0).otherwise(first), last)).alias("n"),
+        ).select("*", "n.*").drop("n")
+        inside = (F.coalesce(F.col("key") >= F.col("k1"), F.lit(True)) & F.coalesce(F.col("key") < F.col("k2"), F.lit(True))
+                  & F.coalesce(F.col("key") <= F.col("k3"), F.lit(True)))
+        met = points.join(ranges, ["ecosystem", "package", "level", "node"]).filter(inside)
+        hits = hits.unionByName(met.select(*hits.columns))
+    return hits.dropDuplicates(_TELLS)
+
+
 def vulnerable(declared: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Advisories for the exact declared version, all references kept.
+    """Advisories for the declared versions, exact ones and those in an affected range, all references kept.
 
-    A package that a third of all projects declare is a hot key with few advisory rows: the join is left to AQE,
-    which splits the hot partition, and turns to broadcast only when the measured size allows it.
+    Versions meet advisories as distinct ones, so that a package that a third of all projects declare costs a few rows;
+    what they hit then meets the declared rows: a hot key there has few rows on its side, and AQE splits the other one.
     """
     pinned = declared.filter("version <> ''").select("project_id", F.col("manifest").alias("file"), "ecosystem", F.col("name").alias("package"), "version")
-    return pinned.join(advisories, ["ecosystem", "package", "version"]).select(
+    found = affected(pinned.select("ecosystem", "package", "version").distinct(), advisories)
+    return pinned.join(found, ["ecosystem", "package", "version"]).select(
         "project_id", "file", "package", "version", F.lit("DEP001").alias("rule_id"), advisory_severity(F.col("details")).alias("severity"),
         F.coalesce("summary", F.lit("No summary available")).alias("summary"),
         F.concat(F.lit("Review "), "package", F.lit(" usage.")).alias("suggestion"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftmill.functions.text import snippet, split_lines
 from siftmill.operators.catalog import with_metadata
 from siftmill.schemas import SEVERITIES
-from siftmill.session import materialize
+from siftmill.session import remove_folder, work_dir
 
 # Page sizes and the severity ranks.
 DEFAULT_PAGE, MAX_PAGE = 50, 200
@@ -141,21 +144,52 @@ def by_severity_text(issues: DataFrame, by_rank: bool = False) -> DataFrame:
     return issues.orderBy(*issue_order(by_rank))
 
 
-def ranked(issues: DataFrame, by_rank: bool = False) -> DataFrame:
-    """Every issue with its position in the list order, without one task seeing all rows.
+def rank_index(issues: DataFrame, path: str | None = None, by_rank: bool = False) -> str:
+    """Store the list in order, with an index, and return its folder: any page of it then opens the parts that hold it.
 
-    A range-partitioned sort is written once; positions come from the order inside each partition and the sizes of
-    the partitions before it. The order ends in the id, so equal severities and times spread over partitions.
+    ``rows`` holds the range-partitioned sort, one folder per part; ``parts`` holds, per part, the number of rows in it and
+    before it. The order ends in the id, so equal severities and times spread over parts and no task sees all rows.
     """
+    spark = issues.sparkSession
+    path = (path or f"{work_dir(spark)}/ranked-{uuid.uuid4().hex}").rstrip("/")
     ordered = by_severity_text(issues, by_rank).select(
         "*", F.spark_partition_id().alias("part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("at")
     )
-    stored = materialize(ordered, "ranked-issues")
-    # One row per partition, so a running sum over them is small however long the list is.
-    before = stored.groupBy("part").count().select(
-        "part", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
-    )
-    return stored.join(before, "part").withColumn("position", F.col("before") + F.col("at")).drop("part", "at", "before")
+    ordered.sortWithinPartitions("part", "at").write.mode("overwrite").partitionBy("part").parquet(f"{path}/rows")
+    # One row per part, so a running sum over them is small however long the list is.
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = spark.read.schema(_ranked_schema(issues)).parquet(f"{path}/rows")
+    rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before).coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
+    spark.createDataFrame([], issues.schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/none")  # for pages beyond the end
+    return path
+
+
+def _ranked_schema(issues: DataFrame) -> T.StructType:
+    return T.StructType([*issues.schema.fields, T.StructField("at", T.LongType()), T.StructField("part", T.IntegerType())])
+
+
+def ranked(issues: DataFrame, by_rank: bool = False) -> DataFrame:
+    """Every issue with its position in the list order, without one task seeing all rows."""
+    spark, path = issues.sparkSession, rank_index(issues, by_rank=by_rank)
+    rows, parts = spark.read.schema(_ranked_schema(issues)).parquet(f"{path}/rows"), spark.read.parquet(f"{path}/parts").drop("n")
+    return rows.join(parts, "part").withColumn("position", F.col("before") + F.col("at")).drop("part", "at", "before")
+
+
+def indexed_page(spark: SparkSession, path: str, page: int = 1, per_page: int = DEFAULT_PAGE) -> DataFrame:
+    """One page of a stored list (``rank_index``), in order, at any depth: the index names the parts that hold it, and of
+    these only the page's rows are read. That is one part, or two where the page lies across an end; more only of parts
+    with fewer rows than a page."""
+    if page < 1:
+        raise ValueError("page must be >= 1")
+    first = (page - 1) * _checked(per_page)
+    parts = spark.read.parquet(f"{path}/parts").filter((F.col("before") < first + per_page) & (F.col("before") + F.col("n") > first)).collect()
+    if not parts:
+        return spark.read.parquet(f"{path}/none")
+    rows = spark.read.option("basePath", f"{path}/rows").parquet(*[f"{path}/rows/part={p['part']}" for p in parts])
+    held = F.lit(False)
+    for p in parts:
+        held = held | ((F.col("part") == p["part"]) & (F.col("at") >= first - p["before"]) & (F.col("at") < first + per_page - p["before"]))
+    return rows.filter(held).orderBy("part", "at").drop("part", "at")
 
 
 def _checked(per_page: int) -> int:
@@ -165,7 +199,10 @@ def _checked(per_page: int) -> int:
 
 
 def issue_page(issues: DataFrame, page: int = 1, per_page: int = DEFAULT_PAGE, by_rank: bool = False) -> DataFrame:
-    """One page in list order, by number. To walk on from a page that is at hand, ``issues_after`` skips nothing."""
+    """One page in list order, by number, without an index: a top-k of all rows up to the page's end, in one task at last.
+
+    For first pages of any selection. Deep pages of a list are for ``indexed_page``; ``issues_after`` walks on from a page at hand.
+    """
     if page < 1:
         raise ValueError("page must be >= 1")
     return by_severity_text(issues, by_rank).offset((page - 1) * _checked(per_page)).limit(per_page)
@@ -214,12 +251,32 @@ def without_projects(table: DataFrame, removed: DataFrame) -> DataFrame:
     return table.join(removed.select("project_id").distinct(), "project_id", "left_anti")
 
 
-def purge(spark: SparkSession, tables: dict[str, str], removed: DataFrame, target: str) -> dict[str, str]:
-    """Rewrite every table without the removed projects under ``target``; the old tables stay until swapped out."""
+def purge(spark: SparkSession, tables: dict[str, str], removed: DataFrame) -> dict[str, list[int]]:
+    """Take the removed projects out of every stored table, in place; the buckets that were written anew, per table.
+
+    Only buckets that hold a removed project are read and written (dynamic partition overwrite); all other files stay as they
+    are. A bucket that keeps nothing goes with its folder. Run again after a failure, it does the rest: a bucket is
+    swapped as a whole, and one that is done holds no removed project any more.
+    """
+    gone = removed.select("project_id").distinct().withColumn("project_bucket", bucket_of(F.col("project_id")))
     out = {}
     for name, path in tables.items():
-        out[name] = f"{target.rstrip('/')}/{name}"
-        write_table(without_projects(read_table(spark, path), removed), out[name], "overwrite")
+        rows = spark.read.parquet(path)
+        met = rows.join(gone, ["project_bucket", "project_id"], "left_semi").select("project_bucket").distinct()
+        hit = sorted(r["project_bucket"] for r in met.collect())  # BUCKETS rows at most
+        out[name] = hit
+        if not hit:
+            continue
+        kept = rows.filter(F.col("project_bucket").isin(hit)).join(gone, ["project_bucket", "project_id"], "left_anti").select(*rows.columns)
+        left = {r["project_bucket"] for r in kept.select("project_bucket").distinct().collect()}
+        if left:
+            (
+                kept.hint("rebalance", F.col("project_bucket")).sortWithinPartitions("project_bucket", "project_id")
+                .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_bucket").parquet(path)
+            )
+        for bucket in hit:
+            if bucket not in left:
+                remove_folder(spark, f"{path.rstrip('/')}/project_bucket={bucket}")
     return out
 
 

@@ -21,6 +21,8 @@ ADVISORIES = (
     "ecosystem string, package string, version string, vuln_id string, summary string, details string, "
     "refs array<string>"
 )
+#: Dumps that state affected versions as ranges have this column besides.
+RANGES = "ranges array<struct<introduced:string,fixed:string,last_affected:string>>"
 
 HIT_COLUMNS = ["project_id", "file", "line", "column", "rule_id", "message", "suggestion"]
 

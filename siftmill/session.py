@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of the innermost ``scratch`` block, if any.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def get_session(app: str = "siftmill", cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session; on a cluster the caller passes its own session to every operator instead."""
     builder = (
@@ -43,6 +50,24 @@ def materialize(df: DataFrame, label: str, order_by: str | None = None) -> DataF
     several branches of a scan. With ``order_by`` each task sorts its own rows, so that readers that filter on that column
     skip row groups and pages by their statistics; one file a task, unlike a folder per value.
     """
-    path = f"{work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(order_by) if order_by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of whatever store the path names; one that isn't there is no error."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``materialize`` writes inside this block are removed at its end, also after a failure."""
+    folder = f"{work_dir(spark)}/scratch-{uuid.uuid4().hex}"
+    mark = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(mark)
+        remove_folder(spark, folder)

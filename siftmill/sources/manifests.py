@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.functions.text import split_lines, strip
-from siftmill.schemas import ADVISORIES
+from siftmill.schemas import ADVISORIES, RANGES
 
 _NAME = r"^([a-zA-Z0-9_.-]+)"
 _PINNED = r"^([a-zA-Z0-9_.-]+)\s*[=~><]+\s*([0-9][^\s;#]*)"
@@ -54,5 +54,5 @@ def declared(manifests: DataFrame) -> DataFrame:
 
 
 def read_advisories(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """An advisory dump with the declared schema (Parquet or JSON lines)."""
-    return spark.read.schema(ADVISORIES).format(fmt).load(path)
+    """An advisory dump with the declared schema (Parquet or JSON lines); without affected ranges they are NULL."""
+    return spark.read.schema(f"{ADVISORIES}, {RANGES}").format(fmt).load(path)

@@ -76,9 +76,6 @@ def test_store_export_and_purge(spark, tmp_path):
     plan = W.read_table(spark, path, "p1")
     assert plan.count() == rows.filter("project_id = 'p1'").count()
     assert "PartitionFilters: [isnotnull(project_bucket" in plan._jdf.queryExecution().toString()
-    out = W.purge(spark, {"issues": path}, rows.filter("project_id = 'p2'"), str(tmp_path / "kept"))
-    assert W.read_table(spark, out["issues"]).filter("project_id = 'p2'").count() == 0
-    assert W.read_table(spark, out["issues"]).count() == rows.filter("project_id <> 'p2'").count()
     W.export_csv(rows, str(tmp_path / "csv"))
     csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(tmp_path / "csv"))
     assert csv.columns == ["project_id", *W.EXPORT_CSV] and csv.count() == 230
@@ -116,3 +113,48 @@ def test_user_rules_take_part_in_a_scan(spark, make_files):
     found = {(r.file, r.rule_id, r.severity): r.code_snippet for r in scan(files, rules=rules).issues.collect()}
     assert found["a.js", "USR001", "INFO"].endswith(">>> 2: @@@") and ("a.js", "JSCS002", "MINOR") in {k[:2] + ("MINOR",) for k in found}
     assert "b.py" in {k[0] for k in found if k[1] == "SEC003"} and "c.py" not in {k[0] for k in found}
+
+
+def files_of(folder):
+    return {str(p.relative_to(folder)): p.stat().st_mtime_ns for p in folder.rglob("part-*.parquet")}
+
+
+def test_purge_rewrites_only_buckets_of_removed_projects(spark, tmp_path):
+    rows = issues(spark, 600).withColumn("project_id", F.concat(F.lit("p"), (F.col("line") % 40).cast("string")))
+    W.write_table(rows, str(tmp_path / "issues"))
+    W.write_table(rows.select("project_id", "scan_id").distinct(), str(tmp_path / "scans"))
+    paths = {n: str(tmp_path / n) for n in ("issues", "scans")}
+    before = {n: files_of(tmp_path / n) for n in paths}
+    gone = rows.filter("project_id in ('p2', 'p17')").union(rows.limit(1).withColumn("project_id", F.lit("unknown")))
+    hit = W.purge(spark, paths, gone)
+    assert hit["issues"] == hit["scans"] and 1 <= len(hit["issues"]) <= 2
+    for name in paths:
+        after = files_of(tmp_path / name)
+        untouched = {f: t for f, t in before[name].items() if not any(f.startswith(f"project_bucket={b}/") for b in hit[name])}
+        assert len(untouched) > 5 and untouched.items() <= after.items()
+        assert not set(before[name]) & set(after) - set(untouched)
+    left = W.read_table(spark, paths["issues"])
+    assert sorted(r.issue_id for r in left.collect()) == sorted(r.issue_id for r in rows.collect() if r.project_id not in ("p2", "p17"))
+    assert W.purge(spark, paths, gone) == {"issues": [], "scans": []}
+    alone = rows.filter("project_id = 'p3'")
+    W.write_table(alone, str(tmp_path / "alone"))
+    assert len(W.purge(spark, {"alone": str(tmp_path / "alone")}, alone)["alone"]) == 1 and not files_of(tmp_path / "alone")
+
+
+def test_a_page_at_any_depth_opens_two_parts_at_most(spark, tmp_path):
+    rows = issues(spark, 3000).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for by_rank in (False, True):
+            path = W.rank_index(rows, str(tmp_path / f"list-{by_rank}"), by_rank)
+            assert spark.read.parquet(f"{path}/parts").count() >= 4
+            whole = W.by_severity_text(rows, by_rank).collect()
+            for page in (1, 2, 7, 15, 16):
+                got = W.indexed_page(spark, path, page, 200)
+                assert got.collect() == whole[200 * (page - 1) : 200 * page]
+                folders = {f.split("/part=")[1].split("/")[0] for f in got.inputFiles()}
+                assert len(folders) <= 2
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    empty = W.rank_index(rows.limit(0), str(tmp_path / "none"))
+    assert W.indexed_page(spark, empty, 1, 50).count() == 0
