@@ -35,21 +35,25 @@ ADVISORY_DETAILS = ["A critical flaw", "Remote Code Execution by upload", "open
                     "buffer overflow", "moderate impact", "stored XSS", "nothing known", ""]
 
 
-def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+def table(spark: SparkSession, sf: str, name: str, stream: bool = False) -> DataFrame:
+    """A given table, or a stream over its files."""
+    rows = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spark.readStream.schema(rows.schema).parquet(f"{sf}/{name}*.parquet") if stream else rows
 
 
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """A table that sits in fewer input splits than there are cores is spread by key; larger ones stay as they are."""
+    if rows.isStreaming:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
 
 
-def corpus(spark: SparkSession, sf: str, language: str | None = None) -> DataFrame:
+def corpus(spark: SparkSession, sf: str, language: str | None = None, stream: bool = False) -> DataFrame:
     """One file per order: a snippet under 0 to 2 comment lines that name the order."""
     rows = [t for t in TEMPLATES if language is None or t[1] == language]
     known = spark.createDataFrame(rows, "template_id int, language string, suffix string, mark string, body string")
-    orders = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    orders = spread(table(spark, sf, "orders", stream).select("o_orderkey", "o_custkey"), "o_orderkey")
     note = F.concat("mark", F.lit(" order "), F.col("o_orderkey").cast("string"), F.lit("\n"))
     # A fixed table of a few dozen snippets.
     return orders.join(F.broadcast(known), F.col("o_orderkey") % K == F.col("template_id")).select(
@@ -58,12 +62,12 @@ def corpus(spark: SparkSession, sf: str, language: str | None = None) -> DataFra
     )
 
 
-def prose(spark: SparkSession, sf: str, language: str) -> DataFrame:
+def prose(spark: SparkSession, sf: str, language: str, stream: bool = False) -> DataFrame:
     """Documents and pages, read as files of a language."""
-    docs = spread(table(spark, sf, "documents"), "doc_id").select(
+    docs = spread(table(spark, sf, "documents", stream), "doc_id").select(
         F.col("source").alias("project_id"), F.concat(F.lit("docs/"), "source", F.lit("/"), "doc_id", F.lit(EXTENSION[language])).alias("path"),
         F.lit(language).alias("language"), "text")
-    pages = spread(table(spark, sf, "pages"), "page_id").select(
+    pages = spread(table(spark, sf, "pages", stream), "page_id").select(
         F.lit("web").alias("project_id"), F.concat(F.lit("pages/"), "page_id", F.lit(EXTENSION[language])).alias("path"),
         F.lit(language).alias("language"), F.col("html").alias("text"))
     return docs.unionByName(pages)

@@ -16,8 +16,7 @@ from siftmill.operators.catalog import rule_catalog, rule_runs, rules_summary, w
 from siftmill.operators.extensions import RuleSet
 from siftmill.operators.fact_rules import FACT_RULES, function_complexity, rule_facts
 from siftmill.operators.line_rules import FILE_RULES, LINE_RULES, LineRule, MagicNumberRule, text_rule_hits
-from siftmill.plans import findings as W, prompts, reports as R
-from siftmill.plans.scan import scan
+from siftmill.plans import findings as W, prompts, reports as R, scan as SC
 from siftmill.sources import files as S, manifests as MF
 from siftmill.sources.layout import lay_out
 from siftmill.streaming import history, scan_stream
@@ -522,27 +521,11 @@ add("a_weight", lambda s, d: R.severity_score(D.issues(s, d), ["project_id", "fi
     f"{_I}SELECT project_id, file, CAST(sum(CASE severity WHEN 'INFO' THEN 1 WHEN 'MINOR' THEN 2 WHEN 'MAJOR' THEN 5 WHEN 'CRITICAL' THEN 10 ELSE 20 END) AS BIGINT) AS score FROM issues GROUP BY 1, 2")
 
 
-def _scan_summary(spark: SparkSession, sf: str) -> DataFrame:
-    files = _texts(spark, sf)
-    hits = text_rule_hits(files.withColumn("language", F.lit("javascript")), ["SEC003", "JSCS007"])
-    found = with_metadata(hits, rule_catalog(spark))
-    return R.scan_summary(R.file_sizes(files), found, clones.clone_groups(files)).select(
-        "project_id", "files_scanned", "lines_scanned", "total_issues", "duplicated_blocks", "critical", "info")
-
-
 def _rule_case(rule_id: str) -> str:
     return line_sql(LINE_RULES[rule_id]).split("FROM (SELECT *, ", 1)[1].split(" AS message FROM lines", 1)[0]
 
 
 _MAGIC_OK = "NOT contains(line, 'const') AND NOT contains(line, 'PORT') AND NOT regexp_matches(line, '^\\s*(//|\\*)')"
-add("a_scansum", _scan_summary,
-    f"WITH {_SQL_TEXTS}, {D.SQL_LINES}, {_WINDOWS}, l AS (SELECT project_id, count(*) AS lines_scanned, count(*) FILTER (WHERE ({_rule_case('SEC003')}) IS NOT NULL) AS critical, "
-    f"count(*) FILTER (WHERE {_MAGIC_OK} AND ({_rule_case('JSCS007')}) IS NOT NULL) AS info FROM lines GROUP BY 1), f AS (SELECT project_id, count(*) AS files_scanned FROM files GROUP BY 1), "
-    "b AS (SELECT project_id, count(*) AS duplicated_blocks FROM dup GROUP BY 1) "
-    "SELECT f.project_id, files_scanned, coalesce(lines_scanned, 0) AS lines_scanned, coalesce(critical + info, 0) AS total_issues, coalesce(duplicated_blocks, 0) AS duplicated_blocks, "
-    "coalesce(critical, 0) AS critical, coalesce(info, 0) AS info FROM f LEFT JOIN l USING (project_id) LEFT JOIN b USING (project_id)")
-
-
 def _flat(column: str, key: str) -> F.Column:
     """An array of (key, count) structs as text, so that both engines compare one value."""
     return F.coalesce(F.array_join(F.transform(column, lambda x: F.concat_ws("=", x[key], x["count"].cast("string"))), ";"), F.lit("")).alias(column)
@@ -598,23 +581,27 @@ add("t_dist", lambda s, d: R.chart_distribution(D.issues(s, d), "category"), f"{
 # -- unions, sinks ----------------------------------------------------------------------------------------------
 
 
-def _every_file(spark: SparkSession, sf: str) -> DataFrame:
+def _every_file(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
     """The code corpus, and documents and pages read as JavaScript, SQL and C#."""
-    files = D.corpus(spark, sf)
+    files = D.corpus(spark, sf, stream=stream)
     for language in ("javascript", "sql", "csharp"):
-        files = files.unionByName(D.prose(spark, sf, language))
+        files = files.unionByName(D.prose(spark, sf, language, stream))
     return files
 
 
 def _whole_scan(spark: SparkSession, sf: str) -> DataFrame:
     """All kinds of findings from one scan of all files, manifests and advisories."""
-    result = scan(_every_file(spark, sf), D.manifests(spark, sf), D.advisories(spark, sf))
+    result = SC.scan(_every_file(spark, sf), D.manifests(spark, sf), D.advisories(spark, sf))
     return result.issues.select("project_id", "file", "line", "rule_id", "severity", "message")
 
 
-def _whole_scan_sql() -> str:
+def _single_kinds_sql() -> list[str]:
     kinds = [*LINE_RULES, *FILE_RULES, *FACT_RULES, "TAINT001"]
-    single = [f"SELECT project_id, file, line, {q(r)} AS rule_id, message FROM ({ORACLE[r.lower()]})" for r in kinds]
+    return [f"SELECT project_id, file, CAST(line AS INTEGER) AS line, {q(r)} AS rule_id, message FROM ({ORACLE[r.lower()]})" for r in kinds]
+
+
+def _whole_scan_sql() -> str:
+    single = _single_kinds_sql()
     severities = f"WITH {_catalog_values()} "
     return (
         f"{severities}SELECT project_id, file, CAST(line AS INTEGER) AS line, f.rule_id, c.severity, message FROM ({' UNION ALL '.join(single)}) f JOIN catalog c ON c.rule_id = f.rule_id "
@@ -625,6 +612,24 @@ def _whole_scan_sql() -> str:
 add("u_all", _whole_scan, _whole_scan_sql())
 
 
+def _scan_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters of a scan of everything, from its rollups."""
+    return SC.summary(SC.scan(_every_file(spark, sf), D.manifests(spark, sf), D.advisories(spark, sf)))
+
+
+_EVERY = ", ".join([D.sql_corpus(None), "files AS (SELECT project_id, path, text FROM corpus UNION ALL " + " UNION ALL ".join(D.sql_prose(x) for x in ("javascript", "sql", "csharp")) + ")"])
+_COUNTED = ", ".join(f"count(*) FILTER (WHERE rule_id NOT LIKE 'DEP%' AND severity = '{x}') AS {x.lower()}" for x in D.SEVERITIES)
+_LEVELS = ", ".join(f"coalesce({x.lower()}, 0) AS {x.lower()}" for x in D.SEVERITIES)
+add("a_scansum", _scan_summary,
+    f"WITH {D.SQL_MANIFESTS}, {_EVERY}, {D.SQL_LINES}, {_WINDOWS}, found AS ({_whole_scan_sql()}), "
+    "named AS (SELECT project_id FROM files UNION SELECT project_id FROM manifests), f AS (SELECT project_id, count(*) AS files_scanned FROM files GROUP BY 1), "
+    "l AS (SELECT project_id, count(*) AS lines_scanned FROM lines GROUP BY 1), b AS (SELECT project_id, count(*) AS duplicated_blocks FROM dup GROUP BY 1), "
+    f"i AS (SELECT project_id, count(*) FILTER (WHERE rule_id NOT LIKE 'DEP%') AS total_issues, count(*) FILTER (WHERE rule_id LIKE 'DEP%') AS dependency_vulnerabilities, {_COUNTED} FROM found GROUP BY 1) "
+    "SELECT project_id, coalesce(files_scanned, 0) AS files_scanned, coalesce(lines_scanned, 0) AS lines_scanned, coalesce(total_issues, 0) AS total_issues, "
+    f"coalesce(dependency_vulnerabilities, 0) AS dependency_vulnerabilities, coalesce(duplicated_blocks, 0) AS duplicated_blocks, {_LEVELS} "
+    "FROM named LEFT JOIN f USING (project_id) LEFT JOIN l USING (project_id) LEFT JOIN b USING (project_id) LEFT JOIN i USING (project_id)")
+
+
 def _stored(name: str, rows: Callable[[SparkSession, str], DataFrame], columns: list[str]) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         path = _fresh(spark, name)
@@ -639,20 +644,53 @@ add("k_metrics", _stored("metrics", D.metrics, _MET), f"WITH {D.SQL_METRICS} SEL
 _SCAN = ["scan_id", "project_id", "status", "total_issues", "blocker_count", "critical_count", "files_scanned"]
 
 
-def _scan_record(spark: SparkSession, sf: str) -> DataFrame:
-    from siftmill.plans.scan import scan_records
-
-    sizes = D.scans(spark, sf).select("project_id", F.col("lines_scanned").alias("lines"))
+def _scan_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs in one folder: one that ends, one that fails, and one that fails where an earlier run had ended."""
+    target = _fresh(spark, "scans")
+    files = D.scans(spark, sf).select("project_id", F.lit(None).cast("string").alias("text"))
     none = D.issues(spark, sf).filter(F.lit(False)).select("project_id")
-    counted = R.scan_summary(sizes, D.issues(spark, sf), none)
-    when = F.lit("2024-01-01").cast("timestamp")
-    return scan_records(counted, "scan-1", when, when)
+    result = SC.Scan(files, D.issues(spark, sf), D.metrics(spark, sf).drop("ts"), none, none)
+
+    def fails() -> SC.Scan:
+        raise ValueError("no such corpus")
+
+    for scan_id, work in (("scan-1", lambda: result), ("scan-2", fails), ("scan-3", lambda: result), ("scan-3", fails)):
+        try:
+            SC.run(spark, target, scan_id, work)
+        except ValueError:
+            pass
+    rows = SC.scans_with_states(spark, target)
+    return rows.select("scan_id", F.coalesce("project_id", F.lit("")).alias("project_id"), "status", *[F.coalesce(c, F.lit(0)).alias(c) for c in _SCAN[3:]])
 
 
-add("k_scan", _stored("scans", _scan_record, _SCAN),
+add("k_scan", _scan_runs,
     f"WITH {D.SQL_SCANS}, {D.SQL_ISSUES}, i AS (SELECT project_id, count(*) AS n, count(*) FILTER (WHERE category <> 'DEPENDENCY' AND severity = 'BLOCKER') AS b, count(*) FILTER (WHERE category <> 'DEPENDENCY' AND severity = 'CRITICAL') AS c FROM issues GROUP BY 1) "
-    "SELECT 'scan-1' AS scan_id, f.project_id, 'completed' AS status, coalesce(n, 0) AS total_issues, coalesce(b, 0) AS blocker_count, coalesce(c, 0) AS critical_count, files_scanned "
-    "FROM (SELECT project_id, count(*) AS files_scanned FROM scans GROUP BY 1) f LEFT JOIN i USING (project_id)")
+    "SELECT s.id AS scan_id, f.project_id, 'completed' AS status, coalesce(n, 0) AS total_issues, coalesce(b, 0) AS blocker_count, coalesce(c, 0) AS critical_count, files_scanned "
+    "FROM (SELECT project_id, count(*) AS files_scanned FROM scans GROUP BY 1) f LEFT JOIN i USING (project_id), (VALUES ('scan-1'), ('scan-3')) s(id) "
+    "UNION ALL SELECT id, '', 'failed', 0, 0, 0, 0 FROM (VALUES ('scan-2'), ('scan-3')) t(id)")
+
+
+def _global_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    issues = D.issues(spark, sf)
+    files = issues.groupBy("project_id", "file").agg(F.count(F.lit(1)).alias("issues"))
+    rows = R.global_dashboard(D.projects(spark, sf), D.scans(spark, sf), R.rollup(issues), files)
+    return rows.select(
+        F.col("overview.total_projects").alias("total_projects"),
+        F.col("overview.total_scans").alias("total_scans"), F.col("overview.total_issues").alias("total_issues"),
+        _flat("severity_distribution", "severity"), _flat("category_distribution", "category"), _flat("owasp_distribution", "owasp_category"),
+        F.array_join(F.transform("recent_scans", lambda x: F.concat_ws("=", x["id"], x["status"], x["total_issues"].cast("string"))), ";").alias("recent_scans"),
+        F.array_join(F.transform("top_files_by_issues", lambda x: F.concat_ws("=", x["file"], x["issue_count"].cast("string"))), ";").alias("top_files"))
+
+
+def _all_dist(column: str) -> str:
+    return f"(SELECT string_agg(v || '=' || c, ';' ORDER BY v) FROM (SELECT {column} AS v, count(*) AS c FROM issues WHERE {column} IS NOT NULL GROUP BY 1)) AS "
+
+
+add("a_global", _global_dashboard,
+    f"WITH {D.SQL_PROJECTS}, {D.SQL_SCANS}, {D.SQL_ISSUES} SELECT (SELECT count(*) FROM projects) AS total_projects, (SELECT count(*) FROM scans WHERE status = 'completed') AS total_scans, "
+    f"(SELECT count(*) FROM issues) AS total_issues, {_all_dist('severity')}severity_distribution, {_all_dist('category')}category_distribution, {_all_dist('owasp_category')}owasp_distribution, "
+    "(SELECT string_agg(scan_id || '=' || status || '=' || total_issues, ';' ORDER BY started_at DESC, scan_id) FROM (SELECT * FROM scans ORDER BY started_at DESC, scan_id LIMIT 10)) AS recent_scans, "
+    "(SELECT string_agg(file || '=' || c, ';' ORDER BY c DESC, file) FROM (SELECT file, count(*) AS c FROM issues GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)) AS top_files")
 
 
 def _csv(spark: SparkSession, sf: str) -> DataFrame:
@@ -742,19 +780,14 @@ add("u_prompt", lambda s, d: prompts.prompts(W.of_severity(D.issues(s, d), "CRIT
 
 
 def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents arrive as a stream of files and are scanned until all are done."""
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    landed = spark.readStream.schema(schema).parquet(f"{sf}/documents*.parquet").select(
-        F.col("source").alias("project_id"), F.concat(F.lit("doc"), "doc_id").alias("path"), F.lit("javascript").alias("language"), "text")
+    """All files arrive as a stream and are scanned until all are done."""
     target = _fresh(spark, "stream")
-    scan_stream.start_text_scan(landed, target, target + "-checkpoint", ["SEC003", "JSCS007"]).awaitTermination()
-    return spark.read.parquet(target).select("project_id", "file", "line", "rule_id", "message")
+    scan_stream.start_full_scan(_every_file(spark, sf, stream=True), target, target + "-checkpoint").awaitTermination()
+    return scan_stream.current_issues(spark, target).select("project_id", "file", "line", "rule_id", "message")
 
 
 _DOCS = "files AS (SELECT source AS project_id, 'doc' || doc_id AS path, text FROM documents)"
-add("st_scan", _stream_scan,
-    f"WITH {_DOCS}, {D.SQL_LINES} SELECT project_id, path AS file, n AS line, 'SEC003' AS rule_id, ({_rule_case('SEC003')}) AS message FROM lines WHERE ({_rule_case('SEC003')}) IS NOT NULL "
-    f"UNION ALL SELECT project_id, path, n, 'JSCS007', ({_rule_case('JSCS007')}) FROM lines WHERE {_MAGIC_OK} AND ({_rule_case('JSCS007')}) IS NOT NULL")
+add("st_scan", _stream_scan, " UNION ALL ".join(_single_kinds_sql()))
 add("st_history", lambda s, d: history.history_lists(D.visits(s, d)).select("user_id", *long("place"), "project"),
     "WITH v AS (SELECT user_id, 'p' || json_extract_string(props, '$.k') AS project, ts FROM events), n AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS now FROM v), "
     "f AS (SELECT user_id, project, max(ts) AS ts FROM n WHERE ts > now - INTERVAL 300 SECOND GROUP BY 1, 2), "

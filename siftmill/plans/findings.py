@@ -238,9 +238,12 @@ def write_table(rows: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
-def read_table(spark: SparkSession, path: str, project_id: str | None = None) -> DataFrame:
-    """Stored rows; a project filter prunes to one bucket and, by row-group statistics, to its rows."""
-    rows = spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str | list[str], project_id: str | None = None) -> DataFrame:
+    """Stored rows of a table, or of several alike; a project filter prunes to one bucket and, by row-group statistics, to its rows."""
+    rows = None
+    for p in [path] if isinstance(path, str) else path:
+        own = spark.read.parquet(p)
+        rows = own if rows is None else rows.unionByName(own)
     if project_id is not None:
         rows = rows.filter((F.col("project_bucket") == bucket_of(F.lit(project_id))) & (F.col("project_id") == project_id))
     return rows.drop("project_bucket")

@@ -53,24 +53,77 @@ def file_sizes(files: DataFrame) -> DataFrame:
     return files.select("project_id", F.when(F.col("text").isNull(), 0).otherwise(F.size(split_lines(F.col("text")))).alias("lines"))
 
 
-def scan_summary(files: DataFrame, issues: DataFrame, clones: DataFrame) -> DataFrame:
-    """Files, lines, findings, dependency findings and duplicate blocks of each project.
+def project_sizes(files: DataFrame, clones: DataFrame) -> DataFrame:
+    """(project_id, files_scanned, lines_scanned, duplicated_blocks).
 
     ``files`` needs (project_id, lines), lines NULL for what names a project but isn't a source file; ``clones`` one
     row per duplicate group.
     """
-    sizes = files.groupBy("project_id").agg(F.count("lines").alias("files_scanned"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines_scanned"))
-    dependency = F.col("category") == "DEPENDENCY"
-    counts = issues.groupBy("project_id").agg(
-        F.count_if(~dependency).alias("total_issues"), F.count_if(dependency).alias("dependency_vulnerabilities"),
-        *[F.count_if(~dependency & (F.col("severity") == s)).alias(s.lower()) for s in SEVERITIES],
-    )
+    counted = files.groupBy("project_id").agg(F.count("lines").alias("files_scanned"), F.coalesce(F.sum("lines"), F.lit(0)).alias("lines_scanned"))
     blocks = clones.groupBy("project_id").agg(F.count("*").alias("duplicated_blocks"))
-    joined = sizes.join(counts, "project_id", "left").join(blocks, "project_id", "left")
+    return counted.join(blocks, "project_id", "left").withColumn("duplicated_blocks", F.coalesce("duplicated_blocks", F.lit(0)))
+
+
+def rollup(issues: DataFrame) -> DataFrame:
+    """Issues counted by all that reports group by. Counts add up over scans and projects, so reports read these rows only."""
+    return issues.groupBy("project_id", "rule_id", "rule_name", "severity", "category", "owasp_category").agg(F.count(F.lit(1)).alias("issues"))
+
+
+def summary_of(sizes: DataFrame, rollups: DataFrame) -> DataFrame:
+    """Files, lines, findings, dependency findings and duplicate blocks of each project, from its sizes and rollup."""
+    dependency = F.coalesce(F.col("category") == "DEPENDENCY", F.lit(False))
+    total = lambda test: F.sum(F.when(test, F.col("issues")).otherwise(0))
+    counts = rollups.groupBy("project_id").agg(
+        total(~dependency).alias("total_issues"), total(dependency).alias("dependency_vulnerabilities"),
+        *[total(~dependency & (F.col("severity") == s)).alias(s.lower()) for s in SEVERITIES],
+    )
+    joined = sizes.join(counts, "project_id", "left")
     numbers = ["total_issues", "dependency_vulnerabilities", "duplicated_blocks", *[s.lower() for s in SEVERITIES]]
     return joined.select("project_id", "files_scanned", "lines_scanned", *[F.coalesce(c, F.lit(0)).alias(c) for c in numbers])
 
 
+def scan_summary(files: DataFrame, issues: DataFrame, clones: DataFrame) -> DataFrame:
+    """``summary_of`` for issues at hand, which need project_id, severity and category only."""
+    counted = issues.groupBy("project_id", "severity", "category").agg(F.count(F.lit(1)).alias("issues"))
+    return summary_of(project_sizes(files, clones), counted)
+
+
+def global_dashboard(projects: DataFrame, scans: DataFrame, rollups: DataFrame, files: DataFrame) -> DataFrame:
+    """One document over all projects: totals, distributions, the newest scans and the files with most issues.
+
+    ``rollups`` and ``files`` (file, issues) are the rollups beside stored scans; no issue is read. Lists hold the known
+    severities, categories and labels, or ten rows.
+    """
+    def shares(column: str) -> DataFrame:
+        rows = rollups.filter(F.col(column).isNotNull()).groupBy(column).agg(F.sum("issues").alias("count"))
+        return rows.agg(F.array_sort(F.collect_list(F.struct(F.col(column), "count"))).alias(column))
+
+    def listed(rows: DataFrame, order: list[Column], k: int, name: str) -> DataFrame:
+        place = F.row_number().over(Window.orderBy(*order))  # of k rows
+        first = rows.orderBy(*order).limit(k).withColumn("place", place)
+        return first.agg(F.array_sort(F.collect_list(F.struct("place", *rows.columns))).alias(name))
+
+    totals = [
+        projects.agg(F.count("*").alias("total_projects")), scans.agg(F.count_if(F.col("status") == "completed").alias("total_scans")),
+        rollups.agg(F.coalesce(F.sum("issues"), F.lit(0)).alias("total_issues")),
+    ]
+    newest = scans.select(F.col("scan_id").alias("id"), "project_id", "status", "total_issues", "critical_count", "major_count", "scan_duration_seconds", "started_at")
+    parts = [
+        shares("severity"), shares("category"), shares("owasp_category"),
+        listed(newest, [F.col("started_at").desc(), F.col("id")], RECENT_SCANS, "recent_scans"),
+        listed(files.groupBy("file").agg(F.sum("issues").alias("issue_count")), [F.col("issue_count").desc(), F.col("file")], TOP_FILES, "top_files"),
+    ]
+    out = totals[0]
+    for one in [*totals[1:], *parts]:
+        out = out.join(F.broadcast(one))  # one-row aggregates side by side
+    dropped = lambda c: F.transform(c, lambda x: x.dropFields("place"))
+    return out.select(
+        F.struct("total_projects", "total_scans", "total_issues").alias("overview"), F.col("severity").alias("severity_distribution"),
+        F.col("category").alias("category_distribution"), F.col("owasp_category").alias("owasp_distribution"),
+        dropped("recent_scans").alias("recent_scans"), dropped("top_files").alias("top_files_by_issues"),
+    )
+
+
 def latest_scans(scans: DataFrame) -> DataFrame:
     """Newest scan per project, by partial maximum."""
     row = F.struct("started_at", "scan_id", *[c for c in scans.columns if c not in ("started_at", "scan_id", "project_id")])

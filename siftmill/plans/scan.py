@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
+import time
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftmill.operators import clones, deps, metrics
@@ -16,7 +19,7 @@ from siftmill.operators.facts import imports, syntax_facts
 from siftmill.operators.line_rules import text_rule_hits
 from siftmill.operators.taint import NODE_TYPES, taint_hits
 from siftmill.plans import findings, reports
-from siftmill.session import materialize
+from siftmill.session import materialize, remove_folder, scratch
 from siftmill.sources.layout import lay_out
 from siftmill.sources.manifests import declared
 
@@ -85,15 +88,20 @@ def scan(files: DataFrame, manifests: DataFrame | None = None, advisories: DataF
     return Scan(files, issues, measured, groups, facts, manifests)
 
 
-def summary(result: Scan, issues: DataFrame | None = None) -> DataFrame:
-    """Counters per project; pass the stored issues to count them without finding them again.
+def sizes(result: Scan) -> DataFrame:
+    """Files, lines and duplicate blocks per project.
 
     A project that has manifests but no source file is scanned too: it gets a row with no files and no lines.
     """
-    sizes = reports.file_sizes(result.files)
+    files = reports.file_sizes(result.files)
     if result.manifests is not None:
-        sizes = sizes.unionByName(result.manifests.select("project_id", F.lit(None).cast("int").alias("lines")))
-    return reports.scan_summary(sizes, issues if issues is not None else result.issues, result.clones)
+        files = files.unionByName(result.manifests.select("project_id", F.lit(None).cast("int").alias("lines")))
+    return reports.project_sizes(files, result.clones)
+
+
+def summary(result: Scan) -> DataFrame:
+    """Counters per project, of all kinds of findings."""
+    return reports.summary_of(sizes(result), reports.rollup(result.issues))
 
 
 def scan_records(counters: DataFrame, scan_id: str, started: Column, completed: Column) -> DataFrame:
@@ -108,26 +116,94 @@ def scan_records(counters: DataFrame, scan_id: str, started: Column, completed:
     )
 
 
-def scan_folder(target: str, scan_id: str) -> str:
-    """The folder of one scan; a digest, as ids may hold anything."""
-    return f"{target.rstrip('/')}/scan=s{hashlib.sha256(scan_id.encode()).hexdigest()[:32]}"
+# -- stored scans -----------------------------------------------------------------------------------------------
+
+_LOG = "scan_id string, state string, seq bigint, folder string, started_at timestamp, error string"
+
+
+def _log(spark: SparkSession, target: str, scan_id: str, state: str, folder: str, started: datetime, error: str | None = None) -> None:
+    """One more line of the target's commit log: a small Parquet file of its own, which appears whole or not at all."""
+    row = spark.createDataFrame([(scan_id, state, time.time_ns(), folder, started, error)], _LOG)
+    row.coalesce(1).write.mode("append").parquet(f"{target}/log")
 
 
-def store(result: Scan, target: str, scan_id: str, started: Column) -> None:
-    """Write issues, metrics and scan records under ``target``; the record comes last, when the rest is in place.
+def run(spark: SparkSession, target: str, scan_id: str, work: Callable[[], Scan]) -> str:
+    """Work out a scan and store it under ``target``; its folder.
 
-    Each scan has its own folder and replaces it: a scan that runs again, after a failure or over changed files, is stored once.
+    The commit log says ``running`` before anything is worked out, and ``completed`` or ``failed`` when it has ended. Each run
+    writes to a folder of its own, which readers open only once it is completed: what an earlier run of the same scan
+    stored is read until then, and after a failure. Scratch tables of the run are removed either way.
     """
-    folder = scan_folder(target, scan_id)
+    target, started = target.rstrip("/"), datetime.now()
+    folder = f"scan={uuid.uuid4().hex}"
+    _log(spark, target, scan_id, "running", folder, started)
+    try:
+        with scratch(spark):
+            _write(work(), f"{target}/{folder}", scan_id, F.lit(started))
+    except Exception as error:
+        _log(spark, target, scan_id, "failed", folder, started, str(error)[:2000])
+        raise
+    _log(spark, target, scan_id, "completed", folder, started)
+    return folder
+
+
+def store(result: Scan, target: str, scan_id: str) -> str:
+    """``run`` for a scan that is at hand."""
+    return run(result.files.sparkSession, target, scan_id, lambda: result)
+
+
+def _write(result: Scan, folder: str, scan_id: str, started: Column) -> None:
+    """Issues, metrics, their rollups and the scan's records; what only counts reads the rollups, never the issues."""
+    spark = result.files.sparkSession
     findings.write_table(result.issues, f"{folder}/issues", "overwrite")
-    findings.write_table(
-        result.metrics.withColumn("scan_id", F.lit(scan_id)).withColumn("ts", F.current_timestamp()), f"{folder}/metrics", "overwrite"
-    )
-    counters = summary(result, findings.read_table(result.files.sparkSession, f"{folder}/issues"))
+    issues = findings.read_table(spark, f"{folder}/issues")
+    findings.write_table(result.metrics.withColumn("scan_id", F.lit(scan_id)).withColumn("ts", F.current_timestamp()), f"{folder}/metrics", "overwrite")
+    findings.write_table(reports.rollup(issues), f"{folder}/rollups", "overwrite")
+    findings.write_table(issues.groupBy("project_id", "file").agg(F.count(F.lit(1)).alias("issues")), f"{folder}/files", "overwrite")
+    findings.write_table(sizes(result), f"{folder}/sizes", "overwrite")
+    counters = reports.summary_of(findings.read_table(spark, f"{folder}/sizes"), findings.read_table(spark, f"{folder}/rollups"))
     findings.write_table(scan_records(counters, scan_id, started, F.current_timestamp()), f"{folder}/scans", "overwrite")
 
 
+def scan_states(spark: SparkSession, target: str) -> DataFrame:
+    """The last state of every scan of the log: (scan_id, status, folder, started_at, error)."""
+    newest = Window.partitionBy("scan_id").orderBy(F.col("seq").desc())
+    log = spark.read.schema(_LOG).parquet(f"{target.rstrip('/')}/log")
+    return log.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select("scan_id", F.col("state").alias("status"), "folder", "started_at", "error")
+
+
+def _committed(spark: SparkSession, target: str, scan_id: str | None) -> list[str]:
+    """The folder of each scan's last completed run: one name per scan."""
+    log = spark.read.schema(_LOG).parquet(f"{target.rstrip('/')}/log").filter("state = 'completed'")
+    log = log if scan_id is None else log.filter(F.col("scan_id") == scan_id)
+    newest = Window.partitionBy("scan_id").orderBy(F.col("seq").desc())
+    return sorted(r["folder"] for r in log.withColumn("_n", F.row_number().over(newest)).filter("_n = 1").select("folder").collect())
+
+
 def stored(spark: SparkSession, target: str, name: str, project_id: str | None = None, scan_id: str | None = None) -> DataFrame:
-    """``issues``, ``metrics`` or ``scans`` of all stored scans, or of one; buckets without the project are not opened."""
-    folder = f"{target.rstrip('/')}/scan=*" if scan_id is None else scan_folder(target, scan_id)
-    return findings.read_table(spark, f"{folder}/{name}", project_id)
+    """``issues``, ``metrics``, ``scans``, ``sizes``, ``files`` or ``rollups`` of all completed scans, or of one; buckets
+    without the project are not opened."""
+    folders = _committed(spark, target, scan_id)
+    if not folders:
+        raise ValueError(f"no completed scan under {target}")
+    return findings.read_table(spark, [f"{target.rstrip('/')}/{f}/{name}" for f in folders], project_id)
+
+
+def scans_with_states(spark: SparkSession, target: str) -> DataFrame:
+    """Records of completed scans, and one row without project and counts for each scan that runs or has failed."""
+    open_ = scan_states(spark, target).filter("status <> 'completed'")
+    if not _committed(spark, target, None):
+        return open_.select("scan_id", F.lit(None).cast("string").alias("project_id"), "status", "started_at", "error")
+    done = stored(spark, target, "scans").withColumn("error", F.lit(None).cast("string"))
+    return done.unionByName(open_.drop("folder"), allowMissingColumns=True)
+
+
+def vacuum(spark: SparkSession, target: str) -> list[str]:
+    """Remove the folders of failed runs and of runs that a later one has replaced; those of runs that still run stay."""
+    target = target.rstrip("/")
+    newest = Window.partitionBy("folder").orderBy(F.col("seq").desc())
+    log = spark.read.schema(_LOG).parquet(f"{target}/log").withColumn("_n", F.row_number().over(newest)).filter("_n = 1 and state <> 'running'")
+    gone = sorted({r["folder"] for r in log.select("folder").collect()} - set(_committed(spark, target, None)))
+    for folder in gone:
+        remove_folder(spark, f"{target}/{folder}")
+    return gone

@@ -11,8 +11,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: The folder of the innermost ``scratch`` block, if any.
-_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+#: The folder of the innermost ``scratch`` block, if any, and the names of tables registered in it.
+_SCRATCH: ContextVar[tuple[str, list[str]] | None] = ContextVar("scratch", default=None)
 
 
 def get_session(app: str = "siftmill", cores: str | int = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -43,6 +43,19 @@ def work_dir(spark: SparkSession) -> str:
     return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Where tables of the running ``scratch`` block go, or ``work_dir`` outside of one."""
+    block = _SCRATCH.get()
+    return block[0] if block else work_dir(spark)
+
+
+def scratch_table(name: str) -> None:
+    """Have the running ``scratch`` block, if any, drop a catalog table at its end."""
+    block = _SCRATCH.get()
+    if block:
+        block[1].append(name)
+
+
 def materialize(df: DataFrame, label: str, order_by: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet and read it back: one computation for many readers, with column pruning.
 
@@ -50,7 +63,7 @@ def materialize(df: DataFrame, label: str, order_by: str | None = None) -> DataF
     several branches of a scan. With ``order_by`` each task sorts its own rows, so that readers that filter on that column
     skip row groups and pages by their statistics; one file a task, unlike a folder per value.
     """
-    path = f"{_SCRATCH.get() or work_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     (df.sortWithinPartitions(order_by) if order_by else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -65,9 +78,12 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables that ``materialize`` writes inside this block are removed at its end, also after a failure."""
     folder = f"{work_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    mark = _SCRATCH.set(folder)
+    tables: list[str] = []
+    mark = _SCRATCH.set((folder, tables))
     try:
         yield
     finally:
         _SCRATCH.reset(mark)
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_folder(spark, folder)

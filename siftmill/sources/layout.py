@@ -11,7 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.session import work_dir
+from siftmill.session import scratch_dir, scratch_table
 
 KEY = ("project_id", "path")
 
@@ -25,7 +25,8 @@ def lay_out(files: DataFrame, path: str | None = None, buckets: int | None = Non
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"laid_out_{uuid.uuid4().hex}"
     writer = files.repartition(n, *KEY).write.format("parquet").bucketBy(n, *KEY).sortBy(*KEY)
-    writer.option("path", path or f"{work_dir(spark)}/{name}").saveAsTable(name)
+    writer.option("path", path or f"{scratch_dir(spark)}/{name}").saveAsTable(name)
+    scratch_table(name)
     return spark.table(name)
 
 

@@ -3,6 +3,7 @@
 import json
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftmill.operators import clones, deps, metrics
@@ -77,7 +78,7 @@ def test_scan_of_a_file_tree(spark, tmp_path):
     result = SC.scan(files, manifests, scan_id="s1", ts=F.lit("2024-01-01").cast("timestamp"))
     out = str(tmp_path / "out")
     for _ in range(2):  # stored again, a scan replaces itself
-        SC.store(result, out, "s1", F.current_timestamp())
+        SC.store(result, out, "s1")
     rows = SC.stored(spark, out, "issues").collect()
     got = {(r.file, r.line, r.rule_id) for r in rows}
     assert got == {("src/a.py", 1, "SEC003"), ("src/a.py", 3, "SEC002"), ("src/a.py", 4, "SEC002"), ("src/a.py", 3, "TAINT001"), ("src/a.py", 4, "TAINT001"),
@@ -94,6 +95,47 @@ def test_scan_of_a_file_tree(spark, tmp_path):
         "loc", "maintainability_index", "cyclomatic_complexity", "function_length", "avg_complexity"}
 
 
+def test_scans_are_read_once_they_are_completed(spark, make_files, tmp_path):
+    from pathlib import Path
+
+    out = str(tmp_path / "out")
+    scratch = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(scratch.iterdir())
+    state = lambda: {r.scan_id: r.status for r in SC.scan_states(spark, out).collect()}
+    seen = []
+
+    def work(text):
+        def scanned():
+            seen.append(state())
+            return SC.scan(make_files(("p", "a.js", text)), scan_id="s")
+
+        return scanned
+
+    def fails():
+        SC.scan(make_files(("p", "a.js", "debugger")))
+        raise RuntimeError("lost the corpus")
+
+    SC.run(spark, out, "s", work("debugger"))
+    assert seen == [{"s": "running"}] and state() == {"s": "completed"}
+    for scan_id in ("s", "t"):
+        with pytest.raises(RuntimeError):
+            SC.run(spark, out, scan_id, fails)
+    # the failed run hides nothing of the completed one
+    assert state() == {"s": "failed", "t": "failed"}
+    assert [r.rule_id for r in SC.stored(spark, out, "issues").collect()] == ["JSEC009"]
+    rows = {(r.scan_id, r.status, r.total_issues) for r in SC.scans_with_states(spark, out).collect()}
+    assert rows == {("s", "completed", 1), ("s", "failed", None), ("t", "failed", None)}
+    SC.run(spark, out, "s", work("x == 1"))
+    assert [r.rule_id for r in SC.stored(spark, out, "issues", scan_id="s").collect()] == ["JSCS003"] and state() == {"s": "completed", "t": "failed"}
+    rollup = SC.stored(spark, out, "rollups").collect()
+    assert [(r.project_id, r.rule_id, r.issues) for r in rollup] == [("p", "JSCS003", 1)]
+    gone = SC.vacuum(spark, out)
+    assert len(gone) == 3 and [r.rule_id for r in SC.stored(spark, out, "issues").collect()] == ["JSCS003"] and SC.vacuum(spark, out) == gone
+    assert set(scratch.iterdir()) == before
+    with pytest.raises(ValueError, match="no completed scan"):
+        SC.stored(spark, out, "issues", scan_id="t")
+
+
 def test_maintainability_by_hand(make_files):
     import math
 

@@ -152,7 +152,7 @@ def test_a_page_at_any_depth_opens_two_parts_at_most(spark, tmp_path):
             for page in (1, 2, 7, 15, 16):
                 got = W.indexed_page(spark, path, page, 200)
                 assert got.collect() == whole[200 * (page - 1) : 200 * page]
-                folders = {f.split("/part=")[1].split("/")[0] for f in got.inputFiles()}
+                folders = {f.split("/part=")[1].split("/")[0] for f in got.inputFiles() if "/part=" in f}
                 assert len(folders) <= 2
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

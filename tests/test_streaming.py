@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from siftmill.operators.line_rules import text_rule_hits
+from siftmill.plans.scan import facts_of, file_hits
 from siftmill.sources.files import language_of
 from siftmill.streaming import history, scan_stream
 
@@ -23,10 +24,47 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     batch = text_rule_hits(spark.read.parquet(source).withColumn("language", language_of(F.col("path"))))
     key = lambda r: (r.file, r.line, r.rule_id)
     assert sorted(map(key, spark.read.parquet(target).collect())) == sorted(map(key, batch.collect()))
-    got = {key(r) for r in spark.read.parquet(full).collect()}
+    got = {key(r) for r in scan_stream.current_issues(spark, full).collect()}
     assert {("b.py", 3, "SEC002"), ("b.py", 3, "TAINT001"), ("c.sql", 1, "SQL002"), ("a.js", 1, "JSEC009")} <= got
 
 
+def test_a_changed_file_replaces_its_findings_and_an_unchanged_one_costs_nothing(spark, tmp_path):
+    schema = "project_id string, path string, modified timestamp, text string"
+    source, target, into = (str(tmp_path / n) for n in ("in", "out", "small"))
+    stream = lambda: spark.readStream.schema(schema).parquet(source).withColumn("language", language_of(F.col("path")))
+    now: dict = {}
+
+    def land(at, *rows):
+        for project, path, text in rows:
+            now[project, path] = text
+        spark.createDataFrame([(p, f, at + i, t) for i, (p, f, t) in enumerate(rows)], "project_id string, path string, s int, text string").select(
+            "project_id", "path", F.timestamp_seconds("s").alias("modified"), "text").write.mode("append").parquet(source)
+
+    def check(folder=target):
+        files = spark.createDataFrame([(p, f, t) for (p, f), t in now.items() if t is not None], SCHEMA).withColumn("language", language_of(F.col("path")))
+        want = file_hits(files, facts_of(files))
+        key = lambda r: (r.project_id, r.file, r.line, r.rule_id, r.message, r.code_snippet)
+        assert sorted(map(key, scan_stream.current_issues(spark, folder).collect())) == sorted(map(key, want.collect()))
+
+    def scanned(number):
+        return sorted(r.path for r in spark.read.parquet(f"{target}/versions/batch={number}").collect())
+
+    land(0, ("p", "a.js", "debugger\nx == 1"), ("p", "b.py", "x = input()\neval(x)"), ("q", "a.js", "debugger"))
+    scan_stream.start_full_scan(stream(), target, target + "-c").awaitTermination()
+    check()
+    # a changed, a repeated and a new file; one that lands twice counts with its newest text
+    land(100, ("p", "a.js", "debugger"), ("p", "b.py", "x = input()\neval(x)"), ("p", "c.sql", "SELECT 1;"), ("p", "c.sql", "SELECT * FROM t;"))
+    scan_stream.start_full_scan(stream(), target, target + "-c").awaitTermination()
+    assert scanned(1) == ["a.js", "c.sql"]
+    check()
+    land(200, ("q", "a.js", None), ("p", "b.py", "x = 1\neval(x)"))  # one is gone
+    scan_stream.start_full_scan(stream(), target, target + "-c").awaitTermination()
+    check()
+    assert not [p for p in (tmp_path / "out").rglob("scratch-*")]
+    scan_stream.compact(spark, target, into)
+    check(into)
+
+
 def test_history_stream_ends_at_the_batch_lists(spark, tmp_path):
     rows = [(u, f"p{(i * 7 + u) % 23}", 1_700_000_000 + i * 11 + u) for i in range(60) for u in (1, 2)]
     visits = spark.createDataFrame(rows, "user_id bigint, project string, s bigint").select("user_id", "project", F.timestamp_seconds("s").alias("ts"))
