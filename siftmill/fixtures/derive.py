@@ -188,8 +188,8 @@ def _ranges(kind, n):
     )
 
 
-def visits(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def visits(spark: SparkSession, sf: str, stream: bool = False) -> DataFrame:
+    return table(spark, sf, "events", stream).select(
         "user_id", F.concat(F.lit("p"), F.get_json_object("props", "$.k")).alias("project"), "ts")
 
 

@@ -788,10 +788,22 @@ def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 _DOCS = "files AS (SELECT source AS project_id, 'doc' || doc_id AS path, text FROM documents)"
 add("st_scan", _stream_scan, " UNION ALL ".join(_single_kinds_sql()))
-add("st_history", lambda s, d: history.history_lists(D.visits(s, d)).select("user_id", *long("place"), "project"),
+_HISTORY = (
     "WITH v AS (SELECT user_id, 'p' || json_extract_string(props, '$.k') AS project, ts FROM events), n AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS now FROM v), "
     "f AS (SELECT user_id, project, max(ts) AS ts FROM n WHERE ts > now - INTERVAL 300 SECOND GROUP BY 1, 2), "
-    "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, project) AS place FROM f) SELECT user_id, place, project FROM r WHERE place <= 20")
+    "r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, project) AS place FROM f) SELECT user_id, place, project FROM r WHERE place <= 20"
+)
+add("st_history", lambda s, d: history.history_lists(D.visits(s, d)).select("user_id", *long("place"), "project"), _HISTORY)
+
+
+def _stream_history(spark: SparkSession, sf: str) -> DataFrame:
+    """The same lists, kept as visits arrive."""
+    target = _fresh(spark, "history")
+    history.start_history(D.visits(spark, sf, stream=True), target, target + "-checkpoint").awaitTermination()
+    return history.current_lists(spark, target).select("user_id", *long("place"), "project")
+
+
+add("st_history_stream", _stream_history, _HISTORY)
 
 
 def _user_rules(spark: SparkSession, sf: str) -> DataFrame:

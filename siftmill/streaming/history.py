@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 # Workers get these functions by value, so the package need not be installed on them.
@@ -43,24 +44,42 @@ def stream_recent_projects(visits: DataFrame, ttl_seconds: int = TTL_SECONDS, li
         if state.hasTimedOut:
             state.remove()
             return
-        entries = dict(zip(*state.get)) if state.exists else {}
+        # the newest visit per project: of the state and of each Arrow batch, which may hold any number of visits
+        known = pd.Series(state.get[1], index=state.get[0], dtype="int64") if state.exists else pd.Series(dtype="int64")
         for batch in batches:
-            for row in batch.sort_values("ts").itertuples():
-                entries[row.project] = max(entries.get(row.project, 0), int(row.ts.timestamp() * 1e6))
-        newest = max(entries.values())
-        kept = sorted((e for e in entries.items() if e[1] > newest - ttl_seconds * 1_000_000), key=lambda e: (-e[1], e[0]))[:limit]
-        state.update(([p for p, _ in kept], [t for _, t in kept]))
-        watermark = state.getCurrentWatermarkMs()
-        state.setTimeoutTimestamp(max(newest // 1000, watermark) + ttl_seconds * 1000)
+            latest = batch.groupby("project")["ts"].max().astype("datetime64[us]").astype("int64")
+            known = pd.concat([known, latest]).groupby(level=0).max()
+        if known.empty:
+            return
+        newest = int(known.max())
+        kept = known[known > newest - ttl_seconds * 1_000_000].rename_axis("project").reset_index(name="us")
+        kept = kept.sort_values(["us", "project"], ascending=[False, True]).head(limit)
+        state.update((kept["project"].tolist(), kept["us"].tolist()))
+        state.setTimeoutTimestamp(max(newest // 1000, state.getCurrentWatermarkMs()) + ttl_seconds * 1000)
         yield pd.DataFrame({
-            "user_id": [key[0]] * len(kept), "place": range(1, len(kept) + 1), "project": [p for p, _ in kept],
-            "ts": pd.to_datetime([t for _, t in kept], unit="us"),
+            "user_id": key[0], "place": range(1, len(kept) + 1), "project": kept["project"].to_numpy(), "ts": pd.to_datetime(kept["us"].to_numpy(), unit="us"),
         })
 
     return (
-        visits.withWatermark("ts", f"{ttl_seconds} seconds").groupBy("user_id")
+        visits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", f"{ttl_seconds} seconds").groupBy("user_id")
         .applyInPandasWithState(
             update, "user_id bigint, place int, project string, ts timestamp", "projects array<string>, times array<bigint>",
             "update", GroupStateTimeout.EventTimeTimeout,
         )
     )
+
+
+def start_history(visits: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Keep every user's list as visits arrive: each micro-batch writes the lists that it changed, under its own number."""
+
+    def write(lists: DataFrame, number: int) -> None:
+        lists.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    lists = stream_recent_projects(visits)
+    return lists.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_lists(spark: SparkSession, target: str) -> DataFrame:
+    """The last list of every user: (user_id, place, project, ts)."""
+    rows = spark.read.schema("user_id bigint, place int, project string, ts timestamp, batch bigint").parquet(target)
+    return rows.join(rows.groupBy("user_id").agg(F.max("batch").alias("batch")), ["user_id", "batch"]).select("user_id", "place", "project", "ts")

@@ -69,13 +69,18 @@ def test_history_stream_ends_at_the_batch_lists(spark, tmp_path):
     rows = [(u, f"p{(i * 7 + u) % 23}", 1_700_000_000 + i * 11 + u) for i in range(60) for u in (1, 2)]
     visits = spark.createDataFrame(rows, "user_id bigint, project string, s bigint").select("user_id", "project", F.timestamp_seconds("s").alias("ts"))
     visits.coalesce(1).write.parquet(str(tmp_path / "v"))
-    stored = spark.read.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v")).persist()
+    stored.count()
     want = {(r.user_id, r.place, r.project) for r in history.history_lists(stored).collect()}
-    out = []
-    stream = history.stream_recent_projects(spark.readStream.schema(stored.schema).parquet(str(tmp_path / "v")))
-    stream.writeStream.outputMode("update").foreachBatch(lambda df, _: out.append({(r.user_id, r.place, r.project) for r in df.collect()})).option(
-        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
-    assert next(x for x in out if x) == want
+    stream = lambda: spark.readStream.schema(stored.schema).parquet(str(tmp_path / "v"))
+    lists = lambda: {(r.user_id, r.place, r.project) for r in history.current_lists(spark, str(tmp_path / "out")).collect()}
+    history.start_history(stream(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert lists() == want
+    # later visits of one user change that user's list only; the old ones are too old by then
+    later = spark.createDataFrame([(1, "px", 1_700_002_000), (1, "py", 1_700_002_010), (1, "px", 1_700_002_005)], "user_id bigint, project string, s bigint")
+    later.select("user_id", "project", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "v"))
+    history.start_history(stream(), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    assert lists() == {w for w in want if w[0] == 2} | {(1, 1, "py"), (1, 2, "px")}
     now = F.timestamp_seconds(F.lit(1_700_000_000 + 100))
     early = {(r.user_id, r.project) for r in history.recent_projects(stored, now).collect()}
     assert early == {(u, p) for u, p, s in rows if s <= 1_700_000_100 and s > 1_700_000_100 - 300}
