@@ -256,6 +256,19 @@ add("m_fn_js", lambda s, d: js_facts.js_function_metrics(D.corpus(s, d)).select(
 add("m_cc_js", lambda s, d: js_facts.js_function_metrics(D.corpus(s, d)).select("project_id", "file", "line", "name", "complexity"), _FN.format(D.sql_labels(["FN"]), 3, "complexity"))
 
 
+
+def _whole(part: int, name: str) -> str:
+    """Bodies followed to their end: labels of their own where a body is longer than METRIC_LINES."""
+    return (
+        f"WITH {D.sql_labels(['FN', 'FNW'])} SELECT project_id, file, line, split_part(message, '|', 1) AS name, CAST(split_part(message, '|', {part}) AS INTEGER) AS {name} FROM expected e "
+        "WHERE rule_id = 'FNW' OR NOT EXISTS (SELECT 1 FROM expected w WHERE w.rule_id = 'FNW' AND w.project_id = e.project_id AND w.file = e.file AND w.line = e.line)"
+    )
+
+
+add("m_fn_js_whole", lambda s, d: js_facts.js_function_metrics(D.corpus(s, d), None).select("project_id", "file", "line", "name", "length"), _whole(2, "length"))
+add("m_cc_js_whole", lambda s, d: js_facts.js_function_metrics(D.corpus(s, d), None).select("project_id", "file", "line", "name", "complexity"), _whole(3, "complexity"))
+
+
 def _cc_facts(spark: SparkSession, sf: str) -> DataFrame:
     return rule_facts(D.corpus(spark, sf, "python"), [FACT_RULES["CS003"]])
 
@@ -459,6 +472,10 @@ add("j_declnames", lambda s, d: deps.declared_names(MF.declared(D.manifests(s, d
 add("j_stdlib", _third, f"WITH {_SQL_THIRD} SELECT * FROM third")
 add("j_unused", lambda s, d: deps.unused(MF.declared(D.manifests(s, d)), _third(s, d)).select(*_DEP_COLS), f"WITH {_SQL_DECLARED}, {_SQL_THIRD} {_UNUSED}")
 add("j_undeclared", lambda s, d: deps.undeclared(MF.declared(D.manifests(s, d)), _third(s, d)).select(*_DEP_COLS), f"WITH {_SQL_DECLARED}, {_SQL_THIRD} {_UNDECLARED}")
+add("j_undeclared_own", lambda s, d: deps.undeclared(MF.declared(D.manifests(s, d)), deps.third_party(
+        deps.import_roots(_imports(s, d), relative=False), deps.standard_modules(s), deps.local_modules(D.corpus(s, d, "python")))).select(*_DEP_COLS),
+    f"WITH {_SQL_DECLARED}, {_SQL_THIRD.replace('third AS (', 'every_third AS (')}, own AS (SELECT DISTINCT project_id, regexp_extract(path, '^(src/)?([^/]+?)([.]py)?(/|$)', 2) AS module FROM files), "
+    f"third AS (SELECT * FROM every_third t WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.project_id = t.project_id AND o.module = t.module)) {_UNDECLARED}")
 add("j_vuln", lambda s, d: deps.vulnerable(MF.declared(D.manifests(s, d)), D.advisories(s, d)).select(*_DEP_COLS, "vuln_id", F.size("refs").alias("n_refs")),
     f"WITH {_SQL_ALL_DECLARED}, {D.SQL_ADVISORIES} " + _VULNERABLE.format(more=", vuln_id, n_refs"))
 add("u_deps", lambda s, d: deps.dependency_findings(MF.declared(D.manifests(s, d)), _third(s, d), D.advisories(s, d)).select(*_DEP_COLS),
@@ -506,6 +523,8 @@ add("q_projects", lambda s, d: R.projects_newest_first(D.projects(s, d)).select(
     f"WITH {D.SQL_PROJECTS} SELECT project_id, name, path, language FROM projects")
 add("t_sevtext", lambda s, d: W.by_severity_text(D.issues(s, d)).select(*_ROW), f"{_I}SELECT {_COLS} FROM issues")
 
+_EVERY = ", ".join([D.sql_corpus(None), "files AS (SELECT project_id, path, text FROM corpus UNION ALL " + " UNION ALL ".join(D.sql_prose(x) for x in ("javascript", "sql", "csharp")) + ")"])
+
 # -- reports ----------------------------------------------------------------------------------------------------
 
 _P, _S = f"WITH {D.SQL_PROJECTS} ", f"WITH {D.SQL_SCANS} "
@@ -517,6 +536,8 @@ for _name, _col in [("a_sev", "severity"), ("a_cat", "category"), ("a_owasp", "o
 _PIVOT = ", ".join(f"count(*) FILTER (WHERE category <> 'DEPENDENCY' AND severity = '{x}') AS {x.lower()}_count" for x in D.SEVERITIES)
 add("a_sevpivot", lambda s, d: R.scan_severities(D.issues(s, d)), f"{_I}SELECT project_id, scan_id, count(*) AS total_issues, {_PIVOT} FROM issues GROUP BY 1, 2")
 add("a_langbreak", lambda s, d: R.language_breakdown(D.issues(s, d), ["project_id"]), f"{_I}SELECT project_id, {_LANG.format('file')} AS language, count(*) AS issues FROM issues GROUP BY 1, 2")
+add("a_langfiles", lambda s, d: R.language_files(_every_file(s, d), ["project_id"]),
+    f"WITH {_EVERY} SELECT project_id, {_LANG.format('path')} AS language, count(*) AS files FROM files GROUP BY 1, 2")
 add("a_weight", lambda s, d: R.severity_score(D.issues(s, d), ["project_id", "file"]).select("project_id", "file", *long("score")),
     f"{_I}SELECT project_id, file, CAST(sum(CASE severity WHEN 'INFO' THEN 1 WHEN 'MINOR' THEN 2 WHEN 'MAJOR' THEN 5 WHEN 'CRITICAL' THEN 10 ELSE 20 END) AS BIGINT) AS score FROM issues GROUP BY 1, 2")
 
@@ -617,7 +638,6 @@ def _scan_summary(spark: SparkSession, sf: str) -> DataFrame:
     return SC.summary(SC.scan(_every_file(spark, sf), D.manifests(spark, sf), D.advisories(spark, sf)))
 
 
-_EVERY = ", ".join([D.sql_corpus(None), "files AS (SELECT project_id, path, text FROM corpus UNION ALL " + " UNION ALL ".join(D.sql_prose(x) for x in ("javascript", "sql", "csharp")) + ")"])
 _COUNTED = ", ".join(f"count(*) FILTER (WHERE rule_id NOT LIKE 'DEP%' AND severity = '{x}') AS {x.lower()}" for x in D.SEVERITIES)
 _LEVELS = ", ".join(f"coalesce({x.lower()}, 0) AS {x.lower()}" for x in D.SEVERITIES)
 add("a_scansum", _scan_summary,

@@ -58,6 +58,7 @@ EXPECTED = {
     "JSCS001": "Function '{0}' is approximately {1} lines long (max 50).",
     # Facts rather than findings: name, length, complexity of a function.
     "FN": "{0}|{1}|{2}",
+    "FNW": "{0}|{1}|{2}",
     "PYFN": "{0}|{1}|{2}",
     # A name that holds untrusted data after the line; names without the mark don't.
     "DEF": "{0}",
@@ -651,7 +652,7 @@ function open_(a) {⟦FN|open_|2|1⟧
   z();
 '''),
     # a body longer than the 200 lines that are followed
-    (".tsx", "async function huge(a) {⟦JSCS001|huge|205⟧⟦FN|huge|200|1⟧\n" + "  w();\n" * 203 + "}\n"
+    (".tsx", "async function huge(a) {⟦JSCS001|huge|205⟧⟦FN|huge|200|1⟧⟦FNW|huge|205|1⟧\n" + "  w();\n" * 203 + "}\n"
      + "const tail = async (b) => b;⟦FN|tail|1|1⟧\n"),
 ]
 

@@ -39,8 +39,16 @@ def standard_modules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(m,) for m in sorted(sys.stdlib_module_names)], "module string")
 
 
-def import_roots(imports: DataFrame) -> DataFrame:
-    """Distinct top-level modules imported per project; partial distinct before the shuffle."""
+def local_modules(files: DataFrame) -> DataFrame:
+    """(project_id, module): what a project's own Python files can be imported as, with or without a leading ``src`` folder."""
+    own = files.filter(F.col("language") == "python").select("project_id", F.regexp_extract("path", r"^(?:src/)?([^/]+?)(?:\.py)?(?:/|$)", 1).alias("module"))
+    return own.filter("module <> ''").distinct()
+
+
+def import_roots(imports: DataFrame, relative: bool = True) -> DataFrame:
+    """Distinct top-level modules imported per project; partial distinct before the shuffle. ``relative=False`` leaves out
+    ``from .x import y``, which names a module of the project itself."""
+    imports = imports if relative else imports.filter(F.coalesce("level", F.lit(0)) == 0)
     dotted = F.when(F.col("node_type") == "Import", F.col("name")).otherwise(F.col("module"))
     return (
         imports.select("project_id", F.substring_index(dotted, ".", 1).alias("module"))
@@ -48,7 +56,9 @@ def import_roots(imports: DataFrame) -> DataFrame:
     )
 
 
-def third_party(roots: DataFrame, standard: DataFrame) -> DataFrame:
+def third_party(roots: DataFrame, standard: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """Roots that aren't of the standard library nor, where ``local`` (``local_modules``) is given, of the project itself."""
+    roots = roots if local is None else roots.join(local, ["project_id", "module"], "left_anti")
     return roots.join(F.broadcast(standard), "module", "left_anti").select("project_id", "module")
 
 

@@ -148,15 +148,15 @@ def _string_child(c: Column) -> Column:
 
 
 def sql_text() -> Column:
-    words, advice, say = uregex(SQL_WORDS, True), "Use parameterized queries instead of ", "Potential SQL injection via "
+    words = uregex(SQL_WORDS, True)
     kind = F.col("node_type")
     left = F.exists("children", lambda c: (c["field"] == "left") & (c["const_kind"] == "str") & c["const_value"].rlike(words))
     receiver = F.exists("children", lambda c: (c["field"] == "func") & (c["type"] == "Attribute") & (c["name"] == "format")
                         & (c["vconst_kind"] == "str") & c["vconst_value"].rlike(words))
     return F.concat(
-        _if((kind == "JoinedStr") & F.col("seg").rlike(words), _at(say + "f-string formatting.", advice + "string formatting.")),
-        _if((kind == "BinOp") & (F.col("op") == "Mod") & left, _at(say + "% string formatting.", advice + "% formatting.")),
-        _if((kind == "Call") & receiver, _at(say + ".format() string formatting.", advice + ".format().")),
+        _if((kind == "JoinedStr") & F.col("seg").rlike(words), _at("Potential SQL injection via f-string formatting.", "Use parameterized queries instead of string formatting.")),
+        _if((kind == "BinOp") & (F.col("op") == "Mod") & left, _at("Potential SQL injection via % string formatting.", "Use parameterized queries instead of % formatting.")),
+        _if((kind == "Call") & receiver, _at("Potential SQL injection via .format() string formatting.", "Use parameterized queries instead of .format().")),
     )
 
 

@@ -41,6 +41,11 @@ def language_breakdown(issues: DataFrame, by: list[str] | None = None) -> DataFr
     return issues.groupBy(*(by or []), language_of(F.col("file")).alias("language")).agg(F.count("*").alias("issues"))
 
 
+def language_files(files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Files (not issues) per language."""
+    return files.groupBy(*(by or []), language_of(F.col("path")).alias("language")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def severity_score(issues: DataFrame, by: list[str]) -> DataFrame:
     weight = F.lit(0)
     for name, value in SEVERITY_WEIGHTS.items():

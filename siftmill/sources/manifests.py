@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftmill.functions.text import split_lines, strip
+from siftmill.functions.text import let, split_lines, strip
 from siftmill.schemas import ADVISORIES, RANGES
 
 _NAME = r"^([a-zA-Z0-9_.-]+)"
@@ -32,7 +32,11 @@ def requirements(manifests: DataFrame) -> DataFrame:
 
 
 def _last_of_keys(entries: Column) -> Column:
-    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    """Of entries with one key the last, in the order given: by a sort, so that one long manifest isn't compared pair by pair."""
+    placed = F.transform(entries, lambda e, i: F.struct(e["key"].alias("key"), i.alias("at"), e["value"].alias("value")))
+    lasts = let(F.array_sort(placed), lambda s: F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1)["key"] != x["key"], F.lit(True))))
+    in_order = F.array_sort(F.transform(lasts, lambda x: F.struct(x["at"].alias("at"), x["key"].alias("key"), x["value"].alias("value"))))
+    return F.transform(in_order, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))
 
 
 def package_json(manifests: DataFrame) -> DataFrame:

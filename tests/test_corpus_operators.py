@@ -193,3 +193,29 @@ def test_package_json_keeps_the_last_of_a_key_and_no_nested_values(spark):
     text = '{"dependencies": {"a": "^1", "a": "2", "b": {"c": "3"}}}'
     rows = package_json(spark.createDataFrame([("p", "package.json", text)], "project_id string, manifest string, text string")).collect()
     assert [(r["name"], r["version"]) for r in rows] == [("a", "2")]
+
+
+def test_own_and_relative_modules_are_not_undeclared(spark, make_files):
+    files = make_files(("app/core.py", "import helpers\nfrom . import views\nfrom .models import x\nimport lxml\nimport app.core"), ("src/helpers.py", "import tools.x\nimport yaml"),
+                       ("tools/x.py", ""), ("q", "a.py", "import helpers"))
+    found = imports(syntax_facts(files))
+    standard = deps.standard_modules(spark)
+    rows = lambda d: sorted((r.project_id, r.module) for r in d.collect())
+    assert rows(deps.third_party(deps.import_roots(found), standard)) == [("p", "app"), ("p", "helpers"), ("p", "lxml"), ("p", "models"), ("p", "tools"), ("p", "yaml"), ("q", "helpers")]
+    own = deps.local_modules(files)
+    assert rows(own) == [("p", "app"), ("p", "helpers"), ("p", "tools"), ("q", "a")]
+    assert rows(deps.third_party(deps.import_roots(found, relative=False), standard, own)) == [("p", "lxml"), ("p", "yaml"), ("q", "helpers")]
+
+
+def test_long_manifests_take_the_last_of_each_key(spark):
+    text = '{"dependencies": {' + ", ".join(f'"k{i % 400}": "{i}"' for i in range(2000)) + "}}"
+    rows = MF.package_json(spark.createDataFrame([("p", "package.json", text)], "project_id string, manifest string, text string")).collect()
+    assert {r.name: r.version for r in rows} == {f"k{i}": str(1600 + i) for i in range(400)} and len(rows) == 400
+
+
+def test_function_bodies_are_followed_to_their_end_if_asked(make_files):
+    from siftmill.operators.js_facts import js_function_metrics
+
+    files = make_files(("a.js", "function f() {\n" + "  if (x) { y(); }\n" * 500 + "}\n"))
+    cut, whole = (js_function_metrics(files, most).first() for most in (200, None))
+    assert (cut["length"], cut.complexity) == (200, 200) and (whole["length"], whole.complexity) == (502, 501)
