@@ -39,9 +39,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of lower-cased texts side by side, and the first place of each text; a line end parts the texts."""
+    """Hashed n-grams of lower-cased texts side by side, one row per order, and the first place of each text.
+
+    Each text ends with a line end, and what would reach beyond it into the next text is 2**bits, which stands for no n-gram: what
+    a text gives never depends on the texts around it.
+    """
     points = [np.frombuffer((t.lower() + "\n").encode("utf-32-le", "surrogatepass"), dtype="<u4") for t in texts]
-    sizes = np.array([len(p) for p in points])
+    ends = np.cumsum([len(p) for p in points], dtype=np.int64)
     chars = np.concatenate(points) if points else np.zeros(0, dtype=np.uint32)
     out = np.empty((len(ORDERS), len(chars)), dtype=np.int32)
     run = np.zeros(len(chars), dtype=np.uint32)
@@ -49,7 +53,9 @@ def grams(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
         run = run * np.uint32(_MULTIPLIERS[1]) + np.concatenate([chars[order - 1 :], np.full(min(order - 1, len(chars)), 10, dtype=np.uint32)]) * np.uint32(_MULTIPLIERS[0]) + np.uint32(k + 1)
         mixed = (run ^ (run >> np.uint32(15))) * np.uint32(_MULTIPLIERS[2])
         out[k] = mixed >> np.uint32(32 - bits)
-    return out, np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if len(sizes) else np.zeros(0, dtype=np.int64)
+        for back in range(1, order):
+            out[k, np.maximum(ends - back, 0)] = 1 << bits
+    return out, np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else np.zeros(0, dtype=np.int64)
 
 
 def _slices(texts: list[str], chars: int = 500_000) -> Iterator[tuple[int, int]]:
@@ -74,7 +80,7 @@ def _counted(labelled: DataFrame, bits: int) -> tuple[list[str], np.ndarray, np.
                 into = counts.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
                 docs[lang] = docs.get(lang, 0) + len(own)
                 for a, b in _slices(own):
-                    into += np.bincount(grams(own[a:b], bits)[0].ravel(), minlength=1 << bits)
+                    into += np.bincount(grams(own[a:b], bits)[0].ravel(), minlength=(1 << bits) + 1)[:-1]
         for lang, own in counts.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(own[at], docs[lang]))], names=["lang", "bucket", "n"])
@@ -107,8 +113,8 @@ def learn(labelled: DataFrame, bits: int = BITS) -> tuple[list[str], np.ndarray]
 
 def _own_grams(text: str, bits: int) -> np.ndarray:
     """The n-grams that lie in the text and its line end."""
-    found, size = grams([text], bits)[0], len(text) + 1
-    return np.concatenate([found[k, : max(0, size - order + 1)] for k, order in enumerate(ORDERS)])
+    found = grams([text], bits)[0].ravel()
+    return found[found < 1 << bits]
 
 
 def _has_letter(text: str | None) -> bool:
@@ -167,7 +173,9 @@ def judged(docs: DataFrame, bits: int = BITS) -> DataFrame:
 
 def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, bits: int = BITS) -> DataFrame:
     """``docs`` with lang_pred and score, the posterior probability of lang_pred."""
-    shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float32).T.copy())
+    prior = matrix[:, -1].astype(np.float64) if langs else np.zeros(0)
+    # the last row is that of no n-gram
+    shared = docs.sparkSession.sparkContext.broadcast(np.vstack([matrix[:, :-1].T, np.zeros((1, len(langs)))]).astype(np.float32) if langs else np.zeros((1, 0), dtype=np.float32))
 
     @F.pandas_udf("lang_pred string, score double")
     def scored(texts):
@@ -179,7 +187,7 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, bits: int = B
         own = [texts.iat[i] for i in known]
         for a, b in _slices(own):
             found, starts = grams(own[a:b], bits)
-            sums = sum(np.add.reduceat(logs[g].astype(np.float64), starts, axis=0) for g in found) + logs[-1]
+            sums = sum(np.add.reduceat(logs[g].astype(np.float64), starts, axis=0) for g in found) + prior
             best = sums.argmax(axis=1)
             at = known[a:b]
             pred[at], score[at] = best, 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)

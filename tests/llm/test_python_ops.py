@@ -168,7 +168,56 @@ def test_languages(spark, odd):
     assert {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "en")} <= got
 
 
-def test_bayes_equals_plain_counts():
-    grams, starts = langid.grams(["ab", "", "abc"])
-    assert starts.tolist() == [0, 3, 4] and grams.shape == (3, 8)
-    assert grams[2][0] != grams[2][4] and grams[1][0] == grams[1][4] and grams[0][0] == grams[0][4]
+def plain_grams(text, bits):
+    """Every 1- to 3-gram of a text and its line end, hashed as the operator does."""
+    points, out = [ord(c) for c in text.lower() + "\n"], []
+    for order in (1, 2, 3):
+        for i in range(len(points) - order + 1):
+            run = 0
+            for k in range(order):
+                run = (run * 0x85EBCA77 + points[i + k] * 0x9E3779B1 + k + 1) % 2**32
+            out.append(((run ^ (run >> 15)) * 0xC2B2AE3D) % 2**32 >> (32 - bits))
+    return out
+
+
+def test_bayes_equals_plain_counts(spark):
+    """Counts, posteriors and predictions of a tiny corpus, held against multinomial naive Bayes in plain Python."""
+    import math
+    from collections import Counter
+
+    bits, known = 14, [("en", "the cat"), ("en", "The man sat."), ("de", "der Mann"), ("de", "die Katze \u0130"), ("fr", "le chat"), ("de", "")]
+    langs, matrix = langid.learn(spark.createDataFrame(known, "lang string, text string").repartition(3), bits)
+    assert langs == ["de", "en", "fr"]
+    counts = {g: Counter(b for lang, t in known if lang == g for b in plain_grams(t, bits)) for g in langs}
+    docs = Counter(lang for lang, _ in known)
+    logs = {g: lambda b, g=g: math.log((counts[g][b] + 0.5) / (sum(counts[g].values()) + 0.5 * 2**bits)) for g in langs}
+    for i, g in enumerate(langs):
+        assert all(abs(matrix[i, b] - logs[g](b)) < 1e-9 for b in list(counts[g]) + [1, 2, 3])
+        assert abs(matrix[i, -1] - math.log((docs[g] + 1) / (len(known) + 3))) < 1e-9
+    texts = ["the cat", "der Mann ist", "no", "a", "le", "X", "\u0130 \u0130"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in langid.predict(rows, langs, matrix, bits).collect():
+        sums = [math.log((docs[g] + 1) / (len(known) + 3)) + sum(logs[g](b) for b in plain_grams(r["text"], bits)) for g in langs]
+        share = [math.exp(x - max(sums)) for x in sums]
+        assert r["lang_pred"] == langs[sums.index(max(sums))] and abs(r["score"] - 1 / sum(share)) < 1e-4
+
+
+def test_a_text_is_judged_alone(spark):
+    """The same language and score for any order, batch and neighbour."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    langs, matrix = langid.learn(docs)
+    again = langid.learn(docs.repartition(5, "text"))
+    assert again[0] == langs and np.array_equal(again[1], matrix)
+    short = docs.selectExpr("doc_id", "substr(text, 1, 2 + doc_id % 9) AS text")
+    want = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(short, langs, matrix).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        alone = {r["doc_id"]: (r["lang_pred"], round(r["score"], 9)) for r in langid.predict(short.orderBy("text"), langs, matrix).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    assert alone == want
+    found, starts = langid.grams(["ab", "", "abc"])
+    assert starts.tolist() == [0, 3, 4] and (found == 1 << langid.BITS).sum(axis=1).tolist() == [0, 3, 5]
+    # ties go to the language that sorts first
+    tied = langid.predict(short.limit(3), ["aa", "bb"], np.zeros((2, (1 << langid.BITS) + 1)))
+    assert {r["lang_pred"] for r in tied.collect()} <= {"aa", "und"}
