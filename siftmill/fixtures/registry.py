@@ -245,8 +245,8 @@ add("f_js_class", lambda s, d: js_facts.js_classes(_js(s, d)),
     f"{_JS_HEAD} SELECT * FROM (SELECT project_id, path AS file, n AS line, {_first([P.JS_CLASS])} AS name, {_STRIPPED} AS body FROM lines) WHERE name IS NOT NULL")
 add("f_js_import", lambda s, d: js_facts.js_imports(_js(s, d)),
     f"{_JS_HEAD} SELECT project_id, path AS file, n AS line, {_STRIPPED} AS statement FROM lines WHERE regexp_matches(line, {q(P.JS_IMPORT)})")
-add("f_js_call", lambda s, d: js_facts.js_calls(D.corpus(s, d, "javascript")),
-    f"WITH {D.sql_corpus('javascript')}, files AS (SELECT project_id, path, text FROM corpus), {D.SQL_LINES}, named AS (SELECT project_id, path AS file, n AS line, unnest(regexp_extract_all(line, {q(P.JS_CALL)}, 1)) AS name FROM lines) "
+add("f_js_call", lambda s, d: js_facts.js_calls(_js(s, d)),
+    f"{_JS_HEAD}, named AS (SELECT project_id, path AS file, n AS line, unnest(regexp_extract_all(line, {q(P.JS_CALL)}, 1)) AS name FROM lines) "
     f"SELECT * FROM named WHERE name NOT IN ({', '.join(q(k) for k in P.JS_CALL_KEYWORDS)})")
 add("f_js_var", lambda s, d: js_facts.js_variables(_js(s, d)),
     f"{_JS_HEAD} SELECT * FROM (SELECT project_id, path AS file, n AS line, {_first([P.JS_VARIABLE])} AS name FROM lines) WHERE name IS NOT NULL")
@@ -806,7 +806,6 @@ def _stream_scan(spark: SparkSession, sf: str) -> DataFrame:
     return scan_stream.current_issues(spark, target).select("project_id", "file", "line", "rule_id", "message")
 
 
-_DOCS = "files AS (SELECT source AS project_id, 'doc' || doc_id AS path, text FROM documents)"
 add("st_scan", _stream_scan, " UNION ALL ".join(_single_kinds_sql()))
 _HISTORY = (
     "WITH v AS (SELECT user_id, 'p' || json_extract_string(props, '$.k') AS project, ts FROM events), n AS (SELECT *, max(ts) OVER (PARTITION BY user_id) AS now FROM v), "
@@ -837,10 +836,10 @@ def _user_rules(spark: SparkSession, sf: str) -> DataFrame:
                            F.concat(F.lit("Line of "), F.length("line").cast("string"), F.lit(" characters.")).alias("message"), F.lit("Break it.").alias("suggestion"))
 
     rules.register(("USR002", "Wide line", "MINOR", "MAINTAINABILITY", None, ["javascript"], "Over 500 characters."), wide)
-    hits = rules.hits(D.documents(spark, sf, "javascript"))
+    hits = rules.hits(D.text_files(spark, sf, "javascript"))
     return with_metadata(hits, rules.catalog(spark)).select("project_id", "file", "line", "rule_id", "rule_name", "severity", "message")
 
 
 add("x_rule", _user_rules,
-    f"WITH {_DOCS}, {D.SQL_LINES} SELECT project_id, path AS file, n AS line, 'USR001' AS rule_id, 'Shouting' AS rule_name, 'INFO' AS severity, 'Repeated marks.' AS message FROM lines WHERE regexp_matches(line, '\\*\\*\\*|###') "
+    f"WITH {D.sql_files('javascript')}, {D.SQL_LINES} SELECT project_id, path AS file, n AS line, 'USR001' AS rule_id, 'Shouting' AS rule_name, 'INFO' AS severity, 'Repeated marks.' AS message FROM lines WHERE regexp_matches(line, '\\*\\*\\*|###') "
     "UNION ALL SELECT project_id, path, n, 'USR002', 'Wide line', 'MINOR', 'Line of ' || length(line) || ' characters.' FROM lines WHERE length(line) > 500")
