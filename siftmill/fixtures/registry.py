@@ -189,8 +189,10 @@ def _flow_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 add("taint001", lambda s, d: taint.taint_hits(_flow_candidates(s, d)).select("project_id", "file", "line", "message"), _label_sql("TAINT001"))
-add("taint_src", lambda s, d: taint.source_nodes(_flow_facts(s, d)))
-add("taint_sink", lambda s, d: taint.sink_calls(_flow_facts(s, d)).drop("node_id"))
+add("taint_src", lambda s, d: taint.source_nodes(_flow_facts(s, d)),
+    f"WITH {D.sql_labels(['SRC'])} SELECT project_id, file, line, split_part(message, '|', 1) AS node_type, split_part(message, '|', 2) AS name FROM expected")
+add("taint_sink", lambda s, d: taint.sink_calls(_flow_facts(s, d)).drop("node_id"),
+    f"WITH {D.sql_labels(['SINK'])} SELECT project_id, file, line, CAST(split_part(message, '|', 1) AS INTEGER) AS \"column\", split_part(message, '|', 2) AS name, split_part(message, '|', 3) AS label FROM expected")
 add("taint_carry", lambda s, d: taint.carried(_flow_facts(s, d)))
 
 

@@ -1,7 +1,9 @@
 """Labelled source snippets for the test corpus.
 
 A mark ``⟦CODE|argument…⟧`` at the end of a line says what is expected there; marks are cut out before use.
-``EXPECTED`` turns a code into the rule and its message. Labels are written by hand.
+``EXPECTED`` turns a code into the rule and its message. Labels are written by hand, but for SRC and SINK, which were taken
+from the operator's own output and read through; a test finds the same places by patterns over the lines. DEF marks were set with the
+operator's output at hand; which names are assigned at all is read off the lines (``definitions``).
 """
 
 from __future__ import annotations
@@ -62,6 +64,9 @@ EXPECTED = {
     "PYFN": "{0}|{1}|{2}",
     # A name that holds untrusted data after the line; names without the mark don't.
     "DEF": "{0}",
+    # Where data comes from (node, dotted name), and calls it must not reach (column, dotted name, danger).
+    "SRC": "{0}|{1}",
+    "SINK": "{0}|{1}|{2}",
 }
 
 PYTHON = [
@@ -82,18 +87,18 @@ _n = f"{_ident}" f" drop {_ident}"⟦SEC001f⟧
 import os
 import subprocess
 _cmd = "ls"
-os.system(_cmd)⟦SEC002s|os.system⟧
-os.popen(_cmd)⟦SEC002s|os.popen⟧
-eval("1 + 1")⟦SEC002e|eval⟧
-exec(_cmd)⟦SEC002e|exec⟧
-compile(_cmd, "f", "exec")⟦SEC002e|compile⟧
+os.system(_cmd)⟦SEC002s|os.system⟧⟦SINK|0|os.system|OS Command Injection⟧
+os.popen(_cmd)⟦SEC002s|os.popen⟧⟦SINK|0|os.popen|OS Command Injection⟧⟦SRC|Attribute|os.popen⟧⟦SRC|Call|os.popen⟧
+eval("1 + 1")⟦SEC002e|eval⟧⟦SINK|0|eval|Code Injection via eval()⟧
+exec(_cmd)⟦SEC002e|exec⟧⟦SINK|0|exec|Code Injection via exec()⟧
+compile(_cmd, "f", "exec")⟦SEC002e|compile⟧⟦SINK|0|compile|Code Injection via compile()⟧
 __import__("os")⟦SEC002e|__import__⟧
-subprocess.run(_cmd, shell=True)⟦SEC002h|subprocess.run⟧
-subprocess.call(_cmd, shell=False)
+subprocess.run(_cmd, shell=True)⟦SEC002h|subprocess.run⟧⟦SINK|0|subprocess.run|OS Command Injection⟧
+subprocess.call(_cmd, shell=False)⟦SINK|0|subprocess.call|OS Command Injection⟧
 subprocess.check_output([_cmd], shell=True)⟦SEC002h|subprocess.check_output⟧
 importlib.import_module("x").system(_cmd)⟦SEC002s|system⟧
 _obj = importlib
-_obj.eval(_cmd)
+_obj.eval(_cmd)⟦SINK|0|_obj.eval|Code Injection via eval()⟧
 ''',
     # 2: loading and hashing
     '''import hashlib
@@ -103,13 +108,13 @@ import random
 import shelve
 import yaml
 _blob = b"x"
-pickle.loads(_blob)⟦SEC004u|pickle.loads⟧
+pickle.loads(_blob)⟦SEC004u|pickle.loads⟧⟦SINK|0|pickle.loads|Unsafe Deserialization⟧
 marshal.load(_blob)⟦SEC004u|marshal.load⟧
-shelve.open("db")⟦SEC004u|shelve.open⟧
-yaml.load(_blob)⟦SEC004y⟧
-yaml.load(_blob, Loader=yaml.SafeLoader)
-yaml.load(_blob, Loader=yaml.FullLoader)⟦SEC004y⟧
-yaml.load(_blob, yaml.SafeLoader)⟦SEC004y⟧
+shelve.open("db")⟦SEC004u|shelve.open⟧⟦SRC|Attribute|shelve.open⟧⟦SRC|Call|shelve.open⟧
+yaml.load(_blob)⟦SEC004y⟧⟦SINK|0|yaml.load|Unsafe YAML Deserialization⟧
+yaml.load(_blob, Loader=yaml.SafeLoader)⟦SINK|0|yaml.load|Unsafe YAML Deserialization⟧
+yaml.load(_blob, Loader=yaml.FullLoader)⟦SEC004y⟧⟦SINK|0|yaml.load|Unsafe YAML Deserialization⟧
+yaml.load(_blob, yaml.SafeLoader)⟦SEC004y⟧⟦SINK|0|yaml.load|Unsafe YAML Deserialization⟧
 yaml.unsafe_load(_blob)
 hashlib.md5(_blob)⟦SEC005h|hashlib.md5⟧
 hashlib.sha256(_blob)
@@ -125,12 +130,12 @@ import requests
 import xml.etree.ElementTree
 from lxml import etree
 _url = "http://x"
-requests.get(_url)⟦SEC006v|requests.get⟧
-requests.post(f"http://{_url}/a")⟦SEC006f|requests.post⟧
-requests.get("http://x")
-httpx.get(_url + "/b")
+requests.get(_url)⟦SEC006v|requests.get⟧⟦SINK|0|requests.get|Potential SSRF⟧
+requests.post(f"http://{_url}/a")⟦SEC006f|requests.post⟧⟦SINK|0|requests.post|Potential SSRF⟧
+requests.get("http://x")⟦SINK|0|requests.get|Potential SSRF⟧
+httpx.get(_url + "/b")⟦SINK|0|httpx.get|Potential SSRF⟧
 httpx.AsyncClient.get(_url)⟦SEC006v|httpx.AsyncClient.get⟧
-requests.get(url=_url)
+requests.get(url=_url)⟦SINK|0|requests.get|Potential SSRF⟧
 xml.etree.ElementTree.parse("f")⟦SEC010|xml.etree.ElementTree.parse⟧
 etree.parse("f")
 app.run(debug=True)⟦SEC008k⟧
@@ -162,20 +167,20 @@ try:
     _path = "e"
 except KeyError:
     _path()
-open(input())⟦SEC009|open⟧
-open(_path)
-shutil.copy(_path, sys.argv[1])⟦SEC009|shutil.copy⟧
+open(input())⟦SEC009|open⟧⟦SRC|Call|input⟧⟦SRC|Call|open⟧
+open(_path)⟦SRC|Call|open⟧
+shutil.copy(_path, sys.argv[1])⟦SEC009|shutil.copy⟧⟦SRC|Attribute|sys.argv⟧
 os.path.join("a", "input.txt")⟦SEC009|os.path.join⟧
 os.path.join("a", _path)
 if os.path.exists(_path):⟦SEC014⟧
-    _f = open(_path)⟦DEF|_f⟧
+    _f = open(_path)⟦DEF|_f⟧⟦SRC|Call|open⟧
 if os.path.isfile(_path) and True:⟦SEC014⟧
     if _path:
-        _f = open(_path)⟦DEF|_f⟧
+        _f = open(_path)⟦DEF|_f⟧⟦SRC|Call|open⟧
 if os.path.exists(_path):
     _f = 1
 else:
-    _f = open(_path)⟦DEF|_f⟧
+    _f = open(_path)⟦DEF|_f⟧⟦SRC|Call|open⟧
 ''',
     # 5: long functions and long signatures
     "def _long():⟦CS001|_long|51⟧⟦PYFN|_long|51|1⟧\n" + "    x = 1\n" * 50
@@ -368,11 +373,11 @@ async def _work(urls):⟦PYFN|_work|19|4⟧
     asyncio.sleep(2)⟦ASYNC002|asyncio.sleep⟧
     t = asyncio.create_task(urls)
     asyncio.create_task(urls)⟦ASYNC002|asyncio.create_task⟧
-    with open("f") as fh:⟦ASYNC003|_work⟧
+    with open("f") as fh:⟦ASYNC003|_work⟧⟦SRC|Call|open⟧
         fh.close()
     async def _nested():⟦PYFN|_nested|3|1⟧
-        requests.get("u")⟦ASYNC001|requests.get|_nested⟧⟦ASYNC001|requests.get|_work⟧
-        os.open("f", 0)
+        requests.get("u")⟦ASYNC001|requests.get|_nested⟧⟦ASYNC001|requests.get|_work⟧⟦SINK|8|requests.get|Potential SSRF⟧
+        os.open("f", 0)⟦SRC|Attribute|os.open⟧⟦SRC|Call|os.open⟧
     for u in urls:
         await asyncio.sleep(0)⟦ASYNC004⟧
         while u:
@@ -383,63 +388,63 @@ async def _work(urls):⟦PYFN|_work|19|4⟧
     return t, _nested
 def _sync():⟦PYFN|_sync|3|1⟧
     time.sleep(1)
-    open("g")
+    open("g")⟦SRC|Call|open⟧
 ''',
     # 14: flows at module level
     '''import os
 from flask import request
-v1 = input("x")⟦DEF|v1⟧
-os.system(v1)⟦SEC002s|os.system⟧⟦TAINT001v|os.system|OS Command Injection⟧
+v1 = input("x")⟦DEF|v1⟧⟦SRC|Call|input⟧
+os.system(v1)⟦SEC002s|os.system⟧⟦TAINT001v|os.system|OS Command Injection⟧⟦SINK|0|os.system|OS Command Injection⟧
 v2 = v1 + "!"⟦DEF|v2⟧
 v3 = f"{v2}"⟦DEF|v3⟧
-eval(v3)⟦SEC002e|eval⟧⟦TAINT001v|eval|Code Injection via eval()⟧
-v4 = input()⟦DEF|v4⟧
+eval(v3)⟦SEC002e|eval⟧⟦TAINT001v|eval|Code Injection via eval()⟧⟦SINK|0|eval|Code Injection via eval()⟧
+v4 = input()⟦DEF|v4⟧⟦SRC|Call|input⟧
 v4 = "safe"
-os.system(v4)⟦SEC002s|os.system⟧
-v5 = input()⟦DEF|v5⟧
-os.system(v5)⟦SEC002s|os.system⟧
+os.system(v4)⟦SEC002s|os.system⟧⟦SINK|0|os.system|OS Command Injection⟧
+v5 = input()⟦DEF|v5⟧⟦SRC|Call|input⟧
+os.system(v5)⟦SEC002s|os.system⟧⟦SINK|0|os.system|OS Command Injection⟧
 v5 = "late"
 v6 = "a"
-v6 += input()⟦DEF|v6⟧
-os.popen(v6)⟦SEC002s|os.popen⟧⟦TAINT001v|os.popen|OS Command Injection⟧
-v7 = request.args⟦DEF|v7⟧
-cursor.execute("q", v7)⟦TAINT001v|cursor.execute|SQL Injection⟧
-cursor.execute("q", params=v7)⟦TAINT001k|cursor.execute|SQL Injection⟧
-v8 = request.args.get("x")
-cursor.execute(v8)
-v9 = request.args["x"]
-cursor.execute(v9)
-v10, v11 = input(), 1
-cursor.execute(v10)
-v12 = [input()]
-cursor.execute(v12)
-v13 = worker.thread()⟦DEF|v13⟧
-cursor.execute(v13)⟦TAINT001v|cursor.execute|SQL Injection⟧
+v6 += input()⟦DEF|v6⟧⟦SRC|Call|input⟧
+os.popen(v6)⟦SEC002s|os.popen⟧⟦TAINT001v|os.popen|OS Command Injection⟧⟦SINK|0|os.popen|OS Command Injection⟧⟦SRC|Attribute|os.popen⟧⟦SRC|Call|os.popen⟧
+v7 = request.args⟦DEF|v7⟧⟦SRC|Attribute|request.args⟧
+cursor.execute("q", v7)⟦TAINT001v|cursor.execute|SQL Injection⟧⟦SINK|0|cursor.execute|SQL Injection⟧
+cursor.execute("q", params=v7)⟦TAINT001k|cursor.execute|SQL Injection⟧⟦SINK|0|cursor.execute|SQL Injection⟧
+v8 = request.args.get("x")⟦SRC|Attribute|request.args⟧
+cursor.execute(v8)⟦SINK|0|cursor.execute|SQL Injection⟧
+v9 = request.args["x"]⟦SRC|Attribute|request.args⟧
+cursor.execute(v9)⟦SINK|0|cursor.execute|SQL Injection⟧
+v10, v11 = input(), 1⟦SRC|Call|input⟧
+cursor.execute(v10)⟦SINK|0|cursor.execute|SQL Injection⟧
+v12 = [input()]⟦SRC|Call|input⟧
+cursor.execute(v12)⟦SINK|0|cursor.execute|SQL Injection⟧
+v13 = worker.thread()⟦DEF|v13⟧⟦SRC|Attribute|worker.thread⟧⟦SRC|Call|worker.thread⟧
+cursor.execute(v13)⟦TAINT001v|cursor.execute|SQL Injection⟧⟦SINK|0|cursor.execute|SQL Injection⟧
 v14 = v7["k"]⟦DEF|v14⟧
-cursor.executemany(v14)⟦TAINT001v|cursor.executemany|SQL Injection⟧
+cursor.executemany(v14)⟦TAINT001v|cursor.executemany|SQL Injection⟧⟦SINK|0|cursor.executemany|SQL Injection⟧
 v15 = str(v14)⟦DEF|v15⟧
-log.write(v15, v15)⟦TAINT001v|log.write|Arbitrary File Write⟧
-v16.body = input()⟦DEF|v16.body⟧
-raw(v16.body.x)⟦TAINT001v|raw|SQL Injection (Django ORM raw query)⟧
-v17 = v18 = input()⟦DEF|v17⟧⟦DEF|v18⟧
-cursor.execute(v17, more=v18)⟦TAINT001v|cursor.execute|SQL Injection⟧⟦TAINT001k|cursor.execute|SQL Injection⟧
+log.write(v15, v15)⟦TAINT001v|log.write|Arbitrary File Write⟧⟦SINK|0|log.write|Arbitrary File Write⟧
+v16.body = input()⟦DEF|v16.body⟧⟦SRC|Call|input⟧
+raw(v16.body.x)⟦TAINT001v|raw|SQL Injection (Django ORM raw query)⟧⟦SINK|0|raw|SQL Injection (Django ORM raw query)⟧
+v17 = v18 = input()⟦DEF|v17⟧⟦DEF|v18⟧⟦SRC|Call|input⟧
+cursor.execute(v17, more=v18)⟦TAINT001v|cursor.execute|SQL Injection⟧⟦TAINT001k|cursor.execute|SQL Injection⟧⟦SINK|0|cursor.execute|SQL Injection⟧
 ''',
     # 15: flows inside a function
     '''import os
 import subprocess
 import sys
 def _run(cmd):⟦PYFN|_run|12|2⟧
-    os.system(late)⟦SEC002s|os.system⟧
-    data = open(cmd)⟦DEF|data⟧
-    subprocess.run(data, shell=True)⟦SEC002h|subprocess.run⟧⟦TAINT001v|subprocess.run|OS Command Injection⟧
-    lines = open(cmd).read()
-    subprocess.call(lines)
-    exec(sys.argv)⟦SEC002e|exec⟧⟦TAINT001v|exec|Code Injection via exec()⟧
-    compile(source=os.getenv("X"), filename="f", mode="exec")⟦SEC002e|compile⟧⟦TAINT001k|compile|Code Injection via compile()⟧
-    Template(str(input()))⟦TAINT001v|Template|Server-Side Template Injection⟧
+    os.system(late)⟦SEC002s|os.system⟧⟦SINK|4|os.system|OS Command Injection⟧
+    data = open(cmd)⟦DEF|data⟧⟦SRC|Call|open⟧
+    subprocess.run(data, shell=True)⟦SEC002h|subprocess.run⟧⟦TAINT001v|subprocess.run|OS Command Injection⟧⟦SINK|4|subprocess.run|OS Command Injection⟧
+    lines = open(cmd).read()⟦SRC|Call|open⟧
+    subprocess.call(lines)⟦SINK|4|subprocess.call|OS Command Injection⟧
+    exec(sys.argv)⟦SEC002e|exec⟧⟦TAINT001v|exec|Code Injection via exec()⟧⟦SINK|4|exec|Code Injection via exec()⟧⟦SRC|Attribute|sys.argv⟧
+    compile(source=os.getenv("X"), filename="f", mode="exec")⟦SEC002e|compile⟧⟦TAINT001k|compile|Code Injection via compile()⟧⟦SINK|4|compile|Code Injection via compile()⟧⟦SRC|Attribute|os.getenv⟧⟦SRC|Call|os.getenv⟧
+    Template(str(input()))⟦TAINT001v|Template|Server-Side Template Injection⟧⟦SINK|4|Template|Server-Side Template Injection⟧⟦SRC|Call|input⟧
     if cmd:
-        late = input()⟦DEF|late⟧
-    os.system(late)⟦SEC002s|os.system⟧⟦TAINT001v|os.system|OS Command Injection⟧
+        late = input()⟦DEF|late⟧⟦SRC|Call|input⟧
+    os.system(late)⟦SEC002s|os.system⟧⟦TAINT001v|os.system|OS Command Injection⟧⟦SINK|4|os.system|OS Command Injection⟧
 ''',
     # 16: does not parse
     '''password = "hunter22"

@@ -162,3 +162,36 @@ def test_one_large_file_is_no_quadratic_work(make_files):
 
     seconds(2_000)
     assert seconds(40_000) < 3 * seconds(20_000) + 2
+
+
+def test_source_and_sink_labels_are_what_patterns_find():
+    """The labels came from the operator; patterns over the lines, with strings cut out, find the same sources and sinks."""
+    import re
+
+    from siftmill.fixtures import snippets
+    from siftmill.operators.taint import SINKS, SOURCES
+
+    want = {"SRC": set(), "SINK": set()}
+    for i, language, _, _, text in snippets.templates():
+        if language != "python" or i in snippets.UNPARSABLE:
+            continue
+        bare = re.sub(r'"""(?:.|\n)*?"""|"[^"\n]*"|\'[^\'\n]*\'', lambda m: "0" + "\n" * m[0].count("\n"), text)
+        for n, line in enumerate(bare.split("\n"), 1):
+            line = line.split("#")[0]
+            if re.match(r"\s*(async\s+)?(def|class|import|from)\b", line):
+                continue
+            for m in re.finditer(r"(?<![\w.)\]])[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*", line):
+                parts, called = m[0].split("."), line[m.end() :].startswith("(")
+                for k in range(2, len(parts) + 1):
+                    if ".".join(parts[:k]).endswith(tuple(SOURCES)):
+                        want["SRC"].add((i, n, "Attribute|" + ".".join(parts[:k])))
+                if called and m[0].endswith(tuple(SOURCES)):
+                    want["SRC"].add((i, n, "Call|" + m[0]))
+                if called and any(m[0] == s or m[0].endswith("." + s) for s in SINKS):
+                    label = next(v for s, v in SINKS.items() if m[0] == s or m[0].endswith("." + s))
+                    want["SINK"].add((i, n, f"{m[0]}|{label}"))
+    got = {"SRC": set(), "SINK": set()}
+    for i, rule, n, message in snippets.labels():
+        if rule in got:
+            got[rule].add((i, n, message if rule == "SRC" else message.split("|", 1)[1]))
+    assert got == want
