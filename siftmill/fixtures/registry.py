@@ -14,7 +14,7 @@ from siftmill.operators import clones, deps, facts as A, js_facts, metrics as M,
 from siftmill.operators import line_patterns as P
 from siftmill.operators.catalog import rule_catalog, rule_runs, rules_summary, with_metadata
 from siftmill.operators.extensions import RuleSet
-from siftmill.operators.fact_rules import FACT_RULES, function_complexity, rule_facts
+from siftmill.operators.fact_rules import FACT_RULES, rule_facts
 from siftmill.operators.line_rules import FILE_RULES, LINE_RULES, LineRule, MagicNumberRule, text_rule_hits
 from siftmill.plans import findings as W, prompts, reports as R, scan as SC
 from siftmill.sources import files as S, manifests as MF

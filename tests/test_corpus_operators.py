@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from siftmill.operators import clones, deps, metrics
 from siftmill.operators.extensions import RuleSet
 from siftmill.operators.facts import imports, syntax_facts
-from siftmill.plans import findings as W, scan as SC
+from siftmill.plans import scan as SC
 from siftmill.sources import files as S, manifests as MF
 
 
