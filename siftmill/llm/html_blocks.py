@@ -5,10 +5,13 @@ and by the container: menus, headers, footers, sidebars, notices, adverts, forms
 but rule none out, and where the page's text shows none of their languages, length decides without them. Short and unclear
 blocks stay open; the second pass gives them the label of the nearest decided block of their region (the article, or what
 lies outside of one), of two as near ones the kept one. With nothing decided, an article's blocks stay and others go,
-unless the whole page would be empty: then all blocks stay that no container or link density ruled out.
+unless the whole page would be empty: then a container that holds most of its unlinked prose and went by a part of a compound class or id
+alone ("header-image") counts again, or else all blocks stay that no container or link density ruled out. Parts of names
+that say what a container lacks or has ("no-sidebar", "layout-with-sidebar") rule nothing out.
 
-Null and empty pages have no blocks and an empty text; unclosed tags, comments and quotes reach no further than the page;
-repeated rows are pages of their own; other columns are kept by ``extract``.
+Null and empty pages have no blocks and an empty text; unclosed tags, comments and quotes reach no further than the page, and
+cost no more than time linear in it; repeated rows are pages of their own; other columns are kept by ``extract``, but for ``blocks``
+and ``text``, which it replaces.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from __future__ import annotations
 import html
 import re
 import sys
+from bisect import bisect_left
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -59,37 +64,108 @@ LONG, SHORT = 140, 70
 STOP_LOW, STOP_HIGH = 0.08, 0.2
 LINKS_MOST = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(DROPPED[:-1]) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>"
-    r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?P<close2>/?)(?P<tag2>[a-zA-Z][a-zA-Z0-9:-]*)[^<>]*>?",
-    re.DOTALL | re.IGNORECASE,
-)
+_START = re.compile(r"<!--|<[!?]|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)")
+_SPECIAL = re.compile(r"""[>"']""")
+_ANGLE = re.compile("[<>]")
+_RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in DROPPED[:-1]}
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _WORD = re.compile(r"[^\W\d_]+")
 #: Characters that say about as much as three letters.
 _DENSE = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
-def _is_out(tag: str, attrs: str, in_article: bool) -> bool:
+#: Words of a class or id that say what a container has or lacks rather than what it is.
+OTHERS = frozenset("no has have with without not".split())
+
+
+def _is_out(tag: str, attrs: str, in_article: bool) -> str:
+    """Whether an element is boilerplate: 'kind' by what it is or is called, 'name' by a part of a class or id alone, '' not at all."""
     if tag in OUT_TAGS or (tag == "header" and not in_article):
-        return True
+        return "kind"
     if not attrs or tag in ROOTS:
-        return False
+        return ""
+    named, words = "", OUT_ARTICLES if tag == "article" else OUT_WORDS
     for name, value in _ATTRIBUTE.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
+            return "kind"
         if name == "role" and value in OUT_ROLES:
-            return True
-        if name in ("class", "id") and not (OUT_ARTICLES if tag == "article" else OUT_WORDS).isdisjoint(re.split(r"[^a-z]+", value)):
-            return True
-    return False
+            return "kind"
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = re.split(r"[^a-z]+", token)
+                if token in words:
+                    return "kind"
+                if OTHERS.isdisjoint(parts) and not words.isdisjoint(parts):
+                    named = "name"
+    return named
+
+
+class _Tags:
+    """The tags of a page, in order, found in time linear in the page, whatever is left open in it.
+
+    A tag ends at the first '>' outside of quotes. Where there is none, it ends ahead of the next '<', or with the next '>'.
+    A scan that failed passed some opening quotes; a later one that comes to one of them would go the same way and fails at once.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.specials = [m.start() for m in _SPECIAL.finditer(page)]
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.dead: set[int] = set()
+
+    def end(self, start: int) -> int:
+        """Just behind the '>' that ends a tag whose name ends at ``start``, or -1."""
+        if start > self.last[">"]:
+            return -1
+        page, specials, opened = self.page, self.specials, []
+        k = bisect_left(specials, start)
+        while k < len(specials):
+            at = specials[k]
+            if page[at] == ">":
+                return at + 1
+            if at in self.dead or at >= self.last[page[at]]:
+                break
+            opened.append(at)
+            k = bisect_left(specials, page.find(page[at], at + 1) + 1, k)
+        self.dead.update(opened)
+        return -1
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, tag, whether it closes, attributes); comments, declarations and raw elements have no tag."""
+        page, at = self.page, 0
+        while m := _START.search(page, at):
+            tag, close = (m["tag"] or "").lower(), bool(m["close"])
+            if not tag:
+                if m[0] == "<!--":
+                    end = page.find("-->", m.end())
+                    end = len(page) if end < 0 else end + 3
+                elif m.end() > self.last[">"]:
+                    at = m.end()
+                    continue
+                else:
+                    end = page.find(">", m.end()) + 1
+                yield m.start(), end, "", False, ""
+            elif tag in _RAW and not close and m.end() <= self.last[">"]:
+                found = _RAW[tag].search(page, page.find(">", m.end()))
+                end = found.end() if found else len(page)
+                yield m.start(), end, "", False, ""
+            else:
+                end = self.end(m.end())
+                attrs = page[m.end() : end - 1] if end > 0 else ""
+                if end < 0:
+                    angle = _ANGLE.search(page, m.end())
+                    end = len(page) if angle is None else angle.start() + (angle[0] == ">")
+                yield m.start(), end, tag, close, attrs
+            at = end
 
 
 def blocks(page: str) -> list[dict]:
-    """Blocks in page order: text, share of its characters in links, region (0: outside of articles), and whether a container rules it out."""
-    out, parts, linked, stack = [], [], 0, []  # stack: (tag, out, region)
-    ruled, region, regions, links, at = False, 0, 0, 0, 0
+    """Blocks in page order: text, share of its characters in links, region (0: outside of articles), and whether a container
+    rules it out (``out``); ``named`` is the number of the container that does so alone and by its name only, else 0."""
+    out, parts, linked, stack = [], [], 0, []  # stack: (tag, rulers, named, region)
+    open_tags: dict[str, int] = {}
+    rulers, named, region, regions, containers, links, at = 0, 0, 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal parts, linked
@@ -97,7 +173,7 @@ def blocks(page: str) -> list[dict]:
         if text and not text.isspace():
             text = " ".join((html.unescape(text) if "&" in text else text).split())
             if text:
-                out.append({"text": text, "links": min(1.0, linked / len(text)), "region": region, "out": ruled})
+                out.append({"text": text, "links": min(1.0, linked / len(text)), "region": region, "out": rulers > 0, "named": named if rulers == 1 else 0})
         parts, linked = [], 0
 
     def add(text: str) -> None:
@@ -106,11 +182,10 @@ def blocks(page: str) -> list[dict]:
         if links:
             linked += len(text.strip())
 
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = (m["tag"] or m["tag2"] or "").lower()
+    for start, end, tag, close, attrs in _Tags(page):
+        if start > at:
+            add(page[at:start])
+        at = end
         if not tag:
             continue
         if tag == "br":
@@ -119,42 +194,74 @@ def blocks(page: str) -> list[dict]:
         if tag in BLOCK_TAGS or tag in OUT_TAGS:
             flush()
         if tag == "a":
-            links = 0 if m["close"] or m["close2"] else 1
+            links = 0 if close else 1
             continue
-        if m["close"] or m["close2"]:
-            if any(x[0] == tag for x in stack):
+        if close:
+            if open_tags.get(tag):
                 flush()
-                while stack and stack.pop()[0] != tag:
-                    pass
-                _, ruled, region = stack[-1] if stack else ("", False, 0)
+                while True:
+                    last = stack.pop()[0]
+                    open_tags[last] -= 1
+                    if last == tag:
+                        break
+                _, rulers, named, region = stack[-1] if stack else ("", 0, 0, 0)
             continue
-        if tag in VOID or (tag not in BLOCK_TAGS and tag not in OUT_TAGS and not m["attrs"]):
+        if tag in VOID or (tag not in BLOCK_TAGS and tag not in OUT_TAGS and not attrs):
             continue
         if tag == "body":
-            stack, ruled, region, links = [], False, 0, 0
+            stack, open_tags, rulers, named, region, links = [], {}, 0, 0, 0, 0
         if tag in ("article", "main"):
             links = 0
-            away = _is_out(tag, m["attrs"] or "", True) or (region > 0 and ruled)
+            away = _is_out(tag, attrs, True) or ("kind" if region > 0 and rulers else "")
             if region == 0 and not away:
                 regions += 1
                 region = regions
-            ruled = away
+            rulers = 1 if away else 0
+            containers += 1
+            named = containers if away == "name" else 0
         elif tag == "p":  # needs no end; holds no container
             continue
-        elif _is_out(tag, m["attrs"] or "", region > 0):
+        elif away := _is_out(tag, attrs, region > 0):
             if tag not in BLOCK_TAGS:
                 flush()
-            ruled = True
-        stack.append((tag, ruled, region))
+            rulers += 1
+            containers += 1
+            if rulers == 1:
+                named = containers if away == "name" else 0
+        stack.append((tag, rulers, named, region))
+        open_tags[tag] = open_tags.get(tag, 0) + 1
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
+def _freed(found: list[dict]) -> bool:
+    """Whether a container that held most of the page's unlinked prose, and was ruled out by its name alone, is let in again."""
+    prose: dict[int, int] = {}
+    for b in found:
+        if b["links"] <= LINKS_MOST and len(b["text"]) >= SHORT:
+            prose[b["named"]] = prose.get(b["named"], 0) + len(b["text"])
+    most = max((n for n in prose if n), key=prose.get, default=0)
+    if not most or 2 * prose[most] <= sum(prose.values()):
+        return False
+    for b in found:
+        if b["named"] == most:
+            b["out"], b["named"] = False, 0
+    return True
+
+
 def labelled(page: str | None) -> list[dict]:
     """Blocks with ``kept`` after both passes."""
     found = blocks(page or "")
+    _decide(found)
+    if not any(b["kept"] for b in found) and _freed(found):
+        _decide(found)
+    return found
+
+
+def _decide(found: list[dict]) -> None:
+    """Set ``kept`` of the blocks of a page."""
     of_page = of_stops = 0  # words of what isn't ruled out
     for b in found:
         words = _WORD.findall(b["text"].lower())
@@ -171,8 +278,10 @@ def labelled(page: str | None) -> list[dict]:
         ):
             b["kept"] = True
     first = [b["kept"] for b in found]
-    for region in {b["region"] for b in found}:
-        own = [i for i, b in enumerate(found) if b["region"] == region]
+    regions: dict[int, list[int]] = {}
+    for i, b in enumerate(found):
+        regions.setdefault(b["region"], []).append(i)
+    for region, own in regions.items():
         decided = [i for i in own if first[i] is not None and not found[i]["out"]]
         before = 0
         for i in own:
@@ -186,7 +295,6 @@ def labelled(page: str | None) -> list[dict]:
     if not any(b["kept"] for b in found):
         for b, was in zip(found, first, strict=True):
             b["kept"] = was is None
-    return found
 
 
 def extract(pages: DataFrame) -> DataFrame:

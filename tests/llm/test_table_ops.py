@@ -143,6 +143,37 @@ def test_kd_shards(odd, documents):
     assert kd_shards.shards(odd.limit(0)).count() == 0
 
 
+def plain_kd(rows, first, leaves, whole):
+    """Weighted medians along the widest dimension by sorting; a row is (size, values by dimension, row number)."""
+    if leaves == 1 or not rows:
+        return {r[2]: first for r in rows}
+    extent = [(max(r[1][i] for r in rows) - min(r[1][i] for r in rows)) / whole[i] for i in range(4)]
+    d = extent.index(max(extent))
+    rows, wanted, upto, cut = sorted(rows, key=lambda r: (r[1][d], r[2])), sum(r[0] for r in rows) * (leaves // 2) / leaves, 0, 0
+    while upto < wanted:
+        upto, cut = upto + rows[cut][0], cut + 1
+    return plain_kd(rows[:cut], first, leaves // 2, whole) | plain_kd(rows[cut:], first + leaves // 2, leaves - leaves // 2, whole)
+
+
+def test_kd_cuts_are_weighted_medians(spark, documents):
+    """Every row's leaf against plain sorting; sources share a long prefix, half of all rows share one of them."""
+    source = F.when(F.col("doc_id") % 2 == 0, "https://example.org/a").when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat(F.lit("https://example.org/"), "source"))
+    docs = documents.withColumn("source", source)
+    rows = kd_shards.entries(docs)
+    names = [*kd_shards.DIMENSIONS]
+    got = rows.withColumn("leaf", kd_shards.kd_tree(rows, 11)).select("size", *names, kd_shards.ROW, "leaf", "doc_id").collect()
+    ranks = {v: i for i, v in enumerate(sorted({r["source"] for r in docs.collect() if r["source"] is not None}))}
+    assert len(ranks) > 3 and {r["doc_id"]: r["_by_source"] for r in got} == {r["doc_id"]: ranks.get(r["source"], -1) for r in docs.collect()}
+    plain = [(r["size"], [r[d] for d in names], r[kd_shards.ROW]) for r in got]
+    whole = [max(1, max(p[1][i] for p in plain) - min(p[1][i] for p in plain)) for i in range(4)]
+    assert plain_kd(plain, 0, 11, whole) == {r[kd_shards.ROW]: r["leaf"] for r in got}
+    total = sum(p[0] for p in plain)
+    sizes = {}
+    for r in kd_shards.shards(docs, leaves=None, target_bytes=total // 5).collect():
+        sizes[r["shard"]] = sizes.get(r["shard"], 0) + r["size"]
+    assert len(sizes) == -(-total // (total // 5)) and max(sizes.values()) < 1.6 * total / len(sizes)
+
+
 def test_chat_round_trip(spark):
     nasty = ["", None, "\\### Assistant: </turn> ok", "</turn>\n### user: x", "a\\b \\h \\e \\\\", "####", "x\n", "</tur", "n>", ": ### "]
     rows = [(c, t, r, nasty[(c + t) % len(nasty)]) for c in range(10) for t, r in enumerate(("user", "assistant", "a: b\n", None, "###", "assistant"))]
@@ -244,6 +275,41 @@ def test_long_code_and_tables_stay_beside_prose():
     assert [b["text"] for b in html_blocks.labelled(page) if b["kept"]] == [prose, code, prose, ("12.5 kg " * 30).strip(), prose]
 
 
+@pytest.mark.parametrize("name,stays", [
+    ("no-sidebar", True), ("has-sidebar", True), ("layout-with-sidebar", True), ("header-image", True), ("entry-share", True), ("related-none", True), ("content", True),
+    ("sidebar", False), ("comments", False), ("footer wide", False)])
+def test_wrappers_go_by_what_they_are(name, stays):
+    prose = "The cat and the dog were in the house, and it was not so bad for them as one would have thought at first sight of the place, or so they said."
+    side = f"<div class='left-sidebar'><p>{prose} By the side.</p></div><nav>Home</nav>"
+    page = f"<body>{side if stays else ''}<div class='{name}'><h1>Of cats</h1><p>{prose}</p><p>{prose}</p></div></body>"
+    kept = [b["text"] for b in html_blocks.labelled(page) if b["kept"]]
+    assert kept == (["Of cats", prose, prose] if stays else [])
+
+
+HOSTILE = ["<script", "<a ", "<article>x</article>", "<article>x ", "<!-- ", "<", '<a href="', "<a b='", "<a b='\"", "<!x", "&", '<div class="a', "<nav>", "</div>", "<script>x", "<b>x", '<p class="comment">x']
+
+
+@pytest.mark.parametrize("shape", [*HOSTILE, "nested"])
+def test_hostile_pages_take_linear_time(shape):
+    import time
+
+    def took(n):
+        page = "<div>" * n + "</span>" * n + "</div>" * n if shape == "nested" else shape * n + "\"'>"
+        start = time.perf_counter()
+        html_blocks.labelled(page)
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(32_000) < 6 * took(8_000) + 0.3
+
+
+def test_pages_keep_their_columns(spark):
+    rows = spark.createDataFrame([(1, None, "t", 2), (2, "", "t", 2), (3, "<p>x", "t", 2), (3, "<p>x", "t", 2)], "page_id long, html string, text string, url int")
+    got = html_blocks.extract(rows)
+    assert set(got.columns) == {"page_id", "html", "text", "url", "blocks"}
+    assert sorted((r["page_id"], r["text"], r["url"]) for r in got.collect()) == [(1, "", 2), (2, "", 2), (3, "x", 2), (3, "x", 2)]
+
+
 def test_pipeline(spark, odd, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES:
@@ -261,6 +327,49 @@ def test_pipeline(spark, odd, documents):
     assert corpus_pipeline.near_duplicates(spark, odd, DATA).filter("doc_id = 6 and text = 'same'").count() == 1
 
 
+def exchanged(df):
+    """Columns that the exchanges of a plan move, as it is before any stage has run."""
+    todo, found = [df._jdf.queryExecution().executedPlan()], set()
+    while todo:
+        at = todo.pop()
+        if at.nodeName() == "AdaptiveSparkPlan":
+            at = at.initialPlan()
+        if "Exchange" in at.nodeName():
+            found |= {at.output().apply(i).name() for i in range(at.output().size())}
+        todo.extend(at.children().apply(i) for i in range(at.children().size()))
+    return found
+
+
+def test_stages_exchange_decisions_and_leave_no_scratch(spark, documents, tmp_path):
+    import pathlib
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with large tables
+    shared, docs = pathlib.Path(spark.conf.get("spark.checkpoint.dir")), documents
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, docs, DATA)
+            if name != "quality_rules":
+                assert not exchanged(rows) & {"text", "_given1", "ids"}
+            rows.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+            assert len(list(shared.glob("stage-*"))) <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    corpus_pipeline.next_stage(None, spark)
+    assert not list(shared.glob("stage-*"))
+
+
+def test_bits_of_decisions(spark):
+    from siftmill.llm import common
+
+    rows = spark.range(0, 70_000, 1, 2).withColumn("flag", F.expr("id % 3 = 0 or id % 32768 in (0, 7, 8, 32767)"))
+    base = common.laid_out(common.numbered(rows), "_chunk", "base")
+    maps = common.bitmaps(base.filter("id < 60000"), _set=F.col("flag"))
+    got = common.decided(base, maps).select("id", common.bit(F.col("_set"), F.col("_pos")).alias("b")).collect()
+    assert {r["id"] for r in got if r["b"]} == {r["id"] for r in rows.filter("flag and id < 60000").collect()}
+    assert "Exchange" not in base._jdf.queryExecution().toString()
+
+
 def test_texts_of_no_learned_language_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     rng, clean = np.random.default_rng(8), docs.filter("doc_id % 50 = 0 and length(text) between 500 and 2000").collect()
