@@ -23,17 +23,88 @@ def shared_dir(spark: SparkSession) -> str:
     return (named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work").rstrip("/")
 
 
+#: Per application the folders of scratch tables that stages of a pipeline have written, the running one's last.
+_STAGES: dict[str, list[str]] = {}
+
+
+def next_stage(docs: DataFrame | None, spark: SparkSession) -> None:
+    """Have ``written`` and ``laid_out`` use a new folder from now on, and remove those before of which ``docs``, what the next
+    stage reads, holds no file: their stages' outputs are written.
+
+    For pipelines whose stages follow each other in one session. None ends the pipeline: tables go to the shared folder again.
+    """
+    application = spark.sparkContext.applicationId
+    read = docs.inputFiles() if docs is not None and _STAGES.get(application) else []
+    kept = []
+    for folder in _STAGES.pop(application, []):
+        if any(f"/{folder.rpartition('/')[2]}/" in f for f in read):
+            kept.append(folder)
+        else:
+            remove(spark, folder)
+    if docs is not None:
+        _STAGES[application] = [*kept, f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"]
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _fresh(spark: SparkSession, label: str) -> str:
+    return f"{_STAGES.get(spark.sparkContext.applicationId, [shared_dir(spark)])[-1]}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read back.
 
     The table cuts the lineage and outlives lost executors. Values that depend on how tasks were dealt (row numbers)
     are fixed from then on.
     """
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    path = _fresh(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Files that a task of ``laid_out`` writes side by side, and bytes of a row group: what they buffer is bounded by the product.
+OPEN_FILES, ROW_GROUP = 4, 16 << 20
+
+
+def laid_out(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As ``written``, bucketed by ``key``, which is to name runs of rows that lie together (``_chunk``, a task): nothing is
+    exchanged to write it, and a join on ``key`` alone then exchanges the other side only, whatever its size.
+
+    A task has few keys, so their files are open side by side and nothing is sorted; a task with more sorts by bucket.
+    """
+    spark = df.sparkSession
+    path = _fresh(spark, label)
+    name = f"laid_out_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writers = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(writers)
+    spark.conf.set(writers, str(OPEN_FILES))
+    try:
+        df.write.format("parquet").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(n, key).saveAsTable(name)
+    finally:
+        spark.conf.set(writers, before)
+    return spark.table(name)
+
+
+def bitmaps(rows: DataFrame, **flags: Column) -> DataFrame:
+    """One row per ``_chunk`` with, for each flag, the bitmap of the ``_pos`` where it holds (NULL: nowhere); see ``bit``."""
+    return rows.groupBy("_chunk").agg(*[F.bitmap_construct_agg(F.when(test, F.col("_pos"))).alias(name) for name, test in flags.items()])
+
+
+def bit(bitmap: Column, pos: Column) -> Column:
+    """Whether the bit is set; false in a NULL bitmap."""
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(pos / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.call_function("shiftright", byte, (pos % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+
+
+def decided(base: DataFrame, maps: DataFrame) -> DataFrame:
+    """``base``, laid out by ``_chunk``, beside the bitmaps of its chunk; rows of chunks without bitmaps go."""
+    return base.join(maps.hint("shuffle_hash"), "_chunk")
+
+
 def shielded(docs: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     """``docs`` with all columns but ``used`` renamed so that an operator's own columns can't clash, and the way back."""
     names = {c: c if c in used else f"_given{i}" for i, c in enumerate(docs.columns)}

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import gapless, n_words, numbered, shielded, written
+from siftmill.llm.common import bit, bitmaps, decided, gapless, laid_out, n_words, numbered, shielded, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -103,11 +103,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, who
     """doc_id, source, size, source_size, target and times (how often the mix takes it) of every document.
 
     With ``whole``, instead, the mix itself: the rows of ``docs``, each as often as it is taken. ``docs`` is then written once with
-    row numbers, by which texts meet their decisions.
+    row numbers, laid out by chunk; decisions come to it as bitmaps, and no text is exchanged.
     """
     own, restored = shielded(docs, ("doc_id", "source", "text"))
     rows = numbered((own if whole else own.select("doc_id", "source", "text")).withColumn("_size", n_words(F.col("text"))))
-    base = written(rows if whole else rows.drop("text"), "sized")
+    base = laid_out(rows, "_chunk", "sized") if whole else written(rows.drop("text"), "sized")
     key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
     slim = base.select("doc_id", "source", "_size", key.alias("_k"), F.xxhash64("doc_id", "_size", F.lit(seed)).alias("_seeded"), "_chunk", "_pos")
     histogram = written(slim.groupBy("_k", "source", "_size").agg(F.count(F.lit(1)).alias("_n")), "lengths")
@@ -128,8 +128,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: int = 17, who
     times = (F.col("_whole") + (F.col("_at") < F.col("_more")).cast("int")).alias("times")
     if not whole:
         return ranked.select("doc_id", "source", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), times)
-    taken = written(ranked.select("_chunk", "_pos", times).filter("times > 0"), "taken")
-    return base.join(taken, ["_chunk", "_pos"]).withColumn("times", F.explode(F.expr("sequence(1, times)"))).select(*restored)
+    ones, twos = (F.col("times").bitwiseAND(F.lit(n)) != 0 for n in (1, 2))  # MOST is 3
+    taken = written(bitmaps(ranked.select("_chunk", "_pos", times).filter("times > 0"), _ones=ones, _twos=twos), "taken")
+    n = bit(F.col("_ones"), F.col("_pos")).cast("int") + 2 * bit(F.col("_twos"), F.col("_pos")).cast("int")
+    return decided(base, taken).withColumn("_times", n).filter("_times > 0").withColumn("_times", F.explode(F.expr("sequence(1, _times)"))).select(*restored)
 
 
 def _ranked(slim: DataFrame, counts: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm import tokens
-from siftmill.llm.common import written
+from siftmill.llm.common import laid_out, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(tokens)
@@ -30,7 +30,7 @@ PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, part
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> DataFrame:
-    """One row per piece, written: its ids (32-bit little-endian), and its rank among its task's pieces of that length."""
+    """One row per piece, written and laid out by task: its ids (32-bit little-endian), and its rank among its task's pieces of that length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -52,7 +52,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> D
                     names=["doc_id", "start", "length", "doc_tokens", "ids", "part", "rank"],
                 )
 
-    return written(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")
+    return laid_out(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "part", "pieces")
 
 
 def patterns(histogram: dict[int, int], max_len: int) -> list[tuple[tuple[int, ...], int]]:
@@ -108,6 +108,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_len: int = 1
     runs = places(patterns(histogram, max_len))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    # one row per task, at most max_len numbers; the pieces stay where they are
+    of_part = bases.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("_held"))
+    of_part = written(of_part.select("part", F.transform(F.sequence(F.lit(0), F.lit(max_len)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0))).alias("_bases")), "bases")
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length, rank):
@@ -118,5 +121,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_len: int = 1
         return pd.DataFrame({"sequence_id": runs["sequence"][at] + rank.to_numpy() - runs["first"][at], "offset": runs["offset"][at]})
 
     cut = cut.select("doc_id", "start", F.col("length"), "doc_tokens", "part", "rank", payload)
-    ranked = cut.join(bases, ["part", "length"]).withColumn("_at", placed("length", F.col("rank") + F.col("base")))
-    return ranked.withColumns({"length": F.col("length").cast("long"), "sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")}).drop("part", "rank", "base", "_at")
+    ranked = cut.join(of_part.hint("shuffle_hash"), "part").withColumn("_rank", F.col("rank") + F.get("_bases", F.col("length"))).drop("_bases")
+    ranked = ranked.withColumn("_at", placed("length", "_rank"))
+    return ranked.withColumns({"length": F.col("length").cast("long"), "sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")}).drop("part", "rank", "_rank", "_at")
