@@ -1,8 +1,8 @@
 """K-d tree sharding: split at distributed weighted medians along the widest metadata dimension.
 
 A node that stands for k leaves is cut so that both sides get their share of its bytes; k starts at the number of leaves, or at
-what ``target_bytes`` asks for. Dimensions are whole numbers: the document id, its number of characters, and the first seven bytes of
-source and language (which keeps their order); a dimension's width is its extent in the node, as a share of that in the table.
+what ``target_bytes`` asks for. Dimensions are whole numbers: the document id, its number of characters, and the ranks of
+source and language among all values of theirs; a dimension's width is its extent in the node, as a share of that in the table.
 Cuts are found by narrowing histograms: each pass sums bytes in at most BINS bins per node, and only the bins with the cut come
 back, one per node. Where one value holds the cut, its rows are cut by row number, so no value, copy or source is too
 large to split.
@@ -13,7 +13,7 @@ no rows. Columns other than doc_id, text, source, lang are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftmill.llm.common import gapless, numbered, written
@@ -26,19 +26,28 @@ ROW = "_row"
 LAST = 2**61
 
 
-def _prefix(value: Column) -> Column:
-    """The first seven bytes of a string as a number, in the order of the strings (null: -1)."""
-    head = F.rpad(F.hex(F.substring(F.encode(value.cast("string"), "UTF-8"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("long"), F.lit(-1))
+def _ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the rank of ``column`` among its distinct values, in their order (null: -1).
+
+    The distinct values are sorted over range partitions; a rank is a value's place in its partition and the number of values
+    in those before, of which there is one row per partition. A value that many rows share is one row on its side.
+    """
+    values = rows.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column)
+    values = written(values.select(column, F.spark_partition_id().alias("_part"), (F.monotonically_increasing_id() % F.lit(1 << 33)).alias("_in")), "values")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = values.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranks = values.join(bases, "_part").select(column, (F.col("_base") + F.col("_in")).cast("long").alias(name))
+    return rows.join(ranks, column, "left").withColumn(name, F.coalesce(name, F.lit(-1)))
 
 
 def entries(docs: DataFrame) -> DataFrame:
     """doc_id, size (bytes + 8), crc32, the dimensions and a fixed row number of every document, written without texts."""
     data = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
-    rows = docs.select(
-        "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), _prefix(F.col("source")).alias("_by_source"),
-        _prefix(F.col("lang")).alias("_by_lang"), F.coalesce(F.greatest(F.least(F.col("doc_id").cast("long"), F.lit(LAST)), F.lit(-LAST)), F.lit(-LAST - 1)).alias("_by_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_by_chars"),
-    )
+    slim = written(docs.select(
+        "doc_id", (F.octet_length(data) + 8).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.col("source").cast("string").alias("_source"),
+        F.col("lang").cast("string").alias("_lang"), F.coalesce(F.greatest(F.least(F.col("doc_id").cast("long"), F.lit(LAST)), F.lit(-LAST)), F.lit(-LAST - 1)).alias("_by_id"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("_by_chars"),
+    ), "sizes")
+    rows = _ranked(_ranked(slim, "_source", "_by_source"), "_lang", "_by_lang").drop("_source", "_lang")
     return written(numbered(rows).withColumn(ROW, F.col("_chunk") * 32_768 + F.col("_pos")), "entries")
 
 
