@@ -1,5 +1,6 @@
-"""Facts that a plan doesn't read stay in the parser, those it reads are the same."""
+"""Facts that a plan doesn't read stay in the parser, those it reads are the same; inputs are cut into tasks by their rows."""
 
+from siftmill.fixtures import derive
 from siftmill.operators import taint
 from siftmill.operators.facts import FUNCTION_TYPES, descendants, syntax_facts
 
@@ -27,3 +28,10 @@ def test_links_of_ancestors_are_kept_once_and_read_whole(make_files):
     for row in rows.values():
         chain = row["ancestors"]
         assert [a["id"] for a in chain] == ([a["id"] for a in rows[chain[-1]["id"]]["ancestors"]] + [chain[-1]["id"]] if chain else [])
+
+
+def test_orders_are_cut_by_rows(spark, tmp_path, monkeypatch):
+    spark.range(1000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(derive, "ORDERS_PER_TASK", 10)
+    files = derive.corpus(spark, str(tmp_path))
+    assert files.rdd.getNumPartitions() == 100 and files.count() == 1000
