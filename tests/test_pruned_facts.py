@@ -1,7 +1,7 @@
 """Facts that a plan doesn't read stay in the parser, those it reads are the same; inputs are cut into tasks by their rows."""
 
 from siftmill.fixtures import derive
-from siftmill.operators import taint
+from siftmill.operators import deps, taint
 from siftmill.operators.facts import FUNCTION_TYPES, descendants, syntax_facts
 
 TEXT = "class A:\n    def f(self, x):\n        y = x.z[0] + input()\n        if y:\n            def g():\n                eval(y)\n        return y\n"
@@ -35,3 +35,12 @@ def test_orders_are_cut_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(derive, "ORDERS_PER_TASK", 10)
     files = derive.corpus(spark, str(tmp_path))
     assert files.rdd.getNumPartitions() == 100 and files.count() == 1000
+
+
+def test_advisories_are_worded_before_they_meet_the_declared_rows(spark):
+    declared = spark.createDataFrame([("p", "requirements.txt", "PyPI", 0, "a", "1.0")], "project_id string, manifest string, ecosystem string, ord int, name string, version string")
+    known = spark.createDataFrame([("PyPI", "a", "1.0", "V", None, "stored XSS", ["u"])], "ecosystem string, package string, version string, vuln_id string, summary string, details string, refs array<string>")
+    found = deps.vulnerable(declared, known)
+    assert [(r["severity"], r["summary"]) for r in found.collect()] == [("MINOR", "No summary available")]
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "RLIKE" not in above.upper()
