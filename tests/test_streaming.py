@@ -84,3 +84,12 @@ def test_history_stream_ends_at_the_batch_lists(spark, tmp_path):
     now = F.timestamp_seconds(F.lit(1_700_000_000 + 100))
     early = {(r.user_id, r.project) for r in history.recent_projects(stored, now).collect()}
     assert early == {(u, p) for u, p, s in rows if s <= 1_700_000_100 and s > 1_700_000_100 - 300}
+
+
+def test_lists_are_folded_from_plain_visits():
+    known = {"pz": 50}
+    history.note_visits(known, ["pa", None, "pb", "pa", "pz"], [90, 99, 100, 80, 40])
+    history.note_visits(known, ["pc", "pb"], [100, 10])
+    assert known == {"pz": 50, "pa": 90, "pb": 100, "pc": 100}
+    assert history.newest_first(known, 50, 20) == (["pb", "pc", "pa"], [100, 100, 90])  # pz is exactly 50 old
+    assert history.newest_first(known, 51, 2) == (["pb", "pc"], [100, 100])
