@@ -26,16 +26,18 @@ from siftmill.llm.common import laid_out, written
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(tokens)
 
-PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, part int, rank long"
+PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, part int, pos int, rank long"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> DataFrame:
-    """One row per piece, written and laid out by task: its ids (32-bit little-endian), and its rank among its task's pieces of that length."""
+    """One row per piece, written and laid out by task: its ids (32-bit little-endian), its place among its task's pieces, and its rank among
+    those of that length."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), np.zeros(max_len + 1, dtype=np.int64)
+        pos = 0
         encode, end = tokens.byte_bpe(tokenizer_path), np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             texts, ids_of = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
@@ -45,11 +47,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> D
                     wide = np.frombuffer(ids + end, dtype="<u2").astype("<u4")
                     for start in range(0, len(wide), max_len):
                         piece = wide[start : start + max_len]
-                        rows.append((doc, start, len(piece), len(wide), piece.tobytes(), part, int(seen[len(piece)])))
+                        rows.append((doc, start, len(piece), len(wide), piece.tobytes(), part, pos, int(seen[len(piece)])))
                         seen[len(piece)] += 1
+                        pos += 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int64()), strict=True)],
-                    names=["doc_id", "start", "length", "doc_tokens", "ids", "part", "rank"],
+                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()), strict=True)],
+                    names=["doc_id", "start", "length", "doc_tokens", "ids", "part", "pos", "rank"],
                 )
 
     return laid_out(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "part", "pieces")
@@ -108,9 +111,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_len: int = 1
     runs = places(patterns(histogram, max_len))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # one row per task, at most max_len numbers; the pieces stay where they are
-    of_part = bases.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("_held"))
-    of_part = written(of_part.select("part", F.transform(F.sequence(F.lit(0), F.lit(max_len)), lambda i: F.coalesce(F.try_element_at("_held", i), F.lit(0))).alias("_bases")), "bases")
 
     @F.pandas_udf("sequence_id long, offset long")
     def placed(length, rank):
@@ -120,7 +120,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_len: int = 1
         at = np.searchsorted(key, (length.to_numpy(np.int64) << 40) + rank.to_numpy(np.int64), side="right") - 1
         return pd.DataFrame({"sequence_id": runs["sequence"][at] + rank.to_numpy() - runs["first"][at], "offset": runs["offset"][at]})
 
-    cut = cut.select("doc_id", "start", F.col("length"), "doc_tokens", "part", "rank", payload)
-    ranked = cut.join(of_part.hint("shuffle_hash"), "part").withColumn("_rank", F.col("rank") + F.get("_bases", F.col("length"))).drop("_bases")
-    ranked = ranked.withColumn("_at", placed("length", "_rank"))
-    return ranked.withColumns({"length": F.col("length").cast("long"), "sequence_id": F.col("_at.sequence_id"), "offset": F.col("_at.offset")}).drop("part", "rank", "_rank", "_at")
+    # places are found without the ids, which would wait in memory for Python's answers, and come to them as one row of arrays
+    # per task: the ids stay where they are
+    ranked = cut.select("part", "pos", "length", "rank").join(bases, ["part", "length"])
+    at = ranked.select("part", "pos", placed("length", F.col("rank") + F.col("base")).alias("at"))
+    of_part = at.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("pos", "at.sequence_id", "at.offset"))).alias("_places"))
+    of_part = written(of_part.select("part", *[F.col(f"_places.{c}").alias(f"_{c}") for c in ("sequence_id", "offset")]), "places")
+    cut = cut.select("doc_id", "start", F.col("length").cast("long").alias("length"), "doc_tokens", "part", "pos", payload)
+    found = cut.join(of_part.hint("shuffle_hash"), "part")
+    return found.withColumns({c: F.get(f"_{c}", F.col("pos")) for c in ("sequence_id", "offset")}).drop("part", "pos", "_sequence_id", "_offset")

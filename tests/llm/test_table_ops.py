@@ -398,3 +398,25 @@ def test_oracle(spark, name):
     cursor = con.execute(queries.ORACLE[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, DATA).select(*columns).collect())) == sorted(cursor.fetchall())
+
+
+def test_packed_ids_wait_for_no_python_and_cross_no_exchange(spark):
+    from siftmill.llm import pack
+
+    texts = [(i, " ".join(f"word{j % 7}" for j in range((i * 37) % 3000))) for i in range(60)]
+    packed = pack.pack(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), queries.tokenizer_path())
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "ids" in plan
+    scan = [line for line in plan.splitlines() if "Exchange" in line and "ids" in line]
+    assert not scan
+    rows = packed.collect()
+    assert sorted((r.doc_id, r.start) for r in rows) == sorted({(r.doc_id, r.start) for r in rows})
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length, len(r.ids)))
+    for held in by.values():
+        at = 0
+        for offset, length, size in sorted(held):
+            assert offset == at and size == 4 * length
+            at += length
+        assert at <= 1024
