@@ -394,7 +394,8 @@ def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DATA}/conversations.parquet'")
+    for table in ("conversations", "documents", "embeddings", "labels"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DATA}/{table}.parquet'")
     cursor = con.execute(queries.ORACLE[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(map(tuple, queries.QUERIES[name](spark, DATA).select(*columns).collect())) == sorted(cursor.fetchall())
