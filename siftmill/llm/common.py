@@ -67,6 +67,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 #: Files that a task of ``laid_out`` writes side by side, and bytes of a row group: what they buffer is bounded by the product.
 OPEN_FILES, ROW_GROUP = 4, 16 << 20
+#: Rows that come to Python at a time while ``laid_out`` writes: whole texts wait on both sides, and what an executor took for them it keeps.
+TEXTS_AT_ONCE = 500
 
 
 def laid_out(df: DataFrame, key: str, label: str) -> DataFrame:
@@ -79,13 +81,15 @@ def laid_out(df: DataFrame, key: str, label: str) -> DataFrame:
     path = _fresh(spark, label)
     name = f"laid_out_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writers = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(writers)
-    spark.conf.set(writers, str(OPEN_FILES))
+    held = {"spark.sql.maxConcurrentOutputFileWriters": OPEN_FILES, "spark.sql.execution.arrow.maxRecordsPerBatch": TEXTS_AT_ONCE}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, str(v))
     try:
         df.write.format("parquet").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(n, key).saveAsTable(name)
     finally:
-        spark.conf.set(writers, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.table(name)
 
 

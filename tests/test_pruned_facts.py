@@ -1,8 +1,12 @@
 """Facts that a plan doesn't read stay in the parser, those it reads are the same; inputs are cut into tasks by their rows."""
 
+from pyspark.sql import functions as F
+
 from siftmill.fixtures import derive
 from siftmill.operators import deps, taint
 from siftmill.operators.facts import FUNCTION_TYPES, descendants, syntax_facts
+from siftmill.plans import reports
+from siftmill.plans import scan as SC
 
 TEXT = "class A:\n    def f(self, x):\n        y = x.z[0] + input()\n        if y:\n            def g():\n                eval(y)\n        return y\n"
 
@@ -44,3 +48,36 @@ def test_advisories_are_worded_before_they_meet_the_declared_rows(spark):
     assert [(r["severity"], r["summary"]) for r in found.collect()] == [("MINOR", "No summary available")]
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
     assert "RLIKE" not in above.upper()
+
+
+def _declared_and_known(spark):
+    names = "project_id string, manifest string, ecosystem string, ord int, name string, version string"
+    declared = spark.createDataFrame([(f"p{i % 40}", "requirements.txt", "PyPI", i, "a", "1.0") for i in range(60)] + [(None, "requirements.txt", "PyPI", 0, "a", "1.0"), ("q", "requirements.txt", "PyPI", 0, "b", "")], names)
+    advisories = [("PyPI", "a", "1.0", f"V{i}", None if i % 3 else "s", "high" if i % 2 else "", []) for i in range(50)] + [("PyPI", "a", "1.0", None, None, None, [])]
+    return declared, spark.createDataFrame(advisories, "ecosystem string, package string, version string, vuln_id string, summary string, details string, refs array<string>")
+
+
+def test_findings_of_one_version_are_made_by_many_tasks(spark):
+    declared, known = _declared_and_known(spark)
+    found = deps.vulnerable(declared, known)
+    rows = found.select("project_id", "vuln_id", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 61 * 51 and len({r["task"] for r in rows}) > 3  # one, as all are of one version
+
+
+def test_advisories_are_counted_as_they_are_listed(spark):
+    declared, known = _declared_and_known(spark)
+    pinned = deps.pinned(declared)
+    counted = {(r["project_id"], r["rule_id"], r["severity"]): r["issues"] for r in deps.counted(pinned, deps.advised(pinned, known)).collect()}
+    listed = deps.vulnerable(declared, known).groupBy("project_id", "rule_id", "severity").count().collect()
+    assert counted == {(r["project_id"], r["rule_id"], r["severity"]): r["count"] for r in listed} and len(counted) == 41 * 2
+
+
+def test_findings_of_advisories_are_not_written_to_be_counted(spark, make_files):
+    files = make_files(("p0", "a.js", "debugger"), ("p1", "b.js", "x = 1"))
+    manifests = spark.createDataFrame([(f"p{i}", "requirements.txt", "a==1.0\nb\n") for i in range(3)], "project_id string, manifest string, text string")
+    result = SC.scan(files, manifests, _declared_and_known(spark)[1])
+    by_project = lambda df: {r["project_id"]: r["n"] for r in df.groupBy("project_id").agg(F.sum("issues").alias("n")).collect()}
+    assert by_project(result.rollups) == by_project(reports.rollup(result.issues)) == {"p0": 54, "p1": 53, "p2": 53}
+    plan = result.rollups._jdf.queryExecution().optimizedPlan().toString()
+    assert "_share" not in plan  # the rows that are listed meet under it
+    assert {r["project_id"]: (r["total_issues"], r["dependency_vulnerabilities"]) for r in SC.summary(result).collect()} == {"p0": (1, 53), "p1": (0, 53), "p2": (0, 53)}
