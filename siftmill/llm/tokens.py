@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Pre-tokens remembered by one worker process, about 150 bytes each; beyond it the memory starts anew.
-CACHE_PIECES = 800_000
+#: Pre-tokens in each of the two generations that one worker process remembers, about 200 bytes each: when the younger one is
+#: full it becomes the older, whose pre-tokens stay if they are met again.
+CACHE_PIECES = 100_000
 #: Unknown pre-tokens encoded by one call.
 JOINED = 2_000
 
@@ -105,11 +106,12 @@ def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
     pieces = pieces_of(path)
     if pieces.n_ids > 65_536:
         raise ValueError("ids beyond 16 bits")
-    cache: dict[str, bytes] = sys.__dict__.setdefault("_siftmill_tokens", {}).setdefault(path, {})
+    generations: list[dict[str, bytes]] = sys.__dict__.setdefault("_siftmill_tokens", {}).setdefault(path, [{}, {}])
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
+        if len(generations[0]) > CACHE_PIECES:
+            generations[:] = {}, generations[0]
+        cache, older = generations
         out: list[bytes] = [b""] * len(texts)
         direct: list[int] = []
         open_texts: list[tuple[int, list[str], list[bytes | None], list[int]]] = []
@@ -123,7 +125,11 @@ def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
             parts = [*map(get, found)]
             if None in parts:
                 places = [k for k, p in enumerate(parts) if p is None]
-                missing.update(dict.fromkeys([found[k] for k in places]))
+                for piece in {found[k] for k in places}:
+                    if (ids := older.get(piece)) is None:
+                        missing[piece] = None
+                    else:
+                        cache[piece] = ids
                 open_texts.append((i, found, parts, places))
             else:
                 out[i] = b"".join(parts)
