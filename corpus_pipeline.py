@@ -20,6 +20,8 @@ from siftmill.llm.queries import tokenizer_path
 
 #: Documents whose language is less likely than this, or that have none, go.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Pre-tokens in a generation of a worker's memory: fewer than alone, as executors still hold what the stages before took.
+REMEMBERED = 100_000
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +60,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their ids, placed in sequences of 1024."""
     next_stage(docs, spark)
-    return pack.pack(docs, tokenizer_path(), end_id=0, max_len=1024)
+    return pack.pack(docs, tokenizer_path(), end_id=0, max_len=1024, remember=REMEMBERED)
 
 
 STAGES = [

@@ -29,7 +29,7 @@ cloudpickle.register_pickle_by_value(tokens)
 PIECES = "doc_id long, start long, length int, doc_tokens long, ids binary, part int, pos int, rank long"
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int, remember: int | None = None) -> DataFrame:
     """One row per piece, written and laid out by task: its ids (32-bit little-endian), its place among its task's pieces, and its rank among
     those of that length."""
 
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, max_len: int) -> D
 
         part, seen = TaskContext.get().partitionId(), np.zeros(max_len + 1, dtype=np.int64)
         pos = 0
-        encode, end = tokens.byte_bpe(tokenizer_path), np.array([end_id], dtype="<u2").tobytes()
+        encode, end = tokens.byte_bpe(tokenizer_path, remember), np.array([end_id], dtype="<u2").tobytes()
         for batch in batches:
             texts, ids_of = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for a, b in tokens.in_slices(texts):
@@ -102,9 +102,10 @@ def places(packs: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "sequence", "offset"), columns, strict=True))
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_len: int = 1024, payload: Column | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, max_len: int = 1024, payload: Column | None = None,
+         remember: int | None = None) -> DataFrame:
     """doc_id, start, length, doc_tokens, sequence_id, offset of every piece, and its ids or what ``payload`` makes of them."""
-    cut = pieces(docs, tokenizer_path, end_id, max_len)
+    cut = pieces(docs, tokenizer_path, end_id, max_len, remember)
     payload = F.col("ids") if payload is None else payload
     counts = cut.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # max_len rows at most

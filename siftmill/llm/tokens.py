@@ -12,7 +12,7 @@ import numpy as np
 
 #: Pre-tokens in each of the two generations that one worker process remembers, about 200 bytes each: when the younger one is
 #: full it becomes the older, whose pre-tokens stay if they are met again.
-CACHE_PIECES = 100_000
+CACHE_PIECES = 400_000
 #: Unknown pre-tokens encoded by one call.
 JOINED = 2_000
 
@@ -98,7 +98,7 @@ def pieces_of(path: str) -> Pieces:
     return kept[path]
 
 
-def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
+def byte_bpe(path: str, remember: int | None = None) -> Callable[[list[str | None]], list[bytes]]:
     """A function from texts (null: empty) to their ids as little-endian 16-bit integers, equal to ``encode`` of the library.
 
     A pre-token is encoded once and remembered by the worker process over its tasks; unknown ones are encoded many at a time.
@@ -109,7 +109,7 @@ def byte_bpe(path: str) -> Callable[[list[str | None]], list[bytes]]:
     generations: list[dict[str, bytes]] = sys.__dict__.setdefault("_siftmill_tokens", {}).setdefault(path, [{}, {}])
 
     def encode(texts: list[str | None]) -> list[bytes]:
-        if len(generations[0]) > CACHE_PIECES:
+        if len(generations[0]) > (remember or CACHE_PIECES):
             generations[:] = {}, generations[0]
         cache, older = generations
         out: list[bytes] = [b""] * len(texts)
