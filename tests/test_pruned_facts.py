@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from siftmill.fixtures import derive
-from siftmill.operators import deps, taint
+from siftmill.operators import deps, facts, taint
 from siftmill.operators.facts import FUNCTION_TYPES, descendants, syntax_facts
 from siftmill.plans import reports
 from siftmill.plans import scan as SC
@@ -81,3 +83,21 @@ def test_findings_of_advisories_are_not_written_to_be_counted(spark, make_files)
     plan = result.rollups._jdf.queryExecution().optimizedPlan().toString()
     assert "_share" not in plan  # the rows that are listed meet under it
     assert {r["project_id"]: (r["total_issues"], r["dependency_vulnerabilities"]) for r in SC.summary(result).collect()} == {"p0": (1, 53), "p1": (0, 53), "p2": (0, 53)}
+
+
+def test_valid_texts_are_told_without_a_tree(monkeypatch):
+    monkeypatch.setattr(facts, "parse", lambda text: pytest.fail("a tree was made"))
+    assert facts._parses("x = 1\n") and facts._parses("") and facts._parses("def f():\n    return '\\d'\n")
+
+
+ODD = ["", "x = 1", "def f(:\n", "return 1\n", "await x", "from __future__ import nothing", "x = '\\d'", "x\0", "def f():\n    x = 1\n    global x\n", "nonlocal y", "break",
+       "a" + ".b" * 9_990, "a" + ".b" * 20_000, "a" + ".b" * 4_000, "(" * 300 + ")" * 300, "-" * 8_000 + "a", "def f(a, a): pass", "class A: (yield)", "# coding: nope\nx", "\ufeffx", "print 1"]
+
+
+@pytest.mark.parametrize("text", ODD, ids=range(len(ODD)))
+def test_texts_are_valid_where_there_is_a_tree(text):
+    try:
+        want = facts.parse(text) is not None
+    except (RecursionError, MemoryError):
+        want = False
+    assert facts._parses(text) is want
