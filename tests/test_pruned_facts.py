@@ -6,6 +6,7 @@ import pytest
 
 from siftmill.fixtures import derive
 from siftmill.operators import deps, facts, taint
+from siftmill.operators.extensions import RuleSet
 from siftmill.operators.facts import FUNCTION_TYPES, descendants, syntax_facts
 from siftmill.plans import reports
 from siftmill.plans import scan as SC
@@ -101,3 +102,22 @@ def test_texts_are_valid_where_there_is_a_tree(text):
     except (RecursionError, MemoryError):
         want = False
     assert facts._parses(text) is want
+
+
+def test_a_scan_leaves_ancestors_that_no_rule_reads_in_the_parser(spark, make_files):
+    files = make_files(("a.py", TEXT), *((f"t{i}.py", t[4]) for i, t in enumerate(derive.TEMPLATES) if t[1] == "python"))
+    few, whole = SC.facts_of(files), SC.facts_of(files, whole=True)
+    assert not few.filter("node_type = 'Constant' and size(ancestors) > 0").count()
+    leaves = few.filter("node_type = 'Name' and size(ancestors) > 0").select(F.concat_ws(".", "parent_type", "parent_field").alias("edge")).distinct().collect()
+    assert leaves and {r["edge"] for r in leaves} <= set(taint.FEEDS)
+    rows = lambda x: sorted(map(str, SC.python_hits(files, x).collect()))
+    assert few.count() == whole.count() and rows(few) == rows(whole) and len(rows(few)) > 50
+
+
+def test_own_rules_over_facts_see_all_ancestors(spark, make_files):
+    rules = RuleSet()
+    inside = lambda x: x.filter("node_type = 'Constant' and size(ancestors) > 0").select(
+        "project_id", F.col("path").alias("file"), F.col("lineno").alias("line"), F.lit(0).alias("column"), F.lit("USR009").alias("rule_id"), F.lit("m").alias("message"), F.lit("s").alias("suggestion"))
+    rules.register(("USR009", "Constant", "INFO", "CODE_SMELL", None, ["python"], "A constant."), inside, "facts")
+    found = SC.scan(make_files(("a.py", TEXT)), rules=rules).issues.filter("rule_id = 'USR009'")
+    assert [r["line"] for r in found.collect()] == [3]
