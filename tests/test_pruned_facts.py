@@ -121,3 +121,18 @@ def test_own_rules_over_facts_see_all_ancestors(spark, make_files):
     rules.register(("USR009", "Constant", "INFO", "CODE_SMELL", None, ["python"], "A constant."), inside, "facts")
     found = SC.scan(make_files(("a.py", TEXT)), rules=rules).issues.filter("rule_id = 'USR009'")
     assert [r["line"] for r in found.collect()] == [3]
+
+
+def test_no_join_of_dependencies_gathers_its_rows_on_the_driver(spark):
+    """Rows of projects and packages are broadcast at no size: their files are small, what they make is not."""
+    ranged = "ecosystem string, package string, version string, vuln_id string, summary string, details string, refs array<string>, ranges array<struct<introduced:string,fixed:string,last_affected:string>>"
+    declared = _declared_and_known(spark)[0]
+    known = spark.createDataFrame([("PyPI", "a", "9.0", "V", "s", "", [], [("0", "2.0", None), ("1.0", None, "1.0")]), ("PyPI", "a", "1.0", "W", "s", "", [], None)], ranged)
+    imported = spark.createDataFrame([("p1", "a"), ("q", "c")], "project_id string, module string")
+    versions = declared.selectExpr("ecosystem", "name AS package", "version").distinct()
+    plans = [deps.affected(versions, known), deps.dependency_findings(declared, imported, known), deps.third_party(imported, deps.standard_modules(spark), imported),
+             deps.counted(deps.pinned(declared), deps.advised(versions, known))]
+    broadcasts = [p._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") for p in plans]
+    assert broadcasts == [0, 0, 1, 0]  # the standard library's names are a fixed table
+    assert {(r["version"], r["vuln_id"]) for r in plans[0].collect()} == {("1.0", "V"), ("1.0", "W")}
+    assert {r["rule_id"]: r["count"] for r in plans[1].groupBy("rule_id").count().collect()} == {"DEP001": 122, "DEP002": 60, "DEP003": 1}
