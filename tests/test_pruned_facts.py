@@ -136,3 +136,31 @@ def test_no_join_of_dependencies_gathers_its_rows_on_the_driver(spark):
     assert broadcasts == [0, 0, 1, 0]  # the standard library's names are a fixed table
     assert {(r["version"], r["vuln_id"]) for r in plans[0].collect()} == {("1.0", "V"), ("1.0", "W")}
     assert {r["rule_id"]: r["count"] for r in plans[1].groupBy("rule_id").count().collect()} == {"DEP001": 122, "DEP002": 60, "DEP003": 1}
+
+
+MORE = "import os\nfor i in range(3):\n    a, b = f(os.environ['x'])[0], i\n    a += g(k=b.c, *d)\nwith open(a) as h:\n    os.system(f'{a}' + h.read())\nx = lambda y: [z for z in y if z]\n"
+
+
+def test_facts_of_a_flow_are_few_and_tell_the_same(spark, make_files):
+    files = make_files(("a.py", TEXT), ("b.py", MORE), ("bad.py", "def f(:\n"), ("deep.py", "a" + ".b" * 20_000), *((f"t{i}.py", t[4]) for i, t in enumerate(derive.TEMPLATES) if t[1] == "python"))
+    few, whole = taint.flow_facts(files), syntax_facts(files, taint.NODE_TYPES)
+    assert few.columns == ["project_id", "path", "node_id", "node_type", "lineno", "col", "name", "strict", "base", "parent_type", "parent_field", "ancestors", "children"]
+    assert "const_value" not in few.schema.simpleString() and few.count() < whole.count() / 2
+    rows = lambda df: sorted(map(str, df.collect()))
+    for step in (taint.carried, taint.tainted_definitions, taint.definition_of_use, taint.taint_hits, taint.sink_calls):
+        assert rows(step(few)) == rows(step(whole)) != []
+
+
+def test_columns_of_facts_are_those_asked_for(spark, make_files):
+    files = make_files(("a.py", TEXT), ("b.py", MORE), ("deep.py", "a" + ".b" * 20_000))
+    whole = syntax_facts(files)
+    owned = syntax_facts(files, None, FUNCTION_TYPES, False, columns=facts.OWNED)
+    assert owned.schema.simpleString() == "struct<project_id:string,path:string,node_id:int,node_type:string,ancestors:array<struct<id:int,type:string,name:string,lineno:int>>>"
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(descendants(owned, FUNCTION_TYPES)) == rows(descendants(whole, FUNCTION_TYPES)) != []
+    plain = ["path", "dfs_id", "end_lineno", "const_value"]
+    assert rows(syntax_facts(files, columns=plain)) == rows(whole.select(*plain))
+    kids = syntax_facts(files, columns=["path", "node_id", "children.pos", "children.lineno"])
+    assert rows(kids) == rows(whole.select("path", "node_id", F.transform("children", lambda c: F.struct(c["pos"].alias("pos"), c["lineno"].alias("lineno"))).alias("children")))
+    with pytest.raises(ValueError):
+        syntax_facts(files, columns=["path", "nothing"])
